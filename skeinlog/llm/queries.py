@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import line_windows, mixing, ngram_join, quality_rules
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,61 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, 85 % Jaccard, all documents."""
     return ngram_join.ngram_jaccard(table(spark, sf_dir, "documents"), ngram=4, num=85, den=100)
+
+
+@query
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 1, 2, 3 in turn; each is taken 3 times at most."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules learned from labels.quality, applied to all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn_rules(docs, table(spark, sf_dir, "labels"))
+    judged = quality_rules.apply_rules(docs, rules)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *[f"stats.{c}" for c in counts], "base_failed", "kept", "rule")
+
+
+@query
+def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows removed; the texts that are left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_windows.drop_repeated_windows(docs)
+
+
+ORACLES["op10_line_windows"] = """
+WITH a AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+p AS (SELECT doc_id, text, l, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '[^\x20\x09-\x0D]')) AS nb FROM a),
+w AS (SELECT doc_id, q AS pos, struct_pack(a := l[nb[q]], b := l[nb[q + 1]], c := l[nb[q + 2]]) AS w
+      FROM (SELECT doc_id, l, nb, unnest(range(1, len(nb) - 1)) AS q FROM p)),
+f AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM w),
+c AS (SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS cov FROM f WHERE k > 1 GROUP BY doc_id)
+SELECT p.doc_id, CAST(len(nb) AS BIGINT) AS n_lines, CAST(coalesce(len(cov), 0) AS BIGINT) AS n_removed,
+       CASE WHEN cov IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(l) + 1),
+            lambda i: coalesce(NOT list_contains(cov, list_position(nb, i)), TRUE)), lambda i: l[i]), chr(10)), '') END AS text
+FROM p LEFT JOIN c ON p.doc_id = c.doc_id
+"""
+
+ORACLES["op2_source_mix"] = """
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+      CAST('0x' || md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:12] AS BIGINT) AS u FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS w FROM d GROUP BY source),
+k AS (SELECT *, n * 3 / w AS r, coalesce(sum(n * 3) OVER b, 0) AS c0, coalesce(sum(w) OVER b, 0) AS w0, sum(n) OVER () AS t, sum(w) OVER () AS ws FROM s
+      WINDOW b AS (ORDER BY n * 3 / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, (t - c0) / (ws - w0) AS share FROM k),
+g AS (SELECT *, r <= share AS capped, max(CASE WHEN r > share THEN share END) OVER () AS lvl FROM h),
+t AS (SELECT source, n, CASE WHEN capped THEN n * 3 ELSE coalesce(lvl, 0) * w END AS target FROM g),
+m AS (SELECT *, CASE WHEN n > 0 THEN target / n ELSE 0 END AS m FROM t),
+j AS (SELECT d.*, n, target, floor(m) AS base, m - floor(m) AS p, target - floor(m) * n AS rest FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source),
+q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN ((u + 0.5) / 281474976710656) / (1 - (u + 0.5) / 281474976710656) * (1 - p) / p END AS q FROM j),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM q WHERE q IS NOT NULL),
+o AS (SELECT *, upto <= rest AS once FROM c),
+e AS (SELECT source AS es, min(rest) - coalesce(sum(size) FILTER (WHERE once), 0) AS gap FROM o GROUP BY source),
+f AS (SELECT source AS fs, arg_min(upto, (abs(gap - size), upto)) AS last FROM o JOIN e ON source IS NOT DISTINCT FROM es WHERE NOT once AND abs(gap - size) < gap GROUP BY source),
+x AS (SELECT o.doc_id, o.upto, once OR coalesce(upto = last, FALSE) AS more FROM o LEFT JOIN f ON source IS NOT DISTINCT FROM fs),
+y AS (SELECT q.*, CASE WHEN size > 0 THEN base + coalesce(CAST(x.more AS INT), 0) ELSE 0 END AS copies FROM q LEFT JOIN x ON q.doc_id = x.doc_id)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM y
+"""
