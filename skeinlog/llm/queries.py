@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_windows, mixing, ngram_join, quality_rules
+from . import line_windows, mixing, ngram_join, packing, quality_rules
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,11 @@ x AS (SELECT o.doc_id, o.upto, once OR coalesce(upto = last, FALSE) AS more FROM
 y AS (SELECT q.*, CASE WHEN size > 0 THEN base + coalesce(CAST(x.more AS INT), 0) ELSE 0 END AS copies FROM q LEFT JOIN x ON q.doc_id = x.doc_id)
 SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM y
 """
+
+
+@query
+def op3_group_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
