@@ -122,11 +122,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
 class Plan:
     """Runs of a packing, made from the number of pieces of each length."""
 
-    def __init__(self, counts: dict[int, int], most: int, groups: int = 48, large: int | None = None):
+    def __init__(self, counts: dict[int, int], most: int, groups: int = 64, large: int | None = None):
         self.most, self.runs, self.sequences = most, [], 0
         self.free: list[list[tuple[int, int]]] = [[] for _ in range(most + 1)]  # by free space: (first sequence, how many)
         self.left = {s: [(0, n)] for s, n in counts.items() if n}  # by length: ranks not yet placed
-        large = most // 8 if large is None else large
+        self.all = counts
+        large = most // 3 if large is None else large
         sizes = sorted((s for s in self.left if s > large), reverse=True)
         if sizes:
             self._configure(sizes, {s: counts[s] for s in sizes}, groups)
@@ -151,7 +152,8 @@ class Plan:
                 lo, n, room = lo + k, n - k, room - k
         up = np.array([q[0][0] for q in queues])
         need = np.array([sum(x[2] for x in q) for q in queues], float)
-        for config, times in _configurations(up, need, self.most):
+        small = sum(s * n for s, n in self.all.items() if s not in counts)
+        for config, times in _configurations(up, need, small, self.most):
             places = [g for g, k in enumerate(config) for _ in range(k)]
             times = min([times, *(sum(x[2] for x in queues[g]) // k for g, k in enumerate(config) if k)])
             if times <= 0:
@@ -207,19 +209,28 @@ class Plan:
         return runs[np.lexsort((runs[:, 1], runs[:, 0]))]
 
 
-def _configurations(size: np.ndarray, need: np.ndarray, most: int, rounds: int = 600) -> list[tuple[np.ndarray, int]]:
-    """Column generation for: use as few sequences as can be, at least need[g] places of size[g].
+def _configurations(size: np.ndarray, need: np.ndarray, small: int, most: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+    """Column generation for: use as few sequences as can be, with at least need[g] places of size[g], and room for the small.
 
-    Starts from configurations of one size each; a knapsack by dynamic programming finds the configuration with the best
-    reduced cost. Returns the configurations of the last basis with whole numbers of uses, rounded down.
+    Room counts where a configuration leaves a sixteenth of a sequence or more, so the solution either fills sequences or
+    leaves enough for small pieces. Starts from configurations of one size each; a knapsack by dynamic programming finds
+    the configuration with the best reduced cost. Returns the last basis with whole numbers of uses, rounded down.
     """
     m = len(size)
-    basis = [np.where(np.arange(m) == g, most // size[g], 0) for g in range(m)]
-    inverse = np.diag(1.0 / np.array([b.max() for b in basis]))
-    x = inverse @ need
+    basis = [np.where(np.arange(m + 1) == g, most // size[g], 0) for g in range(m)]
+    for b, s in zip(basis, size, strict=True):
+        b[m] = _room(most - b[:m].max() * s, most)
+    basis.append(np.where(np.arange(m + 1) == m, most, 0))
+    inverse = np.linalg.inv(np.array(basis, float).T)
+    cost, unused = np.ones(m + 1), np.where(np.arange(m + 1) == m, -1, 0)  # room may stay unused, at no cost
+    x = inverse @ np.append(need, float(small))
+    if x[m] < 0:
+        basis[m], cost[m] = unused, 0
+        inverse = np.linalg.inv(np.array(basis, float).T)
+        x = inverse @ np.append(need, float(small))
     for _ in range(rounds):
-        price = inverse.sum(0)
-        config, worth = _knapsack(size, price, most)
+        price = cost @ inverse
+        config, worth = (unused, 2.0) if price[m] < -1e-9 else _knapsack(size, price, most)
         if worth <= 1 + 1e-9:
             break
         way = inverse @ config
@@ -234,12 +245,18 @@ def _configurations(size: np.ndarray, need: np.ndarray, most: int, rounds: int =
         row = inverse[out] / way[out]
         inverse = inverse - np.outer(way, row)
         inverse[out] = row
-        basis[out] = config
-    return sorted(((b, int(np.floor(v + 1e-6))) for b, v in zip(basis, x, strict=True)), key=lambda c: -c[1])
+        basis[out], cost[out] = config, float(config is not unused)
+    return sorted(((b[:m], int(np.floor(v + 1e-6))) for b, v in zip(basis, x, strict=True) if b[:m].any()), key=lambda c: -c[1])
+
+
+def _room(left, most: int):
+    return np.where(left >= most // 16, left, 0)
 
 
 def _knapsack(size: np.ndarray, price: np.ndarray, most: int) -> tuple[np.ndarray, float]:
-    """The places that fit into most and are worth most, by number of places."""
+    """The places, and the room left, that fit into a sequence and are worth most; by number of places."""
+    m = len(size)
+    room = _room(most - np.arange(most + 1), most)
     best = np.full(most + 1, -np.inf)
     best[0] = 0
     layers, picks = [best], []
@@ -256,8 +273,11 @@ def _knapsack(size: np.ndarray, price: np.ndarray, most: int) -> tuple[np.ndarra
         picks.append(pick)
         if not np.isfinite(now).any():
             break
-    k, at = max(((i, int(v.argmax())) for i, v in enumerate(layers)), key=lambda c: layers[c[0]][c[1]])
-    worth, config = float(layers[k][at]), np.zeros(len(size), np.int64)
+    values = [v + max(price[m], 0) * room for v in layers]
+    k = int(np.argmax([v.max() for v in values]))
+    at = int(values[k].argmax())
+    worth, config = float(values[k][at]), np.zeros(m + 1, np.int64)
+    config[m] = room[at]
     for i in range(k, 0, -1):
         g = picks[i - 1][at]
         config[g] += 1
