@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, line_windows, mixing, ngram_join, packing, quality_rules
+from . import embedding_dedup, line_windows, mixing, ngram_join, packing, quality_rules, secrets
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,21 @@ n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
 SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x
 """
+
+
+def _spans(of: str = "spans") -> str:
+    return f"array_join(transform({of}, x -> concat_ws(':', x.kind, x.start, x.stop)), ',')"
+
+
+@query
+def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; a value that at most two sources hold looks live."""
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    base = "filter(spans, x -> x.kind <> 'token')"
+    return found.selectExpr(
+        "doc_id",
+        *[f"cast(size(filter(spans, x -> x.kind = '{k}')) as long) as n_{k}" for k in ("assign", "access", "hex")],
+        f"sha2({_spans(base)}, 256) as base_sha256",
+        f"{_spans()} as spans",
+        "n_live", "n_example",
+    )
