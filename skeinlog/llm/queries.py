@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, line_windows, mixing, ngram_join, packing, quality_rules, secrets
+from . import chat_format, embedding_dedup, line_windows, mixing, ngram_join, packing, quality_rules, secrets
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,38 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_spans()} as spans",
         "n_live", "n_example",
     )
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold the template's own strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).selectExpr("-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", r"'\\### Assistant: </turn> ok' as text")
+    back = chat_format.read_back(chat_format.format_chats(turns.unionByName(odd)))
+    return back.selectExpr(
+        "conv_id",
+        "cast(size(turns) as long) as n_turns",
+        "sha2(array_join(transform(turns, x -> concat(x.role, '\n', x.text, '\n')), ''), 256) as turns_sha256",
+        "cast(length(array_join(learned, '')) as long) as loss_chars",
+        "sha2(array_join(learned, ''), 256) as loss_sha256",
+        "formatted_chars",
+        "wrong is null as valid",
+    )
+
+
+ORACLES["op7_chat_format"] = r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+e AS (SELECT *, replace(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), '>: ', '\>: ') AS esc,
+  coalesce(role, '') AS r FROM c),
+g AS (SELECT conv_id, list({'r': r, 't': text, 'e': length(esc), 'turn': turn} ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS l FROM e GROUP BY conv_id),
+s AS (SELECT *, array_to_string(list_transform(l, lambda x: CASE x.r WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END), '') AS p,
+  array_to_string(list_transform(list_filter(l, lambda x: x.r = 'assistant'), lambda x: x.t), '') AS loss FROM g)
+SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns,
+  sha256(array_to_string(list_transform(l, lambda x: x.r || chr(10) || x.t || chr(10)), '')) AS turns_sha256,
+  CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(list_sum(list_transform(l, lambda x: x.e + 8 + CASE x.r WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15
+    ELSE 13 + length(replace(replace(replace(replace(x.r, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), '>: ', '\>: ')) END)) AS BIGINT) AS formatted_chars,
+  regexp_full_match(p, 's?(ua)+') AS valid
+FROM s
+"""
