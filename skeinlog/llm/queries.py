@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, embedding_dedup, line_windows, mixing, ngram_join, packing, quality_rules, secrets
+from . import chat_format, embedding_dedup, language_id, line_windows, mixing, ngram_join, packing, quality_rules, secrets
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,13 @@ SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns,
   regexp_full_match(p, 's?(ua)+') AS valid
 FROM s
 """
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from lang outside the held-out ids, applied to all documents."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs)
+    return language_id.identify(docs, model).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
