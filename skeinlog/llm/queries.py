@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, embedding_dedup, language_id, line_windows, mixing, ngram_join, packing, quality_rules, secrets
+from . import chat_format, embedding_dedup, language_id, line_windows, mixing, ngram_join, packing, pii_crf, quality_rules, secrets
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.learn(docs)
     return language_id.identify(docs, model).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op8_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii_crf.find_pii(docs, pii_crf.learn(docs))
+    return found.selectExpr(
+        "doc_id",
+        *[f"cast(size(filter(base, x -> x.kind = '{k}')) as long) as n_{k}" for k in pii_crf.KINDS],
+        f"sha2({_spans('base')}, 256) as base_sha256",
+        f"{_spans()} as spans",
+    )
