@@ -183,3 +183,11 @@ def op8_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"sha2({_spans('base')}, 256) as base_sha256",
         f"{_spans()} as spans",
     )
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
