@@ -29,7 +29,6 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
         .selectExpr("doc_id", r"transform(filter(lines, x -> x rlike '[^\\x20\\x09-\\x0D]'), x -> xxhash64(x)) as h")
         .selectExpr("doc_id", f"if(size(h) < {width}, array(), transform(sequence(1, size(h) - {width - 1}), i -> xxhash64(slice(h, i, {width})))) as w")
-        .where("size(w) > 0")
     )
     windows = hashes.select("doc_id", F.posexplode("w").alias("pos", "w")).withColumn(
         "at", F.expr("cast(doc_id as decimal(20, 0)) * cast(4294967296 as decimal(10, 0)) + pos")
@@ -56,7 +55,8 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
         f"transform(array(struct(split({text}, '\\n') as lines)), a -> transform(array({places}), at -> array_join(transform("
         "array_except(sequence(0, size(a.lines) - 1), transform(__covered, c -> at[c])), i -> a.lines[i]), '\\n'))[0])[0]"
     )
-    return docs.join(cover, docs[id_col] == cover["__cover_id"], "left").select(
+    # the table of covered lines grows with the corpus: never broadcast, at no size
+    return docs.join(cover.hint("merge"), docs[id_col] == cover["__cover_id"], "left").select(
         *[F.expr(f"if(__covered is null, `{c}`, {rebuilt})").alias(c) if c == text_col else docs[f"`{c}`"] for c in names],
         F.regexp_count(F.expr(text), F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long").alias("n_lines"),
         F.coalesce(F.size("__covered"), F.lit(0)).cast("long").alias("n_removed"),
