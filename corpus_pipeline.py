@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the least id of each group linked by five-word shingles at 80 %."""
     linked = ngram_join.ngram_jaccard(docs, ngram=5, num=80, den=100)
     kept = materialize(linked.where("doc_id = component_id or component_id is null").select("doc_id").distinct()).withColumnRenamed("doc_id", "__kept")
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

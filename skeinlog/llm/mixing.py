@@ -100,7 +100,7 @@ def take_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFra
     """The mix itself: each document of docs as many times as the mix takes it. Ids of docs are taken to be distinct."""
     many = mix.where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__copies"))
     return (
-        docs.join(many, docs[id_col].eqNullSafe(many["__mix_id"]))
+        docs.join(many.hint("merge"), docs[id_col].eqNullSafe(many["__mix_id"]))
         .select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy"))
         .drop("__copy")
     )

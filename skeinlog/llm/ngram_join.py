@@ -407,7 +407,7 @@ def ngram_jaccard(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100
     )
     tiles = _tiles(candidates, tile_rows)
     links = materialize(
-        named.join(tiles, named.doc_id == tiles.rep)
+        named.join(tiles.hint("merge"), named.doc_id == tiles.rep)
         .select("rep", "s1", "copies", "tile", "text")
         .mapInArrow(_with_grams(ngram), "rep long, s1 long, copies long, tile array<struct<grp:long,c1:int,c2:int,i:int,j:int,side:int>>, grams binary")
         .select("rep", "s1", "copies", "grams", F.explode("tile").alias("t")).select("rep", "s1", "copies", "grams", "t.*")
