@@ -7,8 +7,10 @@ far below the bound, so it is never formed. What is formed follows from the size
 1. Rows fall into size bands; documents that can link are in one band or in two adjacent ones.
 2. In a band, the sizes bound the number ``d`` of columns in which a linking pair can differ. The columns are cut into
    ``d + 1 + e`` blocks by hash. At least ``e + 1`` blocks then hold no difference at all, so a linking pair agrees on a
-   whole non-empty block, unless both rows have more than ``e`` empty blocks (those rows are also filed under their empty
-   blocks). Only rows that agree on a block can meet: this discards nearly all pairs before any overlap is counted.
+   whole non-empty block, unless both rows have more than ``e`` empty blocks. Columns that very many rows hold are left out
+   of the blocks, so that shared passages make nobody meet; rows that then have too many empty blocks are filed again with
+   all columns, and if need be under their empty blocks. Only rows that agree on a block can meet: this discards nearly all
+   pairs before any overlap is counted.
 3. Rows that meet, directly or through others, form disjoint groups. Each group's part of the product is computed in tiles
    of a bounded number of rows: overlap counts are accumulated over column chunks, and a row leaves a tile as soon as none
    of its pairs can still reach the bound given by the two sizes. What is left is compared exactly.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, materialize, shuffle_partitions
+from .shared import components, id_filter, materialize, maybe_in, shuffle_partitions
 
 _U = np.uint64
 _STEP = pow(0x9E3779B97F4A7C15, 1, 1 << 64)
@@ -136,33 +138,50 @@ class Bands:
         return np.searchsorted(self.low, n, side="right") - 1
 
 
-def block_keys(grams: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) for each non-empty column block of each row, in the row's own band and in the one below."""
+def _held(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which grams are among the sorted hot ones; a small table of leading bits spares most the search."""
+    out = np.zeros(len(grams), bool)
+    if len(hot):
+        table = np.zeros(1 << 22, bool)
+        table[hot >> _U(42)] = True
+        at = np.flatnonzero(table[grams >> _U(42)])
+        spot = np.minimum(np.searchsorted(hot, grams[at]), len(hot) - 1)
+        out[at] = hot[spot] == grams[at]
+    return out
+
+
+def block_keys(grams: np.ndarray, sizes: np.ndarray, bands: Bands, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) for each non-empty column block of each row, in the row's own band and in the one below.
+
+    Hot grams are left out of the blocks: leaving columns out can't add differences, so the bound still holds, and passages
+    that many documents share make nobody meet. A row that has more empty blocks than may be spared is filed again with all
+    its grams, and if it still has, under its empty blocks.
+    """
     keys, rows = [], []
     filled = np.flatnonzero(sizes)
-    n = sizes[filled]
-    start = np.concatenate([[0], np.cumsum(n)])
-    own = bands.of(n)
+    own = bands.of(sizes[filled])
+    who = np.repeat(np.arange(len(filled)), sizes[filled])
+    cold = ~_held(grams, hot)
     with np.errstate(over="ignore"):
         marked = mix(grams ^ _U(0xA5A5A5A55A5A5A5A))
         for below in (0, 1):
             band = own - below
             k = np.where(band >= 0, bands.blocks[np.maximum(band, 0)], 0)
-            use = np.flatnonzero(k)
-            if not len(use):
-                continue
-            take = np.repeat(k > 0, n)
-            g, who = grams[take], np.repeat(use, n[use])
-            block = ((g >> _U(32)) * k[who].astype(np.uint64)) >> _U(32)
-            cell = who.astype(np.uint64) << _U(32) | block
-            at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            tag = band[who[at]].astype(np.uint64) << _U(32) | block[at]
-            keys.append(mix(np.add.reduceat(marked[take], at) + mix(tag)))
-            rows.append(filled[who[at]])
-            held = np.bincount(who[at], minlength=len(filled))[use]
-            for i in use[k[use] - held > bands.spare[band[use]]]:
-                there = block[at][who[at] == i].astype(np.int64)
-                empty = np.setdiff1d(np.arange(k[i]), there).astype(np.uint64)
+            spare = bands.spare[np.maximum(band, 0)]
+            todo = k > 0
+            for salt, part in ((1, cold), (2, None)):
+                take = todo[who] if part is None else todo[who] & part
+                g, w = grams[take], who[take]
+                block = ((g >> _U(32)) * k[w].astype(np.uint64)) >> _U(32)
+                cell = w.astype(np.uint64) << _U(32) | block
+                at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+                if len(at):
+                    tag = band[w[at]].astype(np.uint64) << _U(32) | block[at]
+                    keys.append(mix(np.add.reduceat(marked[take], at) + mix(mix(tag) + _U(salt))))
+                    rows.append(filled[w[at]])
+                todo &= k - np.bincount(w[at], minlength=len(filled)) > spare
+            for i in np.flatnonzero(todo):
+                empty = np.setdiff1d(np.arange(k[i]), block[at][w[at] == i].astype(np.int64)).astype(np.uint64)
                 keys.append(mix(mix(np.uint64(band[i]) << _U(32) | empty) ^ _U(0x0F0F0F0F)))
                 rows.append(np.full(len(empty), filled[i]))
     if not keys:
@@ -170,6 +189,37 @@ def block_keys(grams: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.n
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def _common(width: int, least: int):
+    """N-grams that at least so many different sets of a batch hold, with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
+            held, seen = [], set()
+            for lo, hi in _chunks(texts):
+                grams, sizes = gram_sets(texts[lo:hi], width)
+                marks = _digest(grams, sizes)[0]
+                for own, mark in zip(np.split(grams, np.cumsum(sizes)[:-1]), marks.tolist(), strict=True):
+                    if mark not in seen:
+                        seen.add(mark)
+                        held.append(own)
+            gram = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(gram)))
+            yield pa.RecordBatch.from_arrays([pa.array(gram[first][n >= least].view(np.int64)), pa.array(n[n >= least])], ["gram", "n"])
+
+    return run
+
+
+def hot_grams(named: DataFrame, width: int, most: int = 1 << 18, least: int = 6) -> np.ndarray:
+    """The n-grams held by the largest numbers of different sets, sorted; at most a fixed number, whatever the corpus.
+
+    Which these are decides how fast the join is, never what it finds, so counts may come from batches that hold a gram often.
+    """
+    top = named.select("text").mapInArrow(_common(width, least), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most)
+    return np.sort(np.array([r.gram for r in top.select("gram").collect()], np.int64).view(np.uint64))
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
     """Spanning forest of the edges, as node -> root; only nodes that aren't roots."""
     up: dict[int, int] = {}
@@ -209,10 +259,12 @@ def _digest(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 _ROW = np.dtype([("doc", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8")])
-_KEY = np.dtype([("key", "<u8"), ("node", "<i8")])
+#: A filed key: 40 bits of it (a bucket holds millions of keys, not billions) and the node. Equal bits of different keys only
+#: make rows meet that needn't.
+_KEY = np.dtype([("low", "<u4"), ("high", "u1"), ("node", "<i8")])
 
 
-def _file_keys(width: int, num: int, den: int, buckets: int):
+def _file_keys(width: int, num: int, den: int, buckets: int, hot):
     """Map side: digests of each row, block keys dealt by hash into buckets; equal keys of a batch meet here already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +280,7 @@ def _file_keys(width: int, num: int, den: int, buckets: int):
                 row["doc"], row["n"], row["s1"], row["s2"] = doc[lo:hi], sizes, s1, s2
                 for b, part in _dealt(row, mix(s1.view(np.uint64)), buckets):
                     out.append((b, 0, part))
-                key, at = block_keys(grams, sizes, Bands(num, den, int(sizes.max(initial=1))))
+                key, at = block_keys(grams, sizes, Bands(num, den, int(sizes.max(initial=1))), hot.value)
                 all_keys.append(key)
                 all_nodes.append(s1[at])
             key, node = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((all_keys, np.uint64), (all_nodes, np.int64)))
@@ -243,8 +295,8 @@ def _file_keys(width: int, num: int, den: int, buckets: int):
                     out.append((b, 2, part))
             first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
             filed = np.zeros(int(first.sum()), _KEY)
-            filed["key"], filed["node"] = key[first], node[first]
-            for b, part in _dealt(filed, filed["key"], buckets):
+            filed["low"], filed["high"], filed["node"] = (key[first] >> _U(24)) & _U(0xFFFFFFFF), key[first] >> _U(56), node[first]
+            for b, part in _dealt(filed, key[first] & _U(0xFFFFFF), buckets):
                 out.append((b, 1, part))
             for lo in range(0, len(out), 4000):
                 b, kind, blob = zip(*out[lo : lo + 4000], strict=True)
@@ -275,7 +327,8 @@ def _meet(num: int, den: int):
         filed = np.frombuffer(blobs[1], _KEY)
         bands = Bands(num, den, int(row["n"].max(initial=1)))
         docs = pd.DataFrame({"kind": 0, "a": row["doc"], "b": row["n"], "c": row["s1"], "d": row["s2"], "e": bands.of(row["n"])})
-        pairs = [*_chain(filed["key"], filed["node"]).items(), *np.frombuffer(blobs[2], "<i8").reshape(-1, 2).tolist()]
+        key = filed["high"].astype(np.uint64) << _U(32) | filed["low"]
+        pairs = [*_chain(key, filed["node"]).items(), *np.frombuffer(blobs[2], "<i8").reshape(-1, 2).tolist()]
         met = pd.DataFrame(pairs, columns=["a", "b"], dtype="int64").assign(kind=1, c=0, d=0, e=0)
         return pd.concat([docs, met[["kind", "a", "b", "c", "d", "e"]]]).astype({"kind": "int32", "e": "int32"})
 
@@ -395,8 +448,9 @@ def ngram_jaccard(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = base.where("doc_id is not null")
     buckets = 4 * shuffle_partitions(spark)
+    hot = spark.sparkContext.broadcast(hot_grams(named, ngram))
     met = materialize(
-        named.mapInArrow(_file_keys(ngram, num, den, buckets), "bucket long, kind int, blob binary")
+        named.mapInArrow(_file_keys(ngram, num, den, buckets, hot), "bucket long, kind int, blob binary")
         .groupBy("bucket").applyInPandas(_meet(num, den), _MET)
     )
     rows = met.where("kind = 0").selectExpr("a as doc_id", "b as n", "c as s1", "d as s2", "e as cls")
@@ -407,7 +461,7 @@ def ngram_jaccard(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100
     )
     tiles = _tiles(candidates, tile_rows)
     links = materialize(
-        named.join(tiles.hint("merge"), named.doc_id == tiles.rep)
+        maybe_in(named, "doc_id", id_filter(candidates, "rep")).join(tiles.hint("merge"), F.col("doc_id") == tiles.rep)
         .select("rep", "s1", "copies", "tile", "text")
         .mapInArrow(_with_grams(ngram), "rep long, s1 long, copies long, tile array<struct<grp:long,c1:int,c2:int,i:int,j:int,side:int>>, grams binary")
         .select("rep", "s1", "copies", "grams", F.explode("tile").alias("t")).select("rep", "s1", "copies", "grams", "t.*")

@@ -35,6 +35,37 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of an id filter: 2**25 are 4 MB, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def id_filter(ids: DataFrame, id_col: str) -> DataFrame:
+    """A bitmap of the hashes of ids, as at most 1024 rows of 4 KB: small enough to broadcast at any size of the table."""
+    return materialize(
+        ids.select(F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).alias("at"))
+        .groupBy(F.bitmap_bucket_number("at").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__bits"))
+    )
+
+
+def _passes(df: DataFrame, id_col: str, filter_table: DataFrame) -> tuple[DataFrame, F.Column]:
+    at = f"pmod(xxhash64(`{id_col}`), {FILTER_BITS}L)"
+    joined = df.join(F.broadcast(filter_table), F.expr(f"bitmap_bucket_number({at})") == F.col("__part"), "left")
+    byte = f"cast(conv(hex(substring(__bits, cast(bitmap_bit_position({at}) div 8 as int) + 1, 1)), 16, 10) as long)"
+    return joined, F.expr(f"coalesce(shiftright({byte}, cast(bitmap_bit_position({at}) % 8 as int)) % 2 = 1, false)")
+
+
+def maybe_in(df: DataFrame, id_col: str, filter_table: DataFrame) -> DataFrame:
+    """Rows whose id may be in the filter: all that are, and a few others. Keeps most rows out of the shuffle of a join."""
+    joined, hit = _passes(df, id_col, filter_table)
+    return joined.where(hit).select(*[df[f"`{c}`"] for c in df.columns])
+
+
+def not_in(df: DataFrame, id_col: str, filter_table: DataFrame) -> DataFrame:
+    """The other rows, of which none has an id in the filter (rows without an id are among them)."""
+    joined, hit = _passes(df, id_col, filter_table)
+    return joined.where(~hit | F.col(id_col).isNull()).select(*[df[f"`{c}`"] for c in df.columns])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
