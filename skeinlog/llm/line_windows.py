@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import id_filter, materialize, maybe_in, not_in
 
 #: Lines with a word: their places among all lines of the text.
 _WORDED = r"filter(transform(lines, (x, i) -> if(x rlike '[^\\x20\\x09-\\x0D]', i, null)), i -> i is not null)"
@@ -55,9 +55,13 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
         f"transform(array(struct(split({text}, '\\n') as lines)), a -> transform(array({places}), at -> array_join(transform("
         "array_except(sequence(0, size(a.lines) - 1), transform(__covered, c -> at[c])), i -> a.lines[i]), '\\n'))[0])[0]"
     )
-    # the table of covered lines grows with the corpus: never broadcast, at no size
-    return docs.join(cover.hint("merge"), docs[id_col] == cover["__cover_id"], "left").select(
-        *[F.expr(f"if(__covered is null, `{c}`, {rebuilt})").alias(c) if c == text_col else docs[f"`{c}`"] for c in names],
-        F.regexp_count(F.expr(text), F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__covered"), F.lit(0)).cast("long").alias("n_removed"),
+    n_lines = F.regexp_count(F.expr(text), F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long").alias("n_lines")
+    ids = id_filter(cover, "__cover_id")
+    own = docs.withColumn("__own", F.col(id_col).cast("long"))
+    whole = not_in(own, "__own", ids).select(*[F.col(f"`{c}`") for c in names], n_lines, F.lit(0).cast("long").alias("n_removed"))
+    # the table of covered lines grows with the corpus: it is never broadcast, at no size
+    cut = maybe_in(own, "__own", ids).join(cover.hint("merge"), F.col("__own") == F.col("__cover_id"), "left").select(
+        *[F.expr(f"if(__covered is null, `{c}`, {rebuilt})").alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
+        n_lines, F.coalesce(F.size("__covered"), F.lit(0)).cast("long").alias("n_removed"),
     )
+    return whole.unionByName(cut)
