@@ -7,9 +7,10 @@ documents. Stages are written as Parquet and read again in between.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skeinlog.llm import line_windows, mixing, ngram_join, packing, quality_rules
-from skeinlog.llm.shared import materialize, table
+from skeinlog.llm.shared import id_filter, materialize, maybe_in, not_in, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,13 +29,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group linked by five-word shingles at 80 %."""
     linked = ngram_join.ngram_jaccard(docs, ngram=5, num=80, den=100)
-    kept = materialize(linked.where("doc_id = component_id or component_id is null").select("doc_id").distinct()).withColumnRenamed("doc_id", "__kept")
-    return docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    dropped = materialize(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct())
+    ids = id_filter(dropped, "__dropped")
+    rest = maybe_in(docs, "doc_id", ids)
+    rest = rest.join(dropped.hint("merge"), rest.doc_id == dropped["__dropped"], "left_anti")
+    return not_in(docs, "doc_id", ids).unionByName(rest).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each document as often as the target weights of the sources ask for."""
-    return mixing.take_mix(docs, materialize(mixing.mix_sources(docs))).select(*COLUMNS)
+    return mixing.take_mix(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialize, word_count
+from .shared import WORD, materialize, word_count
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> DataFrame:
@@ -39,27 +39,31 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
     )
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", cells: int = 1024) -> DataFrame:
-    """How often the mix takes each document: a row for each row of docs, (doc_id, source, size, source_size, target, copies, taken).
+def _random(id_col, seed: str) -> F.Column:
+    """48 bits of a digest of the id."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long")
 
-    size is the number of words of the whole text (null or blank: 0); taken is copies * size, and copies is at most cap
-    rounded up. Documents without words, and sources without words, are taken 0 times. A null source is a source of its
-    own. Rows that repeat an id have the same random number and are ranked one after the other; a null id is ranked as
-    the text 'null'. Other columns are ignored. An empty table gives an empty result.
-    """
+
+def _odds(u: F.Column, p: F.Column) -> F.Column:
+    """Random odds divided by inclusion odds."""
+    r = (u + 0.5) / F.lit(float(1 << 48))
+    return r / (1 - r) * (1 - p) / p
+
+
+def _drawn(docs: DataFrame, weights: tuple[float, ...], cap: float, id_col: str, text_col: str, source_col: str, seed: str, cells: int = 1024) -> DataFrame:
+    """The draw: every row with its source's base and chance p, its own q and u, and more: 1 if the sample holds it."""
     sized = materialize(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-        .withColumn("u", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long"))
+        .withColumn("u", _random("doc_id", seed))
     )
     plan = materialize(
         source_targets(sized, weights, cap)
         .withColumn("m", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
         .selectExpr("source as s", "source_size", "target", "floor(m) as base", "m - floor(m) as p", "target - floor(m) * source_size as rest")
     )
-    r = (F.col("u") + 0.5) / F.lit(float(1 << 48))
     ranked = (
         sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        .withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), r / (1 - r) * (1 - F.col("p")) / F.col("p")))
+        .withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), _odds(F.col("u"), F.col("p"))))
         .withColumn("cell", F.floor(F.col("q") / (1 + F.col("q")) * cells).cast("int"))
     )
     ranked = materialize(ranked)
@@ -88,19 +92,38 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
         "more", (F.col("taken_once") | F.coalesce(F.col("upto") == F.col("last"), F.lit(False))).cast("long")
     )
     fixed = ranked.where("q is null").withColumn("more", F.lit(0).cast("long"))
-    names = ["doc_id", "source", "size", "source_size", "target", "base", "more"]
+    names = ["doc_id", "source", "size", "source_size", "target", "base", "more", "p", "q", "u", "taken_once"]
+    return sampled.select(names).unionByName(fixed.withColumn("taken_once", F.lit(False)).select(names))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """How often the mix takes each document: a row for each row of docs, (doc_id, source, size, source_size, target, copies, taken).
+
+    size is the number of words of the whole text (null or blank: 0); taken is copies * size, and copies is at most cap
+    rounded up. Documents without words, and sources without words, are taken 0 times. A null source is a source of its
+    own. Rows that repeat an id have the same random number and are ranked one after the other; a null id is ranked as
+    the text 'null'. Other columns are ignored. An empty table gives an empty result.
+    """
     return (
-        sampled.select(names).unionByName(fixed.select(names))
+        _drawn(docs, weights, cap, id_col, text_col, source_col, seed)
         .withColumn("copies", F.when(F.col("size") > 0, F.col("base") + F.col("more")).otherwise(0).cast("long"))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
-def take_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each document of docs as many times as the mix takes it. Ids of docs are taken to be distinct."""
-    many = mix.where("copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__copies"))
-    return (
-        docs.join(many.hint("merge"), docs[id_col].eqNullSafe(many["__mix_id"]))
-        .select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy"))
-        .drop("__copy")
+def take_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """The mix itself: each document of docs as many times as the mix takes it; ids are taken to be distinct.
+
+    A sample is all documents of a source up to a place in the ranking, and perhaps one more. So the draw comes down to one
+    row for each source, and texts are repeated where they are, without a shuffle.
+    """
+    place = F.struct("q", "u", F.col("doc_id").cast("string").alias("id"))
+    cuts = materialize(
+        _drawn(docs, weights, cap, id_col, text_col, source_col, seed).groupBy(F.col("source").alias("__s"))
+        .agg(F.first("base").alias("__base"), F.first("p").alias("__p"), F.max(F.when(F.col("taken_once"), place)).alias("__cut"), F.max(F.when((F.col("more") == 1) & ~F.col("taken_once"), place)).alias("__last"))
     )
+    ranked = docs.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("__s"))).withColumn("__u", _random(id_col, seed))
+    ranked = ranked.withColumn("__place", F.when(F.col("__p") > 0, F.struct(_odds(F.col("__u"), F.col("__p")).alias("q"), F.col("__u").alias("u"), F.col(id_col).cast("string").alias("id"))))
+    more = F.coalesce(F.col("__place") <= F.col("__cut"), F.lit(False)) | F.coalesce(F.col("__place") == F.col("__last"), F.lit(False))
+    copies = F.when(F.regexp_count(F.col(text_col), F.lit(WORD)) > 0, F.col("__base") + more.cast("long")).otherwise(0)
+    return ranked.where(copies > 0).select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))).alias("__copy")).drop("__copy")
