@@ -79,3 +79,10 @@ def export_sessions(lines: DataFrame, sessions: DataFrame, path: str, splits: in
     else:
         out = out.repartition("export_name")
     out.sortWithinPartitions("export_name", "seq").select("text", "export_name").write.partitionBy("export_name").option("compression", "gzip").text(path)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table and reads it again. Decoded lines and entries feed every query: store them once, by log, so that later
+    plans begin at a scan and read only the columns they need."""
+    df.write.mode("overwrite").partitionBy(*[c for c in ("log_id",) if c in df.columns]).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,11 @@
+import tempfile
+
 from minilog import at, lines, npcs, roster, zones
 from pyspark.sql import functions as F
 
 from skeinlog.functions import decode as D
 from skeinlog.operators import aggregates, encounters, entries, lookups
+from skeinlog.sources import logs
 
 
 def decoded(spark, *texts):
@@ -93,10 +96,14 @@ FIGHT = (
 )
 
 
+def kept(df):
+    return logs.stored(df, tempfile.mkdtemp(prefix="spark-") + "/t")
+
+
 def parsed(spark, texts):
-    d = decoded(spark, *texts).cache()
-    players = entries.roster(d)
-    return d, players, entries.entries(d, players)
+    d = kept(decoded(spark, *texts))
+    players = kept(entries.roster(d))
+    return d, players, kept(entries.entries(d, players))
 
 
 def test_entries_and_deaths(spark):
