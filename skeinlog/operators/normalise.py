@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import decode as D
+from ..sources.scratch import cut
 from . import kernels as K
 from .entries import KEY
 
@@ -221,37 +222,33 @@ def spell_name(text: Column) -> Column:
     return F.trim(F.regexp_extract(text, r"^(.*?)(?: hits | crits | misses | was | fails | missed | is |\.|$)", 1))
 
 
-def tag_pet_spells(lines: DataFrame, pet_owners: DataFrame) -> DataFrame:
-    """Marks what pets did with (pet) before the spell, if the owner's pets have that spell."""
-    t = F.col("text")
-    at = lambda marker: F.regexp_extract(t, marker + r"(\S+) 's (.*)$", 1)
-    head, source = at(r"^(?:(?!  ).)*?  "), at(r"^(?:(?!from ).)*?from ")
-    able = lines.withColumn("_o1", head).withColumn("_o2", source)
-    o = pet_owners.select(*KEY, "owner", "spells")
-    for k in ("1", "2"):
-        able = able.join(F.broadcast(o.select(*KEY, F.col("owner").alias(f"_o{k}"), F.col("spells").alias(f"_s{k}"))), [*KEY, f"_o{k}"], "left")
-    named = lambda marker: spell_name(F.regexp_extract(t, marker + r"\S+ 's (.*)$", 1))
-    tagged = lambda marker: F.regexp_replace(t, "(" + marker + r"\S+ 's )", "$1(pet) ")
+def tag_pet_spells(text: Column, spells: Column) -> Column:
+    """Marks what pets did with (pet) before the spell, if the owner's pets have that spell. spells: map of owner to spells."""
     first, second = r"^(?:(?!  ).)*?  ", r"^(?:(?!from ).)*?from "
-    new = (
-        F.when(~t.contains(" 's ") | t.contains(" 's (pet) "), t)
-        .when(t.contains("Auto Attack (pet)"), F.replace(t, F.lit("Auto Attack (pet)"), F.lit("(pet) Auto Attack")))
-        .when(t.contains("Arcane Missiles (pet)"), F.replace(t, F.lit("Arcane Missiles (pet)"), F.lit("(pet) Arcane Missiles")))
-        .when(F.coalesce(F.array_contains("_s1", named(first)), F.lit(False)), tagged(first))
-        .when(F.coalesce(F.array_contains("_s2", named(second)), F.lit(False)), tagged(second))
-        .otherwise(t)
-    )
-    return able.withColumn("text", new).drop("_o1", "_o2", "_s1", "_s2")
+    owner = lambda marker: F.regexp_extract(text, marker + r"(\S+) 's (.*)$", 1)
+    spell = lambda marker: spell_name(F.regexp_extract(text, marker + r"\S+ 's (.*)$", 1))
+    has = lambda marker: F.coalesce(F.array_contains(F.try_element_at(spells, owner(marker)), spell(marker)), F.lit(False))
+    tagged = lambda marker: F.regexp_replace(text, "(" + marker + r"\S+ 's )", "$1(pet) ")
+    return (
+        F.when(spells.isNull() | ~text.contains(" 's ") | text.contains(" 's (pet) "), text)
+        .when(text.contains("Auto Attack (pet)"), F.replace(text, F.lit("Auto Attack (pet)"), F.lit("(pet) Auto Attack")))
+        .when(text.contains("Arcane Missiles (pet)"), F.replace(text, F.lit("Arcane Missiles (pet)"), F.lit("(pet) Arcane Missiles")))
+        .when(has(first), tagged(first)).when(has(second), tagged(second)).otherwise(text)
+    )
 
 
 def normalise(lines: DataFrame, strict: bool = False) -> DataFrame:
     """All rewriting steps in their order. Owners, pets and recorders are few, so they are joined by broadcast."""
     t = F.col("text")
-    cleaned = first_pass(lines)
-    pet_owners = owners(cleaned)
+    cleaned = cut(first_pass(lines))  # read five times below
+    pet_owners = cut(owners(cleaned))  # a few rows, used three times
     names = pet_owners.select(*KEY, "owner").unionByName(summoners(cleaned)).distinct().groupBy(*KEY).agg(F.collect_set(F.concat(F.lit("("), "owner", F.lit(")"))).alias("_owners"))
+    names = cut(names)
     renamed = pet_owners.where("renamed").groupBy(*KEY).agg(F.collect_set("owner").alias("_renamed"))
-    out = recording_player(cleaned, strict).join(F.broadcast(names), KEY, "left").join(F.broadcast(renamed), KEY, "left")
+    spells = pet_owners.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("owner", "spells"))).alias("_spells"))
+    out = recording_player(cleaned, strict)
+    for few in (names, renamed, spells):  # a row for each session; all joins come before the rewriting of texts
+        out = out.join(F.broadcast(few), KEY, "left")
 
     fixed = None
     for a, b in APOSTROPHES:
@@ -268,4 +265,4 @@ def normalise(lines: DataFrame, strict: bool = False) -> DataFrame:
     out = out.withColumn("text", F.when(D.has(t, "Totem ", "Lightning Strike", "Onyxias", "Sarturas"), first_match(t, RENAMES)).otherwise(t))
     out = out.withColumn("text", F.when(t.contains("Power Overwhelming"), first_match(t, FRIENDLY_FIRE)).otherwise(t))
     out = out.withColumn("text", _self_damage(t))
-    return tag_pet_spells(out.drop("me", "_owners", "_renamed"), pet_owners).select(*lines.columns)
+    return out.withColumn("text", tag_pet_spells(t, F.col("_spells"))).select(*lines.columns)
