@@ -47,11 +47,15 @@ CLOCK = r"^\d{1,4}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d+"
 _CUT = "\x01"
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def captures(text: Column, pattern: str, n: int) -> Column:
     """The n groups of the first match as an array; null if there is none. A group that took no part is empty."""
     marked = F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, _CUT.join(f"${k}" for k in range(1, n + 1)))
-    parts = F.split(marked, _CUT)
-    return F.when(F.size(parts) == n, parts)
+    return once(F.split(marked, _CUT), lambda parts: F.when(F.size(parts) == n, parts))
 
 
 def number(text: Column) -> Column:
@@ -315,8 +319,13 @@ _BY_CLASS = {
 def decode(lines: DataFrame) -> DataFrame:
     """lines(log_id, session_id, seq, text) with ts, class and a struct column for each event family, null where it doesn't apply.
 
-    Lines without a time are dropped. Write the result once and let the later steps read it: this is the expensive pass.
+    Lines without a time are dropped. All of it comes out of one generator, so that a later filter or a single field of a struct
+    doesn't make Spark decode a line anew. Write the result once and let the later steps read it: this is the expensive pass.
     """
-    text = F.trim(F.col("text"))
-    timed = lines.withColumn("text", text).withColumn("ts", parse_ts(F.col("text"))).where("ts is not null").withColumn("class", dispatch(F.col("text")))
-    return timed.select("*", *[F.when(F.col("class") == c, f(F.col("text"))).alias(name) for c, own in _BY_CLASS.items() for name, f in own.items()])
+
+    def told(t: Column) -> Column:
+        families = lambda c: [F.when(c == k, f(t)).alias(name) for k, own in _BY_CLASS.items() for name, f in own.items()]
+        return once(dispatch(t), lambda c: F.struct(t.alias("text"), parse_ts(t).alias("ts"), c.alias("class"), *families(c)))
+
+    others = [F.col(f"`{c}`") for c in lines.columns if c != "text"]
+    return lines.select(*others, F.explode(F.transform(F.array(F.trim("text")), told)).alias("_d")).select(*others, "_d.*").where("ts is not null")
