@@ -14,6 +14,11 @@ from .entries import KEY
 
 # Seconds before the first pull, and the least damage of a big hit.
 PRE_PULL, BIG_HIT = 300.0, 2000
+# The preset of auras that players bring from outside.
+WORLD_BUFFS = (
+    "Rallying Cry of the Dragonslayer", "Spirit of Zandalar", "Songflower Serenade", "Warchief's Blessing",
+    "Mol'dar's Moxie", "Fengus' Ferocity", "Slip'kik's Savvy",
+)
 
 
 def on_axis(encounters: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -183,7 +188,8 @@ def axis_segments(encounters: DataFrame, window: DataFrame) -> DataFrame:
 
 def translate(rows: DataFrame, segments: DataFrame, id_col: str, offset: str = "offset") -> DataFrame:
     """Offsets on the consumable axis: by the first segment that holds them, else unchanged."""
-    hit = K.range_attach(rows, segments, KEY, offset, "lo", "hi", 600.0).groupBy(id_col).agg(F.min_by(F.col(offset) - F.col("lo") + F.col("at"), "enc_idx").alias("_to"))
+    own = segments.select(*KEY, F.col("enc_idx").alias("_seg"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("at").alias("_at"))
+    hit = K.range_attach(rows, own, KEY, offset, "_lo", "_hi", 600.0).groupBy(id_col).agg(F.min_by(F.col(offset) - F.col("_lo") + F.col("_at"), "_seg").alias("_to"))
     return rows.join(hit, id_col, "left").withColumn("translated", F.coalesce("_to", offset)).drop("_to")
 
 
@@ -197,6 +203,22 @@ def lanes(intervals: DataFrame, tracked: Sequence[str]) -> DataFrame:
     return intervals.where(F.col("aura").isin(*tracked)).groupBy(*KEY, "aura").agg(F.sort_array(F.collect_set("player")).alias("players"))
 
 
+def dispel_lanes(entries: DataFrame, encounters: DataFrame) -> DataFrame:
+    """Dispels on the axis, a lane for each caster: (keys, caster, marks), marks by time."""
+    d = concatenated_offset(entries.where("kind = 'Dispel'"), encounters)
+    return d.groupBy(*KEY, F.col("source").alias("caster")).agg(F.array_sort(F.collect_list(F.struct("offset", "seq", "spell", "target"))).alias("marks"))
+
+
+def category_lanes(intervals: DataFrame, marks: DataFrame, categories: DataFrame) -> DataFrame:
+    """Lanes of the consumable chart: (keys, category, players, bars). A category has bars if any of its auras has an interval.
+
+    categories: (keys, aura, category), see aura_categories.
+    """
+    bars = intervals.join(categories, [*KEY, "aura"]).select(*KEY, "category", "player", F.lit(True).alias("bar"))
+    uses = marks.select(*KEY, "category", "player", F.lit(False).alias("bar"))
+    return bars.unionByName(uses).groupBy(*KEY, "category").agg(F.sort_array(F.collect_set("player")).alias("players"), F.bool_or("bar").alias("bars")).orderBy(*KEY, "category")
+
+
 def active_at(intervals: DataFrame, marks: DataFrame, second: float, span: float) -> DataFrame:
     """What each player has at a second: auras that cover it, and uses near it (half a percent of the span, 5 to 30 s)."""
     near = min(max(span * 0.005, 5.0), 30.0)

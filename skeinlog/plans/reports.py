@@ -133,6 +133,18 @@ def cast_detail(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     return spells, top(targets, [*KEY, "player"], [F.desc("n"), F.asc("target")], 5)
 
 
+def resurrect_detail(rows: DataFrame) -> DataFrame:
+    """Resurrections in order: time, caster, target and spell."""
+    r = rows.where("kind = 'Resurrect'")
+    return r.select(*KEY, "seq", text.clock(F.col("ts")).alias("time"), F.col("source").alias("player"), "target", "spell").orderBy(*KEY, "seq")
+
+
+def death_detail(deaths: DataFrame, player: str) -> DataFrame:
+    """A player's deaths in order, with the killing blow."""
+    d = deaths.where(F.col("player") == player)
+    return d.select(*KEY, "seq", text.clock(F.col("ts")).alias("time"), "killer", "killing_blow", "damage_amount").orderBy(*KEY, "seq")
+
+
 def buff_detail(uptimes: DataFrame) -> DataFrame:
     return uptimes.orderBy(*KEY, "player", F.desc("uptime"), F.desc("gains"), "aura")
 

@@ -88,3 +88,27 @@ def test_reports(spark):
 def test_text(spark):
     r = spark.range(1).select(text.minutes(F.lit(125)), text.spoken(F.lit(59)), text.spoken(F.lit(3725)), text.thousands(F.lit(1234567)), text.clock(F.lit(86400.0 * 58 + 3661))).first()
     assert list(r) == ["2:05", "59s", "1h 2m", "1,234,567", "01:01:01"]
+
+
+def test_lanes_and_consumables(spark):
+    f = fights(spark, (1000, 1100))
+    facts = spark.createDataFrame([("a", 0, 600.0, 1200.0)], "log_id string, session_id int, start_time double, end_time double")
+    w = timeline.consume_window(f, facts)
+    assert tuple(w.first())[2:] == (700.0, 1100.0)
+    uses = spark.createDataFrame([("a", 0, 1, 650.0, "Ann", "Tea", 2), ("a", 0, 2, 900.0, "Ann", "Might", 0), ("a", 0, 3, 1050.0, "Bob", "Tea", 2)], "log_id string, session_id int, seq long, ts double, player string, consumable string, category int")
+    marks = timeline.consume_marks(uses, w)
+    assert [(r.consumable, r.offset) for r in marks.collect()] == [("Might", 200.0), ("Tea", 350.0)]
+    e = entries(spark, aura(1010, True), aura(1060, False), (1020, "Dispel", "Bob", "Ann", "Cleanse", None), (1030, "Dispel", "Bob", "Cid", "Purge", None), (1040, "Resurrect", "Bob", "Ann", "Rebirth", None))
+    spans = timeline.aura_intervals(e, f)
+    buffs = spark.createDataFrame([("Other", 5, False)], "buff string, category int, death_persistent boolean")
+    categories = timeline.aura_categories(marks, spans.select("log_id", "session_id", "aura").distinct(), buffs)
+    assert [(r.category, r.players, r.bars) for r in timeline.category_lanes(spans, marks, categories).collect()] == [(0, ["Ann"], True), (2, ["Bob"], False)]
+    assert [(r.player, r.active) for r in timeline.active_at(spans, marks, 30.0, 400.0).collect()] == [("Ann", ["Might"])]
+    (lane,) = timeline.dispel_lanes(e, f).collect()
+    assert lane.caster == "Bob" and [m.spell for m in lane.marks] == ["Cleanse", "Purge"]
+    (seg,) = timeline.axis_segments(f, w).collect()
+    assert (seg.lo, seg.hi, seg.at) == (0.0, 100.0, 300.0)
+    moved = timeline.translate(spans.withColumn("id", F.monotonically_increasing_id()).withColumn("offset", F.col("start")), timeline.axis_segments(f, w), "id")
+    assert moved.first().translated == 310.0
+    assert [(r.player, r.target, r.spell) for r in reports.resurrect_detail(e).collect()] == [("Bob", "Ann", "Rebirth")]
+    assert timeline.zoom(marks, 100, 250).count() == 1 and timeline.zoom(marks, 100, 101).count() == 2
