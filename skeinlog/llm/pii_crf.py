@@ -4,14 +4,14 @@ Base patterns find e-mail addresses, IP addresses, card numbers and telephone nu
 digit or an @ are the nodes of a random field, and so are words that are the name part of a found address. A node's own
 potential is a linear function of its shape, learned on a bounded sample; tokens next to each other share a potential, and so
 do distant ones with equal or similar content (the same last digits, the same name), whatever lies between: the skip edges.
-Loopy message passing spreads what the patterns are sure of; a token that ends up more likely personal data than not, and
-is linked to a found one, is added to the spans. Base spans stay as they are.
+Loopy message passing, run until the messages settle, spreads what the patterns are sure of; a token that ends up more likely
+personal data than not, and is linked to a found one, is added to the spans. Base spans stay as they are.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +28,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-#: Texts that the potentials are learned from, at most; and rounds of message passing.
-FIT_ROWS, ROUNDS = 1_500, 6
+#: Texts that the potentials are learned from, at most.
+FIT_ROWS = 1_500
+#: Messages have settled when none would move by more than this. Steps are damped by half, and by half again after each PATIENCE
+#: rounds, in case a loop swings; ROUNDS only keeps a field that never settles from running for ever.
+SETTLED, PATIENCE, ROUNDS = 1e-4, 200, 2_000
 
 
 def _luhn(digits: str) -> bool:
@@ -108,10 +111,17 @@ def labels(found: list[tuple[int, int, str]], base: list[tuple[int, int, int]])
     return out
 
 
+def _spoke(agree: float, k: int) -> float:
+    """Agreement of each of two edges that meet in a shared node, so that their ends agree as over one edge of agree."""
+    e = np.exp(agree)
+    return float(np.log(e + np.sqrt(e * e - (k - 1) + e * (k - 2))))
+
+
 def posterior(found: list[tuple[int, int, str]], known: np.ndarray, weights: np.ndarray, beside: np.ndarray, agree: float) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of each node by loopy belief propagation, and whether skip edges lead from it to a base span's node.
 
-    known nodes are fixed. A key's occurrences are joined one to the next, so m of them make m - 1 edges.
+    known nodes are fixed. Two occurrences of a key are joined by an edge; more are each joined to one node that they share, so
+    m of them make m edges and any two are two edges apart, however many lie between.
     """
     n, k = len(found), len(KINDS) + 1
     own = np.array([shape(t) for _, _, t in found], float) @ weights
@@ -123,9 +133,9 @@ def posterior(found: list[tuple[int, int, str]], known: np.ndarray, weights: np.
             edges[i, i + 1] = beside
     by_key: dict[str, list[int]] = defaultdict(list)
     for i, (_, _, t) in enumerate(found):
-        for key in keys(t):
+        for key in dict.fromkeys(keys(t)):
             by_key[key].append(i)
-    skip = agree * np.eye(k)
+    groups = Counter(tuple(same) for same in by_key.values() if len(same) > 1)  # keys that the same nodes share act as one
     joined = list(range(n))
 
     def top(x: int) -> int:
@@ -134,29 +144,38 @@ def posterior(found: list[tuple[int, int, str]], known: np.ndarray, weights: np.
             x = joined[x]
         return x
 
-    for same in by_key.values():
-        for i, j in zip(same, same[1:], strict=False):
-            if i != j:
-                edges[i, j] = edges.get((i, j), 0) + skip
-                joined[top(j)] = top(i)
+    hub = n
+    for same, times in groups.items():
+        if len(same) == 2:
+            edges[same] = edges.get(same, 0) + times * agree * np.eye(k)
+        else:
+            spoke = _spoke(times * agree, k) * np.eye(k)
+            edges.update(((i, hub), spoke) for i in same)
+            hub += 1
+        for i in same[1:]:
+            joined[top(i)] = top(same[0])
     sure = {top(i) for i in np.flatnonzero(known)}
     linked = np.array([top(i) in sure for i in range(n)], bool)
     if not edges:
         return _norm(own), linked
+    own = np.concatenate([own, np.zeros((hub - n, k))])
     pair = np.array(list(edges))
     a, b = np.concatenate([pair[:, 0], pair[:, 1]]), np.concatenate([pair[:, 1], pair[:, 0]])
     table = np.exp(np.array([*edges.values(), *(p.T for p in edges.values())]))
     m, back = len(pair), np.concatenate([np.arange(len(pair)) + len(pair), np.arange(len(pair))])
-    message = np.zeros((2 * m, k))
-    for _ in range(ROUNDS):
+    message = np.full((2 * m, k), -np.log(k))
+    for turn in range(ROUNDS):
         total = own.copy()
         np.add.at(total, b, message)
         out = total[a] - message[back]
         out = np.einsum("ei,eij->ej", np.exp(out - out.max(1, keepdims=True)), table)
-        message = 0.5 * message + 0.5 * np.log(out / out.sum(1, keepdims=True) + 1e-30)
+        move = np.log(out / out.sum(1, keepdims=True) + 1e-30) - message
+        message += 0.5 ** (1 + turn // PATIENCE) * move
+        if np.abs(move).max() < SETTLED:
+            break
     total = own.copy()
     np.add.at(total, b, message)
-    return _norm(total), linked
+    return _norm(total[:n]), linked
 
 
 def _norm(z: np.ndarray) -> np.ndarray:

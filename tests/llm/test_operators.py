@@ -230,6 +230,28 @@ def test_pii():
     assert pii_crf.find_spans(None, model) == ([], []) and pii_crf.find_spans("Version 2.0 of 12 things", model) == ([], [])
 
 
+def test_pii_evidence_reaches_every_mention():
+    kinds = len(pii_crf.KINDS) + 1
+    weights, apart = np.zeros((len(pii_crf.shape("1")), kinds)), np.zeros((kinds, kinds))
+    text = "call +1 (873) 555-4781" + " or maybe 873-555-4781" * 20
+    base, spans = pii_crf.find_spans(text, (weights, apart, 6.0))
+    assert len(base) == 1 and [pii_crf.KINDS[k] for _, k, _ in spans] == ["phone"] * 21
+
+    weights[0, 0] = 0.5  # every node leans a little to 'none'
+    found = [(10 * i, 10 * i + 5, f"{i}-555-4781") for i in range(5)]
+    p, linked = pii_crf.posterior(found, np.array([4, 0, 0, 0, 0]), weights, apart, 2.0)
+    b = pii_crf._spoke(2.0, kinds)
+    hub = np.arange(kinds) == 4  # summed out by hand: the mentions are independent, given their shared node
+    away = np.exp(0.5 * (np.arange(kinds) == 0) + b * np.eye(kinds))  # shared node's label, mention's label
+    joint = np.exp(b * hub) * away.sum(1) ** 4
+    exact = (joint[:, None] * away / away.sum(1)[:, None]).sum(0) / joint.sum()
+    assert linked.all() and np.allclose(p[1:], exact, atol=1e-3)
+
+    pair = np.exp(b * np.eye(kinds))
+    pair = np.log(pair @ pair)
+    assert np.isclose(pair[0, 0] - pair[0, 1], 2.0)  # two spokes agree as one edge does
+
+
 def test_secrets(spark):
     shared, own = "Ab3" + "xY9z" * 6, "Qq7" + "pL2m" * 6
     texts = ["password = abcdef12 and token: abc secret=token=abcdefg", "AKIA" + "A1" * 10 + " AKIAB é 0123456789abcdef01234567", *[f"key {shared} x"] * 9, f"mine {own} y", *ODD]
