@@ -21,10 +21,32 @@ def selected(encounters: DataFrame, which: str | int = "all") -> DataFrame:
     return encounters.where(tests[which] if isinstance(which, str) else F.col("enc_idx") == which)
 
 
+def merged_windows(windows: DataFrame, keys: Sequence[str], width: float, start: str = "start", end: str = "end") -> DataFrame:
+    """Union of the windows as intervals that don't overlap in a bucket of time: (keys, _bucket, start, end), listed under each
+    bucket touched. However many windows there are, long ones leave at most a few dozen intervals for a bucket.
+
+    Starts in one cell, a small part of the width, lie closer than long windows last, so those overlap and a plain minimum and
+    maximum unites them before the sort by bucket.
+    """
+    cell = width / 32
+    long = F.col(end) - F.col(start) >= 2 * cell
+    cells = windows.where(F.col(end) >= F.col(start)).groupBy(
+        *keys, F.when(long, F.floor(F.col(start) / cell)).alias("_cell"), F.when(~long, F.col(start)).alias("_own")
+    ).agg(F.min(start).alias(start), F.max(end).alias(end))
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    listed = cells.select(*keys, start, end, F.explode(F.sequence(bucket(start), bucket(end))).alias("_bucket"))
+    return K.interval_islands(listed, [*keys, "_bucket"], start, end).drop("island")
+
+
 def in_windows(rows: DataFrame, windows: DataFrame, keys: Sequence[str] = KEY, width: float = 600.0, at: str = "ts") -> DataFrame:
-    """Rows inside any window (both ends included), each once: a bucketed semi join."""
-    spans = windows.select(*keys, F.col("start").alias("_lo"), F.col("end").alias("_hi"))
-    return K.range_attach(rows, spans, keys, at, "_lo", "_hi", width, "left_semi")
+    """Rows inside any window (both ends included), each once: a bucketed semi join with the union of the windows."""
+    spans = windows.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("start").alias("_lo"), F.col("end").alias("_hi"))
+    spans = merged_windows(spans, [f"_k_{k}" for k in keys], width, "_lo", "_hi")
+    spots = rows.withColumn("_spot", F.floor(F.col(at) / width).cast("long"))
+    on = (F.col("_spot") == F.col("_bucket")) & F.col(at).between(F.col("_lo"), F.col("_hi"))
+    for k in keys:
+        on &= spots[k].eqNullSafe(F.col(f"_k_{k}"))
+    return spots.join(spans, on, "left_semi").drop("_spot")
 
 
 def in_selection(rows: DataFrame, encounters: DataFrame, which: str | int = "all") -> DataFrame:

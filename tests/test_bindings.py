@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from skeinlog.operators import selection
 from skeinlog.plans import bindings
 
 DATA = "/root/testdata/sf0.001"
@@ -33,3 +34,23 @@ def test_matches_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_selection_of_all_orders(spark, duck):
+    order, width = bindings.micros("o_orderdate"), 3 * bindings.DAY
+    windows = bindings.table(spark, DATA, "orders").select(order.alias("start"), (order + width).alias("end"))
+    windows = windows.where("start % 7 < 2").unionByName(windows.selectExpr("start", "start - 1 as end"))  # some never hold a row
+    rows = bindings.table(spark, DATA, "lineitem").withColumn("ts", bindings.micros("l_shipdate")).select("l_orderkey", "l_linenumber", "ts")
+    duck.register("w", windows.toPandas())
+    want = duck.sql("SELECT l_orderkey, l_linenumber, epoch_us(l_shipdate) AS ts FROM lineitem WHERE EXISTS (SELECT 1 FROM w WHERE epoch_us(l_shipdate) BETWEEN start AND w.end)").df()
+    assert 0 < len(want) < rows.count() and plain(selection.in_windows(rows, windows, [], width).toPandas()) == plain(want)
+
+
+def test_windows_merge_before_the_join(spark):
+    windows = spark.range(20_000).selectExpr("id % 5 as k", "id * 0.1 as start", "id * 0.1 + 50 as end")
+    merged = selection.merged_windows(windows, ["k"], 600.0)
+    assert merged.groupBy("k", "_bucket").count().where("count > 1").count() == 0
+    short = spark.createDataFrame([(0.0, 1.0), (0.5, 2.0), (3.0, 4.0), (599.0, 601.0)], "start double, end double")
+    got = sorted(map(tuple, selection.merged_windows(short, [], 600.0).select("_bucket", "start", "end").collect()))
+    assert got == [(0, 0.0, 2.0), (0, 3.0, 4.0), (0, 599.0, 601.0), (1, 599.0, 601.0)]
