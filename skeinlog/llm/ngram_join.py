@@ -278,7 +278,8 @@ def _file_keys(width: int, num: int, den: int, buckets: int, hot):
                 s1, s2 = (s.view(np.int64) for s in _digest(grams, sizes))
                 row = np.zeros(hi - lo, _ROW)
                 row["doc"], row["n"], row["s1"], row["s2"] = doc[lo:hi], sizes, s1, s2
-                for b, part in _dealt(row, mix(s1.view(np.uint64)), buckets):
+                # by document, as equal sets needn't meet here: many copies of one text would fill a bucket
+                for b, part in _dealt(row, mix(row["doc"].view(np.uint64)), buckets):
                     out.append((b, 0, part))
                 key, at = block_keys(grams, sizes, Bands(num, den, int(sizes.max(initial=1))), hot.value)
                 all_keys.append(key)
@@ -394,6 +395,8 @@ def _by_run(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Data
 
 
 _TILE = ["grp", "c1", "c2", "i", "j"]
+#: A set that more than one of so many rows have is one of many copies; there are fewer than this.
+MANY = 1_000
 
 
 def _multiply(num: int, den: int):
@@ -474,11 +477,13 @@ def ngram_jaccard(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100
         .join(links.groupBy("rep").agg(F.sum("links").alias("links")).alias("l"), F.col("r.rep") == F.col("l.rep"), "left")
         .select("r.s1", "r.s2", "r.rep", F.coalesce("root", "r.rep").alias("component"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     )
-    out = rows.alias("d").join(named_by.alias("c"), ["s1", "s2"]).select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("links") + F.col("copies") - 1).otherwise(0).alias("n_links"),
-    )
+    # sets with a large share of all rows are few, so they are broadcast, and a join by set never gathers their rows in one task
+    many = named_by.crossJoin(F.broadcast(reps.agg(F.sum("copies").alias("all")))).where(f"copies * {MANY} > all").select(named_by.columns)
+    split = rows.where("n > 0").join(F.broadcast(many.select("s1", "s2", F.lit(True).alias("many"))), ["s1", "s2"], "left")
+    told = split.where("many").join(F.broadcast(many), ["s1", "s2"]).unionByName(split.where("many is null").join(named_by, ["s1", "s2"]))
+    out = told.selectExpr("doc_id", "n as n_shingles", "component as component_id", "links + copies - 1 as n_links").unionByName(
+        rows.where("n = 0").selectExpr("doc_id", "n as n_shingles", "doc_id as component_id", "0L as n_links")
+    )
     nameless = base.where("doc_id is null").selectExpr("doc_id", "cast(null as long) as n_shingles", "cast(null as long) as component_id", "0L as n_links")
     return out.unionByName(nameless)
 

@@ -2,8 +2,10 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,16 @@ def test_block_keys_lose_no_pair():
             assert len(a) == len(b) and (a == b).all() or set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
 
 
+def test_copies_of_one_set_fill_no_bucket():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": [None, "same words in all of these", f"{'x ' * 9}"] * 200})
+    rows = {}
+    for b in ngram_join._file_keys(4, 85, 100, 8, SimpleNamespace(value=np.zeros(0, np.uint64)))(iter([batch])):
+        for bucket, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if kind == 0:
+                rows[bucket] = rows.get(bucket, 0) + len(blob) // ngram_join._ROW.itemsize
+    assert sum(rows.values()) == 600 and len(rows) == 8 and max(rows.values()) < 150
+
+
 def test_ngram_join_empty_and_nameless(spark):
     d = docs(spark, "a b c d e f", "a b c d e f")
     assert ngram_join.ngram_jaccard(d.where("false")).count() == 0
