@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 
 def _over(keys: Sequence[str], order: Sequence[str]):
     return W.partitionBy(*keys).orderBy(*order)
@@ -123,15 +125,49 @@ def dense_buckets(df: DataFrame, keys: Sequence[str], bucket: str, aggregates: d
     return axis.join(grouped, [*keys, bucket], "left")
 
 
-def clamped_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], delta: str, low: int, high: int, begin: int, name: str = "level") -> DataFrame:
-    """A running sum held between low and high after each step. Two clamps have no closed form as a window, so each key's
-    steps (few: deaths and resurrections of a fight) are folded as one array."""
-    steps = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, delta))).alias("_steps"))
-    fold = f"""aggregate(_steps, cast(array() as array<bigint>), (acc, s) -> concat(acc, array(
-        cast(greatest({low}, least({high}, coalesce(element_at(acc, -1), {begin}) + s.{delta})) as bigint))))"""
-    fold = fold.replace("element_at(acc, -1)", "get(acc, size(acc) - 1)")
+def ranked_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
+    """Adds each row's number in its key, and _part, a range of the order that it lies in: no task holds a whole key, only the
+    rows of one range; equal rows of the order stay together."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    w = _over([*keys, "_part"], order)
+    before = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(_over(keys, ["_part"]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return attach(ranged, before.drop("_n"), [*keys, "_part"]).withColumn(name, F.row_number().over(w) + F.col("_before")).drop("_before")
+
+
+def attach(df: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds the columns of few to each row of the same keys, null keys too."""
+    other = few.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in few.columns])
+    on = F.lit(True)
+    for k in keys:
+        on &= df[k].eqNullSafe(other[f"_k_{k}"])
+    return df.join(other, on).drop(*[f"_k_{k}" for k in keys])
+
+
+def clamped_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], delta: str, low: int, high: int, begin: int, name: str = "level", block: int = 256) -> DataFrame:
+    """A running sum held between low and high after each step.
+
+    Two clamps have no closed form as a window, but steps compose: any run of them is x -> least(high', greatest(low', x + add)).
+    Each block of a key's steps (block of them, by rank) is reduced to such a triple, a key's few triples are folded to the
+    level that each block begins with, and then each block is folded on its own. No array holds more than a block's steps,
+    but for the triples: one for each block.
+    """
+    steps = ranked_within(df.select(*keys, *order, F.col(delta).cast("long").alias("_d")), keys, order, "_rank")
+    steps = steps.withColumn("_block", F.floor((F.col("_rank") - 1) / block)).drop("_part", "_rank")
+    blocks = cut(steps.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct(*order, "_d"))).alias("_steps")))
+    hold = lambda x: f"greatest({low}L, least({high}L, {x}))"
+    triple = f"""aggregate(_steps, named_struct('a', 0L, 'l', {-(2**62)}L, 'h', {2**62}L), (t, s) ->
+        named_struct('a', t.a + s._d, 'l', {hold("t.l + s._d")}, 'h', {hold("t.h + s._d")}))"""
+    levels = lambda array, first, step: f"""aggregate({array}, array({first}), (acc, s) -> concat(acc, array({step.replace("x", "element_at(acc, -1)")})))"""
+    heads = (
+        blocks.select(*keys, "_block", F.expr(triple).alias("_t")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_t"))).alias("_ts"))
+        .withColumn("_begin", F.expr(levels("_ts", f"cast({begin} as bigint)", "least(s._t.h, greatest(s._t.l, x + s._t.a))")))
+        .select(*keys, F.posexplode("_ts").alias("_at", "_z"), "_begin").select(*keys, F.col("_z._block").alias("_block"), F.expr("_begin[_at]").alias("_first"))
+    )
     return (
-        steps.withColumn("_levels", F.expr(fold))
+        attach(blocks, heads, [*keys, "_block"])
+        .withColumn("_levels", F.expr(f"slice({levels('_steps', '_first', hold('x + s._d'))}, 2, size(_steps))"))
         .select(*keys, F.explode(F.arrays_zip("_steps", "_levels")).alias("_z"))
         .select(*keys, *[F.col(f"_z._steps.{c}").alias(c) for c in order], F.col("_z._levels").alias(name))
     )

@@ -370,8 +370,11 @@ def death_windows(spark, sf_dir):
 @query("""WITH f AS (SELECT p_brand, min(p_partkey) AS first FROM part GROUP BY 1)
 SELECT p.p_brand, p.p_partkey, CAST(row_number() OVER (ORDER BY f.first, p.p_size DESC, p.p_name, p.p_partkey) AS BIGINT) AS pos FROM part p JOIN f ON p.p_brand = f.p_brand""")
 def loot_by_boss(spark, sf_dir):
-    part = table(spark, sf_dir, "part").withColumn("first", F.min("p_partkey").over(W.partitionBy("p_brand")))
-    return part.select("p_brand", "p_partkey", F.row_number().over(W.orderBy("first", F.desc("p_size"), "p_name", "p_partkey")).cast("long").alias("pos"))
+    part = table(spark, sf_dir, "part")
+    firsts = part.groupBy("p_brand").agg(F.min("p_partkey").alias("first"))
+    part = K.attach(part.select("p_brand", "p_size", "p_name", "p_partkey"), firsts, ["p_brand"]).withColumn("less", F.coalesce(-F.col("p_size").cast("long"), F.lit(2**62)))
+    ranked = K.ranked_within(part, [], ["first", "less", "p_name", "p_partkey"], "pos")
+    return ranked.select("p_brand", "p_partkey", F.col("pos").cast("long").alias("pos"))
 
 
 @query(f"""{E} SELECT user_id, {", ".join(f"count(*) FILTER (WHERE event_type='{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view"))} FROM e GROUP BY 1""")

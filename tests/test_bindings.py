@@ -1,10 +1,11 @@
 import os
+import random
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from skeinlog.operators import selection
+from skeinlog.operators import kernels, selection
 from skeinlog.plans import bindings
 
 DATA = "/root/testdata/sf0.001"
@@ -54,3 +55,18 @@ def test_windows_merge_before_the_join(spark):
     short = spark.createDataFrame([(0.0, 1.0), (0.5, 2.0), (3.0, 4.0), (599.0, 601.0)], "start double, end double")
     got = sorted(map(tuple, selection.merged_windows(short, [], 600.0).select("_bucket", "start", "end").collect()))
     assert got == [(0, 0.0, 2.0), (0, 3.0, 4.0), (0, 599.0, 601.0), (1, 599.0, 601.0)]
+
+
+def test_folds_and_ranks_hold_no_whole_key(spark):
+    r = random.Random(3)
+    steps = [(k, i, r.choice([-3, -1, 1, 2])) for k in (1, None) for i in range(700)]
+    df = spark.createDataFrame(steps, "k int, i int, d int")
+    want, level = {}, {}
+    for k, i, d in steps:
+        level[k] = want[k, i] = max(0, min(9, level.get(k, 4) + d))
+    got = {(x.k, x.i): x.level for x in kernels.clamped_fold(df, ["k"], ["i"], "d", 0, 9, 4, block=16).collect()}
+    assert got == want
+
+    ranked = kernels.ranked_within(df, [], ["i", "k"], "pos", 4)
+    assert [x.pos for x in ranked.orderBy("i", "k").collect()] == list(range(1, 1401))
+    assert max(x["count"] for x in ranked.groupBy("_part").count().collect()) < 700
