@@ -2,7 +2,7 @@
 
 Each run of three consecutive lines of a document is hashed. A window that occurs more than once in the corpus stays where
 it occurs first (least document id, then position); every later occurrence covers its three lines, and the covered lines,
-merged, are taken out.
+merged, are taken out. A shared passage of one or two lines makes no window, however long it is, so it stays in every copy.
 """
 
 from __future__ import annotations
