@@ -18,7 +18,7 @@ KINDS = ("assign", "access", "hex", "token")
 _ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _ACCESS = r"AKIA[A-Z0-9]+"
 _HEX = r"[0-9a-f]{24,}"  # the longest runs of [0-9a-f]+ that have 24 characters and more
-_TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[a-z0-9+/_-]{0,60}[A-Z])(?=[A-Z0-9+/_-]{0,60}[a-z])[A-Za-z0-9+/_-]{20,}"
+_TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}"
 
 
 def _quoted(pattern: str) -> str:

@@ -273,3 +273,10 @@ def test_secrets(spark):
     assert tell(1) == [("access", "AKIA" + "A1" * 10, True), ("hex", "0123456789abcdef01234567", True)]
     assert tell(2) == [] and tell(11) == [("token", own, True)] and len(got) == len(texts)
     assert hashlib.sha256(b"").hexdigest() and secrets.scan_secrets(docs(spark, *texts).where("false")).count() == 0
+
+
+def test_long_tokens_with_a_uniform_prefix(spark):
+    keys = ["k" * 70 + "K1" + "k" * 30, "K" * 6000 + "1k", "+/_-" * 40 + "kK3"]
+    no = ["k" * 5000, "K1" * 3000, "kK" * 3000]
+    got = {x.doc_id: [(s.kind, s.value) for s in x.spans] for x in secrets.scan_secrets(docs(spark, *[f"key {k} x" for k in keys + no])).collect()}
+    assert got == {i: [("token", k)] if k in keys else [] for i, k in enumerate(keys + no)}
