@@ -22,7 +22,6 @@ returns a spanning forest of its links and the number of links of each row, neve
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,13 +32,13 @@ from pyspark.sql import functions as F
 from .shared import components, id_filter, materialize, maybe_in, shuffle_partitions
 
 _U = np.uint64
-_STEP = pow(0x9E3779B97F4A7C15, 1, 1 << 64)
-_BACK = pow(_STEP, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
-_CHUNK = 2 << 20
+#: Bytes hashed at a time, bytes of texts worked on together, and n-grams or keys held before they are passed on. They bound
+#: what a task holds besides one batch and the longest text.
+_PIECE, _CHUNK, _HELD = 1 << 18, 1 << 20, 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,67 +52,102 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        one = np.ones(1, np.uint64)
-        up = np.concatenate([one, np.cumprod(np.full(n, _STEP, np.uint64))])
-        down = np.concatenate([one, np.cumprod(np.full(n, _BACK, np.uint64))])
-    return up, down
+#: Factors by place in the word: of the place in a run of 4,096 bytes, and of the run.
+_PLACE = mix(np.arange(1, 4097, dtype=np.uint64)) | _U(1)
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a text column and the bounds of its texts, without a copy; a null is an empty text."""
+    if column.null_count:
+        column = column.fill_null("")
+    _, places, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    bounds = np.frombuffer(places, kind, len(column) + 1, column.offset * np.dtype(kind).itemsize) if len(column) else np.zeros(1, kind)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds.astype(np.int64)
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def chunks(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of texts of about _CHUNK bytes together; a longer text is a run of its own."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > _CHUNK:
-            yield at, i
-            at, size = i, 0
-        size += len(t) + 1
-    if at < len(texts):
-        yield at, len(texts)
+    at, last = 0, len(bounds) - 1
+    while at < last:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _CHUNK, "right")) - 1)
+        yield at, min(to, last)
+        at = min(to, last)
 
 
-def gram_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-gram hashes of each text, one after another, and how many each text has.
+def _words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the texts between the bounds, and where it begins; no word crosses a bound.
 
-    Whole texts as UTF-8; A-Z count as a-z. A text of fewer words than width is one gram of all its words.
+    A word's hash is a sum over its bytes of byte times place, so pieces of fixed size add up, however long a word or text is.
     """
-    sets, sizes = [], np.zeros(len(texts), np.int64)
-    for lo, hi in _chunks(texts):
-        part = texts[lo:hi]
-        raw = np.frombuffer(b" ".join(part) + b" ", dtype=np.uint8)
-        up, down = _powers(max(_CHUNK * 2, 1 << (len(raw) - 1).bit_length()))
+    begins, sums = [], []
+    fresh = np.zeros(0, bool)
+    inside, length = False, 0  # whether the piece before ends inside a word, and how much of that word it has seen
+    for lo in range(int(bounds[0]), int(bounds[-1]), _PIECE):
+        part = raw[lo : min(lo + _PIECE, int(bounds[-1]))]
+        word = ~_GAP[part]
+        fresh = np.zeros(len(part), bool)
+        cut = bounds[np.searchsorted(bounds, lo) : np.searchsorted(bounds, lo + len(part))] - lo
+        fresh[cut] = True
+        before = np.concatenate([[inside], word[:-1]])
+        start = np.flatnonzero(word & (fresh | ~before))
+        n = np.arange(len(part), dtype=np.int32)
+        first = np.zeros(len(part), np.int32)
+        first[start] = start
+        np.maximum.accumulate(first, out=first)
+        head = int(start[0]) if len(start) else len(part)
+        first[:head] = -length
+        place = n - first
         with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up[: len(raw)])])
-            gap = _GAP[raw]
-            turn = np.flatnonzero(np.diff(gap, prepend=True, append=True))
-            begin, end = turn[::2], turn[1::2]
-            word = mix((total[end] - total[begin]) * down[begin])
-            offset = np.cumsum([0] + [len(t) + 1 for t in part])
-            first = np.searchsorted(begin, offset)
-            n_words = np.diff(first)
-            gram = word.copy()
-            m = len(word) - width + 1
-            if m > 0:
-                gram = word[:m].copy()
-                for k in range(1, width):
-                    gram = mix(gram * _U(3) + word[k : m + k] + _U(k))
-        for i, n in enumerate(n_words):
-            a = first[i]
+            value = _BYTES[part] * _PLACE[place & 4095]
+            if len(place) and int(place.max()) > 4095:
+                far = place >> 12
+                value *= np.where(far > 0, mix(far.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1), _U(1))
+            value[~word] = 0
+            if head and sums and inside and not (len(cut) and cut[0] == 0):
+                sums[-1][-1] += value[:head].sum(dtype=np.uint64)
+            if len(start):
+                sums.append(np.add.reduceat(value, start))
+                begins.append(start + lo)
+        inside = bool(word[-1])
+        length = int(place[-1]) + 1 if inside else 0
+    if not sums:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return mix(np.concatenate(sums)), np.concatenate(begins)
+
+
+def gram_sets(raw: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-gram hashes of each text, one after another, and how many each text has.
+
+    Whole texts as UTF-8 bytes between bounds; A-Z count as a-z. A text of fewer words than width is one gram of all its words.
+    """
+    word, begin = _words(raw, bounds)
+    at = np.searchsorted(begin, bounds)
+    n_words = np.diff(at)
+    gram = np.empty(max(len(word) - width + 1, 0), np.uint64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(gram), _PIECE):
+            hi = min(lo + _PIECE, len(gram))
+            g = word[lo:hi].copy()
+            for k in range(1, width):
+                g = mix(g * _U(3) + word[lo + k : hi + k] + _U(k))
+            gram[lo:hi] = g
+        sets, sizes = [], np.zeros(len(n_words), np.int64)
+        for i, (a, n) in enumerate(zip(at.tolist(), n_words.tolist(), strict=False)):
             if n >= width:
-                own = np.sort(gram[a : a + n - width + 1])
-                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+                own = gram[a : a + n - width + 1]
+                own.sort()
+                fresh = own[1:] != own[:-1]
+                own = own if fresh.all() else own[np.concatenate([[True], fresh])]
             elif n:
-                with np.errstate(over="ignore"):
-                    g = word[a : a + 1].copy()
-                    for k in range(1, n):
-                        g = mix(g * _U(3) + word[a + k : a + k + 1] + _U(k))
-                    own = mix(g + _U(0x51ED27 + int(n)))
+                g = word[a : a + 1].copy()
+                for k in range(1, n):
+                    g = mix(g * _U(3) + word[a + k : a + k + 1] + _U(k))
+                own = mix(g + _U(0x51ED27 + int(n)))
             else:
                 continue
             sets.append(own)
-            sizes[lo + i] = len(own)
+            sizes[i] = len(own)
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), sizes
 
 
@@ -190,23 +224,26 @@ def block_keys(grams: np.ndarray, sizes: np.ndarray, bands: Bands, hot: np.ndarr
 
 
 def _common(width: int, least: int):
-    """N-grams that at least so many different sets of a batch hold, with their number."""
+    """N-grams that at least so many different sets of a batch (or of _HELD n-grams of it) hold, with their number."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        gram = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        often, more = np.unique(gram[: 1 - least][gram[least - 1 :] == gram[: 1 - least]], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(often.view(np.int64)), pa.array(more + least - 1)], ["gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
-            held, seen = [], set()
-            for lo, hi in _chunks(texts):
-                grams, sizes = gram_sets(texts[lo:hi], width)
-                marks = _digest(grams, sizes)[0]
-                for own, mark in zip(np.split(grams, np.cumsum(sizes)[:-1]), marks.tolist(), strict=True):
-                    if mark not in seen:
-                        seen.add(mark)
-                        held.append(own)
-            gram = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(gram)))
-            yield pa.RecordBatch.from_arrays([pa.array(gram[first][n >= least].view(np.int64)), pa.array(n[n >= least])], ["gram", "n"])
+            raw, bounds = text_bytes(batch.column(0))
+            held, seen, size = [], set(), 0
+            for lo, hi in chunks(bounds):
+                grams, sizes = gram_sets(raw, bounds[lo : hi + 1], width)
+                new = [m not in seen and not seen.add(m) for m in _digest(grams, sizes)[0].tolist()]
+                held.append(grams[np.repeat(new, sizes)])
+                size += len(held[-1])
+                if size > 2 * _HELD:
+                    yield counted(held)
+                    held, size = [], 0
+            yield counted(held)
 
     return run
 
@@ -265,43 +302,50 @@ _KEY = np.dtype([("low", "<u4"), ("high", "u1"), ("node", "<i8")])
 
 
 def _file_keys(width: int, num: int, den: int, buckets: int, hot):
-    """Map side: digests of each row, block keys dealt by hash into buckets; equal keys of a batch meet here already."""
+    """Map side: digests of each row, block keys dealt by hash into buckets; equal keys met together are filed once."""
+
+    def filed(keys: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+        key, node = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (nodes, np.int64)))
+        by = np.argsort(key)
+        key, node = key[by], node[by]
+        joined = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]))
+        edges = np.unique(np.stack([node[joined], node[joined + 1]], 1), axis=0) if len(joined) else np.zeros((0, 2), np.int64)
+        local = _forest(edges[:, 0], edges[:, 1])
+        if local:
+            pair = np.array(list(local.items()), np.int64)
+            for b, part in _dealt(pair.view("<i8,<i8").ravel(), mix(pair[:, 0].view(np.uint64)), buckets):
+                yield b, 2, part
+        first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        out = np.zeros(int(first.sum()), _KEY)
+        out["low"], out["high"], out["node"] = (key[first] >> _U(24)) & _U(0xFFFFFFFF), key[first] >> _U(56), node[first]
+        for b, part in _dealt(out, key[first] & _U(0xFFFFFF), buckets):
+            yield b, 1, part
+
+    def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        b, kind, blob = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            out: list[tuple[int, int, bytes]] = []
-            all_keys, all_nodes = [], []
-            for lo, hi in _chunks(texts):
-                grams, sizes = gram_sets(texts[lo:hi], width)
+            raw, bounds = text_bytes(batch.column(1))
+            rows, keys, nodes, size = [], [], [], 0
+            for lo, hi in chunks(bounds):
+                grams, sizes = gram_sets(raw, bounds[lo : hi + 1], width)
                 s1, s2 = (s.view(np.int64) for s in _digest(grams, sizes))
                 row = np.zeros(hi - lo, _ROW)
                 row["doc"], row["n"], row["s1"], row["s2"] = doc[lo:hi], sizes, s1, s2
-                # by document, as equal sets needn't meet here: many copies of one text would fill a bucket
-                for b, part in _dealt(row, mix(row["doc"].view(np.uint64)), buckets):
-                    out.append((b, 0, part))
+                rows.append(row)
                 key, at = block_keys(grams, sizes, Bands(num, den, int(sizes.max(initial=1))), hot.value)
-                all_keys.append(key)
-                all_nodes.append(s1[at])
-            key, node = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((all_keys, np.uint64), (all_nodes, np.int64)))
-            by = np.lexsort((node, key))
-            key, node = key[by], node[by]
-            joined = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]))
-            edges = np.unique(np.stack([node[joined], node[joined + 1]], 1), axis=0) if len(joined) else np.zeros((0, 2), np.int64)
-            local = _forest(edges[:, 0], edges[:, 1])
-            if local:
-                pair = np.array(list(local.items()), np.int64)
-                for b, part in _dealt(pair.view("<i8,<i8").ravel(), mix(pair[:, 0].view(np.uint64)), buckets):
-                    out.append((b, 2, part))
-            first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-            filed = np.zeros(int(first.sum()), _KEY)
-            filed["low"], filed["high"], filed["node"] = (key[first] >> _U(24)) & _U(0xFFFFFFFF), key[first] >> _U(56), node[first]
-            for b, part in _dealt(filed, key[first] & _U(0xFFFFFF), buckets):
-                out.append((b, 1, part))
-            for lo in range(0, len(out), 4000):
-                b, kind, blob = zip(*out[lo : lo + 4000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
+                keys.append(key)
+                nodes.append(s1[at])
+                size += len(key)
+                if size > _HELD:
+                    yield batch_of(list(filed(keys, nodes)))
+                    keys, nodes, size = [], [], 0
+            row = np.concatenate(rows) if rows else np.zeros(0, _ROW)
+            # by document, as equal sets needn't meet here: many copies of one text would fill a bucket
+            yield batch_of([*((b, 0, part) for b, part in _dealt(row, mix(row["doc"].view(np.uint64)), buckets)), *filed(keys, nodes)])
 
     return run
 
@@ -412,45 +456,59 @@ def _multiply(num: int, den: int):
             links = np.bincount(a, copies[b], len(tile)) + np.bincount(b, copies[a], len(tile))
             up = _forest(rep[a], rep[b])
             hit = np.flatnonzero(links)
-            yield pd.DataFrame({"rep": rep[hit], "root": [up.get(x, x) for x in rep[hit].tolist()], "links": links[hit].astype(np.int64)})
+            roots = [up.get(x, x) for x in rep[hit].tolist()]
+            yield pd.DataFrame({"rep": rep[hit], "s1": tile.s1.to_numpy()[hit], "root": roots, "links": links[hit].astype(np.int64)})
 
     return run
 
 
 def _with_grams(width: int):
-    """Adds each candidate's n-gram hashes; a row whose text isn't the one that was filed is left out."""
+    """Adds each candidate's n-gram hashes; a row whose text isn't the one that was filed, or that was met before, is left out.
+
+    Rows come sorted by rep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, met = None, set()
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            raw, bounds = text_bytes(batch.column("text"))
             names = [c for c in batch.schema.names if c != "text"]
-            for lo, hi in _chunks(texts):
-                grams, sizes = gram_sets(texts[lo:hi], width)
+            for lo, hi in chunks(bounds):
+                grams, sizes = gram_sets(raw, bounds[lo : hi + 1], width)
                 s1 = _digest(grams, sizes)[0].view(np.int64)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 part = batch.slice(lo, hi - lo)
-                same = pa.array(s1 == part.column("s1").to_numpy())
+                same = s1 == part.column("s1").to_numpy()
+                for i in np.flatnonzero(same):
+                    if (rep := part.column("rep")[i].as_py()) != last:
+                        last, met = rep, set()
+                    same[i] = s1[i] not in met
+                    met.add(s1[i])
                 blobs = pa.array([grams[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), blobs], [*names, "grams"]).filter(same)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), blobs], [*names, "grams"]).filter(pa.array(same))
 
     return run
 
 
+#: Bytes of text whose keys one bucket holds, about; so a bucket stays small at any size of the corpus.
+BUCKET_BYTES = 16 << 20
+
+
 def ngram_jaccard(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 128) -> DataFrame:
     """Links documents whose sets of distinct word n-grams have a Jaccard similarity of at least num/den, exactly.
 
     Returns a row for each row of docs: (doc_id, n_shingles, component_id, n_links). component_id is the least id that
-    links lead to; n_links counts the other documents linked directly, copies included.
+    links lead to; n_links counts the other rows linked directly, copies included.
 
-    A null, empty or blank text has no n-grams (0) and links with nothing. A text of fewer words than ngram is one n-gram.
-    Rows that repeat an id are one document: each row is returned, with the same component. A row without an id can't be
-    named by a link: it gets null n_shingles and component_id, and 0 links. Other columns are ignored, whatever their
-    names. An empty table gives an empty result.
+    A null, empty or blank text has no n-grams (0), links with nothing and is a component of its own. A text of fewer words
+    than ngram is one n-gram. Rows that repeat an id are one document with several texts: each row is returned, those with
+    words all with the same component. A row without an id can't be named by a link: it gets null n_shingles and
+    component_id, and 0 links. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = base.where("doc_id is not null")
-    buckets = 4 * shuffle_partitions(spark)
+    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(4 * shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     hot = spark.sparkContext.broadcast(hot_grams(named, ngram))
     met = materialize(
         named.mapInArrow(_file_keys(ngram, num, den, buckets, hot), "bucket long, kind int, blob binary")
@@ -469,12 +527,13 @@ def ngram_jaccard(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100
         .mapInArrow(_with_grams(ngram), "rep long, s1 long, copies long, tile array<struct<grp:long,c1:int,c2:int,i:int,j:int,side:int>>, grams binary")
         .select("rep", "s1", "copies", "grams", F.explode("tile").alias("t")).select("rep", "s1", "copies", "grams", "t.*")
         .repartition(*_TILE).sortWithinPartitions(*_TILE)
-        .mapInPandas(_multiply(num, den), "rep long, root long, links long")
+        .mapInPandas(_multiply(num, den), "rep long, s1 long, root long, links long")
     )
-    joined = components(links.selectExpr("rep as a", "root as b"))
+    joined = components(links.selectExpr("rep as a", "root as b").unionByName(_same_ids(rows, reps)))
+    counted = links.groupBy("rep", "s1").agg(F.sum("links").alias("links"))
     named_by = materialize(
         reps.alias("r").join(joined, F.col("r.rep") == joined.node, "left")
-        .join(links.groupBy("rep").agg(F.sum("links").alias("links")).alias("l"), F.col("r.rep") == F.col("l.rep"), "left")
+        .join(counted.alias("l"), (F.col("r.rep") == F.col("l.rep")) & (F.col("r.s1") == F.col("l.s1")), "left")
         .select("r.s1", "r.s2", "r.rep", F.coalesce("root", "r.rep").alias("component"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
     )
     # sets with a large share of all rows are few, so they are broadcast, and a join by set never gathers their rows in one task
@@ -488,15 +547,26 @@ def ngram_jaccard(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100
     return out.unionByName(nameless)
 
 
-def _tiles(candidates: DataFrame, tile_rows: int) -> DataFrame:
+def _same_ids(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the sets of each id with several, by their representatives."""
+    own = rows.where("n > 0").select("doc_id", F.struct("s1", "s2").alias("set"))
+    several = materialize(own.groupBy("doc_id").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("doc_id"))
+    sets = own.join(several, "doc_id").distinct()
+    mine = sets.select("doc_id", "set.s1", "set.s2").join(reps.select("s1", "s2", "rep"), ["s1", "s2"])
+    return mine.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+
+
+def _tiles(candidates: DataFrame, tile_rows: int, tile_grams: int = 1 << 19) -> DataFrame:
     """Candidates with the tiles of their group's product that they take part in.
 
-    A group of at most tile_rows rows is one tile. A larger one is cut into cells by size band and, within it, by hash;
-    tiles pair the cells of one band and of adjacent bands, as no others hold links.
+    A group of at most tile_rows rows with tile_grams n-grams is one tile. A larger one is cut into cells by size band and,
+    within it, by hash, so that a cell holds about so many of both; tiles pair the cells of one band and of adjacent bands, as
+    no others hold links.
     """
-    cells = candidates.groupBy("grp", "cls").agg(F.count("*").alias("m"))
+    cells = candidates.groupBy("grp", "cls").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    parts = F.ceil(F.greatest(F.col("m") / tile_rows, F.least("m", F.col("w") / tile_grams))).cast("int")
     shape = materialize(
-        cells.groupBy("grp").agg(F.sum("m").alias("total"), F.map_from_entries(F.collect_list(F.struct("cls", F.ceil(F.col("m") / tile_rows).cast("int").alias("k")))).alias("parts"))
+        cells.groupBy("grp").agg(F.sum("m").alias("total"), F.sum("w").alias("wide"), F.map_from_entries(F.collect_list(F.struct("cls", parts.alias("k")))).alias("parts"))
         .where("total > 1").withColumnRenamed("grp", "g")
     )  # a band's number of parts; there are as many entries as size bands, at most a few hundred
     spot = "struct(grp, {} as c1, {} as c2, {} as i, {} as j, {} as side)"
@@ -508,5 +578,5 @@ def _tiles(candidates: DataFrame, tile_rows: int) -> DataFrame:
         candidates.join(shape, candidates.grp == shape.g)
         .selectExpr("*", "parts[cls] as k", "parts[cls + 1] as up", "parts[cls - 1] as down")
         .selectExpr("*", "cast(pmod(xxhash64(rep, 7L), k) as int) as h")
-        .selectExpr("rep", "s1", "copies", f"if(total <= {tile_rows}, array({spot.format('-1', '-1', '0', '0', '0')}), {many}) as tile")
+        .selectExpr("rep", "s1", "copies", f"if(total <= {tile_rows} and wide <= {tile_grams}, array({spot.format('-1', '-1', '0', '0', '0')}), {many}) as tile")
     )

@@ -93,6 +93,38 @@ def test_copies_of_one_set_fill_no_bucket():
     assert sum(rows.values()) == 600 and len(rows) == 8 and max(rows.values()) < 150
 
 
+def test_words_hash_alike_wherever_they_stand(monkeypatch):
+    texts = ["Ab cd", "x" * 9000 + " ab", "", "ab\tCD \n", "é " + "x" * 9000, "y" * 4095 + "z", "y" * 4096 + "z", "y" * 4097 + "z", " ", "z"]
+    want = [[w.lower() if w.isascii() else w for w in words(t)] for t in texts]
+    found = []
+    for piece in (3, 4096, 1 << 18):
+        monkeypatch.setattr(ngram_join, "_PIECE", piece)
+        raw, bounds = ngram_join.text_bytes(pa.array(["skip", *texts, None])[1:])
+        hashes, begin = ngram_join._words(raw, bounds)
+        at = np.searchsorted(begin, bounds)
+        assert np.diff(at).tolist() == [len(w) for w in want] + [0]
+        found.append(hashes.tolist())
+    flat = [w for t in want for w in t]
+    assert found[0] == found[1] == found[2] and len(set(found[0])) == len(set(flat)) == len(set(zip(flat, found[0], strict=True)))
+
+
+def test_ngram_join_on_repeated_ids(spark):
+    r = random.Random(6)
+    a, b, c = (" ".join(f"w{r.randrange(900)}" for _ in range(40)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, ""), (8, c), (8, c), (9, c + " more")] + [(2, "hot id")] * 50
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.ngram_jaccard(d, 5, 80, 100).drop("n_shingles").collect()))
+    assert got == sorted([(3, 3, 1), (5, 3, 1), (5, 3, 1), (7, 3, 1), (7, 7, 0), (8, 8, 2), (8, 8, 2), (9, 8, 2)] + [(2, 2, 49)] * 50)
+
+
+def test_ngram_join_of_very_long_texts(spark):
+    r = random.Random(9)
+    long = [f"w{r.randrange(90_000)}" for _ in range(400_000)]
+    texts = [" ".join(long), " ".join(long[:-9] + ["x"] * 9), "v" * 3_000_000, "V" * 3_000_000, "v" * 2_999_999]
+    got = sorted(map(tuple, ngram_join.ngram_jaccard(docs(spark, *texts), 5, 80, 100).select("doc_id", "component_id", "n_links").collect()))
+    assert got == [(0, 0, 1), (1, 0, 1), (2, 2, 1), (3, 2, 1), (4, 4, 0)]
+
+
 def test_ngram_join_empty_and_nameless(spark):
     d = docs(spark, "a b c d e f", "a b c d e f")
     assert ngram_join.ngram_jaccard(d.where("false")).count() == 0
