@@ -1,12 +1,14 @@
 """Operator 2: mixing sources to target weights by Pareto order sampling. DataFrame functions only.
 
-Each source gets a target number of words. A document of a source that is to be taken m times on average is taken
-floor(m) times for certain; the rest of the source's target is filled by a sample of fixed size (in words): documents are
-ranked by their random odds divided by their inclusion odds, and taken in that order while they fit; the document that
-comes nearest to what is then missing is added. Random numbers are digests of the ids, so reruns agree.
-
-A source may hold any share of the rows: ranks are summed in two levels (cells of the rank, then the rows in a cell), so no
-window ever holds a whole source.
+Each source gets a target number of words, that is a mean number of copies of its documents. Whole copies are allotted for
+certain; the rest of the target is filled by a sample in which documents have chances of their own: a chance grows with the
+square root of the document's size (in classes of powers of two), and where it reaches 1 the copy is certain too. Documents
+are ranked by their random odds divided by their inclusion odds, and taken in that order while they fit; the one that comes
+nearest to what is then missing is added. Random numbers are digests of the ids, so reruns agree.
+
+A source may hold any share of the rows. Ranks are summed in two levels: cells of equal width in the logarithm of the ratio of
+odds, as many as the source's rows ask for, then the rows in a cell. What is drawn comes down to one row for each source and
+class, and to two places in the source's order, by which each row then finds its own copies.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialize, word_count
+from .shared import materialize, word_count
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> DataFrame:
@@ -41,7 +43,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
 
 def _random(id_col, seed: str) -> F.Column:
     """48 bits of a digest of the id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long")
+    id_col = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long")
 
 
 def _odds(u: F.Column, p: F.Column) -> F.Column:
@@ -50,80 +53,124 @@ def _odds(u: F.Column, p: F.Column) -> F.Column:
     return r / (1 - r) * (1 - p) / p
 
 
-def _drawn(docs: DataFrame, weights: tuple[float, ...], cap: float, id_col: str, text_col: str, source_col: str, seed: str, cells: int = 1024) -> DataFrame:
-    """The draw: every row with its source's base and chance p, its own q and u, and more: 1 if the sample holds it."""
-    sized = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-        .withColumn("u", _random("doc_id", seed))
+def _class(size: F.Column) -> F.Column:
+    """Number of binary digits of a size."""
+    return F.length(F.bin(size))
+
+
+#: Square root of a class's scale, near enough and exact: 1, 1.5, 2, 3, 4, 6, 8 and so on.
+_ROOT = "shiftleft(1L, cast(class div 2 as int)) * if(class % 2 = 0, 1.0D, 1.5D)"
+#: Cells to a doubling of the ratio of odds, at least; a cell then holds at most 0.3 % of a source. And rows of a cell, about.
+CELLS, CELL_ROWS = 64, 50_000
+
+
+def chances(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> DataFrame:
+    """Chances by source and class, from rows (source, size): (source, class, n, rows, source_size, target, base, p).
+
+    base is the number of certain copies, p the chance of one more; base * n + p * n over a source's classes is its target (n
+    being a class's words). Within a source p is k times a class's root, at most 1: classes reach 1 in the order of their roots,
+    so running sums from the largest class tell which do, and what k is for the others.
+    """
+    by_class = materialize(
+        sized.where("size > 0").groupBy("source", _class(F.col("size")).alias("class")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
+        .withColumn("root", F.expr(_ROOT))
     )
-    plan = materialize(
-        source_targets(sized, weights, cap)
-        .withColumn("m", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-        .selectExpr("source as s", "source_size", "target", "floor(m) as base", "m - floor(m) as p", "target - floor(m) * source_size as rest")
+    plan = source_targets(sized, weights, cap).withColumn("m", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
+    plan = materialize(plan.selectExpr("source as s", "source_size", "target", "floor(m) as whole", "target - floor(m) * source_size as rest"))
+    above = W.partitionBy("source").orderBy(F.desc("class")).rowsBetween(W.unboundedPreceding, -1)
+    onward = W.partitionBy("source").orderBy(F.desc("class")).rowsBetween(0, W.unboundedFollowing)
+    k = (F.col("rest") - F.coalesce(F.sum("n").over(above), F.lit(0))) / F.sum(F.col("n") * F.col("root")).over(onward)
+    own = W.partitionBy("source")
+    return (
+        by_class.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("k", k).withColumn("full", F.col("k") * F.col("root") >= 1)
+        .withColumn("k", F.coalesce(F.max_by("k", F.when(~F.col("full"), F.col("class"))).over(own), F.lit(0.0)))
+        .selectExpr("source", "class", "n", "rows", "source_size", "target", "whole + if(full, 1, 0) as base", "if(full, 0D, greatest(k * root, 0D)) as p")
     )
-    ranked = (
-        sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        .withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), _odds(F.col("u"), F.col("p"))))
-        .withColumn("cell", F.floor(F.col("q") / (1 + F.col("q")) * cells).cast("int"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("u", _random("doc_id", seed))
+
+
+def _draw(sized: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """A row for each source, (s, source_size, target, classes, cut, last): base and p by class, the last place in the order that
+    the sample takes, and the place of the document added to come nearest (null: none).
+
+    Rows with the same id and chance have one place, and are taken together.
+    """
+    told = materialize(chances(sized, weights, cap))
+    grain = told.groupBy("source").agg(F.sum("rows").alias("_n"), F.sum(F.col("n") * F.col("p")).alias("rest"))
+    told = told.join(grain, told.source.eqNullSafe(grain.source)).select(told["*"], "rest", F.greatest(F.lit(CELLS), F.ceil(F.col("_n") * 0.18 / CELL_ROWS)).alias("cells"))
+    some = told.where("p > 0").selectExpr("source as s", "class as c", "p", "rest", "cells")
+    units = materialize(
+        sized.where("size > 0").join(some, F.col("source").eqNullSafe(F.col("s")) & (_class(F.col("size")) == F.col("c"))).drop("s", "c")
+        .withColumn("q", _odds(F.col("u"), F.col("p"))).withColumn("cell", F.floor(F.log2("q") * F.col("cells")))
+        .groupBy("source", "cell", "q", "u", F.col("doc_id").cast("string").alias("id")).agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
     )
-    ranked = materialize(ranked)
     before = materialize(
-        ranked.where("q is not null").groupBy("source", "cell").agg(F.sum("size").alias("n"))
-        .withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("cell")) - F.col("n"))
-        .selectExpr("source as s", "cell as c", "before")
+        units.groupBy("source", "cell").agg(F.sum("size").alias("n"))
+        .withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("cell")) - F.col("n")).selectExpr("source as s", "cell as c", "before")
     )
-    inside = W.partitionBy("source", "cell").orderBy("q", "u", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    drawn = materialize(
-        ranked.where("q is not null").withColumn("upto", F.sum("size").over(inside))
+    inside = W.partitionBy("source", "cell").orderBy("q", "u", "id").rowsBetween(W.unboundedPreceding, 0)
+    place = F.struct("q", "u", "id")
+    ranked = materialize(
+        units.withColumn("upto", F.sum("size").over(inside))
         .join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
-        .withColumn("upto", F.col("upto") + F.col("before")).drop("s", "c", "before")
-        .withColumn("taken_once", F.col("upto") <= F.col("rest"))
+        .select("source", place.alias("place"), "size", "rest", (F.col("upto") + F.col("before") <= F.col("rest")).alias("fits"))
     )
-    missing = materialize(
-        drawn.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("taken_once"), F.col("size")).otherwise(0))).alias("gap")).withColumnRenamed("source", "s")
+    cuts = materialize(
+        ranked.groupBy("source").agg(F.max(F.when(F.col("fits"), F.col("place"))).alias("cut"), (F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("gap"))
+        .withColumnRenamed("source", "s")
     )
-    near = drawn.where("not taken_once").join(missing, F.col("source").eqNullSafe(F.col("s"))).withColumn("off", F.abs(F.col("gap") - F.col("size"))).where("off < gap")
-    best = materialize(near.groupBy("source").agg(F.min("off").alias("least")).withColumnRenamed("source", "b"))
+    off = F.abs(F.col("gap") - F.col("size"))
     last = (
-        near.join(best, F.col("source").eqNullSafe(F.col("b")) & (F.col("off") == F.col("least")))
-        .groupBy("source").agg(F.min("upto").alias("last")).withColumnRenamed("source", "l")
+        ranked.where("not fits").join(cuts, F.col("source").eqNullSafe(F.col("s"))).where(off < F.col("gap"))
+        .groupBy("source").agg(F.min_by("place", F.struct(off, "place")).alias("last")).withColumnRenamed("source", "l")
     )
-    sampled = drawn.join(materialize(last), F.col("source").eqNullSafe(F.col("l")), "left").withColumn(
-        "more", (F.col("taken_once") | F.coalesce(F.col("upto") == F.col("last"), F.lit(False))).cast("long")
+    classes = told.groupBy("source", "source_size", "target").agg(F.map_from_entries(F.collect_list(F.struct("class", F.struct("base", "p")))).alias("classes"))
+    return (
+        classes.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").join(last, F.col("source").eqNullSafe(F.col("l")), "left")
+        .select(F.col("source").alias("s"), "source_size", "target", "classes", "cut", "last")
     )
-    fixed = ranked.where("q is null").withColumn("more", F.lit(0).cast("long"))
-    names = ["doc_id", "source", "size", "source_size", "target", "base", "more", "p", "q", "u", "taken_once"]
-    return sampled.select(names).unionByName(fixed.withColumn("taken_once", F.lit(False)).select(names))
+
+
+def _copies(size: F.Column, u: F.Column, id_col, s: str = "") -> F.Column:
+    """Copies of a row, from its source's row of _draw; names of that row's columns begin with s."""
+    own = F.try_element_at(F.col(f"{s}classes"), _class(size))
+    place = F.when(own.p > 0, F.struct(_odds(u, own.p).alias("q"), u.alias("u"), F.col(id_col).cast("string").alias("id")))
+    more = F.coalesce(place <= F.col(f"{s}cut"), F.lit(False)) | F.coalesce(place == F.col(f"{s}last"), F.lit(False))
+    return F.when(size > 0, own.base + more.cast("long")).otherwise(0).cast("long")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """How often the mix takes each document: a row for each row of docs, (doc_id, source, size, source_size, target, copies, taken).
 
     size is the number of words of the whole text (null or blank: 0); taken is copies * size, and copies is at most cap
-    rounded up. Documents without words, and sources without words, are taken 0 times. A null source is a source of its
-    own. Rows that repeat an id have the same random number and are ranked one after the other; a null id is ranked as
-    the text 'null'. Other columns are ignored. An empty table gives an empty result.
+    rounded up. Documents without words are taken 0 times. A null source is a source of its own. Rows with the same id and
+    size class in a source are taken together; a null id is ranked as the text 'null'. Other columns are ignored, whatever
+    their names. An empty table gives an empty result.
     """
+    sized = materialize(_sized(docs, id_col, text_col, source_col, seed))
+    drawn = materialize(_draw(sized, weights, cap))
+    targets = materialize(source_targets(sized, weights, cap)).withColumnRenamed("source", "t").withColumnRenamed("source_size", "_n")
     return (
-        _drawn(docs, weights, cap, id_col, text_col, source_col, seed)
-        .withColumn("copies", F.when(F.col("size") > 0, F.col("base") + F.col("more")).otherwise(0).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        sized.join(targets, F.col("source").eqNullSafe(F.col("t"))).join(drawn.drop("source_size", "target"), F.col("source").eqNullSafe(F.col("s")), "left")
+        .withColumn("copies", _copies(F.col("size"), F.col("u"), "doc_id"))
+        .select("doc_id", "source", "size", F.col("_n").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def take_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """The mix itself: each document of docs as many times as the mix takes it; ids are taken to be distinct.
+    """The mix itself: each row of docs as often as mix_sources says. All columns of docs stay, whatever their names.
 
-    A sample is all documents of a source up to a place in the ranking, and perhaps one more. So the draw comes down to one
-    row for each source, and texts are repeated where they are, without a shuffle.
+    The draw is one row for each source, so texts are repeated where they are, without a shuffle as long as sources are few.
     """
-    place = F.struct("q", "u", F.col("doc_id").cast("string").alias("id"))
-    cuts = materialize(
-        _drawn(docs, weights, cap, id_col, text_col, source_col, seed).groupBy(F.col("source").alias("__s"))
-        .agg(F.first("base").alias("__base"), F.first("p").alias("__p"), F.max(F.when(F.col("taken_once"), place)).alias("__cut"), F.max(F.when((F.col("more") == 1) & ~F.col("taken_once"), place)).alias("__last"))
+    drawn = materialize(_draw(materialize(_sized(docs, id_col, text_col, source_col, seed)), weights, cap)).selectExpr(
+        "s as __mix_s", "classes as __mix_classes", "cut as __mix_cut", "last as __mix_last"
+    )
+    size, u = word_count(docs[f"`{text_col}`"]), _random(docs[f"`{id_col}`"], seed)
+    joined = docs.select("*", size.alias("__mix_size"), u.alias("__mix_u"), docs[f"`{id_col}`"].alias("__mix_id")).join(
+        drawn, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__mix_s"))
     )
-    ranked = docs.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("__s"))).withColumn("__u", _random(id_col, seed))
-    ranked = ranked.withColumn("__place", F.when(F.col("__p") > 0, F.struct(_odds(F.col("__u"), F.col("__p")).alias("q"), F.col("__u").alias("u"), F.col(id_col).cast("string").alias("id"))))
-    more = F.coalesce(F.col("__place") <= F.col("__cut"), F.lit(False)) | F.coalesce(F.col("__place") == F.col("__last"), F.lit(False))
-    copies = F.when(F.regexp_count(F.col(text_col), F.lit(WORD)) > 0, F.col("__base") + more.cast("long")).otherwise(0)
-    return ranked.where(copies > 0).select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))).alias("__copy")).drop("__copy")
+    times = joined.withColumn("__mix_times", _copies(F.col("__mix_size"), F.col("__mix_u"), "__mix_id", "__mix_")).where("__mix_times > 0")
+    return times.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_times"))).alias("__mix_copy")).drop("__mix_copy")

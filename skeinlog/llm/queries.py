@@ -69,16 +69,25 @@ k AS (SELECT *, n * 3 / w AS r, coalesce(sum(n * 3) OVER b, 0) AS c0, coalesce(s
 h AS (SELECT *, (t - c0) / (ws - w0) AS share FROM k),
 g AS (SELECT *, r <= share AS capped, max(CASE WHEN r > share THEN share END) OVER () AS lvl FROM h),
 t AS (SELECT source, n, CASE WHEN capped THEN n * 3 ELSE coalesce(lvl, 0) * w END AS target FROM g),
-m AS (SELECT *, CASE WHEN n > 0 THEN target / n ELSE 0 END AS m FROM t),
-j AS (SELECT d.*, n, target, floor(m) AS base, m - floor(m) AS p, target - floor(m) * n AS rest FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source),
-q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN ((u + 0.5) / 281474976710656) / (1 - (u + 0.5) / 281474976710656) * (1 - p) / p END AS q FROM j),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM q WHERE q IS NOT NULL),
-o AS (SELECT *, upto <= rest AS once FROM c),
-e AS (SELECT source AS es, min(rest) - coalesce(sum(size) FILTER (WHERE once), 0) AS gap FROM o GROUP BY source),
-f AS (SELECT source AS fs, arg_min(upto, (abs(gap - size), upto)) AS last FROM o JOIN e ON source IS NOT DISTINCT FROM es WHERE NOT once AND abs(gap - size) < gap GROUP BY source),
-x AS (SELECT o.doc_id, o.upto, once OR coalesce(upto = last, FALSE) AS more FROM o LEFT JOIN f ON source IS NOT DISTINCT FROM fs),
-y AS (SELECT q.*, CASE WHEN size > 0 THEN base + coalesce(CAST(x.more AS INT), 0) ELSE 0 END AS copies FROM q LEFT JOIN x ON q.doc_id = x.doc_id)
-SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM y
+m AS (SELECT *, floor(CASE WHEN n > 0 THEN target / n ELSE 0 END) AS whole, target - floor(CASE WHEN n > 0 THEN target / n ELSE 0 END) * n AS rest FROM t),
+c AS (SELECT source AS cs, length(bin(size)) AS class, sum(size)::DOUBLE AS cn FROM d WHERE size > 0 GROUP BY 1, 2),
+cr AS (SELECT *, (1 << (class // 2))::DOUBLE * CASE WHEN class % 2 = 0 THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END AS root FROM c),
+ck AS (SELECT *, (rest - coalesce(sum(cn) OVER (PARTITION BY cs ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(cn * root) OVER (PARTITION BY cs ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS kk FROM cr JOIN m ON cs IS NOT DISTINCT FROM source),
+cf AS (SELECT *, kk * root >= 1 AS filled FROM ck),
+cp AS (SELECT cs, class, cn, whole + CASE WHEN filled THEN 1 ELSE 0 END AS base,
+      CASE WHEN filled THEN 0 ELSE greatest(coalesce(arg_max(kk, CASE WHEN NOT filled THEN class END) OVER (PARTITION BY cs), 0) * root, 0) END AS p FROM cf),
+cs AS (SELECT cs AS rs, sum(cn * p) AS left_over FROM cp GROUP BY cs),
+q AS (SELECT d.*, base, p, left_over, CASE WHEN p > 0 THEN ((u + 0.5) / 281474976710656) / (1 - (u + 0.5) / 281474976710656) * (1 - p) / p END AS q
+      FROM d JOIN cp ON d.source IS NOT DISTINCT FROM cs AND length(bin(size)) = class JOIN cs ON d.source IS NOT DISTINCT FROM rs WHERE size > 0),
+o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, u, CAST(doc_id AS VARCHAR)) <= left_over AS fits,
+      sum(size) OVER (PARTITION BY source, q, u, doc_id) AS unit FROM q WHERE q IS NOT NULL),
+e AS (SELECT source AS es, min(left_over) - coalesce(sum(size) FILTER (WHERE fits), 0) AS gap FROM o GROUP BY source),
+f AS (SELECT source AS fs, arg_min((q, u, CAST(doc_id AS VARCHAR)), (abs(gap - unit), q, u, CAST(doc_id AS VARCHAR))) AS last FROM o JOIN e ON source IS NOT DISTINCT FROM es WHERE NOT fits AND abs(gap - unit) < gap GROUP BY source),
+x AS (SELECT DISTINCT source AS xs, doc_id AS xd, size AS xz, fits OR coalesce((q, u, CAST(doc_id AS VARCHAR)) = last, FALSE) AS more FROM o LEFT JOIN f ON source IS NOT DISTINCT FROM fs),
+y AS (SELECT d.doc_id, d.source, d.size, CAST(coalesce(base, 0) + coalesce(CAST(more AS INT), 0) AS BIGINT) AS copies FROM d LEFT JOIN cp ON d.source IS NOT DISTINCT FROM cs AND length(bin(size)) = class AND size > 0
+      LEFT JOIN x ON d.source IS NOT DISTINCT FROM xs AND d.doc_id = xd AND d.size = xz)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, copies, copies * size AS taken FROM y JOIN t ON y.source IS NOT DISTINCT FROM t.source
 """
 
 

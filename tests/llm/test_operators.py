@@ -152,6 +152,45 @@ def test_mixing(spark):
     assert mixing.mix_sources(d.where("false")).count() == 0
 
 
+def test_mix_chances(spark):
+    """Sources alike in all but their ids are so many draws of one sample."""
+    sizes = [3, 5, 9, 17, 33, 65, 120] * 6
+    n = 240
+    rows = [(1000 * s + k, f"s{s:04d}", "w " * z) for s in range(n) for k, z in enumerate(sizes)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = {r["class"]: r.p + r.base for r in mixing.chances(mixing._sized(d, "doc_id", "text", "source", "x"), (1, 3)).where("source = 's0000'").collect()}
+    assert len(want) == 6 and 0 < min(want.values()) < 0.5 * max(want.values()) and abs(sum(want[z.bit_length()] * z for z in sizes) - sum(sizes) / 2) < 1e-6
+    taken = {}
+    for r in mixing.mix_sources(d, (1, 3)).where("source_size * 0.6 > target").collect():
+        taken.setdefault(r.size.bit_length(), []).append(r.copies)
+    for c, p in want.items():
+        m = len(taken[c])
+        assert m >= 6 * n // 2 and abs(np.mean(taken[c]) - p) < 0.02 + 4 * (p * (1 - min(p, 1)) / m) ** 0.5, c
+
+
+def test_mix_cells_are_even(spark):
+    u = F.expr("(xxhash64(id) & 281474976710655L)")
+    for p in (0.001, 0.05, 0.5, 0.999):
+        cells = spark.range(20_000).select(F.floor(F.log2(mixing._odds(u, F.lit(p))) * mixing.CELLS).alias("c")).groupBy("c").count()
+        assert cells.agg(F.max("count")).first()[0] < 0.01 * 20_000
+
+
+def test_mix_of_repeated_rows_ties_and_clashing_names(spark):
+    rows = [(k % 40, "ab"[k % 40 % 2], "w " * (10 if k % 40 < 30 else 25), 1.5) for k in range(200)] + [(None, None, "x y"), (None, None, "x y"), (7, None, None)] * 1
+    rows = [(*r, 1.5) if len(r) == 3 else r for r in rows]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string, p double").selectExpr("*", "1 as size", "2 as u", "3 as cut", "4 as s", "5 as copies", "6 as base", "'x' as target")
+    want, got = {}, {}
+    for r in mixing.mix_sources(d).collect():
+        want[r.doc_id, r.source, r.size] = want.get((r.doc_id, r.source, r.size), 0) + r.copies
+    taken = mixing.take_mix(d)
+    assert taken.columns == d.columns
+    for r in taken.collect():
+        k = (r.doc_id, r.source, len(words(r.text)))
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert mixing.take_mix(d.where("false")).count() == 0
+
+
 def test_packing(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
