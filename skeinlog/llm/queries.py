@@ -124,7 +124,7 @@ def _spans(of: str = "spans") -> str:
 
 @query
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of all documents; a value that at most two sources hold looks live."""
+    """Secrets of all documents; a value that at most two sources and ten documents hold looks live."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     base = "filter(spans, x -> x.kind <> 'token')"
     return found.selectExpr(
@@ -132,10 +132,31 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[f"cast(size(filter(spans, x -> x.kind = '{k}')) as long) as n_{k}" for k in ("assign", "access", "hex")],
         f"sha2({_spans(base)}, 256) as base_sha256",
         f"{_spans()} as spans",
+        f"{_spans('filter(spans, x -> x.live)')} as live_spans",
         "n_live", "n_example",
     )
 
 
+_SECRET = r"""(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_FOUND = " FROM d UNION ALL SELECT r, doc_id, source, ".join(f"'{k}' AS kind, {i} AS rank, regexp_extract_all(t, '{p}', 0) AS h, regexp_extract_all(t, '{p}', {g}) AS v, string_split_regex(t, '{p}') AS g" for i, (k, p, g) in enumerate((("assign", _SECRET, 1), ("access", "AKIA[A-Z0-9]+", 0), ("hex", "[0-9a-f]+", 0), ("token", "[A-Za-z0-9+/_-]+", 0))))
+ORACLES["op9_secret_ownership"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, doc_id, source, {_FOUND} FROM d),
+e AS (SELECT r, doc_id, source, kind, rank, unnest(range(1, len(h) + 1)) AS i, h, v, g FROM m),
+s AS (SELECT r, doc_id, source, kind, rank, v[i] AS v, length(h[i]) AS n, list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(h[1:i], lambda x: length(x))) AS e FROM e
+  WHERE CASE kind WHEN 'assign' THEN length(v[i]) >= 6 WHEN 'access' THEN length(v[i]) >= 20 WHEN 'hex' THEN length(v[i]) >= 24
+    ELSE regexp_matches(v[i], '[0-9]') AND (length(v[i]) >= 20 AND regexp_matches(v[i], '[A-Z]') AND regexp_matches(v[i], '[a-z]') OR length(v[i]) >= 24 AND regexp_full_match(v[i], '[A-Za-z0-9]+') AND regexp_matches(v[i], '[A-Za-z]')) END),
+f AS (SELECT *, CAST(e - n AS BIGINT) AS b FROM s),
+c AS (SELECT v AS cv, count(DISTINCT coalesce(source, chr(1))) <= 2 AND count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) <= 10 AS live FROM f GROUP BY v),
+j AS (SELECT f.*, live FROM f JOIN c ON v = cv),
+k AS (SELECT *, kind || ':' || b || ':' || CAST(e AS BIGINT) AS told FROM j WHERE kind <> 'token' OR live AND NOT EXISTS (SELECT 1 FROM j o WHERE o.r = j.r AND o.kind <> 'token' AND o.b < j.e AND j.b < o.e)),
+g AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS na, count(*) FILTER (WHERE kind = 'access') AS nk, count(*) FILTER (WHERE kind = 'hex') AS nh, count(*) FILTER (WHERE live) AS nl, count(*) FILTER (WHERE NOT live) AS ne,
+  string_agg(told, ',' ORDER BY b, rank) FILTER (WHERE kind <> 'token') AS base, string_agg(told, ',' ORDER BY b, rank) AS spans, string_agg(told, ',' ORDER BY b, rank) FILTER (WHERE live) AS live_spans FROM k GROUP BY r)
+SELECT doc_id, coalesce(na, 0) AS n_assign, coalesce(nk, 0) AS n_access, coalesce(nh, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live_spans, '') AS live_spans,
+  coalesce(nl, 0) AS n_live, coalesce(ne, 0) AS n_example FROM d LEFT JOIN g ON d.r = g.r
+"""
+
+
 @query
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts hold the template's own strings, formatted and read back."""

@@ -1,48 +1,47 @@
 """Operator 9: secret scans by corpus-wide ownership frequency. DataFrame functions only.
 
 Candidates are what fixed patterns match, and other long mixed tokens. Each candidate's digest is counted over the corpus by
-distinct documents (repositories) and distinct sources (owners). A value that many owners hold is a widely copied example; one
-that stays with few owners looks live. Fixed-pattern matches are always reported; other tokens only where they look live.
+distinct documents (repositories) and distinct sources (owners). A value that many owners or very many documents hold is a
+widely copied example; one that stays with few owners in few documents looks live. Fixed-pattern matches are always reported,
+with that verdict; other tokens only where they look live.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import materialize
 
-#: Patterns in Java's syntax, with the group that holds the secret and a cheap test for texts that can't match.
-#: Fixed values of the contract; order breaks ties of equal starts.
+#: Kinds; order breaks ties of equal starts.
 KINDS = ("assign", "access", "hex", "token")
+#: Patterns in Java's syntax. Fixed values of the contract, but for the tokens; hex and tokens are whole runs of their characters.
 _ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _ACCESS = r"AKIA[A-Z0-9]+"
-_HEX = r"[0-9a-f]{24,}"  # the longest runs of [0-9a-f]+ that have 24 characters and more
-_TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}"
+_HEX = r"[0-9a-f]{24,}"
+_TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(kind: str, pattern: str, group: int, test: str, keep: str) -> str:
-    """SQL for an array of (kind, start, end, value) of all leftmost matches; start and end count code points.
+#: What a token must have: a digit, a capital and a small letter; or a digit and a letter, if it is of 24 letters and digits.
+_MIXED = "x.value rlike '[0-9]' and (x.value rlike '[A-Z]' and x.value rlike '[a-z]' or length(x.value) >= 24 and x.value rlike '^[A-Za-z0-9]+$' and x.value rlike '[A-Za-z]')"
 
-    The pieces between the matches and the matches themselves tell the places: a running sum of their lengths.
-    """
+
+def _matches(kind: str, pattern: str, group: int, test: str, keep: str) -> str:
+    """SQL for an array of (kind, k, gap, hit, value) of all leftmost matches that are kept or tell where others are: k numbers
+    them, gap and hit are the code points before a match and in it. test: a cheap one, for texts that can't match."""
     p = _quoted(pattern)
-    whole = _quoted(f"({pattern})".replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]+"))
-    places = (
-        f"transform(array(struct(regexp_extract_all(t, {whole}, 1) as hit, regexp_extract_all(t, {p}, {group}) as value, split(t, {p}, -1) as gap)), a ->"
-        " aggregate(sequence(0, size(a.hit)), struct(0 as at, cast(array() as array<struct<kind:string,start:int,stop:int,value:string>>) as found), (s, k) ->"
-        f" if(k = size(a.hit), s, struct(s.at + length(a.gap[k]) + length(a.hit[k]) as at, concat(s.found, array(struct('{kind}' as kind,"
-        " s.at + length(a.gap[k]) as start, s.at + length(a.gap[k]) + length(a.hit[k]) as stop, a.value[k] as value))) as found))).found)[0]"
-    )
-    return f"if({test}, filter({places}, x -> {keep}), cast(array() as array<struct<kind:string,start:int,stop:int,value:string>>))"
+    zipped = f"arrays_zip(regexp_extract_all(t, {p}, 0), regexp_extract_all(t, {p}, {group}), split(t, {p}, -1))"
+    told = f"transform({zipped}, (z, k) -> struct('{kind}' as kind, k as k, length(z['2']) as gap, length(z['0']) as hit, z['1'] as value))"
+    return f"if({test}, transform(filter({told}, x -> x.hit is not null), x -> struct(x.kind as kind, x.k as k, x.gap as gap, x.hit as hit, if({keep}, x.value, null) as value)), array())"
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """(row, doc_id, owner, found): each row's candidates as an array of (kind, start, stop, value); row numbers rows."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
+    """(row, doc_id, owner, found) of each row of docs, see _matches; row numbers rows once this is written."""
     any_word = r"(?i)password|passwd|secret|token|api_?key"
     found = "concat({})".format(
         ", ".join(
@@ -50,45 +49,52 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 _matches("assign", _ASSIGN, 1, f"t rlike {_quoted(any_word)}", "length(x.value) >= 6"),
                 _matches("access", _ACCESS, 0, "contains(t, 'AKIA')", "length(x.value) >= 20"),
                 _matches("hex", _HEX, 0, f"t rlike {_quoted('[0-9a-f]{24}')}", "true"),
-                _matches("token", _TOKEN, 0, f"t rlike {_quoted('[A-Za-z0-9+/_-]{20}')}", "true"),
+                _matches("token", _TOKEN, 0, f"t rlike {_quoted('[A-Za-z0-9+/_-]{20}')}", _MIXED),
             ]
         )
     )
     return (
-        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
         .select("row", "doc_id", "owner", F.expr(found).alias("found"))
     )
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", live_owners: int = 2) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", live_owners: int = 2, live_documents: int = 10) -> DataFrame:
     """Secrets of each document: (doc_id, spans, n_live, n_example); a row for each row of docs.
 
-    spans is an array of (kind, start, stop, value, documents, owners, live), by start, then kind in the order of KINDS.
-    documents and owners count the distinct ones in which the value occurs in the whole corpus; live says that owners is
-    at most live_owners. A token that another pattern's span holds is left out, and so is one that isn't live.
+    spans is an array of (kind, start, stop, value, documents, owners, live), by start, then kind in the order of KINDS; start and
+    stop count code points. documents and owners count the distinct ones in which the value occurs in the whole corpus; live says
+    that owners is at most live_owners and documents at most live_documents. A token that another pattern's span touches is left
+    out, and so is one that isn't live.
 
     A null text has no secrets; a null owner counts as an owner. Rows that repeat an id are rows of their own but one document
-    in the counts. An empty table gives an empty result.
+    in the counts; rows without an id count as one document together. Other columns are ignored, whatever their names. An empty
+    table gives an empty result.
     """
-    rows = materialize(candidates(docs, id_col, text_col, owner_col))
-    each = rows.where("size(found) > 0").select("row", "doc_id", F.coalesce("owner", F.lit("\0")).alias("owner"), F.explode("found").alias("s")).select(
-        "row", "doc_id", "owner", "s.*", F.xxhash64("s.value").alias("digest")
-    )
-    # one row for each digest and owner before owners are counted, so that a value held by all meets in no single task
-    by_owner = each.groupBy("digest", "owner").agg(F.count("*").alias("n"))
-    by_document = each.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    rows = materialize(_rows(docs, id_col, text_col, owner_col))
+    # places are running sums over the matches of one text
+    so_far = W.partitionBy("row", "kind").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    each = (
+        rows.where("size(found) > 0").select("row", "doc_id", F.coalesce("owner", F.lit("\0")).alias("owner"), F.explode("found").alias("s"))
+        .select("row", "doc_id", "owner", "s.*").withColumn("stop", F.sum(F.col("gap") + F.col("hit")).over(so_far).cast("int")).where("value is not null")
+        .select("row", F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("doc_id"), "owner", "kind", (F.col("stop") - F.col("hit")).alias("start"), "stop", "value", F.sha2("value", 256).alias("digest"))
+    )
+    each = materialize(each)
+    # one row for each digest and owner (or document) before they are counted, so that a value held by all meets in no single task
     spread = materialize(
-        by_owner.groupBy("digest").agg(F.count("*").alias("owners")).join(by_document.groupBy("digest").agg(F.count("*").alias("documents")), "digest")
+        each.select("digest", F.lit(True).alias("own"), F.col("owner").alias("x")).unionByName(each.select("digest", F.lit(False).alias("own"), F.col("doc_id").alias("x")))
+        .groupBy("digest", "own", "x").agg(F.lit(1).alias("n")).groupBy("digest").agg(F.count_if("own").alias("owners"), F.count_if(~F.col("own")).alias("documents"))
     )
-    judged = materialize(each.join(spread, "digest").withColumn("live", F.col("owners") <= live_owners))
+    judged = materialize(each.join(spread, "digest").withColumn("live", F.expr(f"owners <= {live_owners} and documents <= {live_documents}")))
     rank = "array_position(array({}), kind)".format(", ".join(f"'{k}'" for k in KINDS))
-    merged = judged.where("kind <> 'token' or live").groupBy("row").agg(
-        F.array_sort(F.collect_list(F.expr(f"struct(start, {rank} as rank, kind, stop, value, documents, owners, live)"))).alias("all")
-    ).selectExpr(
-        "row as r", "filter(all, x -> x.kind <> 'token' or not exists(all, y -> y.kind <> 'token' and y.start < x.stop and x.start < y.stop)) as kept"
-    )
-    kept = "coalesce(kept, cast(array() as array<struct<start:int,rank:bigint,kind:string,stop:int,value:string,documents:bigint,owners:bigint,live:boolean>>))"
-    return rows.select("row", "doc_id").join(merged, F.col("row") == F.col("r"), "left").select("doc_id", F.expr(kept).alias("kept")).selectExpr(
+    # of the base spans before a token, the one that ends last tells whether they touch; and the next one after it
+    near = W.partitionBy("row").orderBy("start", F.expr(rank))
+    touched = judged.withColumn("_before", F.max(F.when(F.col("kind") != "token", F.col("stop"))).over(near.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    touched = touched.withColumn("_after", F.min(F.when(F.col("kind") != "token", F.col("start"))).over(near.rowsBetween(W.currentRow, W.unboundedFollowing)))
+    kept = touched.where("kind <> 'token' or live and coalesce(_before <= start, true) and coalesce(_after >= stop, true)")
+    merged = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.expr(f"struct(start, {rank} as rank, kind, stop, value, documents, owners, live)"))).alias("kept")).withColumnRenamed("row", "r")
+    none = "cast(array() as array<struct<start:int,rank:bigint,kind:string,stop:int,value:string,documents:bigint,owners:bigint,live:boolean>>)"
+    return rows.select("row", "doc_id").join(merged, F.col("row") == F.col("r"), "left").select("doc_id", F.expr(f"coalesce(kept, {none})").alias("kept")).selectExpr(
         "doc_id",
         "transform(kept, x -> struct(x.kind as kind, x.start as start, x.stop as stop, x.value as value, x.documents as documents, x.owners as owners, x.live as live)) as spans",
         "cast(size(filter(kept, x -> x.live)) as long) as n_live",
