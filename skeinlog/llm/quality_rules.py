@@ -42,7 +42,8 @@ _REPEATED = """
 
 
 def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with one more column, stats: a struct of counts over the whole text (null: as an empty one).
+    """docs with one more column, stats (or a new one for one of that name): a struct of counts over the whole text (null: as an
+    empty one).
 
     n_words; word_chars (code points in words); n_symbols (characters of #*$%&|<>); n_lines (lines with a word);
     n_dup_lines (those equal to an earlier one); n_repeat_words (words in 8-word windows found twice or more); n_capitals,
@@ -65,7 +66,7 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     parts = f"""struct(coalesce(`{text_col}`, '') as t,
         transform(filter(split(coalesce(`{text_col}`, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> ''), x -> xxhash64(x)) as w,
         filter(split(coalesce(`{text_col}`, ''), '\\n'), x -> x rlike '{_NOT_GAP}') as l)"""
-    return docs.select("*", F.expr(f"explode(transform(array({parts}), a -> struct({counts})))").alias("stats"))
+    return docs.drop("stats").select("*", F.expr(f"explode(transform(array({parts}), a -> struct({counts})))").alias("stats"))
 
 
 def _scoped(sql: str, name: str) -> str:
@@ -117,7 +118,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         .groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
         .orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
     )
-    picked = docs.join(chosen, docs[id_col] == F.col("__id")).select(F.col("__id"), F.col("__label"), docs[text_col].alias("__text"))
+    named = docs.select(F.col(f"`{id_col}`").alias("__own"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    picked = named.join(chosen, F.col("__own") == F.col("__id")).select("__id", "__label", "__text")
     rows = (
         text_stats(picked, "__text").where(~base_failed())
         .select(F.pmod(F.xxhash64("__id", F.lit(3)), F.lit(3)).alias("part"), F.expr("__label = 0").alias("junk"), *[F.expr(_of(f, "stats")).alias(f) for f in FEATURES])
@@ -197,9 +199,10 @@ def _prune(rule: list[tuple[int, bool, float]], x: np.ndarray, junk: np.ndarray)
 def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """docs with stats, base_failed, rule (the number of the rule that rejects it, or null) and kept; all rows stay.
 
-    A null or empty text has no words and fails the base. Column names of docs that clash with these are not supported
-    in the result; select what is needed first.
+    A null or empty text has no words and fails the base. Columns of docs with these names are replaced; all others stay,
+    whatever their names. An empty table gives an empty result.
     """
+    docs = docs.drop("stats", "base_failed", "rule", "kept")
     return text_stats(docs, text_col).select("*", base_failed().alias("base_failed"), rejects(rules).alias("rule")).withColumn(
         "kept", ~F.col("base_failed") & F.col("rule").isNull()
     )

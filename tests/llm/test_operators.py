@@ -260,6 +260,30 @@ def test_line_windows(spark):
     assert line_windows.drop_repeated_windows(docs(spark, *texts).where("false")).count() == 0
 
 
+def test_line_windows_on_repeated_ids_and_clashing_names(spark):
+    a, b = "a 1\nb 2\nc 3", "x 1\ny 2\nz 3"
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (None, a), (4, None), (5, "p\n" * 40_000), (6, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'m' as n_lines", "7 as N_Removed", "1 as w", "2 as digest", "3 as at", "4 as covered", "5 as lines", "6 as h")
+    out = line_windows.drop_repeated_windows(d)
+    assert out.columns == ["doc_id", "text", "w", "digest", "at", "covered", "lines", "h", "n_lines", "n_removed"]
+    got = sorted(((x.doc_id or 0, x.text, x.n_lines, x.n_removed) for x in out.collect()), key=str)
+    by = {}
+    for i, t, n, k in got:
+        by.setdefault(i, []).append((t, n, k))
+    assert by[1] == [(a, 3, 0)] and sorted(by[2]) == [("", 3, 3), (b, 3, 0), (b, 3, 0)] and by[3] == [("", 3, 3)] and by[0] == [(a, 3, 0)]
+    assert by[4] == [(None, 0, 0)] and by[6] == [("", 0, 0)] and by[5][0][1:] == (40_000, 39_999) and line_windows.drop_repeated_windows(d.where("false")).count() == 0
+
+
+def test_quality_rules_on_clashing_names(spark):
+    rows = [(1, "word " * 30), (1, "word " * 30), (2, None), (None, "a b"), (3, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'m' as stats", "7 as Kept", "1 as w", "2 as t", "3 as l", "4 as rule", "5 as base_failed", "6 as n_words", "8 as __id")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
+    rules = quality_rules.learn_rules(d, labels)
+    out = quality_rules.apply_rules(d, [*rules, quality_rules.Rule((("symbols", ">", 0.5),), 1, 1.0)])
+    assert [x.stats.n_words for x in out.orderBy("doc_id", "text").collect()] == [2, 30, 30, 0, 0] and out.where("base_failed").count() == 5
+    assert out.columns == ["doc_id", "text", "w", "t", "l", "n_words", "__id", "stats", "base_failed", "rule", "kept"] and quality_rules.apply_rules(d.where("false"), []).count() == 0
+
+
 def test_near_vectors(spark):
     r = np.random.default_rng(2)
     v = r.normal(size=(90, 16))
