@@ -289,6 +289,12 @@ def test_near_vectors(spark):
     v = r.normal(size=(90, 16))
     v[30:60] = v[:30] + r.normal(scale=0.15, size=(30, 16))
     v[60:66] = v[0]
+    v[:30] /= np.linalg.norm(v[:30], axis=1)[:, None]
+    for k in range(10):  # ties and near ties with the threshold, above and below
+        w = r.normal(size=16)
+        w -= (w @ v[k]) * v[k]
+        v[70 + 2 * (k // 2)] = v[k]
+        v[71 + 2 * (k // 2)] = 0.93 * v[k] + (1 - 0.93**2) ** 0.5 * w / np.linalg.norm(w)
     rows = [(i, x.tolist(), i % 2) for i, x in enumerate(v)] + [(90, None, 0), (91, [0.0] * 16, 0), (92, [float("nan")] * 16, 0), (93, [None] * 16, 1), (94, v[0].tolist(), None), (95, [1.0], 0), (96, [], 0)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     v = v.astype(np.float32).astype(float)
@@ -304,6 +310,29 @@ def test_near_vectors(spark):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum(), np.flatnonzero(reach[i])[0], np.flatnonzero(reach[i])[0] == i)
 
 
+def test_near_vectors_ship_integers_and_bound_their_error():
+    r = np.random.default_rng(4)
+    v = r.normal(size=(200, 48)) * 10.0 ** r.integers(-150, 150, (200, 1))
+    v[100:] = v[:100] * 3 + np.abs(v[:100]).max(1, keepdims=True) * r.normal(scale=r.uniform(0, 0.3, (100, 1)), size=(100, 48))
+    q = embedding_dedup.quantise(v)
+    u = v / np.abs(v).max(1, keepdims=True)
+    true = u @ u.T / np.outer(np.linalg.norm(u, axis=1), np.linalg.norm(u, axis=1))
+    seen, open_pairs = set(), 0
+    for a, b, sure in embedding_dedup.screen(q, None, 0.93, side=64):
+        assert q[0].dtype == np.int8 and (true[a[sure], b[sure]] >= 0.93).all()
+        seen |= set(zip(a.tolist(), b.tolist(), strict=True))
+        open_pairs += (~sure).sum()
+    need = {(i, j) for i, j in zip(*np.nonzero(true >= 0.93), strict=True) if i < j}
+    assert need <= seen and len(need) > 30 and open_pairs < 40
+
+
+def test_near_vectors_of_repeated_ids_and_empty_tables(spark):
+    d = spark.createDataFrame([(3, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (7, [0.0, 1.0], 1), (8, [1.0, 0.01], 1), (9, [1.0, 0.0], 2), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
+    got = sorted(map(tuple, embedding_dedup.near_vectors(d.selectExpr("*", "1 as rep", "2 as d1", "3 as codes")).collect()), key=str)
+    assert got == sorted([(3, 2, 3, True), (5, 2, 3, False), (5, 1, 3, False), (7, 1, 3, False), (8, 2, 3, False), (9, 0, 9, True), (None, 0, None, False)], key=str)
+    assert embedding_dedup.near_vectors(d.where("false")).count() == 0
+
+
 def test_language_id(spark):
     r = random.Random(8)
     parts = {"aa": ["ka", "lo", "mi"], "bb": ["the", "ing", "st"], "cc": ["é", "eau", "ç"]}
