@@ -66,11 +66,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds.astype(np.int64)
 
 
-def chunks(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about _CHUNK bytes together; a longer text is a run of its own."""
+def chunks(bounds: np.ndarray, size: int = _CHUNK) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about size bytes together; a longer text is a run of its own."""
     at, last = 0, len(bounds) - 1
     while at < last:
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
         yield at, min(to, last)
         at = min(to, last)
 

@@ -15,6 +15,7 @@ The plan is a list of runs: pieces of one length and of consecutive ranks, laid
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,14 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ngram_join import _GAP, chunks, text_bytes
 from .shared import materialize, shuffle_partitions
 
-#: Words whose ids a Python worker keeps at most; beyond that it starts anew.
-KEPT_WORDS = 400_000
+#: Bytes of words and their ids that a Python worker keeps, about; beyond that it starts anew.
+KEPT_BYTES = 48 << 20
+#: Bytes of text cut into tokens at a time; longer texts are cut at white space.
+_CHUNK = 2 << 20
 
 
-class WordIds(dict):
-    """Ids of white-space-free pieces of text as little-endian unsigned 32-bit numbers, for a vocabulary file with word ends.
+class WordIds:
+    """Ids of white-space-free pieces of text for a vocabulary file with word ends.
 
     White space never joins tokens of this vocabulary, so a text's ids are those of its pieces one after another. A piece
     of plain letters, digits and marks is looked up in a byte-pair merger that ranks tokens by id; the end of a word is
@@ -55,45 +59,115 @@ class WordIds(dict):
         ranks = {
             bytes(byte_of[c] for c in t.removesuffix("</w>")) + (b"\xff" if t.endswith("</w>") else b""): i for t, i in vocab.items() if i not in special
         }
+        del vocab
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.plain = regex.compile(r"[!-;=?-~¡-˿]+")  # no < or >: special tokens are strings with them; no combining marks
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.kept: dict[str, bytes] = {}
+        self.size = 0
 
-    def __missing__(self, piece: str) -> bytes:
+    def of(self, piece: str) -> bytes:
+        """The ids of one piece as 32-bit numbers."""
         if piece.isascii() and piece.isalpha():
             ids = self.merge(piece.lower().encode() + b"\xff")
         elif self.plain.fullmatch(piece):
             ids = [i for w in self.words.findall(piece.lower()) for i in self.merge(w.encode() + b"\xff")]
         else:
             ids = self.whole.encode(piece, add_special_tokens=False).ids
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[piece] = out = np.array(ids, "<u4").tobytes()
+        out = array("I", ids).tobytes()
+        self.size += 200 + len(piece) + len(out)
+        if self.size > KEPT_BYTES:
+            self.kept.clear()
+            self.size = 0
+        self.kept[piece] = out
         return out
 
+    def of_all(self, text: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many pieces, given as their bytes put together and their lengths, one after another, and how many each has.
+        Each different piece is looked up once."""
+        bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        told = pa.StringArray.from_buffers(len(length), pa.py_buffer(bounds), pa.py_buffer(text)).dictionary_encode()
+        kept, of = self.kept.get, self.of
+        each = [kept(p) or of(p) for p in told.dictionary.to_pylist()]
+        code = told.indices.to_numpy()
+        many = np.fromiter(map(len, each), np.int64, len(each)) >> 2
+        first = np.concatenate([[0], np.cumsum(many)[:-1]])
+        n = many[code]
+        at = np.repeat(first[code] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        return np.frombuffer(b"".join(each), "<u4")[at], n
+
 
 @lru_cache(maxsize=1)
 def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-_GAPS = str.maketrans("\t\n\v\f\r", "     ")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[ord(c) for c in ".,;:!?()"]] = True
+
+
+def _split(part: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a stretch of texts without white space, and where in the stretch its pieces begin.
+
+    The vocabulary knows no capitals, and a mark after a letter of ASCII begins a new token, so such letters are made small and such
+    pieces cut, to leave few different ones. Pieces with < or > stay as they are, as special tokens are strings with them.
+    """
+    gap = _GAP[part]
+    begins = ~gap & (np.concatenate([[True], gap[:-1]]) | fresh)
+    letter = _LETTER[part]
+    cut, large = _MARK[part] & np.concatenate([[False], letter[:-1]]) & ~fresh, letter & (part < 97)
+    odd = (part == 60) | (part == 62)
+    if odd.any():
+        first = np.flatnonzero(begins)
+        odd = np.logical_or.reduceat(odd, first)[np.maximum(np.cumsum(begins) - 1, 0)]
+        cut, large = cut & ~odd, large & ~odd
+    return (part + (large * np.uint8(32)))[~gap], np.flatnonzero(begins | cut)
+
+
+def _token_lists(raw: np.ndarray, bounds: np.ndarray, ids_of: WordIds) -> Iterator[np.ndarray]:
+    """The ids of each text between the bounds."""
+    for lo, hi in chunks(bounds, _CHUNK):
+        found: list[np.ndarray] = []
+        counts = np.zeros(hi - lo, np.int64)
+        at, last = int(bounds[lo]), int(bounds[hi])
+        while at < last:
+            to = min(at + _CHUNK, last)
+            gap = _GAP[raw[at:to]]
+            while to < last and hi - lo == 1 and not gap.any():  # a text without white space for long
+                to = min(to + _CHUNK, last)
+                gap = _GAP[raw[at:to]]
+            if to < last and hi - lo == 1:
+                to = at + int(np.flatnonzero(gap)[-1]) + 1
+            elif to < last:
+                to = last
+            fresh = np.zeros(to - at, bool)
+            fresh[bounds[np.searchsorted(bounds, at) : np.searchsorted(bounds, to)] - at] = True
+            text, start = _split(raw[at:to], fresh)
+            if len(start):
+                solid = np.cumsum(~_GAP[raw[at:to]], dtype=np.int64)
+                ids, n = ids_of.of_all(text, np.diff(solid[start] - 1, append=len(text)))
+                found.append(ids)
+                counts += np.bincount(np.searchsorted(bounds, start + at, "right") - 1 - lo, n, hi - lo).astype(np.int64)
+            at = to
+        whole = np.concatenate(found) if found else np.zeros(0, "<u4")
+        yield from np.split(whole, np.cumsum(counts)[:-1])
+
+
 def _cut(path: str, most: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = _word_ids(path), np.array([end_id], "<u4").tobytes()
-        get = ids_of.__getitem__
+        ids_of, end = _word_ids(path), np.array([end_id], "<u4")
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = (text.as_py() or "").translate(_GAPS).split(" ")
-                ids = b"".join([get(w) for w in words if w]) + end
-                n = len(ids) // 4
-                for k, at in enumerate(range(0, n, most)):
-                    part = ids[4 * at : 4 * (at + most)]
-                    out.append((doc, k, at, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+            raw, bounds = text_bytes(batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), _token_lists(raw, bounds, ids_of), strict=True):
+                ids = np.concatenate([ids, end])
+                for k, at in enumerate(range(0, len(ids), most)):
+                    part = ids[at : at + most]
+                    out.append((doc, k, at, len(part), zlib.crc32(part), *([part.tobytes()] if with_ids else [])))
                 if len(out) > 20_000:
                     yield _batch(out, with_ids)
                     out = []
@@ -112,7 +186,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
     """Documents as tokens, cut where they are longer than a sequence: (doc_id, piece, start, length, ids_crc32[, ids]).
 
     A null text is an empty one: it has only the end id. Rows that repeat an id stay rows of their own; a null id stays
-    null.
+    null. Other columns are ignored, whatever their names.
     """
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         _cut(tokenizer, most, end_id, with_ids), _PIECES + ", ids binary" * with_ids
