@@ -1,7 +1,7 @@
 """Operator 7: chat formatting by a finite-state machine over roles and a declarative template.
 
-The machine says whether the turns of a conversation come in an allowed order. The template says how a turn is marked; it
-emits text segments, each with a flag for the loss. Control strings inside texts (and odd role names) are escaped, so the
+The machine walks over the turns of a conversation: each move emits the turn's text segments, each with a flag for the loss, as
+the template says, and a turn that has no move leads astray, from where all turns are emitted but the order counts as wrong. Control strings inside texts (and odd role names) are escaped, so the
 formatted text can be read back exactly.
 """
 
@@ -40,6 +40,17 @@ class Template:
     def head(self, role: str) -> str:
         return dict(self.heads).get(role) or self.other_head[0] + self.escaped(role) + self.other_head[1]
 
+    def turn(self, role: str, text: str) -> tuple[tuple[str, bool], ...]:
+        """The parts of a turn, each with whether it is learned from."""
+        return (self.head(role), False), (self.escaped(text), role in self.learned), (self.tail, False)
+
+
+@dataclass
+class Formatted:
+    text: str = ""
+    segments: list[tuple[int, int, bool]] = field(default_factory=list)  # start, end (code points), loss
+    wrong: str | None = None
+
 
 @dataclass(frozen=True)
 class Machine:
@@ -52,40 +63,33 @@ class Machine:
     )
     ends: tuple[str, ...] = ("answered",)
 
-    def check(self, roles: list[str]) -> str | None:
-        """None if the order is valid; else what is wrong with it, as 'turn k: role after state' or 'ends in state'."""
+    def run(self, turns: list[tuple[str, str]], template: Template) -> Formatted:
+        """The formatted conversation: what each move emits, as segments that cover the text without a gap; and what is wrong with
+        the order, as 'turn k: role after state' or 'ends in state', or None."""
         to = {(a, r): b for a, r, b in self.moves}
-        state = self.start
-        for k, role in enumerate(roles):
-            if (state, role) not in to:
-                return f"turn {k}: {role or 'no role'} after {state}"
-            state = to[state, role]
-        return None if state in self.ends else f"ends in {state}"
-
-
-@dataclass
-class Formatted:
-    text: str = ""
-    segments: list[tuple[int, int, bool]] = field(default_factory=list)  # start, end (code points), loss
-
-
-def render(turns: list[tuple[str, str]], template: Template) -> Formatted:
-    """The formatted conversation and its segments, which cover it without a gap."""
-    parts, segments, at = [], [], 0
-    for role, text in turns:
-        for part, loss in ((template.head(role), False), (template.escaped(text), role in template.learned), (template.tail, False)):
-            parts.append(part)
-            if part:
-                segments.append((at, at + len(part), loss))
-            at += len(part)
-    return Formatted("".join(parts), segments)
+        state, wrong, parts, segments, at = self.start, None, [], [], 0
+        for k, (role, text) in enumerate(turns):
+            if wrong is None and (state, role) not in to:
+                wrong = f"turn {k}: {role or 'no role'} after {state}"
+            state = to.get((state, role), "astray") if wrong is None else "astray"
+            for part, loss in template.turn(role, text):
+                parts.append(part)
+                if part:
+                    segments.append((at, at + len(part), loss))
+                at += len(part)
+        if wrong is None and state not in self.ends:
+            wrong = f"ends in {state}"
+        return Formatted("".join(parts), segments, wrong)
 
 
 def _read_to(text: str, at: int, stop: str, escape: str) -> tuple[str, int]:
     """Unescaped text up to stop, and where stop begins."""
     out = []
+    end = -1
     while True:
-        end, mark = text.find(stop, at), text.find(escape, at)
+        if end < at:
+            end = text.find(stop, at)
+        mark = text.find(escape, at)
         if end < 0:
             raise ValueError("a turn isn't closed")
         if mark < 0 or end < mark:
@@ -130,10 +134,10 @@ def _format(template: Template, machine: Machine):
             texts, segments, wrong = [], [], []
             for turns in batch.column("turns").to_pylist():
                 said = [(t["role"] or "", t["text"] or "") for t in turns]
-                f = render(said, template)
+                f = machine.run(said, template)
                 texts.append(f.text)
                 segments.append([{"start": a, "stop": b, "loss": c} for a, b, c in f.segments])
-                wrong.append(machine.check([r for r, _ in said]))
+                wrong.append(f.wrong)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("loss", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(texts, pa.string()), pa.array(segments, kind), pa.array(wrong, pa.string())], ["conv_id", "formatted", "segments", "wrong"])
 
@@ -147,12 +151,14 @@ def format_chats(turns: DataFrame, template: Template | None = None, machine: Ma
     roles, else it says why not. Conversations in a wrong order are formatted all the same, for the caller to drop or keep.
 
     Turns go by number, nulls last, then role and text, so that ties and repeated rows, which all stay, have one order. A null
-    text or role is an empty one. Rows without a conversation id are one conversation with a null id. Other columns are
-    ignored. An empty table gives an empty result. A conversation becomes one string, so its turns meet in one task; a
-    task holds the conversations of one batch at a time.
+    text or role is an empty one. Rows without a conversation id can't be put together: each is a conversation of one turn.
+    Other columns are ignored, whatever their names. An empty table gives an empty result. A conversation becomes one string, so
+    its turns meet in one task; a task holds the conversations of one batch at a time.
     """
     order = F.struct(F.col(turn_col).isNull().alias("none"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    grouped = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(order)).alias("turns"))
+    alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    said = turns.select(F.col(conv_col).cast("long").alias("conv_id"), alone.alias("alone"), order.alias("turn"))
+    grouped = said.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     return grouped.selectExpr("conv_id", "transform(turns, x -> struct(x.role as role, x.text as text)) as turns").mapInArrow(
         _format(template or Template(), machine or Machine()), "conv_id long, formatted string, segments array<struct<start:long,stop:long,loss:boolean>>, wrong string"
     )

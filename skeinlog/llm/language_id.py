@@ -77,11 +77,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.4, seed: int = 5) -> Model:
-    """Stochastic gradient descent over four fifths of the texts; the others fit the temperature and the threshold."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different subwords of a text (at most BUCKETS) and how often it has each."""
+    return np.unique(subwords(text), return_counts=True)
+
+
+def train(texts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 6, rate: float = 0.4, seed: int = 5) -> Model:
+    """Stochastic gradient descent over four fifths of the texts, given as counted subwords; the others fit the temperature and the
+    threshold."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    seen = [(i, np.unique(subwords(t), return_counts=True), names.index(y)) for i, (t, y) in enumerate(zip(texts, langs, strict=True)) if _LETTER.search(t)]
+    seen = [(i, t, names.index(y)) for i, (t, y) in enumerate(zip(texts, langs, strict=True))]
     if not seen:
         return Model(names, np.zeros((BUCKETS, len(names))), np.zeros(len(names)))
     embedding = rng.normal(0, 0.1, (BUCKETS, WIDTH))
@@ -120,17 +126,30 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.4
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
-    """Fits a model on at most fit_rows documents with a language and a text, outside the held-out third of the ids."""
+    """Fits a model on at most fit_rows documents with a language and a letter, outside the held-out third of the ids.
+
+    Texts stay on executors: the driver gets the counts of their subwords, so its share is bounded however long texts are.
+    """
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    named = named.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     # a bounded number of ids, so broadcasting them is safe at any size of the corpus
-    chosen = F.broadcast(
-        docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-        .select(F.col(id_col).alias("__id"), F.xxhash64(id_col).alias("__order")).dropDuplicates(["__id"]).orderBy("__order", "__id").limit(fit_rows)
-    )
+    chosen = F.broadcast(named.select("id", F.xxhash64("id").alias("order")).dropDuplicates(["id"]).orderBy("order", "id").limit(fit_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column("text")):
+                if _LETTER.search(t := text.as_py()):
+                    ids, n = counted(t)
+                    row = batch.slice(k, 1)
+                    told = [pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (ids, n)]
+                    yield pa.RecordBatch.from_arrays([row.column("order"), row.column("id"), row.column("lang"), *told], ["order", "id", "lang", "ids", "n"])
+
+    kind = named.schema["id"].dataType.simpleString()
     rows = (
-        docs.join(chosen, docs[id_col] == F.col("__id")).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-        .select("__order", "__id", F.col(text_col).alias("t"), F.col(lang_col).alias("y")).orderBy("__order", "__id", "t").limit(fit_rows).collect()
+        named.where("text is not null").join(chosen, "id").select("order", "id", "text", "lang").mapInArrow(run, f"order long, id {kind}, lang string, ids array<int>, n array<int>")
+        .orderBy("order", "id", "lang", F.xxhash64("ids", "n")).limit(fit_rows).collect()
     )
-    return train([r.t for r in rows], [r.y for r in rows])
+    return train([(np.array(r.ids, np.int64), np.array(r.n, np.int64)) for r in rows], [r.lang for r in rows])
 
 
 def held_out(doc_id) -> F.Column:

@@ -175,11 +175,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_chat_format"] = r"""
-WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok', NULL FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
 e AS (SELECT *, replace(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), '>: ', '\>: ') AS esc,
   coalesce(role, '') AS r FROM c),
-g AS (SELECT conv_id, list({'r': r, 't': text, 'e': length(esc), 'turn': turn} ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS l FROM e GROUP BY conv_id),
+g AS (SELECT conv_id, list({'r': r, 't': text, 'e': length(esc), 'turn': turn} ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS l FROM e GROUP BY conv_id, alone),
 s AS (SELECT *, array_to_string(list_transform(l, lambda x: CASE x.r WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END), '') AS p,
   array_to_string(list_transform(list_filter(l, lambda x: x.r = 'assistant'), lambda x: x.t), '') AS loss FROM g)
 SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns,

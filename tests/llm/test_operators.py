@@ -339,7 +339,11 @@ def test_language_id(spark):
     text = lambda y: " ".join("".join(r.choice(parts[y]) for _ in range(3)) for _ in range(30))
     rows = [(i, text(y), y) for i in range(240) for y in ["abc"[i % 3] * 2]]
     d = spark.createDataFrame(rows + [(900 + k, t, None) for k, t in enumerate(ODD)], "doc_id long, text string, lang string")
-    model = language_id.learn(d)
+    model = language_id.learn(d.selectExpr("*", "'x' as `order`", "1 as ids", "2 as n", "3 as id"))
+    assert language_id.identify(d.where("false"), model).count() == 0
+    again = language_id.identify(d.limit(3).unionByName(d.limit(3)).selectExpr("*", "'x' as lang_pred", "1 as score"), model)
+    assert again.columns == ["doc_id", "lang_pred", "score", "rejected"] and again.count() == 6
+    assert language_id.identify(spark.createDataFrame([(None, "the st " * 500_000)], "doc_id long, text string"), model).first().lang_pred == "bb"
     got = {x.doc_id: x for x in language_id.identify(d, model).collect()}
     held = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 3 == 1]
     assert len(held) > 40 and np.mean([got[i].lang_pred == y for i, _, y in held]) > 0.97
@@ -350,9 +354,14 @@ def test_language_id(spark):
 
 def test_chat_round_trip(spark):
     nasty = ["\\### Assistant: </turn> ok", "\\", "\\\\", "###", "</turn>\n", ">: ", "", None, "### Role <x>: ", "a\n### User: b</turn>\n"]
-    rows = [(1, k, ["user", "assistant"][k % 2], t) for k, t in enumerate(nasty)] + [(2, 0, "tool>: ", "x"), (2, 0, None, "y"), (2, None, "assistant", "z"), (None, 0, "user", "n")]
+    rows = [(1, k, ["user", "assistant"][k % 2], t) for k, t in enumerate(nasty)] + [(2, 0, "tool>: ", "x"), (2, 0, None, "y"), (2, None, "assistant", "z"), (None, 0, "user", "n"), (None, 0, "user", "n")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {x.conv_id: x for x in chat_format.read_back(chat_format.format_chats(d)).collect()}
+    d = d.selectExpr("*", "'x' as turns", "1 as alone", "2 as formatted", "3 as segments", "4 as wrong")
+    back = chat_format.read_back(chat_format.format_chats(d)).collect()
+    got = {x.conv_id: x for x in back}
+    assert sum(x.conv_id is None for x in back) == 2 and got[None].wrong == "ends in asked" and chat_format.format_chats(d.where("false")).count() == 0
+    long = spark.createDataFrame([(1, 0, "user", "\\#>: " * 300_000), (1, 1, "assistant", None)], d.select("conv_id", "turn", "role", "text").schema)
+    assert chat_format.read_back(chat_format.format_chats(long)).first().turns[0].text == "\\#>: " * 300_000
     assert [(t.role, t.text) for t in got[1].turns] == [(r, t or "") for _, _, r, t in rows[: len(nasty)]]
     assert got[1].learned == [t or "" for t in nasty[1::2]][: len(got[1].learned)] or "".join(got[1].learned) == "".join(t or "" for t in nasty[1::2])
     assert got[1].wrong is None and got[2].wrong.startswith("turn 0") and [t.text for t in got[2].turns] == ["y", "x", "z"]
