@@ -86,7 +86,7 @@ def gated_entries(decoded: DataFrame, players: DataFrame) -> DataFrame:
 
 
 def combat_marks(decoded: DataFrame) -> DataFrame:
-    """Combat state lines with reset_id and combat_id, each with the range of lines up to the next mark.
+    """Combat state lines with reset_id, combat_id and in_combat, as they are from that line on.
 
     An end counts if the mark before it is a start. combat_id counts such ends, reset_id these and starts.
     """
@@ -97,22 +97,16 @@ def combat_marks(decoded: DataFrame) -> DataFrame:
         m.withColumn("combat_id", F.sum(F.col("ends").cast("long")).over(order))
         .withColumn("reset_id", F.sum((F.col("ends") | (F.col("combat") == "start")).cast("long")).over(order))
         .withColumn("in_combat", F.col("combat") == "start")
-        .withColumn("until_seq", F.lead("seq").over(order))
     )
 
 
-def with_resets(rows: DataFrame, marks: DataFrame, width: int = 10_000) -> DataFrame:
-    """Adds combat_id, reset_id and in_combat of the last mark before each row's line (0, 0 and false before the first).
+def with_resets(rows: DataFrame, marks: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Adds combat_id, reset_id and in_combat of the last mark at or before each row's line (0, 0 and false before the first).
 
-    Each stretch of lines between marks is an interval, so this is a bucketed range join on line numbers rather than a
-    window over all lines of a session.
+    of: where the rows' lines come from, if that is cheaper to read than rows.
     """
-    last = rows.groupBy(*KEY).agg(F.max("seq").alias("_last"))
-    spans = marks.join(last, KEY).where("seq <= _last").select(
-        *KEY, F.col("seq").alias("_from"), F.least(F.coalesce(F.col("until_seq") - 1, F.col("_last")), F.col("_last")).alias("_to"), "combat_id", "reset_id", "in_combat"
-    ).where("_from <= _to")
-    joined = K.range_attach(rows, spans, KEY, "seq", "_from", "_to", width, "left").drop("_from", "_to")
-    return joined.na.fill({"combat_id": 0, "reset_id": 0, "in_combat": False})
+    spans = K.stretches(marks, rows if of is None else of, KEY, ["combat_id", "reset_id", "in_combat"])
+    return K.along(rows, spans, KEY).na.fill({"combat_id": 0, "reset_id": 0, "in_combat": False})
 
 
 def with_ranks(entries: DataFrame, decoded: DataFrame) -> DataFrame:
@@ -139,7 +133,7 @@ def with_effective_healing(entries: DataFrame) -> DataFrame:
 
 def entries(decoded: DataFrame, players: DataFrame) -> DataFrame:
     """The finished table of entries."""
-    gated = with_resets(gated_entries(decoded, players), combat_marks(decoded))
+    gated = with_resets(gated_entries(decoded, players), combat_marks(decoded), decoded)
     return with_effective_healing(with_ranks(gated, decoded))
 
 

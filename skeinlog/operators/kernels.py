@@ -116,6 +116,42 @@ def range_attach(points: DataFrame, intervals: DataFrame, keys: Sequence[str], a
     return spots.join(listed, on, how).drop("_spot", "_bucket", *[f"_k_{k}" for k in keys])
 
 
+#: Lines of a block, as a power of two: numbers of lines grow within a split of a file and jump between splits.
+BLOCK_BITS = 16
+
+
+def stretches(marks: DataFrame, of: DataFrame, keys: Sequence[str], values: Sequence[str], at: str = "seq") -> DataFrame:
+    """What the last mark at or before a line says, as stretches of lines: (keys, _block, _from, _to, values).
+
+    of holds the lines; each block of lines that it has is covered without a gap, by the stretches of the block's own marks and
+    by what the mark before the block says (null: there is none). So the table has a row for each mark and block, however far
+    apart line numbers lie, and the only window over a whole key runs over its blocks.
+    """
+    size = 1 << BLOCK_BITS
+    block = F.shiftright(F.col(at), BLOCK_BITS)
+    last_of = F.shiftleft(F.col("_block"), BLOCK_BITS) + F.lit(size - 1)
+    m = marks.select(*keys, at, *values, block.alias("_block"))
+    inside = m.withColumn("_to", F.coalesce(F.lead(at).over(_over([*keys, "_block"], [at])) - 1, last_of)).select(*keys, "_block", F.col(at).alias("_from"), "_to", *values)
+    own = m.groupBy(*keys, "_block").agg(F.min(at).alias("_first"), F.max_by(F.struct(*values), at).alias("_v"))
+    seen = of.select(*keys, block.alias("_block")).distinct().withColumn("_first", F.lit(None).cast("long")).withColumn("_v", F.lit(None).cast(own.schema["_v"].dataType))
+    blocks = seen.unionByName(own).groupBy(*keys, "_block").agg(F.max("_first").alias("_first"), F.first("_v", ignorenulls=True).alias("_v"))
+    carry = F.last("_v", ignorenulls=True).over(_over(keys, ["_block"]).rowsBetween(W.unboundedPreceding, -1))
+    before = blocks.withColumn("_c", carry).select(
+        *keys, "_block", F.shiftleft(F.col("_block"), BLOCK_BITS).alias("_from"), F.coalesce(F.col("_first") - 1, last_of).alias("_to"), *[F.col(f"_c.{v}").alias(v) for v in values]
+    )
+    return inside.unionByName(before).where("_from <= _to")
+
+
+def along(rows: DataFrame, spans: DataFrame, keys: Sequence[str], at: str = "seq") -> DataFrame:
+    """Adds to each row what the stretch of its line says (see stretches, of which of must hold the rows' lines)."""
+    listed = spans.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in spans.columns])
+    spots = rows.withColumn("_spot", F.shiftright(F.col(at), BLOCK_BITS))
+    on = (F.col("_spot") == F.col("_block")) & F.col(at).between(F.col("_from"), F.col("_to"))
+    for k in keys:
+        on &= spots[k].eqNullSafe(F.col(f"_k_{k}"))
+    return spots.join(listed, on).drop("_spot", "_block", "_from", "_to", *[f"_k_{k}" for k in keys])
+
+
 def dense_buckets(df: DataFrame, keys: Sequence[str], bucket: str, aggregates: dict[str, Column]) -> DataFrame:
     """Aggregates by bucket with every bucket between a key's first and last present; missing values are null."""
     grouped = df.groupBy(*keys, bucket).agg(*[v.alias(k) for k, v in aggregates.items()])

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import decode as D
@@ -187,24 +186,30 @@ def summoners(cleaned: DataFrame) -> DataFrame:
     return s.select(*KEY, g[1].alias("owner")).where("owner is not null").distinct()
 
 
-def recording_player(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Adds me: the player of the last roster line with talents at or before each line, else of the first one.
+def recorders(lines: DataFrame) -> DataFrame:
+    """Roster lines with talents: (keys, seq, clock, me)."""
+    clock = F.regexp_extract("text", D.CLOCK, 0)
+    me = lines.where(F.col("text").contains("COMBATANT_INFO")).select(*KEY, "seq", clock.alias("clock"), D.recorder(F.col("text")).alias("me"))
+    return me.where("me is not null and clock <> ''")
+
+
+def recording_player(lines: DataFrame, strict: bool = False, facts: DataFrame | None = None) -> DataFrame:
+    """Adds me: the player of the last roster line with talents at or before each line, else of the first one; and facts, a row for
+    each session, by the same join.
 
     Lines go by number; strict compares the text of their times instead, as the log's first reader did.
     """
-    clock = F.regexp_extract("text", D.CLOCK, 0)
-    me = lines.where(F.col("text").contains("COMBATANT_INFO")).select(*KEY, "seq", clock.alias("clock"), D.recorder(F.col("text")).alias("me")).where("me is not null and clock <> ''")
+    me = recorders(lines)
     first = me.groupBy(*KEY).agg(F.min_by("me", "seq").alias("_first"))
+    facts = first if facts is None else first.join(facts, KEY, "full_outer")
     if strict:
-        marked = lines.withColumn("_clock", clock).unionByName(me.select(*KEY, F.lit(None).cast("long").alias("seq"), F.col("clock").alias("_clock"), F.col("me").alias("_me")), allowMissingColumns=True)
-        out = K.asof_last(marked, KEY, ["_clock", "seq"], F.col("_me"), "_last").where("seq is not null").drop("_clock", "_me")
+        marked = lines.withColumn("_clock", F.regexp_extract("text", D.CLOCK, 0)).unionByName(me.select(*KEY, F.lit(None).cast("long").alias("seq"), F.col("clock").alias("_clock"), F.col("me").alias("_me")), allowMissingColumns=True)
+        out = K.asof_last(marked, KEY, ["_clock", "seq"], F.col("_me"), "_last").where("seq is not null").drop("_clock", "_me").join(facts, KEY, "left")
     else:
-        # stretches between such lines, joined by range: no window over all lines of a session
-        spans = me.withColumn("_until", F.coalesce(F.lead("seq").over(W.partitionBy(*KEY).orderBy("seq")) - 1, F.col("seq") + 10_000_000_000))
-        top = lines.groupBy(*KEY).agg(F.max("seq").alias("_top"))
-        spans = spans.join(top, KEY).select(*KEY, F.col("seq").alias("_from"), F.least("_until", "_top").alias("_until"), F.col("me").alias("_last")).where("_from <= _until")
-        out = K.range_attach(lines, spans, KEY, "seq", "_from", "_until", 10_000, "left").drop("_from", "_until")
-    return out.join(F.broadcast(first), KEY, "left").withColumn("me", capitalize(F.coalesce("_last", "_first"))).drop("_last", "_first")
+        # stretches between such lines, joined by block: no window over all lines of a session
+        spans = K.stretches(me.select(*KEY, "seq", F.col("me").alias("_last")), lines, KEY, ["_last"])
+        out = K.along(lines, spans.join(facts, KEY, "left"), KEY)
+    return out.withColumn("me", capitalize(F.coalesce("_last", "_first"))).drop("_last", "_first")
 
 
 def _self_damage(text: Column) -> Column:
@@ -238,7 +243,7 @@ def tag_pet_spells(text: Column, spells: Column) -> Column:
 
 
 def normalise(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """All rewriting steps in their order. Owners, pets and recorders are few, so they are joined by broadcast."""
+    """All rewriting steps in their order. Owners, pets and recorders come by one join on blocks of lines."""
     t = F.col("text")
     cleaned = cut(first_pass(lines))  # read five times below
     pet_owners = cut(owners(cleaned))  # a few rows, used three times
@@ -246,9 +251,8 @@ def normalise(lines: DataFrame, strict: bool = False) -> DataFrame:
     names = cut(names)
     renamed = pet_owners.where("renamed").groupBy(*KEY).agg(F.collect_set("owner").alias("_renamed"))
     spells = pet_owners.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("owner", "spells"))).alias("_spells"))
-    out = recording_player(cleaned, strict)
-    for few in (names, renamed, spells):  # a row for each session; all joins come before the rewriting of texts
-        out = out.join(F.broadcast(few), KEY, "left")
+    # a row for each session; all joins come before the rewriting of texts
+    out = recording_player(cleaned, strict, names.join(renamed, KEY, "full_outer").join(spells, KEY, "full_outer"))
 
     fixed = None
     for a, b in APOSTROPHES:

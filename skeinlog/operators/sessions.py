@@ -116,16 +116,13 @@ def line_ranges(sessions: DataFrame) -> DataFrame:
 
 
 def assign_lines(lines: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Lines of each session, with session_id: inside its line bounds and times; lines without a time stay.
-
-    Sessions are few in a log, so they are joined by log and broadcast.
-    """
-    s = line_ranges(sessions).select("log_id", F.col("session_no").alias("session_id"), "first_line", "last_line", "t_lo", "t_hi")
-    ts = D.parse_ts(F.trim("text"))
-    timed = lines.where(F.trim("text") != "").withColumn("_ts", ts).join(F.broadcast(s), "log_id")
+    """Lines of each session, with session_id: inside its line bounds and times; lines without a time stay."""
+    s = line_ranges(sessions).select(F.col("log_id").alias("_log"), F.col("session_no").alias("session_id"), "first_line", "last_line", "t_lo", "t_hi")
+    timed = lines.where(F.trim("text") != "").withColumn("_ts", D.parse_ts(F.trim("text")))
     inside = (F.col("seq") >= F.col("first_line")) & (F.col("last_line").isNull() | (F.col("seq") <= F.col("last_line")))
     when = F.col("_ts").isNull() | (((F.col("t_lo").isNull()) | (F.col("_ts") >= F.col("t_lo"))) & ((F.col("t_hi").isNull()) | (F.col("_ts") <= F.col("t_hi"))))
-    return timed.where(inside & when).drop("_ts", "first_line", "last_line", "t_lo", "t_hi")
+    # tested inside the join, so no line is listed once for each session of its log
+    return timed.join(s, (F.col("log_id") == F.col("_log")) & inside & when).drop("_ts", "_log", "first_line", "last_line", "t_lo", "t_hi")
 
 
 def whole_log(lines: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def export_sessions(lines: DataFrame, sessions: DataFrame, path: str, splits: in
     A session is sorted and written by one task (splits: by so many, each with a run of its lines).
     """
     named = export_names(sessions).where("is_raid").select("log_id", F.col("session_no").alias("session_id"), "export_name")
-    out = lines.join(F.broadcast(named), ["log_id", "session_id"])
+    out = lines.join(named, ["log_id", "session_id"])
     if splits > 1:
         out = out.repartitionByRange(splits, "export_name", "seq")
     else:
@@ -81,8 +81,13 @@ def export_sessions(lines: DataFrame, sessions: DataFrame, path: str, splits: in
     out.sortWithinPartitions("export_name", "seq").select("text", "export_name").write.partitionBy("export_name").option("compression", "gzip").text(path)
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Writes a table and reads it again. Decoded lines and entries feed every query: store them once, by log, so that later
-    plans begin at a scan and read only the columns they need."""
-    df.write.mode("overwrite").partitionBy(*[c for c in ("log_id",) if c in df.columns]).parquet(path)
+def stored(df: DataFrame, path: str, files: int | None = None) -> DataFrame:
+    """Writes a table and reads it again. Decoded lines and entries feed every query: store them once, sorted by log and line within
+    files, so that later plans begin at a scan, read only the columns they need, and skip what their logs aren't in.
+
+    Lines are dealt by ranges of log and line number, so a log of any size is spread over files, and a file holds few logs.
+    """
+    order = [c for c in ("log_id", "session_id", "seq") if c in df.columns]
+    dealt = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def root(spark: SparkSession) -> str:
+    """The shared folder. There is no other to fall back to: what executors write to their own disks, others can't read."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes a table and reads it again: ends a long lineage, and survives the loss of executors."""
-    conf = df.sparkSession.conf
-    root = conf.get("spark.checkpoint.dir", None)
-    if not root:  # tests; a cluster names a folder that all can reach
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/{uuid.uuid4().hex}"
+    path = f"{root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,9 +1,12 @@
+import random
 import zipfile
 
+import pytest
 from minilog import at, lines, npcs, roster, zones
 from pyspark.sql import functions as F
 
-from skeinlog.operators import normalise, sessions
+from skeinlog.functions import decode
+from skeinlog.operators import encounters, entries, kernels, normalise, sessions
 from skeinlog.sources import dims, logs, scratch
 
 
@@ -75,6 +78,74 @@ def test_readers_and_dims(spark, tmp_path):
     assert c["items"].count() == 3 and {(r.buff, r.death_persistent) for r in c["buffs"].collect()} == {("Bigness", True), ("Big Flask", True)}
 
 
+def test_logs_of_many_splits(spark, tmp_path):
+    """From the reader to encounters: two recorders, two zones, and a fight, all across borders of splits."""
+    talk = [f"Cid hits Bogling for {k}." for k in range(60)]
+    payloads = [roster("ann", you=True), roster("bob", klass="MAGE"), "ZONE_INFO: 1&Bog Keep&0", "UNIT_DIED:Frog:0xF13", *talk, "You gain Rage (1).", "PLAYER_REGEN_DISABLED"]
+    payloads += ["Your Slam hits Mire Lord for 50." if k % 2 else "Mire Lord hits Bob for 9." for k in range(240)]
+    payloads += [roster("bob", you=True), *["Your Zap hits Mire Lord for 5."] * 100, "UNIT_DIED:Mire Lord:0xF13", "PLAYER_REGEN_ENABLED"]
+    payloads += ["ZONE_INFO: 1&Twin Hall&0", *["You gain Calm (1)."] * 50, "PLAYER_REGEN_DISABLED", *["Your Zap hits Left Twin for 5."] * 100, "PLAYER_REGEN_ENABLED"]
+    (tmp_path / "logs").mkdir()
+    for name in ("x", "y"):
+        (tmp_path / "logs" / f"{name}.txt").write_text("\n".join(at(k / 5, p) for k, p in enumerate(payloads)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        raw = scratch.cut(logs.read_logs(spark, str(tmp_path / "logs")).withColumn("session_id", F.lit(0)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert raw.select(F.shiftright("seq", 23)).distinct().count() > 10
+    clean = scratch.cut(normalise.normalise(raw))
+    for log in (r.log_id for r in raw.select("log_id").distinct().collect()):
+        texts = [r.text.split("  ", 1)[1] for r in clean.where(F.col("log_id") == log).orderBy("seq").collect()]
+        first = payloads.index(roster("bob", you=True))
+        for k, (p, t) in enumerate(zip(payloads, texts, strict=True)):
+            if p.startswith("You"):
+                assert t.startswith("Bob" if k > first else "Ann"), (k, p, t)
+    decoded = scratch.cut(decode.decode(clean))
+    players = scratch.cut(entries.roster(decoded))
+    marks = entries.combat_marks(decoded)
+    e = scratch.cut(entries.entries(decoded, players))
+    assert e.where("kind = 'Damage' and reset_id = 0").count() == 2 * 60 and e.where("kind = 'Damage' and reset_id = 1").count() == 2 * 340
+    assert e.where("kind = 'Damage' and reset_id = 3").count() == 2 * 100
+    found = encounters.encounters(decoded, e, marks, players, npcs(spark), zones(spark)).orderBy("log_id", "enc_idx").collect()
+    assert [(r["name"], r.zone, r.is_kill) for r in found] == [("Mire Lord", "bog keep", True), ("The Twins", "twin hall", False)] * 2
+
+
+def test_trades_take_the_earliest_loot(spark):
+    r = random.Random(4)
+    loot = [(k, r.randrange(5), r.randrange(50)) for k in range(80)]
+    trades = [(k, r.randrange(6), r.randrange(50)) for k in range(80)]
+    want = {}
+    for t, who, ts in sorted(trades):
+        mine = sorted((at_, i) for i, w, at_ in loot if w == who and at_ <= ts)
+        if mine:
+            want[mine[0][1]] = t
+    l, t = spark.createDataFrame(loot, "loot int, who int, loot_ts int"), spark.createDataFrame(trades, "trade int, who int, trade_ts int")  # noqa: E741
+    assert dict(encounters.link_trades(l, t, ["who"], "loot", "trade").select("loot", "trade").collect()) == want
+
+
+def test_stretches_of_lines(spark):
+    r = random.Random(7)
+    at_ = sorted({r.choice([0, 1 << 16, 5 << 30, 1 << 50]) + r.randrange(1 << 17) for _ in range(400)})
+    rows = [(k, x, x % 3 == 0) for x in at_ for k in (1, None)]
+    df = spark.createDataFrame(rows, "k int, seq long, mark boolean")
+    want, now = {}, {}
+    for k, x, mark in sorted(rows, key=lambda y: y[1]):
+        now[k] = x if mark else now.get(k)
+        want[k, x] = now[k]
+    marks = df.where("mark").select("k", "seq", F.col("seq").alias("last"))
+    got = {(x.k, x.seq): x["last"] for x in kernels.along(df, kernels.stretches(marks, df, ["k"], ["last"]), ["k"]).collect()}
+    assert got == want
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    class Bare:
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+
+    with pytest.raises(RuntimeError):
+        scratch.root(Bare)
+
+
 def test_export(spark, tmp_path):
     s = spark.createDataFrame([("a", 0, "Bog Keep (1/2)", True, 5015520.0, 2026, ["Ann"])], "log_id string, session_no int, name string, is_raid boolean, start_time double, start_year int, you_players array<string>")
     logs.export_sessions(lines(spark, "one", "two", "three"), s, str(tmp_path / "out"))
