@@ -1,8 +1,11 @@
 """Decoding of log lines: text to typed columns, in one pass and without Python per row.
 
 Each event family has a keyword test (a regular expression that doesn't match costs far more than one that does) and one
-pattern. The pattern runs once on the line; its groups are cut out of the short match. Names are letters only, as in the
-game's log grammar.
+pattern for each form. A pattern runs once on the line; its groups are cut out of the short match. Names are letters only, as in
+the game's log grammar.
+
+A family is cut into groups and then built: decode() puts all groups that are asked for in one column of arrays, behind a
+generator, so that Spark works them out once, in compiled code, and builds only the fields that are read.
 """
 
 from __future__ import annotations
@@ -22,19 +25,16 @@ QUALITIES = (
     ("9d9d9d", 0, "Poor"), ("ffffff", 1, "Common"), ("1eff00", 2, "Uncommon"),
     ("0070dd", 3, "Rare"), ("a335ee", 4, "Epic"), ("ff8000", 5, "Legendary"),
 )
-_NAME = r"[A-Za-z]+(?:\s[A-Za-z]+)*"
-_OWNED = _NAME + r"(?:\s*\([^)]+\))?"
-_FREE = r"[A-Za-z\s']+"
 CAST = r"(?:CAST:\s*)?([A-Za-z]+)\s+casts\s+([A-Za-z\s]+?)(?:\(\d+\))?(?:\(Rank \d+\))?\s+on\s+([A-Za-z\s]+)"
-CAST_RANK = rf"CAST:\s*({_NAME})\s+(?:casts|begins to cast)\s+([A-Za-z][A-Za-z '\-]+?)(?:\(\d+\))+\(Rank (\d+)\)"
-DAMAGE_SPELL = rf"({_OWNED}) 's (?:\(pet\) )?({_FREE}) (?:hits|crits) ({_FREE}) for (\d+)"
-DAMAGE_MELEE = rf"({_NAME}) (?:hits|crits) ({_FREE}) for (\d+)\."
-DAMAGE_TICK = rf"({_FREE}) suffers (\d+) (?:\w+ )?damage from ({_OWNED}) 's (?:\(pet\) )?({_FREE})"
-HEAL_DIRECT = rf"({_OWNED}) 's ({_FREE}) (?:heals|critically heals) ({_FREE}(?:\s*\([^)]+\))?) for (\d+)"
-HEAL_TICK = rf"({_OWNED}) gains (\d+) health from ({_OWNED}) 's ({_FREE})"
-DODGE = rf"({_FREE}) attacks\. ([A-Za-z]+) dodges\."
-PARRY = rf"({_FREE}) attacks\. ([A-Za-z]+) parries\."
-MISS = rf"({_FREE}) misses ([A-Za-z]+)\."
+CAST_RANK = r"CAST:\s*([A-Za-z]+(?:\s[A-Za-z]+)*)\s+(?:casts|begins to cast)\s+([A-Za-z][A-Za-z '\-]+?)(?:\(\d+\))+\(Rank (\d+)\)"
+DAMAGE_SPELL = r"([A-Za-z]+(?:\s[A-Za-z]+)*(?:\s*\([^)]+\))?) 's (?:\(pet\) )?([A-Za-z\s']+) (?:hits|crits) ([A-Za-z\s']+) for (\d+)"
+DAMAGE_MELEE = r"([A-Za-z]+(?:\s[A-Za-z]+)*) (?:hits|crits) ([A-Za-z\s']+) for (\d+)\."
+DAMAGE_TICK = r"([A-Za-z\s']+) suffers (\d+) (?:\w+ )?damage from ([A-Za-z]+(?:\s[A-Za-z]+)*(?:\s*\([^)]+\))?) 's (?:\(pet\) )?([A-Za-z\s']+)"
+HEAL_DIRECT = r"([A-Za-z]+(?:\s[A-Za-z]+)*(?:\s*\([^)]+\))?) 's ([A-Za-z\s']+) (?:heals|critically heals) ([A-Za-z\s']+(?:\s*\([^)]+\))?) for (\d+)"
+HEAL_TICK = r"([A-Za-z]+(?:\s[A-Za-z]+)*(?:\s*\([^)]+\))?) gains (\d+) health from ([A-Za-z]+(?:\s[A-Za-z]+)*(?:\s*\([^)]+\))?) 's ([A-Za-z\s']+)"
+DODGE = r"([A-Za-z\s']+) attacks\. ([A-Za-z]+) dodges\."
+PARRY = r"([A-Za-z\s']+) attacks\. ([A-Za-z]+) parries\."
+MISS = r"([A-Za-z\s']+) misses ([A-Za-z]+)\."
 AURA_GAIN = r"([A-Za-z]+) gains ([A-Za-z\s':]+?) \((\d+)\)\."
 AURA_FADE = r"([A-Za-z\s':]+?) fades from ([A-Za-z]+)\."
 AFFLICTED = r"([A-Za-z]+) is afflicted by ([A-Za-z\s':]+?)(?:\s+\((\d+)\))?\."
@@ -43,19 +43,17 @@ TRADE = r"LOOT_TRADE:.*?&([A-Za-z]+) trades item (.+?) to ([A-Za-z]+)\."
 PET_OWNER = r"([A-Za-z]+)\s+\(([A-Za-z]+)\)"
 CONSUMABLE = r"([A-Za-z]+) uses ([A-Za-z][A-Za-z '\-]+?)(?:\s+on\s+[A-Za-z\s]+)?\."
 CLOCK = r"^\d{1,4}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d+"
+RAID_SIZE = r"PLAYERS_IN_COMBAT:\s*(\d+)/(\d+)"
+UNIT_DIED = r"UNIT_DIED:([^:]+):(\S*)"
 
 _CUT = "\x01"
 
 
-def once(value: Column, use) -> Column:
-    """use(value) with value worked out once, however often use names it."""
-    return F.transform(F.array(value), use)[0]
-
-
-def captures(text: Column, pattern: str, n: int) -> Column:
-    """The n groups of the first match as an array; null if there is none. A group that took no part is empty."""
-    marked = F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, _CUT.join(f"${k}" for k in range(1, n + 1)))
-    return once(F.split(marked, _CUT), lambda parts: F.when(F.size(parts) == n, parts))
+def captures(text: Column, pattern: str, new: str) -> Column:
+    """Parts of the first match as an array, null if there is none: new names them ($1 for a group) between bars. A group that took
+    no part is empty."""
+    found = F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+    return F.split(F.regexp_replace(found, pattern, new.replace("|", _CUT)), _CUT)
 
 
 def number(text: Column) -> Column:
@@ -70,13 +68,23 @@ def has(text: Column, *words: str) -> Column:
     return out
 
 
-def parse_ts(text: Column) -> Column:
-    """Seconds of the log's clock, (month * 31 + day) days and the time of day; null if the line has no time.
+def clock_parts(text: Column) -> Column:
+    """Numbers of a line's time, as text; null if the line has no time."""
+    return F.split(F.when(F.length(text) >= 11, F.nullif(F.regexp_extract(text, CLOCK, 0), F.lit(""))), "[/ :.]")
+
+
+def seconds(parts: Column) -> Column:
+    """Seconds of the log's clock, (month * 31 + day) days and the time of day, from clock_parts.
 
     The fraction is divided by 1000 whatever its number of digits.
     """
-    p = F.transform(F.split(F.when(F.length(text) >= 11, F.nullif(F.regexp_extract(text, CLOCK, 0), F.lit(""))), "[/ :.]"), lambda x: x.try_cast("double"))
-    return (p[0] * 31 + p[1]) * 86400 + p[2] * 3600 + p[3] * 60 + p[4] + p[5] / 1000
+    n = [F.get(parts, F.lit(k)).try_cast("double") for k in range(6)]
+    return (n[0] * 31 + n[1]) * 86400 + n[2] * 3600 + n[3] * 60 + n[4] + n[5] / 1000
+
+
+def parse_ts(text: Column) -> Column:
+    """Seconds of the log's clock; null if the line has no time."""
+    return seconds(clock_parts(text))
 
 
 def calendar_date(ts: Column, year: Column) -> Column:
@@ -153,8 +161,8 @@ def recorder(text: Column) -> Column:
 
 
 def raid_size(text: Column) -> Column:
-    g = captures(text, r"PLAYERS_IN_COMBAT:\s*(\d+)/(\d+)", 2)
-    return F.when(text.contains("PLAYERS_IN_COMBAT:") & g.isNotNull(), F.struct(number(g[0]).alias("active"), number(g[1]).alias("total")))
+    g = captures(text, RAID_SIZE, "$1|$2")
+    return F.when(text.contains("PLAYERS_IN_COMBAT:") & g.isNotNull(), F.struct(number(F.get(g, F.lit(0))).alias("active"), number(F.get(g, F.lit(1))).alias("total")))
 
 
 def guid_class(guid: Column) -> Column:
@@ -162,9 +170,16 @@ def guid_class(guid: Column) -> Column:
     return F.when(guid.startswith("0x0000000000"), "player").when(guid.startswith("0xF140"), "pet").otherwise("npc")
 
 
+def died_parts(text: Column) -> Column:
+    return F.when(text.contains("UNIT_DIED:"), captures(text, UNIT_DIED, "$1|$2"))
+
+
+def died(text: Column, g: Column) -> Column:
+    return F.when(g.isNotNull(), F.struct(g[0].alias("name"), g[1].alias("guid"), guid_class(g[1]).alias("kind")))
+
+
 def unit_died(text: Column) -> Column:
-    g = captures(text, r"UNIT_DIED:([^:]+):(\S*)", 2)
-    return F.when(text.contains("UNIT_DIED:") & g.isNotNull(), F.struct(g[0].alias("name"), g[1].alias("guid"), guid_class(g[1]).alias("kind")))
+    return died(text, died_parts(text))
 
 
 def combat_state(text: Column) -> Column:
@@ -182,94 +197,113 @@ def school(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, rf" ({'|'.join(SCHOOLS)}) damage", 1), F.lit(""))
 
 
-def damage(text: Column) -> Column:
-    """A damage line as a struct: with a spell, else melee, else periodic, the first that matches."""
-    a, b, c = captures(text, DAMAGE_SPELL, 4), captures(text, DAMAGE_MELEE, 3), captures(text, DAMAGE_TICK, 4)
+def damage_parts(text: Column) -> Column:
+    """(source, spell, target, amount, form) of a damage line: with a spell, else melee, else periodic, the first that matches."""
     hits = has(text, " hits ", " crits ") & text.contains(" for ")
-    none = F.lit(None).cast("array<string>")
-    parts = F.coalesce(
-        F.when(hits & text.contains(" 's "), F.transform(F.array(a), lambda g: F.when(g.isNotNull(), F.array(g[0], F.trim(g[1]), F.trim(g[2]), g[3])))[0]),
-        F.when(hits, F.transform(F.array(b), lambda g: F.when(g.isNotNull(), F.array(g[0], F.lit("Auto Attack"), F.trim(g[1]), g[2])))[0]),
-        F.when(text.contains(" suffers "), F.transform(F.array(c), lambda g: F.when(g.isNotNull(), F.array(g[2], F.concat(F.trim(g[3]), F.lit(" (dot)")), F.trim(g[0]), g[1])))[0]),
-        none,
-    )
-    amount = lambda g: number(g[3])
+    return F.coalesce(
+        F.when(hits & text.contains(" 's "), captures(text, DAMAGE_SPELL, "$1|$2|$3|$4|")),
+        F.when(hits, captures(text, DAMAGE_MELEE, "$1|Auto Attack|$2|$3|")),
+        F.when(text.contains(" suffers "), captures(text, DAMAGE_TICK, "$3|$4|$1|$2|dot")),
+    )
+
+
+def damage(text: Column, g: Column) -> Column:
+    amount = number(g[3])
     absorbed, resisted, blocked = (trailer_part(text, w) for w in ("absorbed", "resisted", "blocked"))
-    return F.transform(
-        F.array(parts),
-        lambda g: F.when(
-            g.isNotNull(),
-            F.struct(
-                g[0].alias("source"), g[2].alias("target"), g[1].alias("spell"), amount(g).alias("amount"),
-                absorbed.alias("absorbed"), resisted.alias("resisted"), blocked.alias("blocked"),
-                has(text, " crits ", " critically ").alias("is_crit"), text.contains("(glancing)").alias("is_glancing"), text.contains("(crushing)").alias("is_crushing"),
-                school(text).alias("school"), text.contains("(pet)").alias("is_pet_spell"),
-                ((amount(g) == 0) & (resisted > 0)).alias("is_fully_resisted"), ((amount(g) == 0) & (absorbed > 0)).alias("is_fully_absorbed"),
-                ((amount(g) == 0) & (blocked > 0)).alias("is_fully_blocked"),
-            ),
+    spell = F.trim(g[1])
+    return F.when(
+        g.isNotNull(),
+        F.struct(
+            g[0].alias("source"), F.trim(g[2]).alias("target"), F.when(g[4] == "dot", F.concat(spell, F.lit(" (dot)"))).otherwise(spell).alias("spell"), amount.alias("amount"),
+            absorbed.alias("absorbed"), resisted.alias("resisted"), blocked.alias("blocked"),
+            has(text, " crits ", " critically ").alias("is_crit"), text.contains("(glancing)").alias("is_glancing"), text.contains("(crushing)").alias("is_crushing"),
+            school(text).alias("school"), text.contains("(pet)").alias("is_pet_spell"),
+            ((amount == 0) & (resisted > 0)).alias("is_fully_resisted"), ((amount == 0) & (absorbed > 0)).alias("is_fully_absorbed"),
+            ((amount == 0) & (blocked > 0)).alias("is_fully_blocked"),
         ),
-    )[0]
+    )
 
 
-def heal(text: Column) -> Column:
-    """A healing line as a struct: direct, else periodic (suffix ' (hot)', added after the rank; never a crit)."""
-    a, b = captures(text, HEAL_DIRECT, 4), captures(text, HEAL_TICK, 4)
-    crit = text.contains("critically heals")
-    made = lambda source, spell, target, amount, is_crit, tick: F.struct(
-        source.alias("source"), target.alias("target"), spell.alias("spell"), number(amount).alias("amount"), is_crit.alias("is_crit"), F.lit(tick).alias("is_tick")
-    )
+def heal_parts(text: Column) -> Column:
+    """(source, spell, target, amount, form) of a healing line: direct, else periodic."""
     return F.coalesce(
-        F.when(text.contains("heals "), F.transform(F.array(a), lambda g: F.when(g.isNotNull(), made(g[0], F.trim(F.regexp_replace(F.trim(g[1]), " critically$", "")), F.trim(g[2]), g[3], crit, False)))[0]),
-        F.when(text.contains(" health from "), F.transform(F.array(b), lambda g: F.when(g.isNotNull(), made(g[2], F.trim(g[3]), g[0], g[1], F.lit(False), True)))[0]),
-    )
+        F.when(text.contains("heals "), captures(text, HEAL_DIRECT, "$1|$2|$3|$4|")), F.when(text.contains(" health from "), captures(text, HEAL_TICK, "$3|$4|$1|$2|hot"))
+    )
+
+
+def heal(text: Column, g: Column) -> Column:
+    """A healing line (the suffix ' (hot)' of periodic ones is added after the rank; they are never crits)."""
+    tick = g[4] == "hot"
+    spell = F.when(tick, F.trim(g[1])).otherwise(F.trim(F.regexp_replace(F.trim(g[1]), " critically$", "")))
+    return F.when(
+        g.isNotNull(),
+        F.struct(
+            g[0].alias("source"), F.when(tick, g[2]).otherwise(F.trim(g[2])).alias("target"), spell.alias("spell"), number(g[3]).alias("amount"),
+            (text.contains("critically heals") & ~tick).alias("is_crit"), tick.alias("is_tick"),
+        ),
+    )
 
 
-def cast_event(text: Column) -> Column:
-    """Dispel, Resurrect or Interrupt: the first list of which a spell stands anywhere in the line decides."""
+def cast_parts(text: Column) -> Column:
+    """(kind, source, spell, target) of a Dispel, Resurrect or Interrupt: the first list of which a spell stands anywhere in the line
+    decides."""
     listed = lambda spells: text.rlike("|".join(spells))
     begins = text.contains("begins to cast")
     kind = F.when(listed(DISPELS), "Dispel").when(listed(RESURRECTS) & ~begins & ~text.contains("fails casting"), "Resurrect").when(listed(INTERRUPTS) & ~begins, "Interrupt")
-    g = captures(text, CAST, 3)
-    return F.when(
-        text.contains("casts ") & kind.isNotNull() & g.isNotNull(),
-        F.struct(kind.alias("kind"), g[0].alias("source"), F.trim(g[1]).alias("spell"), F.trim(g[2]).alias("target")),
-    )
+    made = lambda k: F.when(kind == k, captures(text, CAST, f"{k}|$1|$2|$3"))
+    return F.when(text.contains("casts "), F.coalesce(made("Dispel"), made("Resurrect"), made("Interrupt")))
 
 
-def cast_rank(text: Column) -> Column:
-    g = captures(text, CAST_RANK, 3)
-    return F.when(text.contains("CAST:") & text.contains("Rank ") & g.isNotNull(), F.struct(g[0].alias("source"), g[1].alias("spell"), number(g[2]).cast("int").alias("rank")))
+def cast_event(text: Column, g: Column) -> Column:
+    return F.when(g.isNotNull(), F.struct(g[0].alias("kind"), g[1].alias("source"), F.trim(g[2]).alias("spell"), F.trim(g[3]).alias("target")))
 
 
-def aura(text: Column) -> Column:
-    """AuraGain or AuraFade: gains before fades before afflictions (a gain; one stack unless told)."""
-    a, b, c = captures(text, AURA_GAIN, 3), captures(text, AURA_FADE, 2), captures(text, AFFLICTED, 3)
-    made = lambda kind, player, name, stacks: F.struct(F.lit(kind).alias("kind"), player.alias("source"), F.trim(name).alias("spell"), stacks.alias("stacks"))
-    one = lambda x: F.coalesce(x.try_cast("int"), F.lit(1))
-    return F.coalesce(
-        F.when(text.contains(" gains ") & a.isNotNull(), made("AuraGain", a[0], a[1], one(a[2]))),
-        F.when(text.contains(" fades from ") & b.isNotNull(), made("AuraFade", b[1], b[0], F.lit(None).cast("int"))),
-        F.when(text.contains(" is afflicted by ") & c.isNotNull(), made("AuraGain", c[0], c[1], one(c[2]))),
-    )
+def rank_parts(text: Column) -> Column:
+    return F.when(text.contains("CAST:") & text.contains("Rank "), captures(text, CAST_RANK, "$1|$2|$3"))
+
 
+def cast_rank(text: Column, g: Column) -> Column:
+    return F.when(g.isNotNull(), F.struct(g[0].alias("source"), g[1].alias("spell"), number(g[2]).cast("int").alias("rank")))
 
-def avoidance(text: Column) -> Column:
-    made = lambda kind, g: F.when(g.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.trim(g[0]).alias("attacker"), g[1].alias("defender")))
+
+def aura_parts(text: Column) -> Column:
+    """(kind, player, name, stacks): gains before fades before afflictions."""
     return F.coalesce(
-        F.when(text.contains(" dodges."), made("dodge", captures(text, DODGE, 2))),
-        F.when(text.contains(" parries."), made("parry", captures(text, PARRY, 2))),
-        F.when(text.contains(" misses "), made("miss", captures(text, MISS, 2))),
+        F.when(text.contains(" gains "), captures(text, AURA_GAIN, "AuraGain|$1|$2|$3")),
+        F.when(text.contains(" fades from "), captures(text, AURA_FADE, "AuraFade|$2|$1|")),
+        F.when(text.contains(" is afflicted by "), captures(text, AFFLICTED, "AuraGain|$1|$2|$3")),
     )
 
 
-def consumable(text: Column) -> Column:
-    g = captures(text, CONSUMABLE, 2)
-    return F.when(text.contains(" uses ") & ~text.contains("CAST:") & g.isNotNull(), F.struct(g[0].alias("source"), F.trim(g[1]).alias("item")))
+def aura(text: Column, g: Column) -> Column:
+    """AuraGain or AuraFade (an affliction is a gain; one stack unless told)."""
+    stacks = F.when(g[0] == "AuraGain", F.coalesce(g[3].try_cast("int"), F.lit(1)))
+    return F.when(g.isNotNull(), F.struct(g[0].alias("kind"), g[1].alias("source"), F.trim(g[2]).alias("spell"), stacks.alias("stacks")))
+
+
+def avoidance_parts(text: Column) -> Column:
+    forms = ((" dodges.", DODGE, "dodge"), (" parries.", PARRY, "parry"), (" misses ", MISS, "miss"))
+    return F.coalesce(*[F.when(text.contains(word), captures(text, p, f"{kind}|$1|$2")) for word, p, kind in forms])
+
+
+def avoidance(text: Column, g: Column) -> Column:
+    return F.when(g.isNotNull(), F.struct(g[0].alias("kind"), F.trim(g[1]).alias("attacker"), g[2].alias("defender")))
+
 
+def consumable_parts(text: Column) -> Column:
+    return F.when(text.contains(" uses ") & ~text.contains("CAST:"), captures(text, CONSUMABLE, "$1|$2"))
 
-def pet_owner(text: Column) -> Column:
-    g = captures(text, PET_OWNER, 2)
-    return F.when(text.contains("(") & g.isNotNull(), F.struct(g[0].alias("pet"), g[1].alias("owner")))
+
+def consumable(text: Column, g: Column) -> Column:
+    return F.when(g.isNotNull(), F.struct(g[0].alias("source"), F.trim(g[1]).alias("item")))
+
+
+def pet_parts(text: Column) -> Column:
+    return F.when(text.contains("("), captures(text, PET_OWNER, "$1|$2"))
+
+
+def pet_owner(text: Column, g: Column) -> Column:
+    return F.when(g.isNotNull(), F.struct(g[0].alias("pet"), g[1].alias("owner")))
 
 
 def item_quality(colour: Column) -> Column:
@@ -283,17 +317,23 @@ def quality_label(quality: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x[2]) for x in QUALITIES]), quality + 1)
 
 
-def loot(text: Column) -> Column:
-    g = captures(text, LOOT, 5)
+def loot_parts(text: Column) -> Column:
+    return F.when(text.contains("LOOT:"), captures(text, LOOT, "$1|$2|$3|$4|$5"))
+
+
+def loot(text: Column, g: Column) -> Column:
     return F.when(
-        text.contains("LOOT:") & g.isNotNull(),
+        g.isNotNull(),
         F.struct(g[0].alias("player"), number(g[2]).alias("item_id"), g[3].alias("item_name"), item_quality(g[1]).alias("quality"), number(g[4]).alias("quantity")),
     )
 
 
-def trade(text: Column) -> Column:
-    g = captures(text, TRADE, 3)
-    return F.when(text.contains("LOOT_TRADE:") & g.isNotNull(), F.struct(g[0].alias("from_player"), F.trim(g[1]).alias("item_name"), g[2].alias("to_player")))
+def trade_parts(text: Column) -> Column:
+    return F.when(text.contains("LOOT_TRADE:"), captures(text, TRADE, "$1|$2|$3"))
+
+
+def trade(text: Column, g: Column) -> Column:
+    return F.when(g.isNotNull(), F.struct(g[0].alias("from_player"), F.trim(g[1]).alias("item_name"), g[2].alias("to_player")))
 
 
 def dispatch(text: Column) -> Column:
@@ -307,25 +347,42 @@ def dispatch(text: Column) -> Column:
     )
 
 
-_BY_CLASS = {
-    "metadata": {"zone": zone, "roster": roster, "year": year, "recorder": recorder, "raid_size": raid_size},
-    "loot": {"loot": loot, "trade": trade},
-    "combat": {"combat": combat_state},
-    "died": {"died": unit_died},
-    "event": {"cast": cast_event, "rank": cast_rank, "pet": pet_owner, "damage": damage, "heal": heal, "aura": aura, "avoidance": avoidance, "consumable": consumable},
-}
+#: Families by class of line: what the line must hold (for lines that can be passed over), its groups, and the column made of them.
+#: Without groups a column is made of the text.
+_FAMILIES = {
+    "zone": ("metadata", ("ZONE_INFO:",), None, zone), "roster": ("metadata", ("COMBATANT_INFO:",), None, roster), "year": ("metadata", ("COMBATANT_INFO:",), None, year),
+    "recorder": ("metadata", ("COMBATANT_INFO:",), None, recorder), "raid_size": ("metadata", ("PLAYERS_IN_COMBAT:",), None, raid_size),
+    "loot": ("loot", ("LOOT:",), loot_parts, loot), "trade": ("loot", ("LOOT_TRADE:",), trade_parts, trade),
+    "combat": ("combat", ("PLAYER_REGEN_",), None, combat_state), "died": ("died", ("UNIT_DIED:",), died_parts, died),
+    "cast": ("event", ("casts ",), cast_parts, cast_event), "rank": ("event", ("CAST:",), rank_parts, cast_rank), "pet": ("event", ("(",), pet_parts, pet_owner),
+    "damage": ("event", (" hits ", " crits ", " suffers "), damage_parts, damage), "heal": ("event", ("heals ", " health from "), heal_parts, heal),
+    "aura": ("event", (" gains ", " fades from ", " is afflicted by "), aura_parts, aura),
+    "avoidance": ("event", (" dodges.", " parries.", " misses "), avoidance_parts, avoidance), "consumable": ("event", (" uses ",), consumable_parts, consumable),
+}
 
 
-def decode(lines: DataFrame) -> DataFrame:
-    """lines(log_id, session_id, seq, text) with ts, class and a struct column for each event family, null where it doesn't apply.
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, worked out once for each row however often they are used: a generator stands behind them."""
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(made)).alias("_made")).select(*df.columns, *[F.col(f"_made.{n}").alias(n) for n in columns])
 
-    Lines without a time are dropped. All of it comes out of one generator, so that a later filter or a single field of a struct
-    doesn't make Spark decode a line anew. Write the result once and let the later steps read it: this is the expensive pass.
-    """
 
-    def told(t: Column) -> Column:
-        families = lambda c: [F.when(c == k, f(t)).alias(name) for k, own in _BY_CLASS.items() for name, f in own.items()]
-        return once(dispatch(t), lambda c: F.struct(t.alias("text"), parse_ts(t).alias("ts"), c.alias("class"), *families(c)))
+def decode(lines: DataFrame, families: tuple[str, ...] | None = None) -> DataFrame:
+    """lines(log_id, session_id, seq, text) with ts, class and a struct column for each event family, null where it doesn't apply.
 
-    others = [F.col(f"`{c}`") for c in lines.columns if c != "text"]
-    return lines.select(*others, F.explode(F.transform(F.array(F.trim("text")), told)).alias("_d")).select(*others, "_d.*").where("ts is not null")
+    Lines without a time are dropped. With families, only these are decoded, and lines that hold none of their words are dropped
+    before. Write the result once and let the later steps read it if it feeds several: this is the expensive pass.
+    """
+    asked = [n for n in _FAMILIES if families is None or n in families]
+    if families is not None and len(asked) < len(set(families)):
+        raise ValueError(f"no such family: {sorted(set(families) - set(_FAMILIES))}")
+    others = [c for c in lines.columns if c != "text"]
+    rows = lines.select(*[F.col(f"`{c}`") for c in others], F.trim("text").alias("text"))
+    t, c = F.col("text"), F.col("class")
+    if families is not None:
+        rows = rows.where(has(t, *dict.fromkeys(w for n in asked for w in _FAMILIES[n][1])))
+    rows = _held(rows, _clock=clock_parts(t), **{"class": dispatch(t)}).where("_clock is not null")
+    groups = {f"_{n}": F.when(c == _FAMILIES[n][0], _FAMILIES[n][2](t)) for n in asked if _FAMILIES[n][2] is not None}
+    rows = _held(rows, **groups) if groups else rows
+    made = [(f(t, F.col(f"_{n}")) if parts else F.when(c == k, f(t))).alias(n) for n in asked for k, _, parts, f in [_FAMILIES[n]]]
+    return rows.select(*[F.col(f"`{c}`") for c in others], "text", seconds(F.col("_clock")).alias("ts"), "class", *made).where("ts is not null")

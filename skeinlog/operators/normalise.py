@@ -19,9 +19,6 @@ from . import kernels as K
 from .entries import KEY
 
 # The game's names and the grammar of its log.
-_L = r",a-zA-ZÀ-ſ"
-_LETTERS = f"[{_L}]+"
-_NAME = f"[{_L}][{_L} ]+[{_L}]"
 APOSTROPHES = (
     ("Onyxia's Elite Guard", "Onyxias Elite Guard"),
     ("Sartura's Royal Guard", "Sarturas Royal Guard"),
@@ -38,15 +35,7 @@ PET_SPELLS = (
     "Furious Howl", "Gore", "Firebolt", "Lash of Pain", "Torment", "Cleave", "Soothing Kiss", "Blood Pact", "Phase Shift", "Explosive Trap Effect",
 )
 PET_CAST = r"CAST:\s*([A-Za-z]+(?:\s[A-Za-z]+)*)\s+(?:casts|begins to cast|fails casting)\s+([A-Za-z][A-Za-z '\-]+?)(?:\(\d+\))+"
-#: Verbs after 'You', and what they become after a name.
-VERBS = (
-    (" You gain", " {me} gains"), (" You hit", " {me} hits"), (" You crit", " {me} crits"), (" You are", " {me} is"), (" You suffer", " {me} suffers"),
-    (" You lose", " {me} loses"), (" You die", " {me} dies"), (" You cast", " {me} casts"), (" You create", " {me} creates"), (" You perform", " {me} performs"),
-    (" You interrupt", " {me} interrupts"), (" You miss", " {me} misses"), (" You attack", " {me} attacks"), (" You block", " {me} blocks"), (" You parry", " {me} parries"),
-    (" You dodge", " {me} dodges"), (" You resist", " {me} resists"), (" You absorb", " {me} absorbs"), (" You reflect", " {me} reflects"), (" You receive", " {me} receives"),
-    ("&You receive", "&{me} receives"), ("&You", "&{me}"), (" You deflect", " {me} deflects"), ("was dodged.", "was dodged by {me}."), ("causes you", "causes {me}"),
-    ("heals you", "heals {me}"), ("hits you for", "hits {me} for"), ("crits you for", "crits {me} for"),
-)
+SUMMONER = r"([,a-zA-ZÀ-ſ][,a-zA-ZÀ-ſ ]+[,a-zA-ZÀ-ſ]) \(([,a-zA-ZÀ-ſ]+)\)"
 
 
 @dataclass(frozen=True)
@@ -58,7 +47,8 @@ class Rule:
     pattern: str | None = None
 
 
-#: In order; the first that matches rewrites the line. Rules for failed casts need a line end inside the text and never apply
+# Fixed values, all rules down to _SELF_HIT: sentences of the log, in the order in which they must be tried.
+#: The first that matches rewrites the line. Rules for failed casts need a line end inside the text and never apply
 #: to split lines, so they aren't listed.
 YOU = (
     Rule("suffer", " {me} suffers $1 from {me} (self damage) 's", r" You suffer (.*?) from your"),
@@ -69,39 +59,66 @@ YOU = (
     Rule("our ", " {me} 's ", r" [Yy]our "),
     Rule("You gain", " {me} gains $1 from $2 's", r" You gain (.*?) from (.*?)'s"),
     Rule("You gain", " {me} gains $1 from {me} 's ", r" You gain (.*?) from "),
-    *(Rule(a, b) for a, b in VERBS),
+    Rule(" You gain", " {me} gains"),
+    Rule(" You hit", " {me} hits"),
+    Rule(" You crit", " {me} crits"),
+    Rule(" You are", " {me} is"),
+    Rule(" You suffer", " {me} suffers"),
+    Rule(" You lose", " {me} loses"),
+    Rule(" You die", " {me} dies"),
+    Rule(" You cast", " {me} casts"),
+    Rule(" You create", " {me} creates"),
+    Rule(" You perform", " {me} performs"),
+    Rule(" You interrupt", " {me} interrupts"),
+    Rule(" You miss", " {me} misses"),
+    Rule(" You attack", " {me} attacks"),
+    Rule(" You block", " {me} blocks"),
+    Rule(" You parry", " {me} parries"),
+    Rule(" You dodge", " {me} dodges"),
+    Rule(" You resist", " {me} resists"),
+    Rule(" You absorb", " {me} absorbs"),
+    Rule(" You reflect", " {me} reflects"),
+    Rule(" You receive", " {me} receives"),
+    Rule("&You receive", "&{me} receives"),
+    Rule("&You", "&{me}"),
+    Rule(" You deflect", " {me} deflects"),
+    Rule("was dodged.", "was dodged by {me}."),
+    Rule("causes you", "causes {me}"),
+    Rule("heals you", "heals {me}"),
+    Rule("hits you for", "hits {me} for"),
+    Rule("crits you for", "crits {me} for"),
     Rule("You have slain", " $1 is slain by {me}.", r" You have slain (.*?)!"),
     Rule("you.", "$1 {me}.", r"(\S)\syou\."),
     Rule(" You fall and lose", " {me} falls and loses"),
 )
 PET = (
-    Rule("(", "  $2's Auto Attack (pet) $3", rf"(?i)  ({_NAME}) \(({_LETTERS})\) (hits|crits|misses)"),
-    Rule("(", "  $2's $1 ($2) is dismissed.", rf"(?i)  Your ({_NAME}) \(({_LETTERS})\) is dismissed\."),
-    Rule("(", "  $2 's Arcane Missiles (pet)", rf"(?i)  ({_NAME}) \(({_LETTERS})\)('s| 's) Arcane Missiles"),
-    Rule("(", "  $2 's", rf"(?i)  ({_NAME}) \(({_LETTERS})\)('s| 's)"),
-    Rule("(", "from $2$3", rf"(?i)from ({_NAME}) \(({_LETTERS})\)('s| 's)"),
+    Rule("(", "  $2's Auto Attack (pet) $3", r"(?i)  ([,a-zA-ZÀ-ſ][,a-zA-ZÀ-ſ ]+[,a-zA-ZÀ-ſ]) \(([,a-zA-ZÀ-ſ]+)\) (hits|crits|misses)"),
+    Rule("(", "  $2's $1 ($2) is dismissed.", r"(?i)  Your ([,a-zA-ZÀ-ſ][,a-zA-ZÀ-ſ ]+[,a-zA-ZÀ-ſ]) \(([,a-zA-ZÀ-ſ]+)\) is dismissed\."),
+    Rule("(", "  $2 's Arcane Missiles (pet)", r"(?i)  ([,a-zA-ZÀ-ſ][,a-zA-ZÀ-ſ ]+[,a-zA-ZÀ-ſ]) \(([,a-zA-ZÀ-ſ]+)\)('s| 's) Arcane Missiles"),
+    Rule("(", "  $2 's", r"(?i)  ([,a-zA-ZÀ-ſ][,a-zA-ZÀ-ſ ]+[,a-zA-ZÀ-ſ]) \(([,a-zA-ZÀ-ſ]+)\)('s| 's)"),
+    Rule("(", "from $2$3", r"(?i)from ([,a-zA-ZÀ-ſ][,a-zA-ZÀ-ſ ]+[,a-zA-ZÀ-ſ]) \(([,a-zA-ZÀ-ſ]+)\)('s| 's)"),
 )
 #: The first three leave the line as it is, so that a possessive in a buff's name stays.
 POSSESSIVE = (
     Rule(" fades from ", "$0", r"(?i) fades from .*\."),
     Rule(" gains ", "$0", r"(?i) gains .*\)\."),
     Rule(" is afflicted by ", "$0", r"(?i) is afflicted by .*\)\."),
-    Rule("'s ", "  $1 's $2", rf"(?i)  ([{_L}'\- ]*?\S)'s ([A-Z])"),
-    Rule("'s ", "from $1 's $2", rf"(?i)from ([{_L}'\- ]*?\S)'s ([A-Z])"),
-    Rule("is immune to", "is immune to $1 's $2", rf"(?i)is immune to ([{_L}'\- ]*?\S)'s ([A-Z])"),
+    Rule("'s ", "  $1 's $2", r"(?i)  ([,a-zA-ZÀ-ſ'\- ]*?\S)'s ([A-Z])"),
+    Rule("'s ", "from $1 's $2", r"(?i)from ([,a-zA-ZÀ-ſ'\- ]*?\S)'s ([A-Z])"),
+    Rule("is immune to", "is immune to $1 's $2", r"(?i)is immune to ([,a-zA-ZÀ-ſ'\- ]*?\S)'s ([A-Z])"),
     Rule(")'s ", ") 's $1", r"(?i)\)'s ([A-Z])"),
 )
 RENAMES = (
-    Rule("Totem", "  $1 's", rf"(?i)  [A-Z][{_L} ]* Totem [IVX]+ \((.*?)\) 's"),
-    Rule("Totem", " from $1 's", rf"(?i) from [A-Z][{_L} ]* Totem [IVX]+ \((.*?)\) 's"),
+    Rule("Totem", "  $1 's", r"(?i)  [A-Z][,a-zA-ZÀ-ſ ]* Totem [IVX]+ \((.*?)\) 's"),
+    Rule("Totem", " from $1 's", r"(?i) from [A-Z][,a-zA-ZÀ-ſ ]* Totem [IVX]+ \((.*?)\) 's"),
     Rule("Lightning", "Lightning Strike (nature) was resisted", r"(?i)Lightning Strike was resisted"),
     Rule("Lightning", "Lightning Strike (nature) $1 Nature damage", r"(?i)Lightning Strike (.*) Nature damage"),
     Rule("Onyxias", "Onyxia's Elite Guard", r"(?i)Onyxias Elite Guard"),
     Rule("Sarturas", "Sartura's Royal Guard", r"(?i)Sarturas Royal Guard"),
 )
-FRIENDLY_FIRE = (Rule("Power Overwhelming", "from $1 (self damage) 's Power Overwhelming", rf"(?i)from ([{_L}]*?) 's Power Overwhelming"),)
-_SELF_TICK = rf"(?i)  ([{_L}' ]*?) suffers (.*) (damage) from ([{_L}' ]*?) 's"
-_SELF_HIT = rf"(?i)  ([{_L}' ]*?) 's (.*) (hits|crits) ([{_L}' ]*?) for"
+FRIENDLY_FIRE = (Rule("Power Overwhelming", "from $1 (self damage) 's Power Overwhelming", r"(?i)from ([,a-zA-ZÀ-ſ]*?) 's Power Overwhelming"),)
+_SELF_TICK = r"(?i)  ([,a-zA-ZÀ-ſ' ]*?) suffers (.*) (damage) from ([,a-zA-ZÀ-ſ' ]*?) 's"
+_SELF_HIT = r"(?i)  ([,a-zA-ZÀ-ſ' ]*?) 's (.*) (hits|crits) ([,a-zA-ZÀ-ſ' ]*?) for"
 
 
 def first_match(text: Column, rules: Sequence[Rule], me: Column | None = None) -> Column:
@@ -164,7 +181,7 @@ def owners(cleaned: DataFrame) -> DataFrame:
     any such cast, the fixed list. renamed tells pets that had their owner's name."""
     pets = cleaned.withColumn("pet", _pet_field(F.col("text"))).where("pet is not null").select(*KEY, "seq", F.split("text", "&")[1].alias("owner"), "pet")
     first = pets.groupBy(*KEY, "pet").agg(F.min("seq").alias("since"))
-    g = D.captures(F.col("text"), PET_CAST, 2)
+    g = D.captures(F.col("text"), PET_CAST, "$1|$2")
     casts = cleaned.where(F.col("text").contains("CAST:") & ~F.col("text").contains("LOOT:") & ~F.col("text").contains("COMBATANT_INFO")).select(*KEY, "seq", g.alias("g")).where("g is not null")
     casts = casts.select(*KEY, "seq", F.col("g")[0].alias("pet"), F.trim(F.col("g")[1]).alias("spell"))
     known = casts.join(first, [*KEY, "pet"]).where("seq > since and spell <> ''").groupBy(*KEY, "pet").agg(F.collect_set("spell").alias("cast"))
@@ -178,7 +195,7 @@ def owners(cleaned: DataFrame) -> DataFrame:
 
 def summoners(cleaned: DataFrame) -> DataFrame:
     """Owners of summoned creatures, named in brackets: (keys, owner)."""
-    g = D.captures(F.col("text"), rf"({_NAME}) \(({_LETTERS})\)", 2)
+    g = D.captures(F.col("text"), SUMMONER, "$1|$2")
     named = F.lit(False)
     for n in SUMMONED:
         named = named | F.col("text").contains(n)
