@@ -61,15 +61,19 @@ def _from(struct: str, **more: Column) -> Column:
 
 
 def raw_entries(decoded: DataFrame) -> DataFrame:
-    """All entries of all lines before gates, one pass: (keys, seq, sub, ts, ENTRY). Deaths are those of players."""
-    parts = [
-        (CAST, F.col("cast").isNotNull(), _from("cast")),
-        (DAMAGE, F.col("damage").isNotNull(), _from("damage", kind=F.lit("Damage"))),
-        (HEAL, F.col("heal").isNotNull(), _from("heal", kind=F.lit("Healing"))),
-        (AURA, F.col("aura").isNotNull(), _from("aura")),
-        (CAST, F.coalesce(F.col("died.kind") == "player", F.lit(False)), _entry(kind=F.lit("Death"), source=F.col("died.name"))),
-    ]
-    listed = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(sub).alias("sub"), e.alias("e"))) for sub, test, e in parts]))
+    """All entries of all lines before gates, one pass: (keys, seq, sub, ts, ENTRY). Deaths are those of players.
+
+    Only families that were decoded give entries (see decode).
+    """
+    parts = {
+        "cast": (CAST, F.col("cast").isNotNull(), lambda: _from("cast")),
+        "damage": (DAMAGE, F.col("damage").isNotNull(), lambda: _from("damage", kind=F.lit("Damage"))),
+        "heal": (HEAL, F.col("heal").isNotNull(), lambda: _from("heal", kind=F.lit("Healing"))),
+        "aura": (AURA, F.col("aura").isNotNull(), lambda: _from("aura")),
+        "died": (CAST, F.coalesce(F.col("died.kind") == "player", F.lit(False)), lambda: _entry(kind=F.lit("Death"), source=F.col("died.name"))),
+    }
+    own = [parts[n] for n in parts if n in decoded.columns]
+    listed = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(sub).alias("sub"), e().alias("e"))) for sub, test, e in own]))
     return decoded.select(*KEY, "seq", "ts", F.explode(listed).alias("x")).select(*KEY, "seq", "ts", "x.sub", "x.e.*")
 
 

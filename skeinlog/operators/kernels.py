@@ -152,12 +152,12 @@ def along(rows: DataFrame, spans: DataFrame, keys: Sequence[str], at: str = "seq
     return spots.join(listed, on).drop("_spot", "_block", "_from", "_to", *[f"_k_{k}" for k in keys])
 
 
-def dense_buckets(df: DataFrame, keys: Sequence[str], bucket: str, aggregates: dict[str, Column]) -> DataFrame:
-    """Aggregates by bucket with every bucket between a key's first and last present; missing values are null."""
+def dense_buckets(df: DataFrame, keys: Sequence[str], bucket: str, aggregates: dict[str, Column], axis: DataFrame | None = None) -> DataFrame:
+    """Aggregates by bucket with every bucket of the axis present; missing values are null. axis: (keys, bucket); without one, all
+    between a key's first and last."""
     grouped = df.groupBy(*keys, bucket).agg(*[v.alias(k) for k, v in aggregates.items()])
-    axis = grouped.groupBy(*keys).agg(F.min(bucket).alias("_lo"), F.max(bucket).alias("_hi")).select(
-        *keys, F.explode(F.sequence("_lo", "_hi")).alias(bucket)
-    )
+    if axis is None:
+        axis = grouped.groupBy(*keys).agg(F.min(bucket).alias("_lo"), F.max(bucket).alias("_hi")).select(*keys, F.explode(F.sequence("_lo", "_hi")).alias(bucket))
     return axis.join(grouped, [*keys, bucket], "left")
 
 
@@ -181,25 +181,26 @@ def attach(df: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(other, on).drop(*[f"_k_{k}" for k in keys])
 
 
-def clamped_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], delta: str, low: int, high: int, begin: int, name: str = "level", block: int = 256) -> DataFrame:
-    """A running sum held between low and high after each step.
+def clamped_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], delta: str, low: int | str, high: int | str, begin: int | str, name: str = "level", block: int = 256) -> DataFrame:
+    """A running sum held between low and high after each step; these and begin are numbers, or columns that are one for each key.
 
     Two clamps have no closed form as a window, but steps compose: any run of them is x -> least(high', greatest(low', x + add)).
     Each block of a key's steps (block of them, by rank) is reduced to such a triple, a key's few triples are folded to the
     level that each block begins with, and then each block is folded on its own. No array holds more than a block's steps,
     but for the triples: one for each block.
     """
-    steps = ranked_within(df.select(*keys, *order, F.col(delta).cast("long").alias("_d")), keys, order, "_rank")
+    bound = lambda v: F.lit(v).cast("long") if isinstance(v, int) else F.col(v).cast("long")
+    steps = ranked_within(df.select(*keys, *order, F.col(delta).cast("long").alias("_d"), bound(low).alias("_low"), bound(high).alias("_high"), bound(begin).alias("_begin")), keys, order, "_rank")
     steps = steps.withColumn("_block", F.floor((F.col("_rank") - 1) / block)).drop("_part", "_rank")
-    blocks = cut(steps.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct(*order, "_d"))).alias("_steps")))
-    hold = lambda x: f"greatest({low}L, least({high}L, {x}))"
+    blocks = cut(steps.groupBy(*keys, "_block", "_low", "_high", "_begin").agg(F.array_sort(F.collect_list(F.struct(*order, "_d"))).alias("_steps")))
+    hold = lambda x: f"greatest(_low, least(_high, {x}))"
     triple = f"""aggregate(_steps, named_struct('a', 0L, 'l', {-(2**62)}L, 'h', {2**62}L), (t, s) ->
         named_struct('a', t.a + s._d, 'l', {hold("t.l + s._d")}, 'h', {hold("t.h + s._d")}))"""
     levels = lambda array, first, step: f"""aggregate({array}, array({first}), (acc, s) -> concat(acc, array({step.replace("x", "element_at(acc, -1)")})))"""
     heads = (
-        blocks.select(*keys, "_block", F.expr(triple).alias("_t")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_t"))).alias("_ts"))
-        .withColumn("_begin", F.expr(levels("_ts", f"cast({begin} as bigint)", "least(s._t.h, greatest(s._t.l, x + s._t.a))")))
-        .select(*keys, F.posexplode("_ts").alias("_at", "_z"), "_begin").select(*keys, F.col("_z._block").alias("_block"), F.expr("_begin[_at]").alias("_first"))
+        blocks.select(*keys, "_block", "_begin", F.expr(triple).alias("_t")).groupBy(*keys, "_begin").agg(F.array_sort(F.collect_list(F.struct("_block", "_t"))).alias("_ts"))
+        .withColumn("_firsts", F.expr(levels("_ts", "_begin", "least(s._t.h, greatest(s._t.l, x + s._t.a))")))
+        .select(*keys, F.posexplode("_ts").alias("_at", "_z"), "_firsts").select(*keys, F.col("_z._block").alias("_block"), F.expr("_firsts[_at]").alias("_first"))
     )
     return (
         attach(blocks, heads, [*keys, "_block"])
@@ -209,7 +210,7 @@ def clamped_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], delta
     )
 
 
-def last_match(points: DataFrame, id_col: str, matched: DataFrame, rank: str) -> DataFrame:
-    """Of several matches of a point, the one with the largest rank."""
-    best = matched.groupBy(id_col).agg(F.max(rank).alias(rank))
-    return points.select(id_col).join(best, id_col, "left")
+def last_match(points: DataFrame, id_cols: Sequence[str], matched: DataFrame, value: str, rank: str) -> DataFrame:
+    """points with the value of the match with the largest rank; null without any."""
+    best = matched.groupBy(*id_cols).agg(F.max_by(value, rank).alias(value))
+    return points.join(best, list(id_cols), "left")

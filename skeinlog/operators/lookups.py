@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def classify_items(df: DataFrame, item_col: str, items: DataFrame) -> DataFrame:
-    """Adds category and label of an item: by exact name, else by the longest prefix that is listed as one, else null ('Other').
+def classify_items(df: DataFrame, item_col: str, items: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """Adds category and label of an item: by exact name, else by the longest prefix that is listed as one, else those of the last of
+    categories, Other (null without categories).
 
     Rows whose item is listed as ignored are dropped. items: (item, category, label, prefix, ignored), a small fixed list.
     """
@@ -16,6 +17,9 @@ def classify_items(df: DataFrame, item_col: str, items: DataFrame) -> DataFrame:
     prefixes = [(r.item, r.category, r.label) for r in items.where("prefix").collect()]  # a handful
     kept = df.join(ignored, df[item_col] == F.col("_ignored"), "left_anti").join(exact, df[item_col] == F.col("_item"), "left")
     category, label = F.lit(None).cast("int"), F.lit(None).cast("string")
+    if categories is not None:
+        last = categories.orderBy(F.desc("category")).first()
+        category, label = F.lit(last.category), F.lit(last.label)
     for item, c, name in sorted(prefixes, key=lambda p: len(p[0])):
         hit = F.col(item_col).startswith(item)
         category, label = F.when(hit, F.lit(c)).otherwise(category), F.when(hit, F.lit(name)).otherwise(label)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import aggregates
 from . import kernels as K
-from .entries import KEY
+from .entries import KEY, known
 
 # Seconds and rows of an opener.
 OPENER_SECONDS, OPENER_ROWS = 10.0, 8
@@ -59,6 +60,19 @@ def duration(encounters: DataFrame, which: str | int = "all") -> DataFrame:
     return selected(encounters, which).groupBy(*KEY).agg(F.sum(F.col("end") - F.col("start")).alias("duration"))
 
 
+def filtered_stats(entries: DataFrame, encounters: DataFrame, players: DataFrame, which: str | int = "all") -> dict[str, DataFrame]:
+    """Statistics of a selection: done, taken, healed (see aggregates) and totals.
+
+    For all, those of the whole session, where healing counts for players known as of its line; for any other filter they are
+    counted anew over the selection, by the final roster.
+    """
+    rows = in_selection(entries, encounters, which)
+    if which != "all":
+        rows = known(rows.drop("target_known"), players, "target", "target_known", None)
+    done, taken, healed = aggregates.damage_done(rows), aggregates.damage_taken(rows), aggregates.healing_done(rows)
+    return {"done": done, "taken": taken, "healed": healed, "totals": aggregates.player_totals(done, taken, healed)}
+
+
 def opener(rows: DataFrame, keys: Sequence[str], at: str, seq: str, seconds: float = OPENER_SECONDS, most: int = OPENER_ROWS) -> DataFrame:
     """The first rows of each key within some time of its first, with their delay and number rn."""
     w = W.partitionBy(*keys)

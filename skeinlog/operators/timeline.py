@@ -49,13 +49,13 @@ def buckets(entries: DataFrame, encounters: DataFrame, active: DataFrame) -> Dat
     """One row a second of the axis: damage, damage_taken, healing, boss_healing and alive."""
     e = _players(concatenated_offset(entries, encounters), active).withColumn("second", F.floor("offset"))
     amount = lambda test, value: F.coalesce(F.sum(F.when(F.expr(test), F.col(value))), F.lit(0)).cast("long")
-    sums = e.groupBy(*KEY, "second").agg(
-        amount("kind = 'Damage' and s", "amount").alias("damage"), amount("kind = 'Damage' and t", "amount").alias("damage_taken"),
-        amount("kind = 'Healing' and s and t", "effective_heal").alias("healing"), amount("kind = 'Healing' and s and not t and not pet", "effective_heal").alias("boss_healing"),
-    )
+    sums = {
+        "damage": amount("kind = 'Damage' and s", "amount"), "damage_taken": amount("kind = 'Damage' and t", "amount"),
+        "healing": amount("kind = 'Healing' and s and t", "effective_heal"), "boss_healing": amount("kind = 'Healing' and s and not t and not pet", "effective_heal"),
+    }
     length = encounters.groupBy(*KEY).agg(F.sum(F.col("end") - F.col("start")).alias("_d")).where("_d > 0")
     axis = length.select(*KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil("_d"))).alias("second"))
-    dense = axis.join(sums, [*KEY, "second"], "left").na.fill(0, ["damage", "damage_taken", "healing", "boss_healing"])
+    dense = K.dense_buckets(e, KEY, "second", sums, axis).na.fill(0, list(sums))
     dense = dense.join(alive(e, encounters, active), [*KEY, "second"], "left")
     raid = active.groupBy(*KEY).agg(F.count("*").alias("_raid"))
     idle = (F.coalesce("alive", F.lit(0)) == 0) & (F.col("damage") == 0) & (F.col("healing") == 0) & (F.col("damage_taken") == 0)
@@ -70,9 +70,7 @@ def alive(placed: DataFrame, encounters: DataFrame, active: DataFrame) -> DataFr
     first = on_axis(encounters).select(*KEY, "enc_idx", F.col("base").alias("offset"), F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("step"))
     step = F.expr("case when kind = 'Death' and s then -1 when kind = 'Resurrect' and t then 1 else 0 end")
     steps = first.unionByName(placed.select(*KEY, "enc_idx", "offset", "seq", step.alias("step"))).join(raid, KEY)
-    moves = steps.where("step <> 0 or seq = -1").groupBy(*KEY, "enc_idx", "raid").agg(F.array_sort(F.collect_list(F.struct("seq", "step"))).alias("m"))
-    fold = "aggregate(m, array(raid), (acc, x) -> concat(acc, array(greatest(0L, least(raid, acc[size(acc) - 1] + x.step)))))"
-    levels = moves.select(*KEY, "enc_idx", F.explode(F.arrays_zip("m", F.expr(f"slice({fold}, 2, size(m))").alias("level"))).alias("z")).select(*KEY, "enc_idx", F.col("z.m.seq").alias("seq"), F.col("z.level").alias("level"))
+    levels = K.clamped_fold(steps.where("step <> 0 or seq = -1"), [*KEY, "enc_idx"], ["seq"], "step", 0, "raid", "raid")
     at = K.asof_last(steps.join(levels, [*KEY, "enc_idx", "seq"], "left"), [*KEY, "enc_idx"], ["seq"], F.col("level"), "alive")
     return at.groupBy(*KEY, F.floor("offset").alias("second")).agg(F.max_by("alive", F.struct("enc_idx", "seq")).alias("alive"))
 
@@ -95,9 +93,9 @@ def point_events(entries: DataFrame, encounters: DataFrame, active: DataFrame, b
 
 
 def dispel_casters(entries: DataFrame, encounters: DataFrame) -> DataFrame:
-    """Casters of dispels, the busiest first."""
+    """Casters of dispels, with their number."""
     d = concatenated_offset(entries.where("kind = 'Dispel'"), encounters)
-    return d.groupBy(*KEY, F.col("source").alias("caster")).count().orderBy(*KEY, F.desc("count"), "caster")
+    return d.groupBy(*KEY, F.col("source").alias("caster")).count()
 
 
 def aura_intervals(entries: DataFrame, encounters: DataFrame, persistent: DataFrame | None = None) -> DataFrame:
@@ -149,10 +147,10 @@ def buff_uptime(entries: DataFrame, encounters: DataFrame, persistent: DataFrame
 
 
 def available_auras(entries: DataFrame, encounters: DataFrame) -> DataFrame:
-    """Names of auras met, without regard to case in their order."""
+    """Names of auras met."""
     i = aura_intervals(entries, encounters).select(*KEY, "aura")
     j = concatenated_offset(entries.where("kind in ('AuraGain', 'AuraFade')"), encounters).select(*KEY, F.col("spell").alias("aura"))
-    return i.unionByName(j).distinct().orderBy(*KEY, F.lower("aura"))
+    return i.unionByName(j).distinct()
 
 
 def consume_window(encounters: DataFrame, facts: DataFrame) -> DataFrame:
@@ -163,8 +161,8 @@ def consume_window(encounters: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def consume_marks(uses: DataFrame, window: DataFrame) -> DataFrame:
-    """Consumable uses on that axis, in order."""
-    return uses.join(window, KEY).where("ts between t_start and t_end").withColumn("offset", F.col("ts") - F.col("t_start")).drop("t_start", "t_end").orderBy(*KEY, "offset", "seq")
+    """Consumable uses on that axis."""
+    return uses.join(window, KEY).where("ts between t_start and t_end").withColumn("offset", F.col("ts") - F.col("t_start")).drop("t_start", "t_end")
 
 
 def aura_categories(marks: DataFrame, auras: DataFrame, buffs: DataFrame) -> DataFrame:
@@ -216,7 +214,7 @@ def category_lanes(intervals: DataFrame, marks: DataFrame, categories: DataFrame
     """
     bars = intervals.join(categories, [*KEY, "aura"]).select(*KEY, "category", "player", F.lit(True).alias("bar"))
     uses = marks.select(*KEY, "category", "player", F.lit(False).alias("bar"))
-    return bars.unionByName(uses).groupBy(*KEY, "category").agg(F.sort_array(F.collect_set("player")).alias("players"), F.bool_or("bar").alias("bars")).orderBy(*KEY, "category")
+    return bars.unionByName(uses).groupBy(*KEY, "category").agg(F.sort_array(F.collect_set("player")).alias("players"), F.bool_or("bar").alias("bars"))
 
 
 def active_at(intervals: DataFrame, marks: DataFrame, second: float, span: float) -> DataFrame:

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import decode as D
+from ..operators import aggregates, encounters, lookups, selection, timeline
+from ..operators import entries as N
 from ..operators import kernels as K
+from . import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +46,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def logged(df: DataFrame, log: Column | None = None) -> DataFrame:
+    """df with the columns that separate logs and sessions: one log, or one for each value of a column."""
+    return df.withColumn("log_id", F.lit("all") if log is None else log.cast("string")).withColumn("session_id", F.lit(0))
+
+
 def of(df: DataFrame, *kinds: str) -> DataFrame:
     return df.where(F.col("event_type").isin(*kinds))
 
@@ -123,15 +131,19 @@ def interval_union(spark, sf_dir):
     return K.covered_length(aura_pairs(spark, sf_dir), KEY, "s_us", "e_us")
 
 
-@query(f"""{UNION}, c AS (SELECT user_id, sum(len) AS covered FROM z GROUP BY 1),
-n AS (SELECT user_id, count(*) FILTER (WHERE event_type='view') AS gains, count(*) FILTER (WHERE event_type='click') AS fades FROM e GROUP BY 1)
-SELECT n.user_id, CAST(gains AS BIGINT) AS gains, CAST(fades AS BIGINT) AS fades, round(least(coalesce(covered, 0) / (30 * 86400000000.0)::DOUBLE, 1.0), 6) AS uptime FROM n FULL OUTER JOIN c ON n.user_id = c.user_id""")
+@query(f"""{PAIRS}, z0 AS (SELECT min(us) AS s, min(us) + 30 * 86400000000 AS t FROM e),
+iv AS (SELECT user_id, s_us, coalesce(e_us, t) AS e_us FROM p, z0 WHERE d=1 AND coalesce(e_us, t) > s_us),
+b AS (SELECT *, max(e_us) OVER (PARTITION BY user_id ORDER BY s_us, e_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM iv),
+i AS (SELECT *, sum(CASE WHEN pe IS NULL OR s_us>pe THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s_us, e_us) AS g FROM b),
+c AS (SELECT user_id, sum(len) AS covered FROM (SELECT user_id, g, max(e_us)-min(s_us) AS len FROM i GROUP BY 1,2) GROUP BY 1),
+n AS (SELECT user_id, count(*) FILTER (WHERE event_type='view') AS gains, count(*) FILTER (WHERE event_type='click') AS fades FROM e WHERE event_type IN ('view', 'click') GROUP BY 1)
+SELECT CAST(n.user_id AS VARCHAR) AS player, CAST(gains AS BIGINT) AS gains, CAST(fades AS BIGINT) AS fades, round(least(coalesce(covered, 0) / (30 * 86400000000.0)::DOUBLE, 1.0), 5) AS uptime FROM n LEFT JOIN c ON n.user_id = c.user_id""")
 def buff_uptime(spark, sf_dir):
-    counts = events(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("gains"), F.count_if(F.col("event_type") == "click").alias("fades"))
-    covered = K.covered_length(aura_pairs(spark, sf_dir), KEY, "s_us", "e_us")
-    return counts.join(covered, "user_id", "full_outer").select(
-        "user_id", "gains", "fades", F.round(F.least(F.coalesce("covered", F.lit(0)) / F.lit(30.0 * DAY), F.lit(1.0)), 6).alias("uptime")
-    )
+    """Auras of a fight of thirty days: views are gains, clicks are fades; what is open lasts to the end."""
+    e = events(spark, sf_dir).withColumn("ts", F.col("us") / 1e6)
+    marks = logged(of(e, "view", "click")).select(*N.KEY, "seq", "ts", F.when(F.col("event_type") == "view", "AuraGain").otherwise("AuraFade").alias("kind"), F.col("user_id").cast("string").alias("source"), F.lit("Might").alias("spell"))
+    fight = logged(e.agg(F.min("ts").alias("start"))).select(*N.KEY, F.lit(1).alias("enc_idx"), "start", (F.col("start") + 30 * 86400).alias("end"))
+    return timeline.buff_uptime(marks, fight).select("player", "gains", "fades", F.round("uptime", 5).alias("uptime"))
 
 
 METER = """SELECT l_suppkey AS player, CAST(sum(round(l_extendedprice*100)) AS BIGINT) AS total, count(*) AS hits, count(*) FILTER (WHERE l_returnflag='R') AS crits,
@@ -150,27 +162,29 @@ def meter_with_rank(spark, sf_dir):
 @query("""WITH o AS (SELECT o_custkey, o_orderstatus AS name, o_orderkey AS k, epoch_us(o_orderdate) AS s FROM orders),
 f AS (SELECT *, CASE WHEN lag(name) OVER w = name AND s - lag(s) OVER w < 86400000000*90 THEN 0 ELSE 1 END AS nw FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY s,k)),
 g AS (SELECT *, sum(nw) OVER (PARTITION BY o_custkey ORDER BY s,k) AS isl FROM f)
-SELECT o_custkey, CAST(isl AS BIGINT) AS isl, min(name) AS name, count(*) AS n, min(s) AS s, max(s) AS e FROM g GROUP BY 1,2""")
+SELECT CAST(o_custkey AS VARCHAR) AS customer, CAST(isl AS BIGINT) AS isl, min(name) AS name, count(*) AS n, min(s) AS s, max(s) AS e FROM g GROUP BY 1,2""")
 def merge_islands(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("name"), F.col("o_orderkey").alias("k"), micros("o_orderdate").alias("s"))
-    keys, order = ["o_custkey"], ["s", "k"]
-    same = (K.previous("name", keys, order) == F.col("name")) & (F.col("s") - K.previous("s", keys, order) < 90 * DAY)
-    return K.islands(o, keys, order, ~F.coalesce(same, F.lit(False)), "isl").groupBy("o_custkey", "isl").agg(
-        F.min("name").alias("name"), F.count("*").alias("n"), F.min("s").alias("s"), F.max("s").alias("e")
-    )
+    """Orders of a customer with one status, less than 90 days apart, as merged fights."""
+    at = micros("o_orderdate")
+    o = logged(table(spark, sf_dir, "orders"), F.col("o_custkey")).select(
+        *N.KEY, F.struct(at, "o_orderkey").alias("enc_idx"), F.col("o_orderstatus").alias("name"), F.lit("x").alias("zone"), at.alias("start"), at.alias("end"),
+        F.lit(True).alias("is_boss"), F.lit(False).alias("is_kill"), F.lit(1).alias("player_deaths"), F.lit(0).alias("active_players"),
+    )
+    merged = encounters.merge(o, 90 * DAY)
+    return merged.select(F.col("log_id").alias("customer"), F.col("enc_idx").cast("long").alias("isl"), "name", F.col("player_deaths").cast("long").alias("n"), F.col("start").alias("s"), F.col("end").alias("e"))
 
 
 @query("""WITH enc AS (SELECT event_id AS id, user_id, epoch_us(ts) AS s, epoch_us(ts)+7200000000 AS e FROM events WHERE event_type='signup'),
 lt AS (SELECT event_id AS lid, user_id, epoch_us(ts) AS t FROM events WHERE event_type='purchase')
-SELECT lid, max(id) AS enc FROM lt LEFT JOIN enc ON lt.user_id=enc.user_id AND t BETWEEN s AND e GROUP BY 1""")
+SELECT lid, coalesce(CAST(max(id) AS VARCHAR), 'Trash/Other') AS boss FROM lt LEFT JOIN enc ON lt.user_id=enc.user_id AND t BETWEEN s AND e GROUP BY 1""")
 def loot_attribution(spark, sf_dir):
-    e = events(spark, sf_dir)
-    windows = of(e, "signup").select(F.col("seq").alias("enc"), "user_id", F.col("us").alias("s"), (F.col("us") + 2 * HOUR).alias("e"))
-    loot = of(e, "purchase").select(F.col("seq").alias("lid"), "user_id", F.col("us").alias("t"))
-    return K.last_match(loot, "lid", K.range_attach(loot, windows, KEY, "t", "s", "e", 2 * HOUR), "enc")
+    """Purchases as loot, signups as the starts of fights of two hours."""
+    e = logged(events(spark, sf_dir), F.col("user_id")).withColumn("ts", F.col("us") / 1e6)
+    fights = of(e, "signup").select(*N.KEY, F.col("seq").alias("enc_idx"), F.col("seq").cast("string").alias("name"), F.col("ts").alias("start"), (F.col("ts") + 7200).alias("end"))
+    return encounters.attribute_loot(of(e, "purchase").select(*N.KEY, "seq", "ts"), fights, 0.0).select(F.col("seq").alias("lid"), "boss")
 
 
-@query("""SELECT event_id, strftime(ts,'%-m/%-d %H:%M:%S.') || lpad(CAST((epoch_us(ts)//1000)%1000 AS VARCHAR),3,'0') || '  U' || translate(CAST(user_id AS VARCHAR),'0123456789','abcdefghij') || ' ''s Spell' || event_type || CASE WHEN value>50 THEN ' crits ' ELSE ' hits ' END || 'Boss for ' || CAST(CAST(round(value*100) AS BIGINT) AS VARCHAR) || '.' AS line FROM events WHERE event_type<>'view'""")
+@query("""SELECT event_id, strftime(ts,'%-m/%-d %H:%M:%S.') || lpad(CAST((epoch_us(ts)//1000)%1000 AS VARCHAR),3,'0') || '  U' || translate(CAST(user_id AS VARCHAR),'0123456789','abcdefghij') || ' ''s Spell' || event_type || CASE WHEN value>50 THEN ' crits ' ELSE ' hits ' END || 'Boss for ' || CAST(CAST(round(value*100) AS BIGINT) AS VARCHAR) || '.' AS line FROM events""")
 def rendered_lines(spark, sf_dir):
     return render_lines(spark, sf_dir)
 
@@ -178,7 +192,7 @@ def rendered_lines(spark, sf_dir):
 def render_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as combat-log lines; digits of ids become letters, as names are letters only."""
     t = F.col("ts").cast("timestamp_ntz")
-    return table(spark, sf_dir, "events").where("event_type <> 'view'").select(
+    return table(spark, sf_dir, "events").select(
         "event_id",
         F.concat(
             F.date_format(t, "M/d HH:mm:ss.SSS"), F.lit("  U"), F.translate(F.col("user_id").cast("string"), "0123456789", "abcdefghij"), F.lit(" 's Spell"),
@@ -187,47 +201,49 @@ def render_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = render_lines(spark, sf_dir).selectExpr("'events' as log_id", "0 as session_id", "event_id as seq", "line as text")
-    return D.decode(lines).where("damage is not null")
+def damage_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries decoded from the rendered lines."""
+    lines = logged(render_lines(spark, sf_dir)).selectExpr(*N.KEY, "event_id as seq", "line as text")
+    return N.raw_entries(D.decode(lines, ("damage",)))
 
 
 @query("""SELECT 'U' || translate(CAST(user_id AS VARCHAR),'0123456789','abcdefghij') AS player, 'Spell' || event_type AS ability, CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT) AS total, count(*) AS hits,
-count(*) FILTER (WHERE value > 50) AS crits, CAST(coalesce(sum(CAST(round(value*100) AS BIGINT)) FILTER (WHERE value > 50), 0) AS BIGINT) AS crit_total FROM events WHERE event_type <> 'view' GROUP BY 1, 2""")
+count(*) FILTER (WHERE value > 50) AS crits, CAST(coalesce(sum(CAST(round(value*100) AS BIGINT)) FILTER (WHERE value > 50), 0) AS BIGINT) AS crit_total FROM events GROUP BY 1, 2""")
 def round_trip_decode(spark, sf_dir):
-    d = _decoded(spark, sf_dir).select("damage.*")
-    return d.groupBy(F.col("source").alias("player"), F.col("spell").alias("ability")).agg(
-        F.sum("amount").alias("total"), F.count("*").alias("hits"), F.count_if("is_crit").alias("crits"), F.coalesce(F.sum(F.when(F.col("is_crit"), F.col("amount"))), F.lit(0)).alias("crit_total")
-    )
+    return aggregates.damage_done(damage_entries(spark, sf_dir)).select("player", "ability", "total", "hits", "crits", "crit_total")
 
 
 @query("""SELECT 'U' || translate(CAST(user_id AS VARCHAR),'0123456789','abcdefghij') AS player, CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT) AS total,
-rank() OVER (ORDER BY sum(CAST(round(value*100) AS BIGINT)) DESC) AS rnk, round(100 * sum(CAST(round(value*100) AS BIGINT))::DOUBLE / (sum(sum(CAST(round(value*100) AS BIGINT))) OVER ())::DOUBLE, 4) AS pct FROM events WHERE event_type <> 'view' GROUP BY 1""")
+rank() OVER (ORDER BY sum(CAST(round(value*100) AS BIGINT)) DESC) AS rnk, round(100 * sum(CAST(round(value*100) AS BIGINT))::DOUBLE / (sum(sum(CAST(round(value*100) AS BIGINT))) OVER ())::DOUBLE, 4) AS pct FROM events GROUP BY 1""")
 def damage_meter(spark, sf_dir):
-    from . import reports
-
-    totals = _decoded(spark, sf_dir).groupBy(F.col("damage.source").alias("player")).agg(F.sum("damage.amount").alias("total"))
-    return reports.ranked(totals, "total").select("player", "total", F.col("rank").cast("long").alias("rnk"), F.round("pct", 4).alias("pct"))
+    e = damage_entries(spark, sf_dir)
+    totals = e.where("kind = 'Damage'").groupBy(*N.KEY, F.col("source").alias("player")).agg(F.sum("amount").alias("damage")).withColumn("pet_damage", F.lit(0)).withColumn("damage_taken", F.lit(0))
+    span = logged(spark.range(1)).select(*N.KEY, F.lit(30.0 * 86400).alias("duration"))
+    meter = reports.damage_meter(totals, totals.select(*N.KEY, F.col("player").alias("name")), span)
+    return meter.select("player", F.col("value").alias("total"), F.col("rank").cast("long").alias("rnk"), F.round("pct", 4).alias("pct"))
 
 
-@query("""SELECT event_id, (month(ts) * 31 + day(ts)) * 86400 * 1000 + (epoch_us(date_trunc('millisecond', ts)) - epoch_us(date_trunc('day', ts))) // 1000 AS ms FROM events WHERE event_type <> 'view'""")
+@query("""SELECT event_id, (month(ts) * 31 + day(ts)) * 86400 * 1000 + (epoch_us(date_trunc('millisecond', ts)) - epoch_us(date_trunc('day', ts))) // 1000 AS ms FROM events""")
 def decoded_clock(spark, sf_dir):
     return render_lines(spark, sf_dir).select("event_id", F.round(D.parse_ts(F.col("line")) * 1000).cast("long").alias("ms"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_type = 'ECONOMY BRASS' THEN NULL WHEN p_name LIKE 'small %' THEN 'Scroll' ELSE 'Other' END AS category FROM part WHERE p_type <> 'ECONOMY BRASS' OR p_type IS NULL""")
-def item_lookup(spark, sf_dir):
-    from ..operators import lookups
+IGNORED = ("new bolt", "hot rod")
+EXACT = {"Tool": ("cold anvil", "hot bolt", "blue rod", "small anvil", "large ring"), "Part": ("new widget", "red gizmo", "cold gear", "hot plate", "blue ring")}
+
 
-    dims = spark.createDataFrame([("small ", 7, "Scroll", True, False)], "item string, category int, label string, prefix boolean, ignored boolean")
-    part = table(spark, sf_dir, "part").where("p_type <> 'ECONOMY BRASS' or p_type is null")
-    return lookups.classify_items(part, "p_name", dims).select("p_partkey", F.coalesce("label", F.lit("Other")).alias("category"))
+@query(f"""SELECT p_partkey, CASE {" ".join(f"WHEN p_name IN {names} THEN '{label}'" for label, names in EXACT.items())} WHEN p_name LIKE 'small %' THEN 'Scroll' ELSE 'Other' END AS category
+FROM part WHERE p_name NOT IN {IGNORED} OR p_name IS NULL""")
+def item_lookup(spark, sf_dir):
+    """All parts: ignored ones drop out, then exact names, then a prefix, then Other."""
+    items = [(i, None, None, False, True) for i in IGNORED] + [(i, k, label, False, False) for k, (label, names) in enumerate(EXACT.items()) for i in names] + [("small ", 7, "Scroll", True, False)]
+    dims = spark.createDataFrame(items, "item string, category int, label string, prefix boolean, ignored boolean")
+    other = spark.createDataFrame([(8, "Other", "Other")], "category int, name string, label string")
+    return lookups.classify_items(table(spark, sf_dir, "part"), "p_name", dims, other).select("p_partkey", F.col("label").alias("category"))
 
 
 @query("""SELECT n_nationkey, lower(r_name) AS zone, CASE lower(r_name) WHEN 'asia' THEN 'east' ELSE lower(r_name) END AS canonical FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def zone_lookup(spark, sf_dir):
-    from ..operators import lookups
-
     joined = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     aliases = spark.createDataFrame([("asia", "east")], "alias string, canonical string")
     return lookups.normalize_zone(joined, "r_name", aliases).select("n_nationkey", F.lower("r_name").alias("zone"), F.col("zone").alias("canonical"))
@@ -235,18 +251,17 @@ def zone_lookup(spark, sf_dir):
 
 @query(f"""{E}, f AS (SELECT user_id, min(seq) AS first FROM e WHERE event_type = 'signup' GROUP BY 1) SELECT e.seq, e.user_id, e.event_type FROM e JOIN f ON e.user_id = f.user_id AND e.seq > f.first""")
 def asof_roster_gate(spark, sf_dir):
-    e = events(spark, sf_dir)
-    first = of(e, "signup").groupBy("user_id").agg(F.min("seq").alias("first_seen_seq"))
-    return e.join(first, "user_id").where("seq > first_seen_seq").select("seq", "user_id", "event_type")
+    e = logged(events(spark, sf_dir))
+    players = of(e, "signup").groupBy(*N.KEY, F.col("user_id").alias("name")).agg(F.min("seq").alias("first_seen_seq"))
+    return N.known(e, players, "user_id", "met").where("met").select("seq", "user_id", "event_type")
 
 
 @query(f"""{E}, r AS (SELECT *, lag(event_type) OVER w AS pt, lag(us) OVER w AS pus FROM e WHERE event_type IN ('signup','error') WINDOW w AS (PARTITION BY user_id ORDER BY us, seq))
-SELECT user_id, pus AS s_us, us AS e_us, us - pus AS len FROM r WHERE event_type = 'error' AND pt = 'signup' AND us - pus > 3600000000""")
+SELECT CAST(user_id AS VARCHAR) AS player, pus AS s_us, us AS e_us, us - pus AS len FROM r WHERE event_type = 'error' AND pt = 'signup' AND us - pus > 3600000000""")
 def combat_windows(spark, sf_dir):
-    from ..operators import encounters
-
-    marks = of(events(spark, sf_dir), "signup", "error").withColumn("starts", F.col("event_type") == "signup")
-    return encounters.paired_windows(marks, KEY, ORDER, "us").where("e_us - s_us > 3600000000").selectExpr("user_id", "s_us", "e_us", "e_us - s_us as len")
+    state = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "end")
+    marks = N.combat_marks(logged(events(spark, sf_dir), F.col("user_id")).select(*N.KEY, F.col("us").alias("seq"), F.col("us").alias("ts"), state.alias("combat")))
+    return encounters.combat_windows(marks).selectExpr("log_id as player", "start as s_us", "end as e_us", "end - start as len").where("len > 3600000000")
 
 
 @query(f"""{E}, s AS (SELECT seq AS id, user_id, us FROM e WHERE event_type='signup'), p AS (SELECT user_id, seq, us FROM e WHERE event_type='purchase'),
@@ -254,8 +269,6 @@ j AS (SELECT id, s.user_id, s.us AS st, p.us, p.seq, p.us - coalesce(lag(p.us) O
 b AS (SELECT *, sum(CASE WHEN gap > {6 * HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY us, seq) AS br FROM j)
 SELECT id, max(us) AS last_us, count(*) AS n FROM b WHERE br = 0 GROUP BY 1""")
 def activity_walk(spark, sf_dir):
-    from ..operators import encounters
-
     e = events(spark, sf_dir)
     starts = of(e, "signup").select(F.col("seq").alias("id"), "user_id", F.col("us").alias("end"), (F.col("us") + 3 * DAY).alias("ceiling"))
     acts = of(e, "purchase").select("user_id", "seq", F.col("us").alias("ts"))
@@ -267,8 +280,6 @@ t AS (SELECT event_id AS trade, user_id AS who, epoch_us(ts) AS t FROM events WH
 f AS (SELECT trade, arg_min(loot, (l.t, loot)) AS loot FROM t JOIN l ON t.who = l.who AND l.t <= t.t GROUP BY 1)
 SELECT loot, max(trade) AS trade FROM f GROUP BY 1""")
 def linked_trades(spark, sf_dir):
-    from ..operators import encounters
-
     e = events(spark, sf_dir)
     begin = e.agg(F.min("us").alias("b"))
     loot = table(spark, sf_dir, "orders").crossJoin(F.broadcast(begin)).select(
@@ -278,18 +289,22 @@ def linked_trades(spark, sf_dir):
     return encounters.link_trades(loot, trades, ["who"], "loot", "trade").select("loot", "trade")
 
 
-@query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, lower(o_orderstatus) ORDER BY epoch_us(o_orderdate), o_orderkey) AS attempt FROM orders WHERE o_orderstatus <> 'P'""")
+@query("""WITH b AS (SELECT *, NOT (o_orderstatus <> 'F' AND (o_orderkey % 10)::DOUBLE / 10 < 0.5) AS boss FROM orders)
+SELECT o_orderkey, CASE WHEN boss THEN row_number() OVER (PARTITION BY o_custkey, lower(o_orderstatus), boss ORDER BY epoch_us(o_orderdate), o_orderkey) END AS attempt FROM b""")
 def attempt_numbers(spark, sf_dir):
-    w = W.partitionBy("o_custkey", F.lower("o_orderstatus")).orderBy(micros("o_orderdate"), "o_orderkey")
-    return table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", F.row_number().over(w).cast("long").alias("attempt"))
+    """Orders as boss fights: F is a kill, and of ten players the key's last digit died; the ratio test comes before numbering."""
+    o = logged(table(spark, sf_dir, "orders"), F.col("o_custkey")).select(
+        *N.KEY, "o_orderkey", F.struct(micros("o_orderdate"), "o_orderkey").alias("enc_idx"), F.col("o_orderstatus").alias("name"), F.lit(True).alias("is_boss"),
+        (F.col("o_orderstatus") == "F").alias("is_kill"), F.lit(10).alias("active_players"), (F.col("o_orderkey") % 10).alias("player_deaths"),
+    )
+    return encounters.number_attempts(encounters.demote_resets(o)).select("o_orderkey", F.col("attempt").cast("long").alias("attempt"))
 
 
-@query("""WITH w AS (SELECT o_custkey AS id, epoch_us(o_orderdate) AS s, epoch_us(o_orderdate) + 3 * 86400000000 AS e FROM orders WHERE o_orderkey % 100 = 0)
+@query("""WITH w AS (SELECT epoch_us(o_orderdate) AS s, epoch_us(o_orderdate) + 3 * 86400000000 AS e FROM orders WHERE o_orderstatus = 'P')
 SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice*100) AS BIGINT) AS amt FROM lineitem WHERE EXISTS (SELECT 1 FROM w WHERE epoch_us(l_shipdate) BETWEEN s AND e)""")
 def selection_semi_join(spark, sf_dir):
-    from ..operators import selection
-
-    spans = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(micros("o_orderdate").alias("start"), (micros("o_orderdate") + 3 * DAY).alias("end"))
+    """Lines shipped within three days of any pending order."""
+    spans = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(micros("o_orderdate").alias("start"), (micros("o_orderdate") + 3 * DAY).alias("end"))
     rows = table(spark, sf_dir, "lineitem").withColumn("ts", micros("l_shipdate"))
     return selection.in_windows(rows, spans, [], 3 * DAY).select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long").alias("amt"))
 
@@ -297,8 +312,6 @@ def selection_semi_join(spark, sf_dir):
 @query(f"""{E}, f AS (SELECT *, us - min(us) OVER (PARTITION BY user_id) AS delay, row_number() OVER (PARTITION BY user_id ORDER BY us, seq) AS rn FROM e)
 SELECT user_id, seq, delay, CAST(rn AS BIGINT) AS rn FROM f WHERE delay <= {DAY} AND rn <= 8""")
 def opener(spark, sf_dir):
-    from ..operators import selection
-
     return selection.opener(events(spark, sf_dir), KEY, "us", "seq", DAY, 8).select("user_id", "seq", "delay", F.col("rn").cast("long").alias("rn"))
 
 
@@ -331,8 +344,6 @@ CASE WHEN crits > 0 THEN CAST(crit_total // crits AS BIGINT) END AS avg_crit, ro
 
 @query(ABILITY)
 def ability_breakdown(spark, sf_dir):
-    from . import reports
-
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     a = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(
         F.sum(cents).alias("total"), F.count("*").alias("hits"), F.count_if(F.col("l_linestatus") == "F").alias("crits"),
@@ -344,68 +355,106 @@ def ability_breakdown(spark, sf_dir):
 @query("""WITH a AS (SELECT l_suppkey, l_partkey, sum(CAST(round(l_quantity) AS BIGINT)) AS n FROM lineitem GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_partkey) AS rn FROM a) SELECT l_suppkey, l_partkey, CAST(n AS BIGINT) AS n FROM r WHERE rn <= 5""")
 def top_targets(spark, sf_dir):
-    from . import reports
-
     a = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(F.round("l_quantity").cast("long")).alias("n"))
     return reports.top(a, ["l_suppkey"], [F.desc("n"), F.asc("l_partkey")], 5)
 
 
 @query(f"{E} SELECT seq, us, user_id FROM e WHERE event_type = 'click' ORDER BY us DESC, seq DESC LIMIT 500")
 def event_browser(spark, sf_dir):
-    from . import reports
-
-    return reports.last_rows(of(events(spark, sf_dir), "click"), ["us", "seq"], 500).select("seq", "us", "user_id")
+    return reports.last_rows(logged(of(events(spark, sf_dir), "click")), N.KEY, ["us", "seq"], 500).select("seq", "us", "user_id")
 
 
 @query(f"""{E}, d AS (SELECT seq AS death, user_id, us FROM e WHERE event_type='error')
 SELECT e.seq, arg_min(death, (d.us, death)) AS death, min(d.us) - any_value(e.us) AS to_death FROM e JOIN d ON e.user_id = d.user_id AND e.us BETWEEN d.us - {3 * HOUR} AND d.us GROUP BY e.seq""")
 def death_windows(spark, sf_dir):
-    from . import reports
-
-    e = events(spark, sf_dir)
-    deaths = of(e, "error").select(F.col("seq").alias("death"), "user_id", F.col("us").alias("death_us"))
-    return reports.first_death_window(e, deaths, KEY, "us", "seq", 3 * HOUR).select("seq", "death", "to_death")
+    e = logged(events(spark, sf_dir)).select(*N.KEY, "seq", F.lit(1).alias("sub"), F.col("us").alias("ts"), "event_type", F.col("user_id").cast("string").alias("source"), F.lit(None).cast("string").alias("target"))
+    deaths = of(e, "error").select(*N.KEY, "seq", "ts", F.col("source").alias("player"))
+    return reports.death_replay(e, deaths, None, 3 * HOUR).select("seq", "death", F.col("to_death").cast("long").alias("to_death"))
 
 
 @query("""WITH f AS (SELECT p_brand, min(p_partkey) AS first FROM part GROUP BY 1)
 SELECT p.p_brand, p.p_partkey, CAST(row_number() OVER (ORDER BY f.first, p.p_size DESC, p.p_name, p.p_partkey) AS BIGINT) AS pos FROM part p JOIN f ON p.p_brand = f.p_brand""")
 def loot_by_boss(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    firsts = part.groupBy("p_brand").agg(F.min("p_partkey").alias("first"))
-    part = K.attach(part.select("p_brand", "p_size", "p_name", "p_partkey"), firsts, ["p_brand"]).withColumn("less", F.coalesce(-F.col("p_size").cast("long"), F.lit(2**62)))
-    ranked = K.ranked_within(part, [], ["first", "less", "p_name", "p_partkey"], "pos")
-    return ranked.select("p_brand", "p_partkey", F.col("pos").cast("long").alias("pos"))
+    loot = logged(table(spark, sf_dir, "part")).select(*N.KEY, F.col("p_brand").alias("boss"), F.col("p_size").alias("quality"), F.col("p_name").alias("item_name"), F.col("p_partkey").alias("seq"))
+    return reports.loot_by_boss(loot, notable=False).select(F.col("boss").alias("p_brand"), F.col("seq").alias("p_partkey"), F.col("pos").cast("long").alias("pos"))
 
 
 @query(f"""{E} SELECT user_id, {", ".join(f"count(*) FILTER (WHERE event_type='{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view"))} FROM e GROUP BY 1""")
 def consumable_matrix(spark, sf_dir):
-    kinds = ["click", "error", "purchase", "signup", "view"]
-    return events(spark, sf_dir).groupBy("user_id").pivot("event_type", kinds).count().na.fill(0)
+    uses = logged(events(spark, sf_dir)).select(*N.KEY, F.col("user_id").alias("player"), F.col("event_type").alias("label"))
+    return reports.consumable_matrix(uses, ["click", "error", "purchase", "signup", "view"]).drop("log_id", "session_id").withColumnRenamed("player", "user_id")
+
+
+def uses_by_month_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as uses of consumables, in a log for each half of the time."""
+    e = events(spark, sf_dir).withColumn("half", F.when(F.col("us") < 1705276800000000, "first").otherwise("second"))
+    return logged(e, F.col("half")).select(*N.KEY, F.col("user_id").cast("string").alias("player"), F.col("event_type").alias("category"), F.when(F.col("amt") > 5000, "large").otherwise("small").alias("consumable"))
 
 
-@query("""SELECT coalesce(CAST(user_id AS VARCHAR), 'all') AS player, coalesce(event_type, 'all') AS category, count(*) AS n, CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT) AS amt FROM events GROUP BY ROLLUP (user_id, event_type)""")
+@query("""WITH u AS (SELECT CASE WHEN epoch_us(ts) < 1705276800000000 THEN 'first' ELSE 'second' END AS log, CAST(user_id AS VARCHAR) AS p, event_type AS c,
+CASE WHEN CAST(round(value*100) AS BIGINT) > 5000 THEN 'large' ELSE 'small' END AS i FROM events),
+g AS (SELECT log, p, c, i, count(*) AS n FROM u GROUP BY GROUPING SETS ((log, p, c, i), (log, p, c), (log, p), (log)))
+SELECT log, coalesce(p, 'all') AS player, coalesce(c, 'all') AS category, coalesce(i, 'all') AS consumable, n FROM g""")
 def consumable_totals(spark, sf_dir):
-    e = events(spark, sf_dir).rollup(F.col("user_id").cast("string").alias("u"), F.col("event_type").alias("t")).agg(F.count("*").alias("n"), F.sum("amt").alias("amt"))
-    return e.select(F.coalesce("u", F.lit("all")).alias("player"), F.coalesce("t", F.lit("all")).alias("category"), "n", "amt")
+    told = reports.consumables_overview(uses_by_month_half(spark, sf_dir))
+    return told.select(F.col("log_id").alias("log"), *[F.coalesce(c, F.lit("all")).alias(c) for c in ("player", "category", "consumable")], "n")
+
+
+@query("""SELECT CASE WHEN epoch_us(ts) < 1705276800000000 THEN 'first' ELSE 'second' END AS log, CAST(user_id AS VARCHAR) AS player, count(*) AS n FROM events GROUP BY 1, 2""")
+def consumables_per_player(spark, sf_dir):
+    return reports.consumable_uses_by_player(uses_by_month_half(spark, sf_dir)).select(F.col("log_id").alias("log"), "player", "n")
+
+
+@query("""WITH e AS (SELECT l_suppkey AS p, l_returnflag AS s, l_linestatus AS a, sum(CAST(round(l_extendedprice*100) AS BIGINT)) AS t, count(*) AS n, count(*) FILTER (WHERE l_quantity > 45) AS c, sum(CAST(l_linenumber AS BIGINT)) AS b FROM lineitem GROUP BY 1, 2, 3)
+SELECT CAST(p AS VARCHAR) AS player, s AS source, a AS ability, CAST(t AS BIGINT) AS total, n AS hits, c AS crits, CAST(b AS BIGINT) AS mitigated, CAST(sum(t) OVER (PARTITION BY p, s) AS BIGINT) AS source_total FROM e""")
+def damage_taken_by_source(spark, sf_dir):
+    """Line items as damage: suppliers take it from return flags by line status; the line number is blocked."""
+    e = logged(table(spark, sf_dir, "lineitem")).select(
+        *N.KEY, F.lit("Damage").alias("kind"), F.col("l_suppkey").cast("string").alias("target"), F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("spell"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount"),
+        (F.col("l_quantity") > 45).alias("is_crit"), F.lit(0).alias("absorbed"), F.lit(0).alias("resisted"), F.col("l_linenumber").cast("long").alias("blocked"), F.lit(False).alias("is_crushing"), F.lit(False).alias("is_glancing"),
+    )
+    return reports.taken_by_source(aggregates.damage_taken(e)).select("player", "source", "ability", "total", "hits", "crits", "mitigated", "source_total")
+
+
+@query(f"""{E}, x AS (SELECT *, CASE WHEN event_type='purchase' THEN amt WHEN event_type IN ('view','click') THEN -amt ELSE 0 END AS d FROM e WHERE event_type IN ('purchase', 'view', 'click')),
+s AS (SELECT *, sum(d) OVER w AS cs FROM x WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)),
+m AS (SELECT *, least(0, min(cs) OVER w) AS m FROM s WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)),
+o AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY user_id ORDER BY us, seq),0) - m AS over FROM m)
+SELECT CAST(user_id AS VARCHAR) AS player, CAST(coalesce(sum(amt) FILTER (WHERE d < 0), 0) AS BIGINT) AS healing, CAST(coalesce(sum(over), 0) AS BIGINT) AS overheal,
+CAST(coalesce(sum(amt) FILTER (WHERE d < 0), 0) - coalesce(sum(over), 0) AS BIGINT) AS effective, CAST(coalesce(sum(amt) FILTER (WHERE event_type = 'purchase'), 0) AS BIGINT) AS damage_taken FROM o GROUP BY 1""")
+def healing_totals(spark, sf_dir):
+    """Effective healing of users by themselves, from the entries on, rolled up to totals as for a selection of all."""
+    e = of(logged(events(spark, sf_dir)), "purchase", "view", "click").where("amt is not null")
+    hurt = F.col("event_type") == "purchase"
+    me = F.col("user_id").cast("string")
+    e = e.select(
+        *N.KEY, F.col("us").alias("seq"), F.lit(1).alias("sub"), (F.col("us") / 1e6).alias("ts"), F.when(hurt, "Damage").otherwise("Healing").alias("kind"), F.when(hurt, "Boss").otherwise(me).alias("source"), me.alias("target"),
+        F.col("event_type").alias("spell"), F.col("amt").alias("amount"), F.lit(0).alias("reset_id"), F.lit(True).alias("target_known"), F.lit(False).alias("is_pet_spell"), F.lit(False).alias("is_crit"), F.lit(False).alias("is_crushing"),
+        F.lit(False).alias("is_glancing"), *[F.lit(0).alias(c) for c in ("absorbed", "resisted", "blocked")],
+    )
+    fight = logged(spark.range(1)).select(*N.KEY, F.lit(1).alias("enc_idx"))
+    players = e.select(*N.KEY, F.col("target").alias("name"), F.lit(0).alias("first_seen_seq")).distinct()
+    totals = selection.filtered_stats(N.with_effective_healing(e), fight, players)["totals"]
+    return totals.where("player <> 'Boss'").select("player", "healing", "overheal", "effective", "damage_taken")
 
 
 @query("""SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license')""")
 def text_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.lower("text").contains("license")).select("doc_id", "source")
+    return table(spark, sf_dir, "documents").where(selection.text_matches("text", "LICENSE")).select("doc_id", "source")
 
 
 @query(f"""{E}, r AS (SELECT *, coalesce(sum(us_len) OVER (PARTITION BY user_id ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT *, {2 * HOUR} AS us_len FROM e WHERE event_type='signup'))
 SELECT p.seq, r.seq AS enc, CAST(p.us - r.us + before AS BIGINT) AS at FROM (SELECT * FROM e WHERE event_type='purchase') p JOIN r ON p.user_id = r.user_id AND p.us BETWEEN r.us AND r.us + {2 * HOUR}""")
 def concatenated_axis(spark, sf_dir):
-    from ..operators import timeline
-
     e = events(spark, sf_dir)
     spans = of(e, "signup").select("user_id", F.col("seq").alias("enc_idx"), F.col("us").alias("start"), (F.col("us") + 2 * HOUR).alias("end"))
     acts = of(e, "purchase").select("user_id", "seq", F.col("us").alias("ts"))
     return timeline.concatenated_offset(acts, spans, KEY, 2 * HOUR).select("seq", F.col("enc_idx").alias("enc"), F.col("offset").cast("long").alias("at"))
 
 
-@query("""SELECT user_id, count(DISTINCT event_type) AS kinds, CAST(max(n) AS BIGINT) AS most FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
+@query("""WITH b AS (SELECT CAST(user_id AS VARCHAR) AS player, event_type FROM events) SELECT player, count(DISTINCT event_type) AS n FROM b GROUP BY 1
+UNION ALL SELECT 'all', count(DISTINCT event_type) FROM b""")
 def distinct_buffs(spark, sf_dir):
-    n = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return n.groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"), F.max("n").alias("most"))
+    """Kinds of events as auras gained."""
+    e = logged(events(spark, sf_dir)).select(*N.KEY, F.col("us").alias("seq"), F.col("us").alias("ts"), F.lit("AuraGain").alias("kind"), F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("spell"))
+    return reports.distinct_buffs(aggregates.buff_stats(e)).select(F.coalesce("player", F.lit("all")).alias("player"), "n")

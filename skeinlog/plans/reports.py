@@ -1,4 +1,8 @@
-"""Report queries: meters, breakdowns, logs and tables over the facts. Ties are broken by name, so results are stable."""
+"""Report queries: meters, breakdowns, logs and tables over the facts, for many logs and sessions at once.
+
+Results aren't sorted, as most are aggregated further or shown for one session; shown() sorts one for display, ties by name, so
+that what is shown is stable.
+"""
 
 from __future__ import annotations
 
@@ -37,9 +41,22 @@ def top(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -
     return rows.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
-def last_rows(rows: DataFrame, order: Sequence[str], n: int = BROWSER_ROWS) -> DataFrame:
-    """The last n rows, in order."""
-    return rows.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
+#: How each report is shown, within a session.
+ORDERS = {
+    "meter": ("rank", "player"), "counts": ("-n", "player"), "avoidance": ("-total", "player"), "abilities": ("player", "is_pet", "-total", "ability"),
+    "healing": ("player", "-effective", "ability"), "taken": ("player", "-source_total", "source", "-total", "ability"), "lines": ("seq",), "entries": ("seq", "sub"),
+    "buffs": ("player", "-uptime", "-gains", "aura"), "consumables": ("player", "category", "-n", "consumable"), "loot": ("pos",),
+}
+
+
+def shown(report: DataFrame, kind: str) -> DataFrame:
+    """A report in the order in which it is shown, session by session."""
+    return report.orderBy(*KEY, *[F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in ORDERS[kind]])
+
+
+def last_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = BROWSER_ROWS) -> DataFrame:
+    """The last n rows of each key."""
+    return top(rows, keys, [F.desc(c) for c in order], n)
 
 
 def with_averages(abilities: DataFrame, keys: Sequence[str], value: str = "total") -> DataFrame:
@@ -76,7 +93,7 @@ def healing_combined(totals: DataFrame, active: DataFrame, duration: DataFrame)
 
 def _meter(totals: DataFrame, active: DataFrame, duration: DataFrame, value: Column) -> DataFrame:
     m = totals.join(active.select(*KEY, F.col("name").alias("player")), [*KEY, "player"], "left_semi")
-    return _per_second(ranked(m.select(*KEY, "player", value.alias("value")), "value", KEY), duration).orderBy(*KEY, "rank", "player")
+    return _per_second(ranked(m.select(*KEY, "player", value.alias("value")), "value", KEY), duration)
 
 
 def _per_second(m: DataFrame, duration: DataFrame) -> DataFrame:
@@ -85,12 +102,12 @@ def _per_second(m: DataFrame, duration: DataFrame) -> DataFrame:
 
 def counts_by(rows: DataFrame, kind: str, who: str = "source") -> DataFrame:
     """Dispels, interrupts, resurrections or deaths per player."""
-    return rows.where(F.col("kind") == kind).groupBy(*KEY, F.col(who).alias("player")).agg(F.count("*").alias("n")).orderBy(*KEY, F.desc("n"), "player")
+    return rows.where(F.col("kind") == kind).groupBy(*KEY, F.col(who).alias("player")).agg(F.count("*").alias("n"))
 
 
 def avoidance_totals(avoidance: DataFrame) -> DataFrame:
     """Attacks avoided: dodged, parried, blocked and missed."""
-    return avoidance.withColumn("total", F.col("dodges") + F.col("parries") + F.col("blocks") + F.col("missed_by")).where("total > 0").orderBy(*KEY, F.desc("total"), "player")
+    return avoidance.withColumn("total", F.col("dodges") + F.col("parries") + F.col("blocks") + F.col("missed_by")).where("total > 0")
 
 
 def avoidance_detail(avoidance: DataFrame) -> DataFrame:
@@ -106,23 +123,23 @@ def distinct_buffs(buffs: DataFrame) -> DataFrame:
 
 
 def abilities(done: DataFrame) -> DataFrame:
-    """A player's abilities with averages: personal ones first, then those of pets, by total; pets' show their name."""
+    """A player's abilities with averages; pets' show their name."""
     out = with_averages(done, [*KEY, "player"])
-    return out.withColumn("shown", F.when(F.col("is_pet"), F.concat("ability", F.lit(" (Pet)"))).otherwise(F.col("ability"))).orderBy(*KEY, "player", "is_pet", F.desc("total"), "ability")
+    return out.withColumn("shown", F.when(F.col("is_pet"), F.concat("ability", F.lit(" (Pet)"))).otherwise(F.col("ability")))
 
 
 def healing_abilities(healed: DataFrame) -> DataFrame:
     """A player's healing abilities; averages are of effective healing, crits sharing in it as in the total."""
     crit = F.floor(F.col("crit_total") * F.coalesce(F.try_divide(F.col("effective").cast("double"), F.col("total").cast("double")), F.lit(0.0)))
     out = with_averages(healed.withColumn("crit_total", crit), [*KEY, "player"], "effective")
-    return out.withColumn("overheal_pct", 100 * F.try_divide(F.col("overheal").cast("double"), F.col("total").cast("double"))).orderBy(*KEY, "player", F.desc("effective"), "ability")
+    return out.withColumn("overheal_pct", 100 * F.try_divide(F.col("overheal").cast("double"), F.col("total").cast("double")))
 
 
 def taken_by_source(taken: DataFrame) -> DataFrame:
     """Damage taken by source, then ability: totals of the source beside each ability's."""
     by_source = W.partitionBy(*KEY, "player", "source")
     out = taken.withColumn("source_total", F.sum("total").over(by_source)).withColumn("mitigated", F.col("absorbed") + F.col("resisted") + F.col("blocked"))
-    return out.orderBy(*KEY, "player", F.desc("source_total"), "source", F.desc("total"), "ability")
+    return out
 
 
 def cast_detail(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
@@ -136,28 +153,41 @@ def cast_detail(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
 def resurrect_detail(rows: DataFrame) -> DataFrame:
     """Resurrections in order: time, caster, target and spell."""
     r = rows.where("kind = 'Resurrect'")
-    return r.select(*KEY, "seq", text.clock(F.col("ts")).alias("time"), F.col("source").alias("player"), "target", "spell").orderBy(*KEY, "seq")
+    return r.select(*KEY, "seq", text.clock(F.col("ts")).alias("time"), F.col("source").alias("player"), "target", "spell")
 
 
 def death_detail(deaths: DataFrame, player: str) -> DataFrame:
     """A player's deaths in order, with the killing blow."""
     d = deaths.where(F.col("player") == player)
-    return d.select(*KEY, "seq", text.clock(F.col("ts")).alias("time"), "killer", "killing_blow", "damage_amount").orderBy(*KEY, "seq")
+    return d.select(*KEY, "seq", text.clock(F.col("ts")).alias("time"), "killer", "killing_blow", "damage_amount")
 
 
 def buff_detail(uptimes: DataFrame) -> DataFrame:
-    return uptimes.orderBy(*KEY, "player", F.desc("uptime"), F.desc("gains"), "aura")
+    """Uptimes as percent, see timeline.buff_uptime."""
+    return uptimes.withColumn("uptime_pct", 100 * F.col("uptime"))
 
 
 def consumables_of(uses: DataFrame) -> DataFrame:
     """A player's consumables by category, then item, with the category's total."""
     items = uses.groupBy(*KEY, "player", "category", "label", "consumable").agg(F.count("*").alias("n"))
-    return items.withColumn("category_total", F.sum("n").over(W.partitionBy(*KEY, "player", "category"))).orderBy(*KEY, "player", "category", F.desc("n"), "consumable")
+    return items.withColumn("category_total", F.sum("n").over(W.partitionBy(*KEY, "player", "category")))
 
 
 def consumables_overview(uses: DataFrame) -> DataFrame:
-    """Uses by player, category and item, with subtotals (nulls)."""
-    return uses.rollup("player", "category", "consumable").agg(F.count("*").alias("n"))
+    """Uses of each session by player, category and item, with subtotals: level 0 items, 1 categories, 2 players, 3 the session.
+
+    Columns above a row's level are null; a category may be null at level 0 and 1 too (items of no category).
+    """
+    by = ["player", "category", "consumable"]
+    levels = [[*KEY, *by[:k]] for k in (3, 2, 1, 0)]
+    told = uses.groupingSets([[F.col(c) for c in g] for g in levels], *KEY, *by).agg(F.count("*").alias("n"), F.grouping_id().alias("_id"))
+    level = F.when(F.col("_id") == 0, 0).when(F.col("_id") == 1, 1).when(F.col("_id") == 3, 2).otherwise(3)
+    return told.withColumn("level", level).drop("_id")
+
+
+def consumable_uses_by_player(uses: DataFrame) -> DataFrame:
+    """Uses of each player of a session."""
+    return uses.groupBy(*KEY, "player").agg(F.count("*").alias("n"))
 
 
 def consumable_matrix(uses: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -177,34 +207,42 @@ def death_log(deaths: DataFrame, encounters: DataFrame, players: DataFrame | Non
     d = deaths if players is None else deaths.join(players.select(*KEY, F.col("name").alias("player")), [*KEY, "player"], "left_semi")
     spans = encounters.select(*KEY, "enc_idx", F.col("name").alias("_name"), F.col("start").alias("_lo"), F.col("end").alias("_hi"))
     within = K.range_attach(d, spans, KEY, "ts", "_lo", "_hi", 600.0).groupBy(*KEY, "seq").agg(F.min_by(F.coalesce("_name", F.lit("Trash")), "enc_idx").alias("encounter"))
-    return d.join(within, [*KEY, "seq"], "left").withColumn("time", text.clock(F.col("ts"))).orderBy(*KEY, "seq")
+    return d.join(within, [*KEY, "seq"], "left").withColumn("time", text.clock(F.col("ts")))
 
 
 def event_browser(entries: DataFrame, encounters: DataFrame, which: str | int = "all", player: str | None = None) -> DataFrame:
-    """The last rows of a selection, as text."""
+    """The last BROWSER_ROWS rows of each session's selection, as text."""
     rows = selection.in_selection(entries, encounters, which)
     rows = rows if player is None else selection.about_player(rows, player)
-    return last_rows(rows, [*KEY, "seq", "sub"]).withColumn("text", text.event_line())
+    return last_rows(rows, KEY, ["seq", "sub"]).withColumn("text", text.event_line())
+
 
+#: What the event log shows.
+MODES = ("all", "key", "deaths")
 
-def event_log(entries: DataFrame, encounters: DataFrame, which: str | int = "all", mode: str = "all", players: DataFrame | None = None, big_hit: int = 2000) -> DataFrame:
-    """The first rows of a selection: all events, or key ones (deaths, dispels, resurrections, interrupts, big hits on players)."""
+
+def event_log(entries: DataFrame, encounters: DataFrame, which: str | int = "all", mode: str = "all", deaths: DataFrame | None = None, big_hit: int = 2000, seconds: float = DEATH_WINDOWS[0]) -> DataFrame:
+    """The first LOG_ROWS rows of each session's selection: all events; key ones (deaths, dispels, resurrections, interrupts, big hits
+    on players); or what led to each of deaths, by the first death window that holds it."""
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}; there are {', '.join(MODES)}")
     rows = selection.in_selection(entries, encounters, which)
     if mode == "key":
         rows = rows.where(f"kind in ('Death', 'Dispel', 'Resurrect', 'Interrupt') or (kind = 'Damage' and amount >= {big_hit} and target_known)")
-    return rows.orderBy(*KEY, "seq", "sub").limit(LOG_ROWS).withColumn("text", text.event_line(short=mode == "key"))
-
-
-def first_death_window(rows: DataFrame, deaths: DataFrame, keys: Sequence[str], at: str, seq: str, seconds: float) -> DataFrame:
-    """Rows in the time before a death, with the first such death and to_death. deaths: (keys, death, death_us)."""
-    spans = deaths.withColumn("_lo", F.col("death_us") - seconds).withColumn("_hi", F.col("death_us"))
-    hit = K.range_attach(rows, spans, keys, at, "_lo", "_hi", seconds)
-    return hit.groupBy(seq).agg(F.min_by("death", F.struct("death_us", "death")).alias("death"), (F.min("death_us") - F.first(at)).alias("to_death"))
+    if mode == "deaths":
+        if deaths is None:
+            raise ValueError("the mode deaths needs the deaths")
+        rows = death_replay(rows, deaths, encounters, seconds)
+    return top(rows, KEY, [F.asc("seq"), F.asc("sub")], LOG_ROWS).withColumn("text", text.event_line(short=mode == "key"))
 
 
-def death_replay(entries: DataFrame, deaths: DataFrame, encounters: DataFrame, seconds: float = 10) -> DataFrame:
+def death_replay(entries: DataFrame, deaths: DataFrame, encounters: DataFrame | None = None, seconds: float = 10) -> DataFrame:
     """Events about a player who is about to die, by the first death window that holds them, cut at the pull."""
-    d = K.range_attach(deaths.select(*KEY, F.col("seq").alias("death"), "ts", "player"), encounters.select(*KEY, F.col("start").alias("_s"), F.col("end").alias("_e")), KEY, "ts", "_s", "_e", 600.0, "left")
+    d = deaths.select(*KEY, F.col("seq").alias("death"), "ts", "player")
+    if encounters is None:
+        d = d.withColumn("_s", F.lit(None).cast("double"))
+    else:
+        d = K.range_attach(d, encounters.select(*KEY, F.col("start").alias("_s"), F.col("end").alias("_e")), KEY, "ts", "_s", "_e", 600.0, "left")
     d = d.groupBy(*KEY, "death", "player").agg(F.first("ts").alias("death_ts"), F.min("_s").alias("_s"))
     d = d.withColumn("_lo", F.greatest(F.col("death_ts") - seconds, F.coalesce("_s", F.col("death_ts") - seconds)))
     who = entries.select("*", F.explode(F.array_distinct(F.array_compact(F.array("source", "target")))).alias("player"))
@@ -214,11 +252,14 @@ def death_replay(entries: DataFrame, deaths: DataFrame, encounters: DataFrame, s
 
 
 def loot_by_boss(loot: DataFrame, encounters: DataFrame | None = None, notable: bool = True) -> DataFrame:
-    """Loot by boss in the order the bosses were first looted; best quality first, then name. With encounters: of their bosses."""
+    """Loot with its place pos in a session's list: bosses in the order they were first looted; best quality first, then name. With
+    encounters: of their bosses only."""
     out = loot.where("quality >= 2") if notable else loot
     if encounters is not None:
         out = out.join(encounters.select(*KEY, F.col("name").alias("boss")), [*KEY, "boss"], "left_semi")
-    return out.withColumn("_first", F.min("seq").over(W.partitionBy(*KEY, "boss"))).orderBy(*KEY, "_first", F.desc("quality"), "item_name", "seq").drop("_first")
+    firsts = out.groupBy(*KEY, "boss").agg(F.min("seq").alias("_first"))
+    placed = K.attach(out, firsts, [*KEY, "boss"]).withColumn("_less", F.coalesce(-F.col("quality").cast("long"), F.lit(2**62)))
+    return K.ranked_within(placed, KEY, ["_first", "_less", "item_name", "seq"], "pos").drop("_first", "_less", "_part")
 
 
 def session_report(sessions: DataFrame, encounters: DataFrame, gap: float = 1800.0) -> DataFrame:

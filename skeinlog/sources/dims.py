@@ -35,7 +35,8 @@ def load_instances(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def load_consumables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """items (item, category, label, prefix, ignored) and buffs (buff, category, death_persistent), categories in file order.
+    """items (item, category, label, prefix, ignored), buffs (buff, category, death_persistent) and categories (category, name, label),
+    in file order, with Other as the last.
 
     The file has [[category]] (name, display, items, prefix, buff_names, death_persistent) and [ignored] items. Buffs list the
     items' own names too, as most buffs are called like their item.
@@ -52,5 +53,6 @@ def load_consumables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         buffs += [(i, None, True) for i in c.get("items", []) if lasting and i not in own]
     return {
         "items": spark.createDataFrame(items or [], "item string, category int, label string, prefix boolean, ignored boolean"),
+        "categories": spark.createDataFrame([*[(k, c["name"], c["display"]) for k, c in enumerate(db.get("category", []))], (len(db.get("category", [])), "Other", "Other")], "category int, name string, label string"),
         "buffs": spark.createDataFrame(buffs or [], "buff string, category int, death_persistent boolean"),
     }

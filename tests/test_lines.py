@@ -75,6 +75,7 @@ def test_readers_and_dims(spark, tmp_path):
     ]
     (tmp_path / "c.toml").write_text('[ignored]\nitems = ["Toy"]\n[[category]]\nname = "Flask"\ndisplay = "Flasks"\ndeath_persistent = true\nitems = ["Big Flask"]\nbuff_names = ["Bigness"]\n[[category]]\nname = "Scroll"\ndisplay = "Scrolls"\nprefix = "Scroll of "\nitems = []\n')
     c = dims.load_consumables(spark, str(tmp_path / "c.toml"))
+    assert [tuple(r) for r in c["categories"].orderBy("category").collect()] == [(0, "Flask", "Flasks"), (1, "Scroll", "Scrolls"), (2, "Other", "Other")]
     assert c["items"].count() == 3 and {(r.buff, r.death_persistent) for r in c["buffs"].collect()} == {("Bigness", True), ("Big Flask", True)}
 
 

@@ -1,3 +1,4 @@
+import pytest
 from skeinlog.functions import text
 from skeinlog.operators import kernels as K
 from skeinlog.operators import selection, timeline
@@ -73,9 +74,9 @@ def test_reports(spark):
     t = spark.createDataFrame([("a", 0, "Ann", 300, 100), ("a", 0, "Bob", 100, 0), ("a", 0, "Cid", 0, 0)], "log_id string, session_id int, player string, damage long, pet_damage long").withColumn("damage_taken", F.lit(0))
     active = t.select("log_id", "session_id", F.col("player").alias("name"))
     d = spark.createDataFrame([("a", 0, 50.0)], "log_id string, session_id int, duration double")
-    rows = reports.damage_meter(t, active, d).collect()
+    rows = reports.shown(reports.damage_meter(t, active, d), "meter").collect()
     assert [(r.player, r["rank"], r.per_second, r.pct, r.bar) for r in rows] == [("Ann", 1, 6.0, 75.0, 0.75), ("Bob", 2, 2.0, 25.0, 0.25)]
-    assert [r.value for r in reports.damage_meter(t, active, d, "personal").collect()] == [200, 100]
+    assert [r.value for r in reports.shown(reports.damage_meter(t, active, d, "personal"), "meter").collect()] == [200, 100]
     a = spark.createDataFrame([("a", 0, "Ann", "Slam", 100, 4, 1, 40, 0, False)], "log_id string, session_id int, player string, ability string, total long, hits long, crits long, crit_total long, pet_total long, is_pet boolean")
     r = reports.abilities(a).first()
     assert (r.avg_hit, r.avg_crit, r.crit_pct, r.pct, r.shown) == (20, 40, 25.0, 100.0, "Slam")
@@ -85,6 +86,34 @@ def test_reports(spark):
     assert [(x.seq, x.victim, x.to_death) for x in replay] == [(1, "Ann", 8.0), (3, "Ann", 1.0)]
 
 
+def test_logs_are_kept_apart(spark):
+    """Row caps and totals hold for each session, not for all together."""
+    many = spark.range(1200).selectExpr("concat('log', id % 2) as log_id", "0 as session_id", "id as seq", "1 as sub", "cast(id as double) as ts", "'Death' as kind", "'Ann' as source", "cast(null as string) as target", "cast(null as string) as spell", "cast(null as long) as amount", "cast(null as long) as effective_heal", "true as target_known", "false as is_crit", "cast(null as string) as school", "0L as absorbed", "0L as resisted", "0L as blocked", "0L as overheal", "1 as stacks")
+    fight = spark.createDataFrame([("log0", 0, 1, "Boss", 0.0, 99.0, True, True, 1), ("log1", 0, 1, "Boss", 0.0, 99.0, True, True, 1)], ENC)
+    last = reports.event_browser(many, fight)
+    assert {(r.log_id, r.n, r.lo) for r in last.groupBy("log_id").agg(F.count("*").alias("n"), F.min("seq").alias("lo")).collect()} == {("log0", 500, 200), ("log1", 500, 201)}
+    assert reports.event_log(many, fight, mode="key").count() == 1200 and reports.event_log(many.unionByName(many.withColumn("seq", F.col("seq") + 10_000)), fight).groupBy("log_id").count().count() == 2
+    deaths = spark.createDataFrame([("log0", 0, 50, 50.0, "Ann")], "log_id string, session_id int, seq long, ts double, player string")
+    led = reports.event_log(many, fight, mode="deaths", deaths=deaths, seconds=10)
+    assert sorted(r.seq for r in led.collect()) == [40, 42, 44, 46, 48, 50] and {r.death for r in led.collect()} == {50}
+    for wrong in ({"mode": "nothing"}, {"mode": "deaths"}):
+        with pytest.raises(ValueError):
+            reports.event_log(many, fight, **wrong)
+    uses = many.where("seq < 4").select("log_id", "session_id", F.col("source").alias("player"), F.lit(None).cast("int").alias("category"), F.lit("Tea").alias("consumable"))
+    assert sorted((r.log_id, r.level, r.n) for r in reports.consumables_overview(uses).collect()) == [(f"log{k}", level, 2) for k in (0, 1) for level in range(4)]
+    assert [r.n for r in reports.consumable_uses_by_player(uses).collect()] == [2, 2]
+
+
+def test_filtered_stats(spark):
+    """All: as of the line; a filter: by the final roster."""
+    rows = [(105, "Damage", "Boss", "Ann", "Bite", 50), (106, "Healing", "Bob", "Ann", "Heal", 30), (205, "Healing", "Bob", "Ann", "Heal", 9)]
+    e = entries(spark, *rows).withColumn("target_known", F.col("seq") > 1).withColumn("overheal", F.lit(0)).selectExpr("*", "false as is_crit", "false as is_pet_spell", "0L as absorbed", "0L as resisted", "0L as blocked", "false as is_crushing", "false as is_glancing")
+    players = spark.createDataFrame([("a", 0, "Ann", 2), ("a", 0, "Bob", 0)], "log_id string, session_id int, name string, first_seen_seq long")
+    f = fights(spark, (100, 110), (200, 210))
+    tell = lambda which: {r.player: (r.healing, r.damage_taken) for r in selection.filtered_stats(e, f, players, which)["totals"].collect()}
+    assert tell("all") == {"Bob": (9, 0), "Ann": (0, 50), "Boss": (0, 0)} and tell(1) == {"Bob": (30, 0), "Ann": (0, 50), "Boss": (0, 0)} and tell(2) == {"Bob": (9, 0)}
+
+
 def test_text(spark):
     r = spark.range(1).select(text.minutes(F.lit(125)), text.spoken(F.lit(59)), text.spoken(F.lit(3725)), text.thousands(F.lit(1234567)), text.clock(F.lit(86400.0 * 58 + 3661))).first()
     assert list(r) == ["2:05", "59s", "1h 2m", "1,234,567", "01:01:01"]
@@ -97,12 +126,12 @@ def test_lanes_and_consumables(spark):
     assert tuple(w.first())[2:] == (700.0, 1100.0)
     uses = spark.createDataFrame([("a", 0, 1, 650.0, "Ann", "Tea", 2), ("a", 0, 2, 900.0, "Ann", "Might", 0), ("a", 0, 3, 1050.0, "Bob", "Tea", 2)], "log_id string, session_id int, seq long, ts double, player string, consumable string, category int")
     marks = timeline.consume_marks(uses, w)
-    assert [(r.consumable, r.offset) for r in marks.collect()] == [("Might", 200.0), ("Tea", 350.0)]
+    assert [(r.consumable, r.offset) for r in marks.orderBy("offset").collect()] == [("Might", 200.0), ("Tea", 350.0)]
     e = entries(spark, aura(1010, True), aura(1060, False), (1020, "Dispel", "Bob", "Ann", "Cleanse", None), (1030, "Dispel", "Bob", "Cid", "Purge", None), (1040, "Resurrect", "Bob", "Ann", "Rebirth", None))
     spans = timeline.aura_intervals(e, f)
     buffs = spark.createDataFrame([("Other", 5, False)], "buff string, category int, death_persistent boolean")
     categories = timeline.aura_categories(marks, spans.select("log_id", "session_id", "aura").distinct(), buffs)
-    assert [(r.category, r.players, r.bars) for r in timeline.category_lanes(spans, marks, categories).collect()] == [(0, ["Ann"], True), (2, ["Bob"], False)]
+    assert [(r.category, r.players, r.bars) for r in timeline.category_lanes(spans, marks, categories).orderBy("category").collect()] == [(0, ["Ann"], True), (2, ["Bob"], False)]
     assert [(r.player, r.active) for r in timeline.active_at(spans, marks, 30.0, 400.0).collect()] == [("Ann", ["Might"])]
     (lane,) = timeline.dispel_lanes(e, f).collect()
     assert lane.caster == "Bob" and [m.spell for m in lane.marks] == ["Cleanse", "Purge"]
