@@ -31,14 +31,37 @@ FEATURES = {
     "line_words": "n_words / greatest(n_lines, 1)",
 }
 
-#: Words in 8-word windows that the text holds twice or more: sorted window hashes give the places of the repeated ones;
-#: each place adds eight words, or as many as lie before the next place.
-_REPEATED = """
-    if(size(w) < 9, 0L, transform(array(transform(sequence(1, size(w) - 7), i -> xxhash64(slice(w, i, 8)))), v ->
-        if(size(array_distinct(v)) = size(v), 0L,
-            transform(array(array_sort(transform(v, (x, i) -> struct(x as h, i as i)))), s -> transform(array(array_sort(transform(
-                filter(s, (x, k) -> coalesce(x.h = get(s, k - 1).h, false) or coalesce(x.h = get(s, k + 1).h, false)), x -> x.i))), p ->
-                aggregate(transform(p, (x, k) -> least(8, coalesce(get(p, k + 1) - x, 8))), 0L, (a, x) -> a + x))[0])[0]))[0])"""
+_WORDS = r"regexp_extract_all(__qr_t, '[^\\x20\\x09-\\x0D]+', 0)"
+_PAIRED = "zip_with(slice({0}, 1, size({0}) - {1}), slice({0}, {1} + 1, size({0}) - {1}), (a, b) -> xxhash64(a, b))"
+#: Words in 8-word windows that the text holds twice or more. Hashes of words are put together two by two, then four by four, then
+#: eight by eight; sorted window hashes give the places of the repeated ones; each place adds eight words, or as many as lie before
+#: the next place. Each step is worked out once and kept in a column.
+_STEPS = (
+    ("__qr_t", "coalesce(cast({text} as string), '')"),
+    ("__qr_w", f"transform({_WORDS}, x -> xxhash64(x))"),
+    ("__qr_2", "if(size(__qr_w) < 9, array(), " + _PAIRED.format("__qr_w", 1) + ")"),
+    ("__qr_4", "if(size(__qr_2) = 0, array(), " + _PAIRED.format("__qr_2", 2) + ")"),
+    ("__qr_8", "if(size(__qr_4) = 0, array(), " + _PAIRED.format("__qr_4", 4) + ")"),
+    ("__qr_s", "if(size(array_distinct(__qr_8)) = size(__qr_8), array(), array_sort(transform(__qr_8, (x, i) -> struct(x as h, i as i))))"),
+    ("__qr_p", "if(size(__qr_s) = 0, array(), array_sort(transform(filter(__qr_s, (x, k) -> coalesce(x.h = get(__qr_s, k - 1).h, false) or coalesce(x.h = get(__qr_s, k + 1).h, false)), x -> x.i)))"),
+    ("__qr_l", f"filter(split(__qr_t, '\\n'), x -> x rlike '{_NOT_GAP}')"),
+)
+_COUNTS = r"""named_struct(
+    'n_words', cast(size(__qr_w) as long),
+    'word_chars', cast(length(__qr_t) - regexp_count(__qr_t, '[\\x20\\x09-\\x0D]') as long),
+    'n_symbols', cast(regexp_count(__qr_t, '[#*$%&|<>]') as long),
+    'n_lines', cast(size(__qr_l) as long),
+    'n_dup_lines', cast(size(__qr_l) - size(array_distinct(__qr_l)) as long),
+    'n_repeat_words', aggregate(transform(__qr_p, (x, k) -> least(8, coalesce(get(__qr_p, k + 1) - x, 8))), 0L, (a, x) -> a + x),
+    'n_capitals', cast(regexp_count(__qr_t, '\\p{Lu}') as long),
+    'n_digits', cast(regexp_count(__qr_t, '[0-9]') as long),
+    'n_marks', cast(regexp_count(__qr_t, '[!?]') as long),
+    'n_distinct', cast(size(array_distinct(__qr_w)) as long))"""
+
+
+def _held(df: DataFrame, name: str, value: str) -> DataFrame:
+    """df with one more column, worked out once for each row however often it is used: a generator stands behind it."""
+    return df.select("*", F.explode(F.array(F.expr(value))).alias(name))
 
 
 def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -50,30 +73,11 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n_digits, n_marks (of ! and ?); n_distinct (different words). The counts come out of a generator, so that a filter on
     them doesn't make Spark work them out anew for each condition.
     """
-    counts = f"""
-        cast(size(w) as long) as n_words,
-        cast(length(t) - regexp_count(t, '[\\\\x20\\\\x09-\\\\x0D]') as long) as word_chars,
-        cast(regexp_count(t, '[#*$%&|<>]') as long) as n_symbols,
-        cast(size(l) as long) as n_lines,
-        cast(size(l) - size(array_distinct(l)) as long) as n_dup_lines,
-        {_REPEATED} as n_repeat_words,
-        cast(regexp_count(t, '\\\\p{{Lu}}') as long) as n_capitals,
-        cast(regexp_count(t, '[0-9]') as long) as n_digits,
-        cast(regexp_count(t, '[!?]') as long) as n_marks,
-        cast(size(array_distinct(w)) as long) as n_distinct"""
-    for name in ("w", "t", "l"):
-        counts = _scoped(counts, name)
-    parts = f"""struct(coalesce(`{text_col}`, '') as t,
-        transform(filter(split(coalesce(`{text_col}`, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> ''), x -> xxhash64(x)) as w,
-        filter(split(coalesce(`{text_col}`, ''), '\\n'), x -> x rlike '{_NOT_GAP}') as l)"""
-    return docs.drop("stats").select("*", F.expr(f"explode(transform(array({parts}), a -> struct({counts})))").alias("stats"))
-
-
-def _scoped(sql: str, name: str) -> str:
-    """Names of the outer struct's fields, where they stand alone."""
-    import re
-
-    return re.sub(rf"(?<![\w.']){name}(?![\w(.'])", f"a.{name}", sql)
+    out = docs.drop("stats")
+    names = out.columns
+    for name, value in _STEPS:
+        out = _held(out, name, value.replace("{text}", f"`{text_col}`"))
+    return _held(out, "stats", _COUNTS).select(*[F.col(f"`{c}`") for c in names], "stats")
 
 
 def base_failed(s: str = "stats") -> F.Column:
