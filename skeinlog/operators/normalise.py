@@ -286,4 +286,6 @@ def normalise(lines: DataFrame, strict: bool = False) -> DataFrame:
     out = out.withColumn("text", F.when(D.has(t, "Totem ", "Lightning Strike", "Onyxias", "Sarturas"), first_match(t, RENAMES)).otherwise(t))
     out = out.withColumn("text", F.when(t.contains("Power Overwhelming"), first_match(t, FRIENDLY_FIRE)).otherwise(t))
     out = out.withColumn("text", _self_damage(t))
-    return out.withColumn("text", tag_pet_spells(t, F.col("_spells"))).select(*lines.columns)
+    # behind a generator, so that a later filter on the text isn't pushed through all these rules
+    tagged = out.withColumn("_text", F.explode(F.array(tag_pet_spells(t, F.col("_spells")))))
+    return tagged.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in lines.columns])
