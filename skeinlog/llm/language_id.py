@@ -141,15 +141,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 if _LETTER.search(t := text.as_py()):
                     ids, n = counted(t)
                     row = batch.slice(k, 1)
-                    told = [pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (ids, n)]
+                    told = [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (ids, n)]
                     yield pa.RecordBatch.from_arrays([row.column("order"), row.column("id"), row.column("lang"), *told], ["order", "id", "lang", "ids", "n"])
 
     kind = named.schema["id"].dataType.simpleString()
     rows = (
-        named.where("text is not null").join(chosen, "id").select("order", "id", "text", "lang").mapInArrow(run, f"order long, id {kind}, lang string, ids array<int>, n array<int>")
+        named.where("text is not null").join(chosen, "id").select("order", "id", "text", "lang").mapInArrow(run, f"order long, id {kind}, lang string, ids binary, n binary")
         .orderBy("order", "id", "lang", F.xxhash64("ids", "n")).limit(fit_rows).collect()
     )
-    return train([(np.array(r.ids, np.int64), np.array(r.n, np.int64)) for r in rows], [r.lang for r in rows])
+    read = lambda b: np.frombuffer(b, "<i4")
+    return train([(read(r.ids), read(r.n)) for r in rows], [r.lang for r in rows])
 
 
 def held_out(doc_id) -> F.Column:
