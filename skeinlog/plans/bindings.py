@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import decode as D
-from ..operators import aggregates, encounters, lookups, selection, timeline
+from ..operators import aggregates, encounters, lookups, normalise, selection, sessions, timeline
 from ..operators import entries as N
 from ..operators import kernels as K
 from . import reports
@@ -153,10 +152,10 @@ rank() OVER (ORDER BY sum(CAST(round(l_extendedprice*100) AS BIGINT)) DESC) AS r
 @query(METER)
 def meter_with_rank(spark, sf_dir):
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    totals = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("player")).agg(
+    totals = logged(table(spark, sf_dir, "lineitem")).groupBy(*N.KEY, F.col("l_suppkey").alias("player")).agg(
         F.sum(cents).alias("total"), F.count("*").alias("hits"), F.count_if(F.col("l_returnflag") == "R").alias("crits")
     )
-    return totals.withColumn("rnk", F.rank().over(W.orderBy(F.desc("total"))).cast("long"))
+    return reports.ranked(totals, "total", N.KEY).select("player", "total", "hits", "crits", F.col("rank").cast("long").alias("rnk"))
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderstatus AS name, o_orderkey AS k, epoch_us(o_orderdate) AS s FROM orders),
@@ -458,3 +457,88 @@ def distinct_buffs(spark, sf_dir):
     """Kinds of events as auras gained."""
     e = logged(events(spark, sf_dir)).select(*N.KEY, F.col("us").alias("seq"), F.col("us").alias("ts"), F.lit("AuraGain").alias("kind"), F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("spell"))
     return reports.distinct_buffs(aggregates.buff_stats(e)).select(F.coalesce("player", F.lit("all")).alias("player"), "n")
+
+
+_LETTERED = "'U' || translate(CAST(user_id AS VARCHAR),'0123456789','abcdefghij')"
+
+
+@query(f"""WITH m AS (SELECT event_id, CAST(user_id AS BIGINT) % 7 AS log, CASE WHEN event_type = 'signup' THEN {_LETTERED} END AS me, 'Spell' || event_type AS spell, CAST(CAST(round(value*100) AS BIGINT) AS VARCHAR) AS amt FROM events),
+w AS (SELECT *, coalesce(last_value(me IGNORE NULLS) OVER (PARTITION BY log ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(me IGNORE NULLS) OVER (PARTITION BY log ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS who FROM m)
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN coalesce(who, '?') || ' ''s ' || spell || ' hits Boss for ' || amt || '.' WHEN 1 THEN 'Boss hits ' || who || ' for ' || amt || '.'
+ELSE who || ' gains ' || spell || ' (1).' END AS line FROM w WHERE me IS NULL AND who IS NOT NULL""")
+def normalised_lines(spark, sf_dir):
+    """Events told in the first person, in seven logs; signups are roster lines of the recording player."""
+    e = table(spark, sf_dir, "events").where("user_id is not null")
+    name = F.concat(F.lit("u"), F.translate(F.col("user_id").cast("string"), "0123456789", "abcdefghij"))
+    spell, amt = F.concat(F.lit("Spell"), "event_type"), F.round(F.col("value") * 100).cast("long").cast("string")
+    roster = F.concat(F.lit("COMBATANT_INFO: 1.1.24 0:0:0&"), name, F.lit("&MAGE&Human&2&nil&nil&nil&nil&" + "nil&" * 19 + "1}2}3&0x1&nil"))
+    told = (
+        F.when(F.col("event_type") == "signup", roster).when(F.col("event_id") % 3 == 0, F.concat(F.lit("Your "), spell, F.lit(" hits Boss for "), amt, F.lit(".")))
+        .when(F.col("event_id") % 3 == 1, F.concat(F.lit("Boss hits you for "), amt, F.lit("."))).otherwise(F.concat(F.lit("You gain "), spell, F.lit(" (1).")))
+    )
+    lines = logged(e, F.col("user_id") % 7).select(*N.KEY, F.col("event_id").alias("seq"), F.concat(F.lit("1/2 3:4:5.678  "), told).alias("text"))
+    known = lines.where("contains(text, 'COMBATANT_INFO')").select("log_id").distinct()
+    clean = normalise.normalise(lines.join(known, "log_id", "left_semi")).where("not contains(text, 'COMBATANT_INFO')")
+    return clean.select(F.col("seq").alias("event_id"), F.expr("substring(text, 16)").alias("line"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT epoch_us(ts) // 86400000000 AS log, epoch_us(ts) AS us, event_id, CASE event_type WHEN 'signup' THEN 'z' WHEN 'purchase' THEN 'b' WHEN 'click' THEN 's' ELSE 'o' END AS t,
+CASE event_type WHEN 'signup' THEN ['bog', 'mire', 'town'][CAST(user_id % 3 AS INT) + 1] WHEN 'purchase' THEN ['bog', 'mire'][CAST(user_id // 5 % 2 AS INT) + 1] END AS v FROM events),
+o AS (SELECT *, row_number() OVER w AS k, coalesce(us - lag(us) OVER w > 1800000000, TRUE) AS gap FROM m WINDOW w AS (PARTITION BY log ORDER BY us, event_id)),
+r AS (SELECT log, us, event_id, t, v, k, 1 AS n, CASE WHEN t = 'z' AND v <> 'town' THEN v END AS z, CASE WHEN t = 'b' THEN v END AS i FROM o WHERE k = 1
+UNION ALL SELECT o.log, o.us, o.event_id, o.t, o.v, o.k, r.n + CASE WHEN gap OR split THEN 1 ELSE 0 END,
+  CASE WHEN o.t = 'z' AND o.v <> 'town' THEN o.v WHEN gap OR split THEN NULL ELSE r.z END, CASE WHEN o.t = 'b' THEN o.v WHEN gap OR split THEN NULL ELSE r.i END
+  FROM r JOIN (SELECT *, k - 1 AS before FROM o) o ON r.log = o.log AND r.k = o.before, LATERAL (SELECT NOT gap AND CASE WHEN o.t = 'z' AND o.v <> 'town' THEN coalesce(r.z, '') <> o.v
+    WHEN o.t = 'b' AND r.i IS NOT NULL THEN r.i <> o.v WHEN o.t = 'b' AND r.z IS NOT NULL THEN r.z <> o.v ELSE FALSE END AS split)),
+g AS (SELECT log, n, min(us) AS s_us, max(us) AS e_us, count(*) FILTER (WHERE t = 's') AS combats, count(*) FILTER (WHERE t = 'b') AS kills, CASE WHEN count(DISTINCT v) FILTER (WHERE t = 'b') = 1 THEN min(v) FILTER (WHERE t = 'b') END AS kz,
+  arg_max(v, k) FILTER (WHERE t = 'z' AND v <> 'town') AS rz, arg_max(v, k) FILTER (WHERE t = 'z') AS az FROM r GROUP BY 1, 2),
+f AS (SELECT *, coalesce(kz, rz, az, 'unknown') AS zone FROM g WHERE combats > 0)
+SELECT CAST(log AS VARCHAR) AS log, CAST(n AS BIGINT) AS session_no, zone, zone IN ('bog', 'mire') AS is_raid, s_us, e_us, combats, kills,
+CASE WHEN zone = 'town' THEN 'Town' WHEN zone = 'unknown' THEN 'Unknown' WHEN kills >= 4 THEN upper(zone[1]) || zone[2:] || ' Full Clear' WHEN kills > 0 THEN upper(zone[1]) || zone[2:] || ' (' || kills || '/4)' ELSE upper(zone[1]) || zone[2:] || ' (wipes)' END AS name FROM f""")
+def session_table(spark, sf_dir):
+    """Sessions of each day's events: signups are zone changes, purchases boss kills, clicks starts of combats."""
+    e = events(spark, sf_dir).where("user_id is not null")
+    kind = F.expr("case event_type when 'signup' then 'zone' when 'purchase' then 'boss_kill' when 'click' then 'combat_start' when 'error' then 'combat_end' else 'player' end")
+    zone, boss = F.expr("array('bog', 'mire', 'town')[user_id % 3]"), F.expr("array('bog', 'mire')[user_id div 5 % 2]")
+    marks = e.select(
+        F.floor(F.col("us") / DAY).cast("string").alias("log_id"), "seq", (F.col("us") / 1e6).alias("ts"), kind.alias("type"),
+        F.when(kind == "zone", zone).otherwise("x").alias("name"), F.when(kind == "boss_kill", boss).alias("instance"),
+    )
+    zones = spark.createDataFrame([("bog", True, False, False, 4), ("mire", True, False, False, 4), ("town", False, False, True, None)], "zone string, is_instance boolean, is_dungeon boolean, is_overworld boolean, encounter_count int")
+    s = sessions.sessions(sessions.number_sessions(marks, zones), zones)
+    us = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    return s.select(F.col("log_id").alias("log"), "session_no", "zone", "is_raid", us("start_time").alias("s_us"), us("end_time").alias("e_us"), F.col("combat_count").alias("combats"), F.col("kill_count").alias("kills"), "name")
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS player, event_type AS t, CAST(round(value*100) AS BIGINT) AS amt FROM events)
+SELECT player, count(*) FILTER (WHERE t = 'click') AS dodges, count(*) FILTER (WHERE t = 'view') AS parries, count(*) FILTER (WHERE t = 'signup') AS missed_by, count(*) FILTER (WHERE t = 'purchase' AND amt % 2 = 0) AS full_absorbs,
+CAST(coalesce(sum(amt) FILTER (WHERE t = 'purchase'), 0) AS BIGINT) AS absorbed, count(*) FILTER (WHERE t IN ('click', 'view', 'signup')) AS total FROM e GROUP BY 1 HAVING count(*) FILTER (WHERE t IN ('click', 'view', 'signup')) > 0""")
+def avoidance_table(spark, sf_dir):
+    """Clicks are dodges, views parries, signups misses; purchases are damage that is absorbed, an even amount in full."""
+    e = logged(events(spark, sf_dir)).withColumn("player", F.col("user_id").cast("string"))
+    kind = F.expr("case event_type when 'click' then 'dodge' when 'view' then 'parry' when 'signup' then 'missed_by' end")
+    hits = of(e, "purchase").select(*N.KEY, F.lit("Damage").alias("kind"), F.col("player").alias("target"), F.lit(True).alias("target_known"), F.col("amt").alias("absorbed"), (F.col("amt") % 2 == 0).alias("is_fully_absorbed"), F.lit(False).alias("is_fully_resisted"), F.lit(False).alias("is_fully_blocked"))
+    table_of = reports.avoidance_totals(aggregates.avoidance(e.select(*N.KEY, "player", kind.alias("kind")).where("kind is not null"), hits))
+    out = table_of.join(aggregates.absorbs(hits), [*N.KEY, "player"], "left")
+    return out.select("player", "dodges", "parries", "missed_by", "full_absorbs", F.coalesce("absorbed", F.lit(0)).alias("absorbed"), "total")
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS player, event_type AS t, epoch_us(ts) AS us FROM events WHERE event_type IN ('view', 'click'))
+SELECT player, count(*) FILTER (WHERE t = 'view') AS gains, count(*) FILTER (WHERE t = 'click') AS fades, min(us) FILTER (WHERE t = 'view') AS first_gain, max(us) FILTER (WHERE t = 'click') AS last_fade FROM e GROUP BY 1""")
+def buff_table(spark, sf_dir):
+    e = logged(of(events(spark, sf_dir), "view", "click")).select(*N.KEY, F.col("us").alias("seq"), F.col("us").alias("ts"), F.when(F.col("event_type") == "view", "AuraGain").otherwise("AuraFade").alias("kind"), F.col("user_id").cast("string").alias("source"), F.lit("Might").alias("spell"))
+    return aggregates.buff_stats(e).select("player", "gains", "fades", "first_gain", "last_fade")
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS player, CASE WHEN event_type = 'click' THEN 'Bite (dot)' WHEN event_type = 'view' THEN 'Bite' ELSE 'Claw' END AS ability, event_type = 'view' AND event_id % 5 = 0 OR event_type = 'purchase' AND event_id % 9 = 0 OR event_type = 'click' AND event_id % 11 = 0 AS pet,
+  event_id AS seq, CAST(round(value*100) AS BIGINT) AS amt FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+b AS (SELECT player, min(seq) FILTER (WHERE ability = 'Bite' AND pet) AS tag, min(seq) FILTER (WHERE ability = 'Bite (dot)' AND pet) AS tick FROM e GROUP BY 1),
+f AS (SELECT e.*, pet OR (ability = 'Bite (dot)' AND tag IS NOT NULL AND (tick IS NULL OR tick > tag OR seq > tag)) AS moved FROM e JOIN b USING (player))
+SELECT player, ability, CAST(sum(amt) AS BIGINT) AS total, CAST(coalesce(sum(amt) FILTER (WHERE moved), 0) AS BIGINT) AS pet_total, bool_or(moved) AS is_pet FROM f GROUP BY 1, 2""")
+def pet_damage(spark, sf_dir):
+    """Views and clicks are hits and ticks of a spell that some lines tag as a pet's; ticks move over with it."""
+    e = logged(of(events(spark, sf_dir), "view", "click", "purchase"))
+    tagged = F.expr("event_type = 'view' and seq % 5 = 0 or event_type = 'purchase' and seq % 9 = 0 or event_type = 'click' and seq % 11 = 0")
+    spell = F.expr("case event_type when 'click' then 'Bite (dot)' when 'view' then 'Bite' else 'Claw' end")
+    hits = e.select(*N.KEY, "seq", F.lit("Damage").alias("kind"), F.col("user_id").cast("string").alias("source"), spell.alias("spell"), F.col("amt").alias("amount"), F.lit(False).alias("is_crit"), tagged.alias("is_pet_spell"))
+    return aggregates.damage_done(hits).select("player", "ability", "total", "pet_total", "is_pet")
