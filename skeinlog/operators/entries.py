@@ -73,8 +73,8 @@ def raw_entries(decoded: DataFrame) -> DataFrame:
         "died": (CAST, F.coalesce(F.col("died.kind") == "player", F.lit(False)), lambda: _entry(kind=F.lit("Death"), source=F.col("died.name"))),
     }
     own = [parts[n] for n in parts if n in decoded.columns]
-    listed = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(sub).alias("sub"), e().alias("e"))) for sub, test, e in own]))
-    return decoded.select(*KEY, "seq", "ts", F.explode(listed).alias("x")).select(*KEY, "seq", "ts", "x.sub", "x.e.*")
+    listed = F.array(*[F.when(test, F.struct(F.lit(sub).alias("sub"), e().alias("e"))) for sub, test, e in own])
+    return decoded.select(*KEY, "seq", "ts", F.explode(listed).alias("x")).where("x is not null").select(*KEY, "seq", "ts", "x.sub", "x.e.*")
 
 
 def gated_entries(decoded: DataFrame, players: DataFrame) -> DataFrame:

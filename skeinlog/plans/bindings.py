@@ -15,6 +15,7 @@ from ..functions import decode as D
 from ..operators import aggregates, encounters, lookups, normalise, selection, sessions, timeline
 from ..operators import entries as N
 from ..operators import kernels as K
+from ..sources import logs
 from . import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,7 +204,7 @@ def render_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def damage_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries decoded from the rendered lines."""
     lines = logged(render_lines(spark, sf_dir)).selectExpr(*N.KEY, "event_id as seq", "line as text")
-    return N.raw_entries(D.decode(lines, ("damage",)))
+    return N.raw_entries(D.decode(logs.spread(lines), ("damage",)))
 
 
 @query("""SELECT 'U' || translate(CAST(user_id AS VARCHAR),'0123456789','abcdefghij') AS player, 'Spell' || event_type AS ability, CAST(sum(CAST(round(value*100) AS BIGINT)) AS BIGINT) AS total, count(*) AS hits,
@@ -478,7 +479,7 @@ def normalised_lines(spark, sf_dir):
     )
     lines = logged(e, F.col("user_id") % 7).select(*N.KEY, F.col("event_id").alias("seq"), F.concat(F.lit("1/2 3:4:5.678  "), told).alias("text"))
     known = lines.where("contains(text, 'COMBATANT_INFO')").select("log_id").distinct()
-    clean = normalise.normalise(lines.join(known, "log_id", "left_semi")).where("not contains(text, 'COMBATANT_INFO')")
+    clean = normalise.normalise(logs.spread(lines.join(known, "log_id", "left_semi"))).where("not contains(text, 'COMBATANT_INFO')")
     return clean.select(F.col("seq").alias("event_id"), F.expr("substring(text, 16)").alias("line"))
 
 

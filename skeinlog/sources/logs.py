@@ -27,6 +27,13 @@ def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return raw.select("log_id", (F.shiftleft(F.col("_at"), 23) + row).alias("seq"), "text")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out over all cores where a source has fewer splits than those (a small or unsplittable file), as decoding needs far
+    more time than reading; else df as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def read_zipped_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The first text member of each archive as (log_id, seq, text). One archive is read by one task, a line at a time."""
 
