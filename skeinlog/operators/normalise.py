@@ -259,6 +259,11 @@ def tag_pet_spells(text: Column, spells: Column) -> Column:
     )
 
 
+def _step(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with a new text, behind a generator: it is worked out once, and no later filter is pushed through the rules."""
+    return rows.withColumn("_text", F.explode(F.array(text))).drop("text").withColumnRenamed("_text", "text")
+
+
 def normalise(lines: DataFrame, strict: bool = False) -> DataFrame:
     """All rewriting steps in their order. Owners, pets and recorders come by one join on blocks of lines."""
     t = F.col("text")
@@ -274,18 +279,16 @@ def normalise(lines: DataFrame, strict: bool = False) -> DataFrame:
     fixed = None
     for a, b in APOSTROPHES:
         fixed = F.when(t.contains(a), F.replace(t, F.lit(a), F.lit(b))) if fixed is None else fixed.when(t.contains(a), F.replace(t, F.lit(a), F.lit(b)))
-    out = out.withColumn("text", F.when(t.contains("'"), fixed.otherwise(t)).otherwise(t))
+    out = _step(out, F.when(t.contains("'"), fixed.otherwise(t)).otherwise(t))
     same_name = F.aggregate("_renamed", t, lambda acc, n: F.replace(acc, F.concat(n, F.lit(" ("), n, F.lit(")")), F.concat(n, F.lit("Pet ("), n, F.lit(")"))))
-    out = out.withColumn("text", F.when(t.contains("(") & F.col("_renamed").isNotNull(), same_name).otherwise(t))
+    out = _step(out, F.when(t.contains("(") & F.col("_renamed").isNotNull(), same_name).otherwise(t))
     owned = t.contains("(") & F.coalesce(F.exists("_owners", lambda o: t.contains(o)), F.lit(False)) & ~D.has(t, "dies.", "is killed by", *NOT_PETS)
-    out = out.withColumn("text", F.when(owned, first_match(t, PET)).otherwise(t))
+    out = _step(out, F.when(owned, first_match(t, PET)).otherwise(t))
     for _ in range(2):  # a line may name the recorder on both sides
         mine = F.col("me").isNotNull() & D.has(t, "you", "You", "dodged.")
-        out = out.withColumn("text", F.when(mine, first_match(t, YOU, F.col("me"))).otherwise(t))
-    out = out.withColumn("text", F.when(D.has(t, "'", " fades from ", " gains ", " is afflicted by "), first_match(t, POSSESSIVE)).otherwise(t))
-    out = out.withColumn("text", F.when(D.has(t, "Totem ", "Lightning Strike", "Onyxias", "Sarturas"), first_match(t, RENAMES)).otherwise(t))
-    out = out.withColumn("text", F.when(t.contains("Power Overwhelming"), first_match(t, FRIENDLY_FIRE)).otherwise(t))
-    out = out.withColumn("text", _self_damage(t))
-    # behind a generator, so that a later filter on the text isn't pushed through all these rules
-    tagged = out.withColumn("_text", F.explode(F.array(tag_pet_spells(t, F.col("_spells")))))
-    return tagged.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in lines.columns])
+        out = _step(out, F.when(mine, first_match(t, YOU, F.col("me"))).otherwise(t))
+    out = _step(out, F.when(D.has(t, "'", " fades from ", " gains ", " is afflicted by "), first_match(t, POSSESSIVE)).otherwise(t))
+    out = _step(out, F.when(D.has(t, "Totem ", "Lightning Strike", "Onyxias", "Sarturas"), first_match(t, RENAMES)).otherwise(t))
+    out = _step(out, F.when(t.contains("Power Overwhelming"), first_match(t, FRIENDLY_FIRE)).otherwise(t))
+    out = _step(out, _self_damage(t))
+    return _step(out, tag_pet_spells(t, F.col("_spells"))).select(*lines.columns)
