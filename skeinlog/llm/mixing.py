@@ -3,12 +3,13 @@
 Each source gets a target number of words, that is a mean number of copies of its documents. Whole copies are allotted for
 certain; the rest of the target is filled by a sample in which documents have chances of their own: a chance grows with the
 square root of the document's size (in classes of powers of two), and where it reaches 1 the copy is certain too. Documents
-are ranked by their random odds divided by their inclusion odds, and taken in that order while they fit; the one that comes
-nearest to what is then missing is added. Random numbers are digests of the ids, so reruns agree.
+are ranked by their random odds divided by their inclusion odds, and taken in that order while they fit; what is missing then is
+filled by later ones that still fit, a few times over, and the one that comes nearest to the rest is added. Random numbers are
+digests of the ids, so reruns agree.
 
 A source may hold any share of the rows. Ranks are summed in two levels: cells of equal width in the logarithm of the ratio of
 odds, as many as the source's rows ask for, then the rows in a cell. What is drawn comes down to one row for each source and
-class, and to two places in the source's order, by which each row then finds its own copies.
+class, and to a few places in the source's order, by which each row then finds its own copies.
 """
 
 from __future__ import annotations
@@ -92,11 +93,33 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("u", _random("doc_id", seed))
 
 
+#: How often what is missing is filled by later documents that fit.
+REFILLS = 3
+_TAKEN = "exists(rounds, r -> size <= r.most and place <= r.cut)"
+
+
+def _refilled(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
+    """cuts (s, rounds, cut, gap) after one more round: the documents behind the cut that fit into the gap, in their order, as far as
+    they fit together. Sums go by cells first, so only the rows of the cells that the round reaches are sorted."""
+    behind = ranked.join(cuts.select("s", "cut", "gap"), F.col("source").eqNullSafe(F.col("s"))).where("size <= gap and coalesce(place > cut, true)").drop("s", "cut")
+    cells = behind.groupBy("source", "cell").agg(F.sum("size").alias("n"))
+    cells = cells.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("cell")) - F.col("n")).selectExpr("source as s", "cell as c", "before")
+    inside = W.partitionBy("source", "cell").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    near = behind.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).where("before <= gap")
+    new = (
+        near.withColumn("upto", F.sum("size").over(inside) + F.col("before")).where("upto <= gap")
+        .groupBy("source").agg(F.max("place").alias("new"), F.sum("size").alias("took")).withColumnRenamed("source", "n")
+    )
+    return cuts.join(new, F.col("s").eqNullSafe(F.col("n")), "left").selectExpr(
+        "s", "if(new is null, rounds, concat(rounds, array(struct(cast(gap as double) as most, new as cut)))) as rounds", "coalesce(new, cut) as cut", "gap - coalesce(took, 0) as gap"
+    )
+
+
 def _draw(sized: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
-    """A row for each source, (s, source_size, target, classes, cut, last): base and p by class, the last place in the order that
-    the sample takes, and the place of the document added to come nearest (null: none).
+    """A row for each source, (s, source_size, target, classes, rounds, last): base and p by class, up to which size and place each
+    round takes documents, and the place of the document added to come nearest (null: none).
 
-    Rows with the same id and chance have one place, and are taken together.
+    Rows with the same id and chance have one place; they are ranked as one document of all their words.
     """
     told = materialize(chances(sized, weights, cap))
     grain = told.groupBy("source").agg(F.sum("rows").alias("_n"), F.sum(F.col("n") * F.col("p")).alias("rest"))
@@ -116,30 +139,33 @@ def _draw(sized: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame
     ranked = materialize(
         units.withColumn("upto", F.sum("size").over(inside))
         .join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
-        .select("source", place.alias("place"), "size", "rest", (F.col("upto") + F.col("before") <= F.col("rest")).alias("fits"))
+        .select("source", "cell", place.alias("place"), "size", "rest", (F.col("upto") + F.col("before") <= F.col("rest")).alias("fits"))
     )
     cuts = materialize(
         ranked.groupBy("source").agg(F.max(F.when(F.col("fits"), F.col("place"))).alias("cut"), (F.first("rest") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))).alias("gap"))
-        .withColumnRenamed("source", "s")
+        .selectExpr("source as s", "if(cut is null, array(), array(struct(1e300D as most, cut as cut))) as rounds", "cut", "gap")
     )
+    for _ in range(REFILLS):
+        cuts = materialize(_refilled(ranked, cuts))
     off = F.abs(F.col("gap") - F.col("size"))
     last = (
-        ranked.where("not fits").join(cuts, F.col("source").eqNullSafe(F.col("s"))).where(off < F.col("gap"))
+        ranked.join(cuts, F.col("source").eqNullSafe(F.col("s"))).where(off < F.col("gap")).where(f"not {_TAKEN}")
         .groupBy("source").agg(F.min_by("place", F.struct(off, "place")).alias("last")).withColumnRenamed("source", "l")
     )
     classes = told.groupBy("source", "source_size", "target").agg(F.map_from_entries(F.collect_list(F.struct("class", F.struct("base", "p")))).alias("classes"))
     return (
         classes.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").join(last, F.col("source").eqNullSafe(F.col("l")), "left")
-        .select(F.col("source").alias("s"), "source_size", "target", "classes", "cut", "last")
+        .select(F.col("source").alias("s"), "source_size", "target", "classes", "rounds", "last")
     )
 
 
-def _copies(size: F.Column, u: F.Column, id_col, s: str = "") -> F.Column:
-    """Copies of a row, from its source's row of _draw; names of that row's columns begin with s."""
-    own = F.try_element_at(F.col(f"{s}classes"), _class(size))
-    place = F.when(own.p > 0, F.struct(_odds(u, own.p).alias("q"), u.alias("u"), F.col(id_col).cast("string").alias("id")))
-    more = F.coalesce(place <= F.col(f"{s}cut"), F.lit(False)) | F.coalesce(place == F.col(f"{s}last"), F.lit(False))
-    return F.when(size > 0, own.base + more.cast("long")).otherwise(0).cast("long")
+def _copies(rows: DataFrame, size: str, u: str, id_col: str, s: str, name: str) -> DataFrame:
+    """Adds the copies of each row, from its source's row of _draw; names of that row's columns begin with s."""
+    own = F.try_element_at(F.col(f"{s}classes"), _class(F.col(size)))
+    place = F.when(own.p > 0, F.struct(_odds(F.col(u), own.p).alias("q"), F.col(u).alias("u"), F.col(id_col).cast("string").alias("id")))
+    taken = _TAKEN.replace("rounds", f"{s}rounds").replace("size", size).replace("place", f"{s}place")
+    more = F.coalesce(F.expr(taken), F.lit(False)) | F.coalesce(F.col(f"{s}place") == F.col(f"{s}last"), F.lit(False))
+    return rows.withColumn(f"{s}place", place).withColumn(name, F.when(F.col(size) > 0, own.base + more.cast("long")).otherwise(0).cast("long"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
@@ -153,9 +179,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: fl
     sized = materialize(_sized(docs, id_col, text_col, source_col, seed))
     drawn = materialize(_draw(sized, weights, cap))
     targets = materialize(source_targets(sized, weights, cap)).withColumnRenamed("source", "t").withColumnRenamed("source_size", "_n")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("t"))).join(drawn.drop("source_size", "target"), F.col("source").eqNullSafe(F.col("s")), "left")
     return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("t"))).join(drawn.drop("source_size", "target"), F.col("source").eqNullSafe(F.col("s")), "left")
-        .withColumn("copies", _copies(F.col("size"), F.col("u"), "doc_id"))
+        _copies(joined, "size", "u", "doc_id", "", "copies")
         .select("doc_id", "source", "size", F.col("_n").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
@@ -166,11 +192,11 @@ def take_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float
     The draw is one row for each source, so texts are repeated where they are, without a shuffle as long as sources are few.
     """
     drawn = materialize(_draw(materialize(_sized(docs, id_col, text_col, source_col, seed)), weights, cap)).selectExpr(
-        "s as __mix_s", "classes as __mix_classes", "cut as __mix_cut", "last as __mix_last"
+        "s as __mix_s", "classes as __mix_classes", "rounds as __mix_rounds", "last as __mix_last"
     )
     size, u = word_count(docs[f"`{text_col}`"]), _random(docs[f"`{id_col}`"], seed)
     joined = docs.select("*", size.alias("__mix_size"), u.alias("__mix_u"), docs[f"`{id_col}`"].alias("__mix_id")).join(
         drawn, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__mix_s"))
     )
-    times = joined.withColumn("__mix_times", _copies(F.col("__mix_size"), F.col("__mix_u"), "__mix_id", "__mix_")).where("__mix_times > 0")
+    times = _copies(joined, "__mix_size", "__mix_u", "__mix_id", "__mix_", "__mix_times").where("__mix_times > 0")
     return times.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_times"))).alias("__mix_copy")).drop("__mix_copy")

@@ -80,11 +80,14 @@ cp AS (SELECT cs, class, cn, whole + CASE WHEN filled THEN 1 ELSE 0 END AS base,
 cs AS (SELECT cs AS rs, sum(cn * p) AS left_over FROM cp GROUP BY cs),
 q AS (SELECT d.*, base, p, left_over, CASE WHEN p > 0 THEN ((u + 0.5) / 281474976710656) / (1 - (u + 0.5) / 281474976710656) * (1 - p) / p END AS q
       FROM d JOIN cp ON d.source IS NOT DISTINCT FROM cs AND length(bin(size)) = class JOIN cs ON d.source IS NOT DISTINCT FROM rs WHERE size > 0),
-o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, u, CAST(doc_id AS VARCHAR)) <= left_over AS fits,
-      sum(size) OVER (PARTITION BY source, q, u, doc_id) AS unit FROM q WHERE q IS NOT NULL),
-e AS (SELECT source AS es, min(left_over) - coalesce(sum(size) FILTER (WHERE fits), 0) AS gap FROM o GROUP BY source),
-f AS (SELECT source AS fs, arg_min((q, u, CAST(doc_id AS VARCHAR)), (abs(gap - unit), q, u, CAST(doc_id AS VARCHAR))) AS last FROM o JOIN e ON source IS NOT DISTINCT FROM es WHERE NOT fits AND abs(gap - unit) < gap GROUP BY source),
-x AS (SELECT DISTINCT source AS xs, doc_id AS xd, size AS xz, fits OR coalesce((q, u, CAST(doc_id AS VARCHAR)) = last, FALSE) AS more FROM o LEFT JOIN f ON source IS NOT DISTINCT FROM fs),
+o AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY q, u, CAST(doc_id AS VARCHAR)) AS pl, sum(size) OVER (PARTITION BY source ORDER BY q, u, CAST(doc_id AS VARCHAR)) AS upto FROM q WHERE q IS NOT NULL),
+o0 AS (SELECT *, upto <= left_over AS got FROM o),
+""" + "".join(f"""e{k} AS (SELECT source AS es, min(left_over) - coalesce(sum(size) FILTER (WHERE got), 0) AS gap, coalesce(max(pl) FILTER (WHERE got), 0) AS cut FROM o{k} GROUP BY source),
+n{k} AS (SELECT o{k}.*, gap, pl > cut AND size <= gap AS can FROM o{k} JOIN e{k} ON source IS NOT DISTINCT FROM es),
+o{k + 1} AS (SELECT * EXCLUDE (got, gap, can), got OR (can AND sum(CASE WHEN can THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY pl) <= gap) AS got FROM n{k}),
+""" for k in range(3)) + """e3 AS (SELECT source AS es, min(left_over) - coalesce(sum(size) FILTER (WHERE got), 0) AS gap FROM o3 GROUP BY source),
+f AS (SELECT source AS fs, arg_min(pl, (abs(gap - size), pl)) AS last FROM o3 JOIN e3 ON source IS NOT DISTINCT FROM es WHERE NOT got AND abs(gap - size) < gap GROUP BY source),
+x AS (SELECT DISTINCT source AS xs, doc_id AS xd, size AS xz, got OR coalesce(pl = last, FALSE) AS more FROM o3 LEFT JOIN f ON source IS NOT DISTINCT FROM fs),
 y AS (SELECT d.doc_id, d.source, d.size, CAST(coalesce(base, 0) + coalesce(CAST(more AS INT), 0) AS BIGINT) AS copies FROM d LEFT JOIN cp ON d.source IS NOT DISTINCT FROM cs AND length(bin(size)) = class AND size > 0
       LEFT JOIN x ON d.source IS NOT DISTINCT FROM xs AND d.doc_id = xd AND d.size = xz)
 SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target, copies, copies * size AS taken FROM y JOIN t ON y.source IS NOT DISTINCT FROM t.source
