@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, embedding_dedup, language_id, line_windows, mixing, ngram_join, packing, pii_crf, quality_rules, secrets
+from . import chat_format, dual_tree, embedding_dedup, language_id, line_windows, mixing, ngram_join, packing, pii_crf, quality_rules, secrets, sharding, spelling
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,6 +218,85 @@ def op8_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the checksum of a text's UTF-8 bytes, four bits at a time."""
+    steps = list(range(16))
+    for _ in range(4):
+        steps = [(x >> 1) ^ (0xEDB88320 * (x & 1)) for x in steps]
+    digit = "(strpos('0123456789ABCDEF', b[{}]) - 1)::BIGINT".format
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: [{digit(2)}, {digit(1)}]))),"
+        f" lambda c, n: xor(c >> 4, list_extract({steps}::BIGINT[], (xor(c, n) & 15) + 1))))"
+    )
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at least 7 letters and 2 occurrences in all documents; a form is 10 times as frequent."""
+    return spelling.spelling_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op11_spelling_variants"] = rf"""
+WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS id, {_LOWER("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}'))")} AS w FROM documents),
+h AS (SELECT w, {_crc32("id || ':' || w")} AS h, k FROM (SELECT id, w, count(*) AS k FROM r GROUP BY 1, 2)),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, CAST(sum(k) AS BIGINT) AS n FROM h GROUP BY 1),
+d AS (SELECT word, n, unnest(range(0, length(word))) AS i FROM v WHERE length(word) >= 7 AND n >= 2),
+s AS (SELECT word, n, left(word, CAST(i AS INT)) AS a, substr(word, CAST(i AS INT) + 2) AS b FROM d),
+i AS (SELECT DISTINCT s.word AS long, s.n AS long_n, v.word AS short, v.n AS short_n FROM s JOIN v ON a || b = v.word AND v.n >= 2 AND length(v.word) >= 7),
+p AS (SELECT x.word, y.word AS near, y.n AS near_n FROM s x JOIN s y ON x.a = y.a AND x.b = y.b AND x.word <> y.word UNION ALL SELECT long, short, short_n FROM i UNION ALL SELECT short, long, long_n FROM i),
+b AS (SELECT word, count(*) AS n_near FROM p GROUP BY 1),
+t AS (SELECT word, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM p),
+f AS (SELECT v.word, v.n, near AS form, near_n AS form_n FROM v JOIN t ON v.word = t.word AND k = 1 AND near_n >= 10 * n),
+c AS (SELECT word, form AS top FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.top = f.word),
+e AS (SELECT word, top AS root FROM c WHERE top NOT IN (SELECT word FROM f))
+SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0) AS n_near, form_n FROM v LEFT JOIN b ON v.word = b.word LEFT JOIN f ON v.word = f.word LEFT JOIN e ON v.word = e.word
+WHERE length(v.word) >= 7 AND v.n >= 2
+"""
+
+
+@query
+def op12_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of equal weight; the document id and the number of shards decide."""
+    from pyspark.sql import functions as F
+
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+ORACLES["op12_rendezvous_shards"] = f"""
+WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, k, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, CASE WHEN t = '' THEN 0 ELSE {_crc32("t")} END AS text_crc32, CAST('0x' || md5('shard:slot:' || k)[1:12] AS BIGINT) AS place,
+  list_transform(range(0, 9), lambda i: -1.0::DOUBLE / ln((CAST('0x' || md5('shard:' || i || ':' || k)[1:12] AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)) AS scored FROM d),
+g AS (SELECT *, CAST(list_position(scored[1:8], list_max(scored[1:8])) - 1 AS INT) AS shard, CAST(list_position(scored, list_max(scored)) - 1 AS INT) AS grown_shard FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place, k, text_crc32, size) - 1 AS slot, grown_shard FROM g
+"""
+
+
+@query
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return dual_tree.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format
+ORACLES["op13_dual_tree_search"] = f"""
+WITH q AS (SELECT row_number() OVER () AS q, item_id, {_TERMS(_LOWER("coalesce(text, '')"))} AS l FROM benchmark),
+i AS (SELECT q, item_id, t, count(*) AS c FROM (SELECT q, item_id, unnest(l) AS t FROM q) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS(_LOWER("coalesce(text, '')"))} AS l FROM documents),
+n AS (SELECT r, doc_id, CAST(len(l) AS BIGINT) AS n FROM d WHERE len(l) > 0),
+a AS (SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS words FROM n),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(l) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM f GROUP BY 1), a),
+m AS (SELECT r, doc_id, 25 + (75 * n * total) // words AS m FROM n, a),
+s AS (SELECT q, item_id, doc_id, m.r, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN w ON i.t = w.t JOIN f ON i.t = f.t JOIN m ON f.r = m.r GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
