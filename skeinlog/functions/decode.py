@@ -25,23 +25,34 @@ QUALITIES = (
     ("9d9d9d", 0, "Poor"), ("ffffff", 1, "Common"), ("1eff00", 2, "Uncommon"),
     ("0070dd", 3, "Rare"), ("a335ee", 4, "Epic"), ("ff8000", 5, "Legendary"),
 )
-CAST = r"(?:CAST:\s*)?([A-Za-z]+)\s+casts\s+([A-Za-z\s]+?)(?:\(\d+\))?(?:\(Rank \d+\))?\s+on\s+([A-Za-z\s]+)"
-CAST_RANK = r"CAST:\s*([A-Za-z]+(?:\s[A-Za-z]+)*)\s+(?:casts|begins to cast)\s+([A-Za-z][A-Za-z '\-]+?)(?:\(\d+\))+\(Rank (\d+)\)"
-DAMAGE_SPELL = r"([A-Za-z]+(?:\s[A-Za-z]+)*(?:\s*\([^)]+\))?) 's (?:\(pet\) )?([A-Za-z\s']+) (?:hits|crits) ([A-Za-z\s']+) for (\d+)"
-DAMAGE_MELEE = r"([A-Za-z]+(?:\s[A-Za-z]+)*) (?:hits|crits) ([A-Za-z\s']+) for (\d+)\."
-DAMAGE_TICK = r"([A-Za-z\s']+) suffers (\d+) (?:\w+ )?damage from ([A-Za-z]+(?:\s[A-Za-z]+)*(?:\s*\([^)]+\))?) 's (?:\(pet\) )?([A-Za-z\s']+)"
-HEAL_DIRECT = r"([A-Za-z]+(?:\s[A-Za-z]+)*(?:\s*\([^)]+\))?) 's ([A-Za-z\s']+) (?:heals|critically heals) ([A-Za-z\s']+(?:\s*\([^)]+\))?) for (\d+)"
-HEAL_TICK = r"([A-Za-z]+(?:\s[A-Za-z]+)*(?:\s*\([^)]+\))?) gains (\d+) health from ([A-Za-z]+(?:\s[A-Za-z]+)*(?:\s*\([^)]+\))?) 's ([A-Za-z\s']+)"
-DODGE = r"([A-Za-z\s']+) attacks\. ([A-Za-z]+) dodges\."
-PARRY = r"([A-Za-z\s']+) attacks\. ([A-Za-z]+) parries\."
-MISS = r"([A-Za-z\s']+) misses ([A-Za-z]+)\."
-AURA_GAIN = r"([A-Za-z]+) gains ([A-Za-z\s':]+?) \((\d+)\)\."
-AURA_FADE = r"([A-Za-z\s':]+?) fades from ([A-Za-z]+)\."
-AFFLICTED = r"([A-Za-z]+) is afflicted by ([A-Za-z\s':]+?)(?:\s+\((\d+)\))?\."
+#: Where a run of words begins, and a name in front of what no letter can begin: taken whole, as Java matches repeated groups that
+#: may give back by recursion, which a long line would drive over the stack.
+_RUN = r"(?<![A-Za-z])(?<![A-Za-z]\s)"
+_NAME = r"([A-Za-z]++(?:\s[A-Za-z]+)*+(?:\s*\([^)]+\))?)"
+#: A name in front of a verb, from which words must be given back: letters and white space. Where the line has a wider gap between
+#: words (GAP), which a name doesn't cross, the exact form with recursion is used.
+_LOOSE = r"[A-Za-z][A-Za-z\s]*(?<=[A-Za-z])"
+_EXACT = r"[A-Za-z]+(?:\s[A-Za-z]+)*"
+GAP = r"[A-Za-z]\s\s+[A-Za-z]"
+#: Characters up to which a line may have such a gap: half as many words stay well within the stack.
+GAP_CHARS = 2_000
+CAST = r"(?<![A-Za-z])(?:CAST:\s*)?([A-Za-z]+)\s+casts\s+([A-Za-z\s]+?)(?:\(\d+\))?(?:\(Rank \d+\))?\s+on\s+([A-Za-z\s]+)"
+CAST_RANK = r"CAST:\s*({who})\s+(?:casts|begins to cast)\s+([A-Za-z][A-Za-z '\-]+?)(?:\(\d+\))++\(Rank (\d+)\)"
+DAMAGE_SPELL = _RUN + _NAME + r" 's (?:\(pet\) )?([A-Za-z\s']+) (?:hits|crits) ([A-Za-z\s']+) for (\d+)"
+DAMAGE_MELEE = _RUN + r"({who}) (?:hits|crits) ([A-Za-z\s']+) for (\d+)\."
+DAMAGE_TICK = r"(?<![A-Za-z\s'])([A-Za-z\s']+) suffers (\d+) (?:\w+ )?damage from " + _NAME + r" 's (?:\(pet\) )?([A-Za-z\s']+)"
+HEAL_DIRECT = _RUN + _NAME + r" 's ([A-Za-z\s']+) (?:heals|critically heals) ([A-Za-z\s']+(?:\s*\([^)]+\))?) for (\d+)"
+HEAL_TICK = _RUN + r"({who}(?:\s*\([^)]+\))?) gains (\d+) health from " + _NAME + r" 's ([A-Za-z\s']+)"
+DODGE = r"(?<![A-Za-z\s'])([A-Za-z\s']+) attacks\. ([A-Za-z]+) dodges\."
+PARRY = r"(?<![A-Za-z\s'])([A-Za-z\s']+) attacks\. ([A-Za-z]+) parries\."
+MISS = r"(?<![A-Za-z\s'])([A-Za-z\s']+) misses ([A-Za-z]+)\."
+AURA_GAIN = r"(?<![A-Za-z])([A-Za-z]+) gains ([A-Za-z\s':]+?) \((\d+)\)\."
+AURA_FADE = r"(?<![A-Za-z\s':])([A-Za-z\s':]+?) fades from ([A-Za-z]+)\."
+AFFLICTED = r"(?<![A-Za-z])([A-Za-z]+) is afflicted by ([A-Za-z\s':]+?)(?:\s+\((\d+)\))?\."
 LOOT = r"LOOT:.*?&([A-Za-z]+) receives (?:loot|item): \|cff([a-f0-9]{6})\|Hitem:(\d+):[^|]+\|h\[([^\]]+)\]\|h\|rx?(\d+)"
 TRADE = r"LOOT_TRADE:.*?&([A-Za-z]+) trades item (.+?) to ([A-Za-z]+)\."
-PET_OWNER = r"([A-Za-z]+)\s+\(([A-Za-z]+)\)"
-CONSUMABLE = r"([A-Za-z]+) uses ([A-Za-z][A-Za-z '\-]+?)(?:\s+on\s+[A-Za-z\s]+)?\."
+PET_OWNER = r"(?<![A-Za-z])([A-Za-z]+)\s+\(([A-Za-z]+)\)"
+CONSUMABLE = r"(?<![A-Za-z])([A-Za-z]+) uses ([A-Za-z][A-Za-z '\-]+?)(?:\s+on\s+[A-Za-z\s]+)?\."
 CLOCK = r"^\d{1,4}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d+"
 RAID_SIZE = r"PLAYERS_IN_COMBAT:\s*(\d+)/(\d+)"
 UNIT_DIED = r"UNIT_DIED:([^:]+):(\S*)"
@@ -56,6 +67,15 @@ def captures(text: Column, pattern: str, new: str) -> Column:
     return F.split(F.regexp_replace(found, pattern, new.replace("|", _CUT)), _CUT)
 
 
+def named_captures(text: Column, pattern: str, new: str) -> Column:
+    """captures() for a pattern with a name before a verb at {who}: a name has single white space between its words.
+
+    A line of more than GAP_CHARS with a wider gap between two words anywhere has no match.
+    """
+    exact = F.when(F.length(text) <= GAP_CHARS, captures(text, pattern.replace("{who}", _EXACT), new))
+    return F.when(text.rlike(GAP), exact).otherwise(captures(text, pattern.replace("{who}", _LOOSE), new))
+
+
 def number(text: Column) -> Column:
     """A whole number; 0 if it can't be read."""
     return F.coalesce(text.try_cast("bigint"), F.lit(0))
@@ -202,7 +222,7 @@ def damage_parts(text: Column) -> Column:
     hits = has(text, " hits ", " crits ") & text.contains(" for ")
     return F.coalesce(
         F.when(hits & text.contains(" 's "), captures(text, DAMAGE_SPELL, "$1|$2|$3|$4|")),
-        F.when(hits, captures(text, DAMAGE_MELEE, "$1|Auto Attack|$2|$3|")),
+        F.when(hits, named_captures(text, DAMAGE_MELEE, "$1|Auto Attack|$2|$3|")),
         F.when(text.contains(" suffers "), captures(text, DAMAGE_TICK, "$3|$4|$1|$2|dot")),
     )
 
@@ -227,7 +247,7 @@ def damage(text: Column, g: Column) -> Column:
 def heal_parts(text: Column) -> Column:
     """(source, spell, target, amount, form) of a healing line: direct, else periodic."""
     return F.coalesce(
-        F.when(text.contains("heals "), captures(text, HEAL_DIRECT, "$1|$2|$3|$4|")), F.when(text.contains(" health from "), captures(text, HEAL_TICK, "$3|$4|$1|$2|hot"))
+        F.when(text.contains("heals "), captures(text, HEAL_DIRECT, "$1|$2|$3|$4|")), F.when(text.contains(" health from "), named_captures(text, HEAL_TICK, "$3|$4|$1|$2|hot"))
     )
 
 
@@ -259,7 +279,7 @@ def cast_event(text: Column, g: Column) -> Column:
 
 
 def rank_parts(text: Column) -> Column:
-    return F.when(text.contains("CAST:") & text.contains("Rank "), captures(text, CAST_RANK, "$1|$2|$3"))
+    return F.when(text.contains("CAST:") & text.contains("Rank "), named_captures(text, CAST_RANK, "$1|$2|$3"))
 
 
 def cast_rank(text: Column, g: Column) -> Column:

@@ -34,7 +34,7 @@ PET_SPELLS = (
     "Bite", "Claw", "Screech", "Savage Rend", "Growl", "Dash", "Dive", "Boar Charge", "Lightning Breath", "Scorpid Poison", "Fire Shield",
     "Furious Howl", "Gore", "Firebolt", "Lash of Pain", "Torment", "Cleave", "Soothing Kiss", "Blood Pact", "Phase Shift", "Explosive Trap Effect",
 )
-PET_CAST = r"CAST:\s*([A-Za-z]+(?:\s[A-Za-z]+)*)\s+(?:casts|begins to cast|fails casting)\s+([A-Za-z][A-Za-z '\-]+?)(?:\(\d+\))+"
+PET_CAST = r"CAST:\s*({who})\s+(?:casts|begins to cast|fails casting)\s+([A-Za-z][A-Za-z '\-]+?)(?:\(\d+\))++"
 SUMMONER = r"([,a-zA-ZÀ-ſ][,a-zA-ZÀ-ſ ]+[,a-zA-ZÀ-ſ]) \(([,a-zA-ZÀ-ſ]+)\)"
 
 
@@ -181,7 +181,7 @@ def owners(cleaned: DataFrame) -> DataFrame:
     any such cast, the fixed list. renamed tells pets that had their owner's name."""
     pets = cleaned.withColumn("pet", _pet_field(F.col("text"))).where("pet is not null").select(*KEY, "seq", F.split("text", "&")[1].alias("owner"), "pet")
     first = pets.groupBy(*KEY, "pet").agg(F.min("seq").alias("since"))
-    g = D.captures(F.col("text"), PET_CAST, "$1|$2")
+    g = D.named_captures(F.col("text"), PET_CAST, "$1|$2")
     casts = cleaned.where(F.col("text").contains("CAST:") & ~F.col("text").contains("LOOT:") & ~F.col("text").contains("COMBATANT_INFO")).select(*KEY, "seq", g.alias("g")).where("g is not null")
     casts = casts.select(*KEY, "seq", F.col("g")[0].alias("pet"), F.trim(F.col("g")[1]).alias("spell"))
     known = casts.join(first, [*KEY, "pet"]).where("seq > since and spell <> ''").groupBy(*KEY, "pet").agg(F.collect_set("spell").alias("cast"))
@@ -246,7 +246,7 @@ def spell_name(text: Column) -> Column:
 
 def tag_pet_spells(text: Column, spells: Column) -> Column:
     """Marks what pets did with (pet) before the spell, if the owner's pets have that spell. spells: map of owner to spells."""
-    first, second = r"^(?:(?!  ).)*?  ", r"^(?:(?!from ).)*?from "
+    first, second = r"^(?>.*?  )", r"^(?>.*?from )"
     owner = lambda marker: F.regexp_extract(text, marker + r"(\S+) 's (.*)$", 1)
     spell = lambda marker: spell_name(F.regexp_extract(text, marker + r"\S+ 's (.*)$", 1))
     has = lambda marker: F.coalesce(F.array_contains(F.try_element_at(spells, owner(marker)), spell(marker)), F.lit(False))
