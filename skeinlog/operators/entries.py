@@ -36,7 +36,8 @@ def roster(decoded: DataFrame) -> DataFrame:
 
 
 def known(df: DataFrame, players: DataFrame, name: str, flag: str, at: str | None = "seq") -> DataFrame:
-    """Adds whether a name is on the roster: as of the row's line, or (at=None) in the end."""
+    """Adds whether a name is on the roster: as of the row's line, or (at=None) in the end. A join by name, for rosters of any size; see
+    met for those of a raid."""
     p = players.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("name").alias("_name"), F.col("first_seen_seq").alias("_first"))
     on = F.col(name) == F.col("_name")
     for k in KEY:
@@ -45,6 +46,27 @@ def known(df: DataFrame, players: DataFrame, name: str, flag: str, at: str | Non
     return df.join(p, on, "left").withColumn(flag, hit).drop(*[f"_{k}" for k in KEY], "_name", "_first")
 
 
+def dictionary(players: DataFrame) -> DataFrame:
+    """The roster of each session as a map, (keys, _names): name to the line of the first sighting. A session's roster is a raid's."""
+    first = players.where("name is not null").groupBy(*KEY, "name").agg(F.min("first_seen_seq").alias("first_seen_seq"))
+    return first.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("name", "first_seen_seq"))).alias("_names"))
+
+
+def on_roster(name: str | Column, at: str | None = "seq") -> Column:
+    """Whether a name is in the row's _names: as of the row's line, or (at=None) at all."""
+    first = F.try_element_at(F.col("_names"), F.col(name) if isinstance(name, str) else name)
+    return first.isNotNull() if at is None else F.coalesce(first < F.col(at), F.lit(False))
+
+
+def met(rows: DataFrame, players: DataFrame, of: DataFrame, flags: dict[str, str], at: str | None = "seq") -> DataFrame:
+    """Adds flags, by name of a column: whether its name is on the roster. Rows meet the session's dictionary by blocks of lines, so no
+    name draws rows together and a long log is spread; of holds the rows' lines."""
+    block = F.shiftright(F.col("seq"), K.BLOCK_BITS)
+    told = of.select(*KEY, block.alias("_block")).distinct().join(dictionary(players), KEY)
+    out = rows.withColumn("_block", block).join(told, [*KEY, "_block"], "left")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[on_roster(n, at).alias(flag) for n, flag in flags.items()])
+
+
 def _entry(**given: Column) -> Column:
     return F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in ENTRY.items()])
 
@@ -78,17 +100,25 @@ def raw_entries(decoded: DataFrame) -> DataFrame:
 
 
 def gated_entries(decoded: DataFrame, players: DataFrame) -> DataFrame:
-    """Entries after the gates: interrupts by a known player on someone else, auras on known players; with player flags.
+    """Entries after the gates: interrupts by a known player on someone else, auras on known players; with player flags and the
+    combat state of the line.
 
-    source_known and target_known say whether the names were on the roster as of the line.
+    source_known and target_known say whether the names were on the roster as of the line. The roster comes as a dictionary with
+    the stretches of combat state, so entries are dealt once, by blocks of lines.
     """
-    e = known(known(raw_entries(decoded), players, "source", "source_known"), players, "target", "target_known")
+    spans = K.stretches(combat_marks(decoded), decoded, KEY, RESETS).join(dictionary(players), KEY, "left")
+    e = K.along(raw_entries(decoded), spans, KEY).na.fill({"combat_id": 0, "reset_id": 0, "in_combat": False})
+    e = e.withColumn("source_known", on_roster("source")).withColumn("target_known", on_roster("target")).drop("_names")
     return e.where(
         "(kind not in ('Interrupt', 'AuraGain', 'AuraFade')) or (kind = 'Interrupt' and source_known and not target_known)"
         " or (kind in ('AuraGain', 'AuraFade') and source_known)"
     )
 
 
+#: What a combat mark says of the lines after it.
+RESETS = ["combat_id", "reset_id", "in_combat"]
+
+
 def combat_marks(decoded: DataFrame) -> DataFrame:
     """Combat state lines with reset_id, combat_id and in_combat, as they are from that line on.
 
@@ -109,7 +139,7 @@ def with_resets(rows: DataFrame, marks: DataFrame, of: DataFrame | None = None)
 
     of: where the rows' lines come from, if that is cheaper to read than rows.
     """
-    spans = K.stretches(marks, rows if of is None else of, KEY, ["combat_id", "reset_id", "in_combat"])
+    spans = K.stretches(marks, rows if of is None else of, KEY, RESETS)
     return K.along(rows, spans, KEY).na.fill({"combat_id": 0, "reset_id": 0, "in_combat": False})
 
 
@@ -137,8 +167,7 @@ def with_effective_healing(entries: DataFrame) -> DataFrame:
 
 def entries(decoded: DataFrame, players: DataFrame) -> DataFrame:
     """The finished table of entries."""
-    gated = with_resets(gated_entries(decoded, players), combat_marks(decoded), decoded)
-    return with_effective_healing(with_ranks(gated, decoded))
+    return with_effective_healing(with_ranks(gated_entries(decoded, players), decoded))
 
 
 def deaths(entries: DataFrame) -> DataFrame:
@@ -159,7 +188,7 @@ def deaths(entries: DataFrame) -> DataFrame:
 def avoidance_events(decoded: DataFrame, players: DataFrame) -> DataFrame:
     """Dodges and parries of known players; misses, split by which side is known: (keys, seq, ts, player, kind)."""
     a = decoded.where("avoidance is not null").select(*KEY, "seq", "ts", "avoidance.*")
-    a = known(known(a, players, "attacker", "a_known"), players, "defender", "d_known")
+    a = met(a, players, decoded, {"attacker": "a_known", "defender": "d_known"})
     kind = F.when(F.col("kind").isin("dodge", "parry") & F.col("d_known"), F.col("kind")).when(
         (F.col("kind") == "miss") & F.col("d_known") & ~F.col("a_known"), "missed_by").when((F.col("kind") == "miss") & F.col("a_known") & ~F.col("d_known"), "misses")
     player = F.when(kind == "misses", F.col("attacker")).otherwise(F.col("defender"))
@@ -171,13 +200,13 @@ def consumable_uses(decoded: DataFrame, players: DataFrame, items: DataFrame) ->
     from . import lookups
 
     c = decoded.where("consumable is not null").select(*KEY, "seq", "ts", F.col("consumable.source").alias("player"), F.col("consumable.item").alias("consumable"))
-    return lookups.classify_items(known(c, players, "player", "_known").where("_known").drop("_known"), "consumable", items)
+    return lookups.classify_items(met(c, players, decoded, {"player": "_known"}).where("_known").drop("_known"), "consumable", items)
 
 
 def pet_owners(decoded: DataFrame, players: DataFrame) -> DataFrame:
     """Owner of each pet seen as 'Pet (Owner)': owner known, pet not; the last sighting wins."""
     p = decoded.where("pet is not null").select(*KEY, "seq", "pet.*")
-    p = known(known(p, players, "owner", "_o"), players, "pet", "_p").where("_o and not _p")
+    p = met(p, players, decoded, {"owner": "_o", "pet": "_p"}).where("_o and not _p")
     return p.groupBy(*KEY, "pet").agg(F.max_by("owner", "seq").alias("owner"))
 
 

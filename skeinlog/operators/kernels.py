@@ -120,6 +120,25 @@ def range_attach(points: DataFrame, intervals: DataFrame, keys: Sequence[str], a
 BLOCK_BITS = 16
 
 
+def _blocks(marks: DataFrame, of: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """For each block of lines of of, or of marks (keys, _block, _at, _value): _first, the least _at in it, and _carry, the last value in a
+    block before it. The only window over a whole key runs over its blocks."""
+    own = marks.groupBy(*keys, "_block").agg(F.min("_at").alias("_first"), F.max_by("_value", "_at").alias("_v"))
+    none = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("_first", "_v")]
+    seen = of.select(*keys, F.shiftright(F.col(at), BLOCK_BITS).alias("_block")).distinct().select(*keys, "_block", *none)
+    blocks = seen.unionByName(own).groupBy(*keys, "_block").agg(F.min("_first").alias("_first"), F.first("_v", ignorenulls=True).alias("_v"))
+    carry = F.last("_v", ignorenulls=True).over(_over(keys, ["_block"]).rowsBetween(W.unboundedPreceding, -1))
+    return blocks.withColumn("_carry", carry).drop("_v")
+
+
+def carried(values: DataFrame, of: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str = "_carry") -> DataFrame:
+    """What the last value before each block of lines is: (keys, _block, name). values has the order, of which the first column is the
+    line; of holds the lines. With it, the last value at each line needs a window over its block only."""
+    at = order[0]
+    marks = values.select(*keys, F.shiftright(F.col(at), BLOCK_BITS).alias("_block"), F.struct(*order).alias("_at"), value.alias("_value"))
+    return _blocks(marks, of, keys, at).select(*keys, "_block", F.col("_carry").alias(name))
+
+
 def stretches(marks: DataFrame, of: DataFrame, keys: Sequence[str], values: Sequence[str], at: str = "seq") -> DataFrame:
     """What the last mark at or before a line says, as stretches of lines: (keys, _block, _from, _to, values).
 
@@ -132,12 +151,9 @@ def stretches(marks: DataFrame, of: DataFrame, keys: Sequence[str], values: Sequ
     last_of = F.shiftleft(F.col("_block"), BLOCK_BITS) + F.lit(size - 1)
     m = marks.select(*keys, at, *values, block.alias("_block"))
     inside = m.withColumn("_to", F.coalesce(F.lead(at).over(_over([*keys, "_block"], [at])) - 1, last_of)).select(*keys, "_block", F.col(at).alias("_from"), "_to", *values)
-    own = m.groupBy(*keys, "_block").agg(F.min(at).alias("_first"), F.max_by(F.struct(*values), at).alias("_v"))
-    seen = of.select(*keys, block.alias("_block")).distinct().withColumn("_first", F.lit(None).cast("long")).withColumn("_v", F.lit(None).cast(own.schema["_v"].dataType))
-    blocks = seen.unionByName(own).groupBy(*keys, "_block").agg(F.max("_first").alias("_first"), F.first("_v", ignorenulls=True).alias("_v"))
-    carry = F.last("_v", ignorenulls=True).over(_over(keys, ["_block"]).rowsBetween(W.unboundedPreceding, -1))
-    before = blocks.withColumn("_c", carry).select(
-        *keys, "_block", F.shiftleft(F.col("_block"), BLOCK_BITS).alias("_from"), F.coalesce(F.col("_first") - 1, last_of).alias("_to"), *[F.col(f"_c.{v}").alias(v) for v in values]
+    blocks = _blocks(m.select(*keys, "_block", F.col(at).alias("_at"), F.struct(*values).alias("_value")), of, keys, at)
+    before = blocks.select(
+        *keys, "_block", F.shiftleft(F.col("_block"), BLOCK_BITS).alias("_from"), F.coalesce(F.col("_first") - 1, last_of).alias("_to"), *[F.col(f"_carry.{v}").alias(v) for v in values]
     )
     return inside.unionByName(before).where("_from <= _to")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import aggregates
 from . import kernels as K
-from .entries import KEY, known
+from .entries import KEY, met
 
 # Seconds and rows of an opener.
 OPENER_SECONDS, OPENER_ROWS = 10.0, 8
@@ -68,7 +68,7 @@ def filtered_stats(entries: DataFrame, encounters: DataFrame, players: DataFrame
     """
     rows = in_selection(entries, encounters, which)
     if which != "all":
-        rows = known(rows.drop("target_known"), players, "target", "target_known", None)
+        rows = met(rows.drop("target_known"), players, entries, {"target": "target_known"}, None)
     done, taken, healed = aggregates.damage_done(rows), aggregates.damage_taken(rows), aggregates.healing_done(rows)
     return {"done": done, "taken": taken, "healed": healed, "totals": aggregates.player_totals(done, taken, healed)}
 
