@@ -3,36 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
 from .entries import KEY
 
 _DOT = " (dot)"
 
 
+#: Up to how many spells of players with lines to split a tiny table is sent to all tasks.
+SPLITS = 20_000
+
+
 def damage_done(entries: DataFrame) -> DataFrame:
     """(keys, player, ability): total, hits, crits, crit_total, pet_total, is_pet.
 
     A hit tagged as a pet's counts as one, and so do the periodic ticks of a spell whose own hits are tagged at any time: ticks
     before the tag move over, unless a tagged tick came before it, in which case the earlier ones stay personal.
+
+    Entries are summed before anything is shuffled, tags are looked for among the sums, and only for spells of the last kind (few, if any)
+    the ticks after the tag are summed once more.
     """
-    d = entries.where("kind = 'Damage'").withColumn("player", F.col("source")).withColumn("base", F.regexp_replace("spell", r" \(dot\)$", ""))
-    tick = F.col("spell") != F.col("base")
-    spell = W.partitionBy(*KEY, "player", "base")
-    tagged_base = F.min(F.when(F.col("is_pet_spell") & ~tick, F.col("seq"))).over(spell)
-    tagged_tick = F.min(F.when(F.col("is_pet_spell") & tick, F.col("seq"))).over(spell)
-    d = d.withColumn("_base", tagged_base).withColumn("_tick", tagged_tick)
-    moved = F.col("_base").isNotNull() & (F.col("_tick").isNull() | (F.col("_tick") > F.col("_base")) | (F.col("seq") > F.col("_base")))
-    pet = F.col("is_pet_spell") | (tick & moved)
-    return (
-        d.withColumn("pet", pet).groupBy(*KEY, "player", F.col("spell").alias("ability"))
+    by = [*KEY, "player", "ability"]
+    d = entries.where("kind = 'Damage'").withColumn("player", F.col("source")).withColumn("ability", F.col("spell"))
+    sums = cut(
+        d.groupBy(*by)
         .agg(
             F.sum("amount").alias("total"), F.count("*").alias("hits"), F.count_if("is_crit").alias("crits"),
             F.coalesce(F.sum(F.when(F.col("is_crit"), F.col("amount"))), F.lit(0)).alias("crit_total"),
-            F.coalesce(F.sum(F.when(F.col("pet"), F.col("amount"))), F.lit(0)).alias("pet_total"), F.bool_or("pet").alias("is_pet"),
+            F.coalesce(F.sum(F.when(F.col("is_pet_spell"), F.col("amount"))), F.lit(0)).alias("_own"), F.min(F.when(F.col("is_pet_spell"), F.col("seq"))).alias("_tag"),
         )
     )
+    hits = sums.where(f"not endswith(ability, '{_DOT}') and _tag is not null").select(*KEY, "player", F.concat("ability", F.lit(_DOT)).alias("ability"), F.col("_tag").alias("_base"))
+    sums = sums.join(hits, by, "left")
+    late = cut(sums.where("_tag <= _base").select(*by, "_base"))
+    n = late.count()
+    told = sums.withColumn("_late", F.lit(0).cast("long"))
+    if n:
+        few = F.broadcast(late) if n <= SPLITS else late
+        after = d.where("not coalesce(is_pet_spell, false)").join(few, by).where("seq > _base").groupBy(*by).agg(F.sum("amount").alias("_late"))
+        told = sums.join(after, by, "left")
+    moved = F.col("_base").isNotNull() & (F.col("_tag").isNull() | (F.col("_tag") > F.col("_base")))
+    return told.select(
+        *by, "total", "hits", "crits", "crit_total", F.when(moved, F.coalesce("total", F.lit(0))).otherwise(F.col("_own") + F.coalesce("_late", F.lit(0))).alias("pet_total"),
+        (F.col("_tag").isNotNull() | moved).alias("is_pet"),
+    )
 
 
 def damage_taken(entries: DataFrame) -> DataFrame:

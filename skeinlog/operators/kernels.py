@@ -45,6 +45,16 @@ def asof_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: C
     return df.withColumn(name, F.last(value, ignorenulls=True).over(_over(keys, order).rowsBetween(W.unboundedPreceding, end)))
 
 
+def asof_last_ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, parts: int | None = None) -> DataFrame:
+    """asof_last for keys of any number of rows: a window inside each range of the order, and what the ranges before it end with."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.withColumn("_value", value).repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    ends = ranged.groupBy(*keys, "_part").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_last"))
+    before = ends.withColumn("_before", F.last("_last", ignorenulls=True).over(_over(keys, ["_part"]).rowsBetween(W.unboundedPreceding, -1))).drop("_last")
+    inside = F.last("_value", ignorenulls=True).over(_running([*keys, "_part"], order))
+    return attach(ranged, before, [*keys, "_part"]).withColumn(name, F.coalesce(inside, "_before")).drop("_value", "_part", "_before")
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column, name: str = "island") -> DataFrame:
     """Numbers runs of rows: a row for which starts is true (or null, as for the first one) begins a new run."""
     return (
@@ -188,13 +198,13 @@ def ranked_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     return attach(ranged, before.drop("_n"), [*keys, "_part"]).withColumn(name, F.row_number().over(w) + F.col("_before")).drop("_before")
 
 
-def attach(df: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, few: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Adds the columns of few to each row of the same keys, null keys too."""
     other = few.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in few.columns])
     on = F.lit(True)
     for k in keys:
         on &= df[k].eqNullSafe(other[f"_k_{k}"])
-    return df.join(other, on).drop(*[f"_k_{k}" for k in keys])
+    return df.join(other, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def clamped_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], delta: str, low: int | str, high: int | str, begin: int | str, name: str = "level", block: int = 256) -> DataFrame:

@@ -220,8 +220,12 @@ def recording_player(lines: DataFrame, strict: bool = False, facts: DataFrame |
     first = me.groupBy(*KEY).agg(F.min_by("me", "seq").alias("_first"))
     facts = first if facts is None else first.join(facts, KEY, "full_outer")
     if strict:
-        marked = lines.withColumn("_clock", F.regexp_extract("text", D.CLOCK, 0)).unionByName(me.select(*KEY, F.lit(None).cast("long").alias("seq"), F.col("clock").alias("_clock"), F.col("me").alias("_me")), allowMissingColumns=True)
-        out = K.asof_last(marked, KEY, ["_clock", "seq"], F.col("_me"), "_last").where("seq is not null").drop("_clock", "_me").join(facts, KEY, "left")
+        # both in one order by the text of the time, dealt by ranges of it; lines come after what is said at the same time
+        clock = F.regexp_extract("text", D.CLOCK, 0)
+        said = me.select(*KEY, F.col("clock").alias("_clock"), F.lit(0).alias("_side"), F.col("seq").alias("_at"), F.col("me").alias("_me"))
+        marked = lines.select("*", clock.alias("_clock"), F.lit(1).alias("_side"), F.col("seq").alias("_at")).unionByName(said, allowMissingColumns=True)
+        out = K.asof_last_ranged(marked, KEY, ["_clock", "_side", "_at"], F.col("_me"), "_last").where("_side = 1").drop("_clock", "_side", "_at", "_me")
+        out = K.attach(out, facts, KEY, "left")
     else:
         # stretches between such lines, joined by block: no window over all lines of a session
         spans = K.stretches(me.select(*KEY, "seq", F.col("me").alias("_last")), lines, KEY, ["_last"])

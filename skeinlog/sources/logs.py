@@ -65,27 +65,39 @@ def zone_for_name(name: Column) -> Column:
 
 
 def export_names(sessions: DataFrame) -> DataFrame:
-    """Adds export_name: players, zone and date; a repeat within a log, without regard to case, gets -2, -3 and so on."""
+    """Adds export_name: players, zone and date; a repeat within a log, without regard to case, gets -2, -3 and so on. Where several logs
+    come to one name, again without regard to case, a digest of the log follows, so that no two sessions share a name."""
     players = F.when(F.size("you_players") > 0, F.array_join("you_players", "-")).otherwise(F.lit("Unknown"))
     zone = zone_for_name(F.col("name"))
     stem = F.concat_ws("-", players, F.when(zone != "", zone).otherwise(F.lit("Export")), S.date_text(F.col("start_time"), F.coalesce("start_year", F.year(F.current_date()))), F.lit("export"))
     n = F.row_number().over(W.partitionBy("log_id", F.lower("_stem")).orderBy("start_time", "session_no"))
     named = sessions.withColumn("_stem", stem).withColumn("_n", n)
-    return named.withColumn("export_name", F.when(F.col("_n") == 1, F.col("_stem")).otherwise(F.concat_ws("-", "_stem", F.col("_n").cast("string")))).drop("_stem", "_n")
+    named = named.withColumn("_name", F.when(F.col("_n") == 1, F.col("_stem")).otherwise(F.concat_ws("-", "_stem", F.col("_n").cast("string"))))
+    shared = named.groupBy(F.lower("_name").alias("_low")).agg((F.min("log_id") != F.max("log_id")).alias("_shared"))
+    told = named.join(shared, F.lower("_name") == F.col("_low")).withColumn("export_name", F.when(F.col("_shared"), F.concat_ws("-", "_name", F.substring(F.md5("log_id"), 1, 16))).otherwise(F.col("_name")))
+    return told.drop("_stem", "_n", "_name", "_low", "_shared")
 
 
-def export_sessions(lines: DataFrame, sessions: DataFrame, path: str, splits: int = 1) -> None:
-    """Writes the lines (log_id, session_id, seq, text) of raid sessions as gzipped text, a folder for each export name.
+#: Line numbers of a part of an export, as a power of two: 64 MB of a log, see read_logs.
+PART_BITS = 49
 
-    A session is sorted and written by one task (splits: by so many, each with a run of its lines).
+
+def export_sessions(lines: DataFrame, sessions: DataFrame, path: str, part_bits: int = PART_BITS) -> None:
+    """Writes the lines (log_id, session_id, seq, text) of raid sessions as gzipped text, a folder for each export name and in it one for
+    each part of the log, numbered in their order; in each the lines are in order. A part is written by one task, so a session of any
+    length is spread. _manifest in the same folder lists the parts: (export_name, part, log_id, session_id, lines, first_seq, last_seq).
     """
-    named = export_names(sessions).where("is_raid").select("log_id", F.col("session_no").alias("session_id"), "export_name")
-    out = lines.join(named, ["log_id", "session_id"])
-    if splits > 1:
-        out = out.repartitionByRange(splits, "export_name", "seq")
-    else:
-        out = out.repartition("export_name")
-    out.sortWithinPartitions("export_name", "seq").select("text", "export_name").write.partitionBy("export_name").option("compression", "gzip").text(path)
+    named = export_names(sessions.where("is_raid")).select("log_id", F.col("session_no").alias("session_id"), "export_name")
+    out = lines.join(named, ["log_id", "session_id"]).withColumn("part", F.lpad(F.shiftright("seq", part_bits).cast("string"), 8, "0"))
+    out.repartition("export_name", "part").sortWithinPartitions("export_name", "part", "seq").select("text", "export_name", "part").write.partitionBy("export_name", "part").option("compression", "gzip").text(path)
+    parts = out.groupBy("export_name", "part", "log_id", "session_id").agg(F.count("*").alias("lines"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    parts.write.json(f"{path}/_manifest")
+
+
+def read_export(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """An exported session, (part, seq, text): seq grows within a part, and parts are in order."""
+    rows = spark.read.text(f"{path}/export_name={name}").select("part", F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"))
+    return rows.select(F.col("part").cast("long").alias("part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("seq"), "text")
 
 
 def stored(df: DataFrame, path: str, files: int | None = None) -> DataFrame:

@@ -157,6 +157,13 @@ def test_pet_damage_is_retroactive(spark):
     assert rows["Trap"].pet_total == 10 and rows["Trap (dot)"].pet_total == 6 and rows["Trap (dot)"].is_pet
 
 
+def test_pet_ticks_split_at_the_tag(spark):
+    hit, tick, tagged = "Ann 's (pet) Trap hits Boss for 10.", "Boss suffers 3 Fire damage from Ann 's Trap.", "Boss suffers 5 Fire damage from Ann 's (pet) Trap."
+    d, players, e = parsed(spark, [at(0, roster("Ann")), at(1, tick), at(2, tagged), at(3, tick), at(4, hit), at(5, tick), at(6, tick)])
+    rows = {r.ability: r for r in aggregates.damage_done(e).collect()}
+    assert rows["Trap (dot)"].pet_total == 5 + 6 and rows["Trap (dot)"].total == 17 and rows["Trap (dot)"].is_pet
+
+
 def test_avoidance_and_gate(spark):
     d, players, e = parsed(spark, [at(0, "Bog attacks. Ann dodges."), at(1, roster("Ann")), at(2, "Bog attacks. Ann dodges."), at(3, "Bog misses Ann."), at(4, "Ann misses Bog."), at(5, "Ann hits Bog for 1.")])
     (r,) = aggregates.avoidance(entries.avoidance_events(d, players), e).collect()

@@ -147,8 +147,28 @@ def test_scratch_needs_a_shared_folder(spark):
         scratch.root(Bare)
 
 
-def test_export(spark, tmp_path):
-    s = spark.createDataFrame([("a", 0, "Bog Keep (1/2)", True, 5015520.0, 2026, ["Ann"])], "log_id string, session_no int, name string, is_raid boolean, start_time double, start_year int, you_players array<string>")
-    logs.export_sessions(lines(spark, "one", "two", "three"), s, str(tmp_path / "out"))
-    back = spark.read.text(str(tmp_path / "out"))
-    assert sorted(r.value for r in back.collect()) == ["one", "three", "two"] and back.first().export_name == "Ann-BogKeep-2026-01-27-export"
+def test_exports_of_logs_with_one_name(spark, tmp_path):
+    rows = [(log, k, "Bog Keep (1/2)", True, 5015520.0 + 9000 * k, 2026, [who]) for log, who in (("a", "Ann"), ("b", "ann"), ("c", "Bob")) for k in range(2)] + [("a", 2, "Town", False, 5015520.0, 2026, [])]
+    s = spark.createDataFrame(rows, "log_id string, session_no int, name string, is_raid boolean, start_time double, start_year int, you_players array<string>")
+    lines_ = [(log, k, seq << 3, f"{log}{k}:{seq}") for seq in range(40) for log in "abc" for k in range(3)]
+    lines_ = spark.createDataFrame(lines_, "log_id string, session_id int, seq long, text string").repartition(5)
+    logs.export_sessions(lines_, s, str(tmp_path / "out"), part_bits=6)
+    names = {(r.log_id, r.session_no): r.export_name for r in logs.export_names(s.where("is_raid")).collect()}
+    assert len({n.lower() for n in names.values()}) == 6
+    assert names["c", 0] == "Bob-BogKeep-2026-01-27-export" and names["c", 1] == "Bob-BogKeep-2026-01-27-export-2" and names["a", 0].startswith("Ann-BogKeep-2026-01-27-export-")
+    for (log, k), name in names.items():
+        back = logs.read_export(spark, str(tmp_path / "out"), name).orderBy("part", "seq").collect()
+        assert [r.text for r in back] == [f"{log}{k}:{seq}" for seq in range(40)]
+    parts = spark.read.json(str(tmp_path / "out" / "_manifest")).collect()
+    assert len(parts) == 6 * 5 and all(r.lines == 8 and r.last_seq - r.first_seq == 56 for r in parts)
+
+
+def test_strict_order_goes_by_the_text_of_times(spark):
+    r = random.Random(3)
+    texts = [f"1/27 {r.randrange(7, 13)}:{r.randrange(0, 4)}:5.5  " + (roster(f"p{k}", you=True) if k % 9 == 4 else "You gain Rage (1).") for k in range(400)]
+    clock = lambda t: t.split("  ")[0]
+    marks = sorted(((clock(t), k, f"P{k}") for k, t in enumerate(texts) if "COMBATANT" in t), key=lambda m: m[0])
+    first = f"P{min(k for _, k, _ in marks)}"
+    want = [([m[2] for m in marks if m[0] <= clock(t)] or [None])[-1] for t in texts]
+    got = normalise.recording_player(lines(spark, *texts), strict=True).orderBy("seq").collect()
+    assert [g.me for g in got] == [w or first for w in want]
