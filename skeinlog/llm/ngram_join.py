@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, id_filter, materialize, maybe_in, shuffle_partitions
+from .shared import components, id_filter, lean, lean_group, materialize, maybe_in, shuffle_partitions
 
 _U = np.uint64
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -253,7 +253,7 @@ def hot_grams(named: DataFrame, width: int, most: int = 1 << 18, least: int = 6)
 
     Which these are decides how fast the join is, never what it finds, so counts may come from batches that hold a gram often.
     """
-    top = named.select("text").mapInArrow(_common(width, least), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most)
+    top = named.select("text").mapInArrow(lean(_common(width, least)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most)
     return np.sort(np.array([r.gram for r in top.select("gram").collect()], np.int64).view(np.uint64))
 
 
@@ -511,8 +511,8 @@ def ngram_jaccard(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100
     buckets = max(4 * shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     hot = spark.sparkContext.broadcast(hot_grams(named, ngram))
     met = materialize(
-        named.mapInArrow(_file_keys(ngram, num, den, buckets, hot), "bucket long, kind int, blob binary")
-        .groupBy("bucket").applyInPandas(_meet(num, den), _MET)
+        named.mapInArrow(lean(_file_keys(ngram, num, den, buckets, hot)), "bucket long, kind int, blob binary")
+        .groupBy("bucket").applyInPandas(lean_group(_meet(num, den)), _MET)
     )
     rows = met.where("kind = 0").selectExpr("a as doc_id", "b as n", "c as s1", "d as s2", "e as cls")
     reps = materialize(rows.groupBy("s1", "s2", "n", "cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
@@ -524,10 +524,10 @@ def ngram_jaccard(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100
     links = materialize(
         maybe_in(named, "doc_id", id_filter(candidates, "rep")).join(tiles.hint("merge"), F.col("doc_id") == tiles.rep)
         .select("rep", "s1", "copies", "tile", "text")
-        .mapInArrow(_with_grams(ngram), "rep long, s1 long, copies long, tile array<struct<grp:long,c1:int,c2:int,i:int,j:int,side:int>>, grams binary")
+        .mapInArrow(lean(_with_grams(ngram)), "rep long, s1 long, copies long, tile array<struct<grp:long,c1:int,c2:int,i:int,j:int,side:int>>, grams binary")
         .select("rep", "s1", "copies", "grams", F.explode("tile").alias("t")).select("rep", "s1", "copies", "grams", "t.*")
         .repartition(*_TILE).sortWithinPartitions(*_TILE)
-        .mapInPandas(_multiply(num, den), "rep long, s1 long, root long, links long")
+        .mapInPandas(lean(_multiply(num, den)), "rep long, s1 long, root long, links long")
     )
     joined = components(links.selectExpr("rep as a", "root as b").unionByName(_same_ids(rows, reps)))
     counted = links.groupBy("rep", "s1").agg(F.sum("links").alias("links"))

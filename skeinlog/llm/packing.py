@@ -17,7 +17,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ngram_join import _GAP, chunks, text_bytes
-from .shared import materialize, shuffle_partitions
+from .shared import lean, materialize, shuffle_partitions
 
 #: Bytes of words and their ids that a Python worker keeps, about; beyond that it starts anew.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 24 << 20
 #: Bytes of text cut into tokens at a time; longer texts are cut at white space.
 _CHUNK = 2 << 20
 
@@ -49,10 +49,10 @@ class WordIds:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
-        special = {i for i, _ in self.whole.get_added_tokens_decoder().items()}
+        special = {i for i, _ in whole.get_added_tokens_decoder().items()}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -63,8 +63,14 @@ class WordIds:
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.plain = regex.compile(r"[!-;=?-~¡-˿]+")  # no < or >: special tokens are strings with them; no combining marks
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.kept: dict[str, bytes] = {}
-        self.size = 0
+        self.path, self.kept, self.size = path, {}, 0
+
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, where a text asks for it: the merger is a second copy of the vocabulary."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def of(self, piece: str) -> bytes:
         """The ids of one piece as 32-bit numbers."""
@@ -189,7 +195,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
     null. Other columns are ignored, whatever their names.
     """
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        _cut(tokenizer, most, end_id, with_ids), _PIECES + ", ids binary" * with_ids
+        lean(_cut(tokenizer, most, end_id, with_ids)), _PIECES + ", ids binary" * with_ids
     )
 
 
@@ -401,4 +407,4 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0, id_
         .select(*[c for c in pieces.columns if c != "salt"], (F.col("in_salt") + F.col("before")).alias("rank"))
     )
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name != "salt")
-    return ranked.mapInArrow(_placed(runs, most), f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_placed(runs, most)), f"{kinds}, sequence_id long, offset long")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +39,40 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    """Hands freed memory back to the system: a Python worker stays for later tasks, and what it once needed isn't theirs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other C libraries do without
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that gives its memory back when it is through."""
+
+    @wraps(run)
+    def f(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return f
+
+
+def lean_group(run: Callable) -> Callable:
+    """A function of a group's rows that gives its memory back."""
+
+    def f(frame):
+        try:
+            return run(frame)
+        finally:
+            _give_back()
+
+    return f
+
+
 #: Bits of an id filter: 2**25 are 4 MB, whatever the number of ids.
 FILTER_BITS = 1 << 25
 
