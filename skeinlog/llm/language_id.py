@@ -26,27 +26,40 @@ _BORDER = np.ones(256, bool)
 _BORDER[[*range(97, 123), *range(128, 256)]] = False
 
 
-def subwords(text: str) -> np.ndarray:
-    """Bucket of every subword of a whole text: 2 to 4 bytes, of which inner ones aren't word borders."""
+#: Bytes of a text whose subwords are worked out together.
+_CHUNK = 1 << 20
+
+
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the subwords of a whole text: 2 to 4 bytes, of which inner ones aren't word borders; those that begin in one stretch
+    of bytes at a time, so that memory is the text's and a stretch's."""
     raw = np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass") + b" ", np.uint8)
-    border = _BORDER[raw]
-    b = np.where(border, 32, raw).astype(np.uint32)
-    out = []
-    for n in (2, 3, 4):
-        m = len(b) - n + 1
-        if m <= 0:
-            continue
-        packed, clear = b[:m].copy(), np.ones(m, bool)
-        for k in range(1, n):
-            packed = (packed << np.uint32(8)) | b[k : m + k]
-            if k < n - 1:
-                clear &= ~border[k : m + k]
-        if n == 2:
-            clear = ~(border[:m] & border[1:])
-        packed = packed[clear] ^ np.uint32(n * 0x1F123BB5 & 0xFFFFFFFF)
-        packed ^= packed >> np.uint32(15)
-        out.append((packed * np.uint32(0x9E3779B1)) >> np.uint32(17))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+    for at in range(0, len(raw), _CHUNK):
+        own = raw[at : at + _CHUNK + 3]
+        border = _BORDER[own]
+        b = np.where(border, 32, own).astype(np.uint32)
+        for n in (2, 3, 4):
+            m = min(len(own) - n + 1, _CHUNK)
+            if m <= 0:
+                continue
+            packed, clear = b[:m].copy(), np.ones(m, bool)
+            for k in range(1, n):
+                packed = (packed << np.uint32(8)) | b[k : m + k]
+                if k < n - 1:
+                    clear &= ~border[k : m + k]
+            if n == 2:
+                clear = ~(border[:m] & border[1 : m + 1])
+            packed = packed[clear] ^ np.uint32(n * 0x1F123BB5 & 0xFFFFFFFF)
+            packed ^= packed >> np.uint32(15)
+            yield ((packed * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64)
+
+
+def subword_counts(text: str) -> np.ndarray:
+    """How often a whole text has the subwords of each bucket."""
+    out = np.zeros(BUCKETS, np.int64)
+    for ids in _pieces(text):
+        out += np.bincount(ids, minlength=BUCKETS)
+    return out
 
 
 @dataclass
@@ -61,15 +74,15 @@ class Model:
         """Language and calibrated score; 'und' and 0 for a text that is null or has no letter."""
         if text is None or not self.languages or not _LETTER.search(text):
             return "und", 0.0
-        p = self.probabilities(subwords(text))
+        p = self.probabilities(subword_counts(text))
         k = int(p.argmax())
         return self.languages[k], float(p[k])
 
-    def logits(self, ids: np.ndarray) -> np.ndarray:
-        return np.bincount(ids, minlength=len(self.table)) @ self.table / max(len(ids), 1) + self.bias
+    def logits(self, counts: np.ndarray) -> np.ndarray:
+        return counts @ self.table / max(int(counts.sum()), 1) + self.bias
 
-    def probabilities(self, ids: np.ndarray) -> np.ndarray:
-        return _softmax(self.logits(ids) / self.temperature)
+    def probabilities(self, counts: np.ndarray) -> np.ndarray:
+        return _softmax(self.logits(counts) / self.temperature)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -79,7 +92,9 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The different subwords of a text (at most BUCKETS) and how often it has each."""
-    return np.unique(subwords(text), return_counts=True)
+    counts = subword_counts(text)
+    ids = np.flatnonzero(counts)
+    return ids, counts[ids]
 
 
 def train(texts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 6, rate: float = 0.4, seed: int = 5) -> Model:
@@ -110,7 +125,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs:
             step += 1
     model = Model(names, embedding @ layer, bias)
     if kept:
-        z = np.array([model.logits(np.repeat(*s[1])) for s in kept])
+        z = np.array([model.logits(np.bincount(*s[1][:1], weights=s[1][1], minlength=BUCKETS)) for s in kept])
         y = np.array([s[2] for s in kept])
 
         def loss(t: float) -> float:

@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 #: Kinds, in the order that breaks ties; label 0 is 'none of them'. Patterns are fixed values of the contract.
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: They are tried where a run of their characters begins alone, as what fails there fails further on, and give nothing back: so
+#: a text of any length is read once.
+_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: Other nodes: tokens with an @, and runs of digits with marks between them (letters beside them make them part of a word).
-_NODE = re.compile(r"[^\x20\x09-\x0D@]+@[^\x20\x09-\x0D@]*[A-Za-z0-9]|(?<![A-Za-z0-9])[+(]{0,2}(?:[0-9]{1,6}(?:[\x20().-]{1,2}[0-9]{1,6})*|[0-9]+)(?![A-Za-z0-9])")
+_NODE = re.compile(r"(?<![^\x20\x09-\x0D@])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D@]*[A-Za-z0-9]|(?<![A-Za-z0-9])[+(]{0,2}(?:[0-9]{1,6}(?:[\x20().-]{1,2}[0-9]{1,6})*|[0-9]+)(?![A-Za-z0-9])")
 _WORD = re.compile(r"[^\x20\x09-\x0D.,;:!?()\[\]<>\"']+")
 
 #: Texts that the potentials are learned from, at most.
@@ -53,7 +55,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, sorted; code points, end exclusive."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)]
+        at = 0
+        for m in _LOCAL.finditer(text):
+            # what a match before has taken of the run is gone
+            if max(m.start(), at) < m.end() and text.startswith("@", m.end()) and (d := _DOMAIN.match(text, m.end() + 1)):
+                out.append((max(m.start(), at), 0, d.end()))
+                at = d.end()
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split(".")):

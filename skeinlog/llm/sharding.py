@@ -32,8 +32,6 @@ def _key(id_col: F.Column) -> F.Column:
 
 def scores(key: F.Column, weights: Sequence[float], seed: str = "shard") -> F.Column:
     """The score of each shard for a key, in an array; of weight 0: never the highest."""
-    if not any(w > 0 for w in weights):
-        raise ValueError("some weight must be above 0")
     drawn = [(_bits(F.lit(f"{seed}:{s}"), key) + 0.5) / F.lit(float(1 << 48)) for s in range(len(weights))]
     return F.array(*[F.lit(float(-w)) / F.ln(u) if w > 0 else F.lit(-1.0) for w, u in zip(weights, drawn, strict=True)])
 
@@ -44,6 +42,12 @@ def highest(scored: F.Column, n: int) -> F.Column:
     return (F.array_position(first, F.array_max(first)) - 1).cast("int")
 
 
+def _checked(weights: Sequence[float]) -> list[float]:
+    if not any(w > 0 for w in weights):
+        raise ValueError("some weight must be above 0")
+    return list(weights)
+
+
 def assign_shards(docs: DataFrame, weights: Sequence[float] = (1,) * 8, grown: float = 1, id_col: str = "doc_id", text_col: str = "text", seed: str = "shard") -> DataFrame:
     """The shard of each row of docs: (doc_id, size, text_crc32, shard, slot, grown_shard).
 
@@ -56,7 +60,7 @@ def assign_shards(docs: DataFrame, weights: Sequence[float] = (1,) * 8, grown: f
     rows = docs.select(
         docs[f"`{id_col}`"].alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).alias("text_crc32"),
         _key(docs[f"`{id_col}`"]).alias("key"),
-    ).select("*", scores(F.col("key"), [*weights, grown], seed).alias("scored"), _bits(F.lit(f"{seed}:slot"), F.col("key")).alias("place"))
+    ).select("*", scores(F.col("key"), [*_checked(weights), grown], seed).alias("scored"), _bits(F.lit(f"{seed}:slot"), F.col("key")).alias("place"))
     n = len(weights)
     rows = materialize(
         rows.select("doc_id", "size", "text_crc32", "key", "place", highest(F.col("scored"), n).alias("shard"), highest(F.col("scored"), n + 1).alias("grown_shard"))
@@ -80,7 +84,7 @@ def write_shards(docs: DataFrame, path: str, weights: Sequence[float] = (1,) * 8
     """Writes docs as Parquet, a folder for each shard, its rows in the order of a digest of their ids; all columns stay, but one called shard is
     replaced. Rows are dealt by ranges, in so many files as files says (or spark.sql.shuffle.partitions)."""
     key = _key(docs[f"`{id_col}`"])
-    placed = docs.drop("shard").withColumn("shard", highest(scores(key, weights, seed), len(weights))).withColumn("__place", _bits(F.lit(f"{seed}:slot"), key))
+    placed = docs.drop("shard").withColumn("shard", highest(scores(key, _checked(weights), seed), len(weights))).withColumn("__place", _bits(F.lit(f"{seed}:slot"), key))
     order = ["shard", "__place"]
     dealt = placed.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(files or shuffle_partitions(docs.sparkSession), *order, "__row")
     dealt.sortWithinPartitions(*order).drop("__place", "__row").write.partitionBy("shard").parquet(path)
