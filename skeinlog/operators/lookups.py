@@ -53,14 +53,9 @@ def zone_facts(df: DataFrame, zone_col: str, zones: DataFrame) -> DataFrame:
     return out.select(*df.columns, *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()], "encounter_count")
 
 
-def instance_of_kills(kills: DataFrame, keys: list[str]) -> DataFrame:
-    """The single instance of a session's boss kills; null if they are of several."""
-    return kills.groupBy(*keys).agg(F.when(F.count_distinct("instance") == 1, F.min("instance")).alias("kill_instance"))
-
-
-def bosses_of_zone(zone: Column, boss_instance: Column) -> Column:
-    """Whether a boss may be met in a zone: those of the zone if it is an instance, else all."""
-    return zone.isNull() | (F.lower(boss_instance) == F.lower(zone))
+def single_instance(instance: str) -> Column:
+    """Aggregate: the one instance of a session's boss kills; null if they are of several."""
+    return F.when(F.count_distinct(instance) == 1, F.min(instance))
 
 
 def contains_word(text: Column, word: Column) -> Column:

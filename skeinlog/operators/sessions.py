@@ -76,7 +76,7 @@ def sessions(numbered: DataFrame, zones: DataFrame, year: DataFrame | None = Non
     zone_row = F.col("type") == "zone"
     s = numbered.groupBy(*by).agg(
         F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count_if(F.col("type") == "combat_start").alias("combat_count"),
-        F.count_if(F.col("type") == "boss_kill").alias("kill_count"), F.when(F.count_distinct("instance") == 1, F.min("instance")).alias("kill_zone"),
+        F.count_if(F.col("type") == "boss_kill").alias("kill_count"), lookups.single_instance("instance").alias("kill_zone"),
         F.max_by("name", F.when(zone_row & F.col("is_raid_zone"), spot)).alias("raid_zone"), F.max_by("name", F.when(zone_row, spot)).alias("any_zone"),
         F.collect_set(F.when(F.col("type") == "npc_zone", F.col("name"))).alias("npc_zones"), F.sort_array(F.collect_set(F.when(F.col("type") == "full_player", F.col("name")))).alias("you_players"),
         F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"),

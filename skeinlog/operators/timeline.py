@@ -196,6 +196,52 @@ def zoom(rows: DataFrame, lo: float, hi: float, at: str = "offset") -> DataFrame
     return rows.where(F.col(at).between(lo, hi)) if hi - lo >= 2 else rows
 
 
+#: Bits of a level of the pyramid, and its levels: 16, 256, 4096 and 65536 seconds beside the single ones.
+PYRAMID_BITS, PYRAMID_LEVELS = 4, 5
+
+
+def pyramid(seconds: DataFrame, values: Sequence[str], keys: Sequence[str] = KEY, at: str = "second") -> DataFrame:
+    """Sums of a dense axis by stretches of 16^level seconds: (keys, level, bucket, values), a fifteenth more rows than the axis has. Store it
+    once: any window is then a few dozen of its rows (see zoomed)."""
+    level = seconds.select(*keys, F.lit(0).alias("level"), F.col(at).cast("long").alias("bucket"), *values)
+    out = level
+    for k in range(1, PYRAMID_LEVELS):
+        level = level.groupBy(*keys, F.shiftright("bucket", PYRAMID_BITS).alias("bucket")).agg(*[F.sum(v).alias(v) for v in values]).select(*keys, F.lit(k).alias("level"), "bucket", *values)
+        out = out.unionByName(level)
+    return out
+
+
+def stretches_of(lo: int, hi: int) -> list[tuple[int, int]]:
+    """The least (level, bucket) that make up the seconds from lo to hi, both included."""
+    out: list[tuple[int, int]] = []
+    end = hi + 1
+    for level in range(PYRAMID_LEVELS):
+        last = level == PYRAMID_LEVELS - 1
+        while lo < end and (last or lo & ((1 << PYRAMID_BITS) - 1)):
+            out.append((level, lo))
+            lo += 1
+        while lo < end and end & ((1 << PYRAMID_BITS) - 1):
+            end -= 1
+            out.append((level, end))
+        lo, end = lo >> PYRAMID_BITS, end >> PYRAMID_BITS
+    return out
+
+
+def zoomed(levels: DataFrame, values: Sequence[str], lo: int | None = None, hi: int | None = None, keys: Sequence[str] = KEY) -> DataFrame:
+    """Sums of a window of whole seconds, both ends included; one of less than two seconds, or none, means the whole axis."""
+    if lo is None or hi is None or hi - lo < 2:
+        rows = levels.where(F.col("level") == PYRAMID_LEVELS - 1)
+    else:
+        by_level: dict[int, list[int]] = {}
+        for level, bucket in stretches_of(max(lo, 0), hi):
+            by_level.setdefault(level, []).append(bucket)
+        inside = F.lit(False)
+        for level, wanted in by_level.items():
+            inside |= (F.col("level") == level) & F.col("bucket").isin(wanted)
+        rows = levels.where(inside)
+    return rows.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+
+
 def lanes(intervals: DataFrame, tracked: Sequence[str]) -> DataFrame:
     """Players of each tracked aura, sorted."""
     return intervals.where(F.col("aura").isin(*tracked)).groupBy(*KEY, "aura").agg(F.sort_array(F.collect_set("player")).alias("players"))

@@ -266,6 +266,62 @@ def fights_from_lines(spark, sf_dir):
     return enc.select(F.col("log_id").alias("log"), "enc_idx", "name", "zone", "duration", "is_boss", "is_kill", "player_deaths", "active_players", F.col("attempt").cast("int").alias("attempt"))
 
 
+_SPELLS = """WITH o AS (SELECT o_custkey, o_orderkey AS key, o_orderstatus AS st, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+g AS (SELECT *, CASE WHEN key % 6 = 0 AND k > 1 THEN 5000 ELSE 1000 END AS gap FROM o), b AS (SELECT *, sum(gap) OVER (PARTITION BY o_custkey ORDER BY k) AS base, sum(CASE WHEN gap > 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY k) AS part FROM g),
+s AS (SELECT o_custkey, part, min(base) AS first, max(base) AS last, count(*) AS combats, count(*) FILTER (WHERE st <> 'O') AS kills, sum(3 + CASE WHEN st <> 'O' THEN 1 ELSE 0 END) AS lines FROM b GROUP BY 1, 2),
+e AS (SELECT *, CASE WHEN part = 0 OR kills > 0 THEN 'bog keep' ELSE 'unknown' END AS zone FROM s)"""
+
+
+def _evenings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as short fights, a log for each customer, with long pauses before some: (log_id, seq, text)."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey as key", "o_orderstatus as st", "row_number() over (partition by o_custkey order by o_orderkey) as k")
+    o = o.selectExpr("*", "sum(if(key % 6 = 0 and k > 1, 5000, 1000)) over (partition by o_custkey order by k) as base")
+    steps = ((0, "'PLAYER_REGEN_DISABLED'"), (5, "'Ann hits Ogre for 5.'"), (20, "if(st <> 'O', 'UNIT_DIED:Mire Lord:0xF130000000000001', null)"), (30, "'PLAYER_REGEN_ENABLED'"))
+    listed = ", ".join(f"struct({at} as at, {k} as k, {text} as text)" for k, (at, text) in enumerate(steps))
+    fights = o.selectExpr("o_custkey", "key", "base", f"explode(array({listed})) as x").selectExpr("o_custkey", "key * 8 + x.k as seq", "base + x.at as s", "x.text").where("text is not null")
+    gear = "&".join(["nil"] * 19)
+    heads = ("'ZONE_INFO: 1&The Bog&0'", f"'COMBATANT_INFO: 27.01.26 20:00:00&Ann&MAGE&Human&2&nil&nil&nil&1&{gear}&1}}2}}3&0x1&nil'", "''")
+    first = o.select("o_custkey").distinct().selectExpr("o_custkey", f"posexplode(array({', '.join(heads)})) as (seq, text)").selectExpr("o_custkey", "cast(seq as long) as seq", "cast(0 as bigint) as s", "text")
+    clock = "concat('1/', cast(27 + s div 86400 as string), ' ', cast(s % 86400 div 3600 as string), ':', cast(s % 3600 div 60 as string), ':', cast(s % 60 as string), '.0  ')"
+    return fights.unionByName(first).selectExpr("cast(o_custkey as string) as log_id", "seq", f"if(text = '', '   ', concat({clock}, text)) as text")
+
+
+def _found_sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from ..operators import sessions
+    from ..sources.scratch import cut
+
+    lines = cut(_evenings(spark, sf_dir))
+    npcs = spark.createDataFrame([("mire lord", "bog keep", True, None)], "npc string, instance string, is_boss boolean, group_name string")
+    zones = spark.createDataFrame([("bog keep", True, False, False, 2)], "zone string, is_instance boolean, is_dungeon boolean, is_overworld boolean, encounter_count int")
+    aliases = spark.createDataFrame([("the bog", "Bog Keep")], "alias string, canonical string")
+    marks = sessions.markers(lines, npcs, aliases)
+    return lines, cut(sessions.sessions(sessions.number_sessions(marks, zones), zones, sessions.log_years(lines)))
+
+
+@query(f"""{_SPELLS}, n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY part) AS no FROM e)
+SELECT CAST(o_custkey AS VARCHAR) AS log, CAST(no AS BIGINT) AS session_no, zone, zone <> 'unknown' AS is_raid, combats, kills, CASE WHEN zone = 'unknown' THEN 'Unknown' WHEN kills >= 2 THEN 'Bog Keep Full Clear' WHEN kills = 1 THEN 'Bog Keep (1/2)' ELSE 'Bog Keep (wipes)' END AS name,
+CASE WHEN part = 0 THEN 'Ann' ELSE '' END AS you, CAST(2026 AS INT) AS year, CAST(last + 30 - CASE WHEN part = 0 THEN 0 ELSE first END AS BIGINT) AS seconds FROM n""")
+def sessions_from_lines(spark, sf_dir):
+    """From lines to sessions: markers, pauses, zones by alias and by kills, names."""
+    _, s = _found_sessions(spark, sf_dir)
+    return s.select(
+        F.col("log_id").alias("log"), "session_no", "zone", "is_raid", F.col("combat_count").alias("combats"), F.col("kill_count").alias("kills"), "name", F.array_join("you_players", ",").alias("you"),
+        F.col("start_year").alias("year"), F.round("duration").cast("long").alias("seconds"),
+    )
+
+
+@query(f"""{_SPELLS}, n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY part) AS no FROM e)
+SELECT CAST(o_custkey AS VARCHAR) AS log, CAST(no AS BIGINT) AS session_no, CAST(lines + CASE WHEN part = 0 THEN 2 ELSE 0 END AS BIGINT) AS n, CASE WHEN part = 0 THEN 'Ann' ELSE 'Unknown' END || CASE WHEN zone = 'unknown' THEN '-Unknown' ELSE '-BogKeep' END || '-2026-' || strftime(TIMESTAMP '2026-01-27' + to_seconds(CAST(CASE WHEN part = 0 THEN 0 ELSE first END AS BIGINT)), '%m-%d') || '-export' AS stem FROM n""")
+def lines_of_sessions(spark, sf_dir):
+    """Lines of each session, and the names under which sessions are exported, without what tells repeats apart."""
+    from ..operators import sessions
+
+    lines, s = _found_sessions(spark, sf_dir)
+    n = sessions.assign_lines(lines, s).groupBy("log_id", "session_id").agg(F.count("*").alias("n"))
+    named = logs.export_names(s).select("log_id", F.col("session_no").alias("session_id"), F.regexp_extract("export_name", "^.*-export", 0).alias("stem"))
+    return n.join(named, ["log_id", "session_id"]).select(F.col("log_id").alias("log"), F.col("session_id").alias("session_no"), "n", "stem")
+
+
 #: What rewriting makes of lines, in a log whose recorder is Ann, where Hun has the pet Rex.
 _REWRITTEN = (
     ("You suffer {n} damage from your Burn.", "Ann suffers {n} damage from Ann (self damage) 's Burn."), ("Your Slam hits you for {n}.", "Ann (self damage) 's Slam hits Ann for {n}."), ("Your Slam is parried by Bob.", "Ann 's Slam was parried by Bob."),

@@ -189,6 +189,24 @@ def fight_peaks(spark, sf_dir):
     return timeline.peaks(timeline.buckets(x.entries, x.fights, x.players)).drop("session_id")
 
 
+_ZOOMS = ((37, 1234), (0, 15), (16, 4111), (5, 6), (1000, 99999))
+
+
+@query(_SECONDS + " " + " UNION ALL ".join(f"SELECT '{lo}-{hi}' AS win, log_id, CAST(sum(damage) AS BIGINT) AS damage, CAST(sum(healing) AS BIGINT) AS healing FROM sec WHERE {'TRUE' if hi - lo < 2 else f'second BETWEEN {lo} AND {hi}'} GROUP BY 2" for lo, hi in _ZOOMS))
+def zoomed_seconds(spark, sf_dir):
+    """Windows of the seconds of the fights, each from a few dozen rows of a pyramid of sums."""
+    from ..sources.scratch import cut
+
+    x = night(spark, sf_dir)
+    values = ["damage", "healing"]
+    levels = cut(timeline.pyramid(timeline.buckets(x.entries, x.fights, x.players), values))
+    out = None
+    for lo, hi in _ZOOMS:
+        one = timeline.zoomed(levels, values, lo, hi).withColumn("win", F.lit(f"{lo}-{hi}"))
+        out = one if out is None else out.unionByName(one)
+    return out.drop("session_id")
+
+
 @query(f"""{_AXIS}, l AS (SELECT log_id, CAST(round(off * 1000) AS BIGINT) AS ms, seq, CASE kind WHEN 'Damage' THEN 'BigHit' ELSE kind END AS kind, CASE WHEN kind = 'Death' AND s THEN source || ' died' WHEN kind = 'Damage' AND t AND amount >= 2000 THEN target || ' takes ' || amount || ' from ' || source || '''s ' || spell
 WHEN kind = 'Dispel' THEN source || ' dispels ' || spell || ' on ' || target WHEN kind = 'Resurrect' AND t THEN source || ' resurrects ' || target WHEN kind = 'Interrupt' THEN source || ' interrupts ' || target || ' with ' || spell END AS label FROM g) SELECT * FROM l WHERE label IS NOT NULL""")
 def fight_marks(spark, sf_dir):

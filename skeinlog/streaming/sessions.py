@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def stream_sessions(entries: DataFrame, keys: list[str], at: str = "event_time", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Sessions per key: (keys, start, end, n), given out when the watermark has passed them. A row exactly the gap after the
-    one before starts a new session here; the batch operator splits only beyond the gap."""
+    """Sessions per key: (keys, start, end, n), given out when the watermark has passed them; end is the gap after the last row. A row
+    exactly the gap after the one before belongs to its session, as in the batch operator (kernels.gap_sessions)."""
     s = entries.withWatermark(at, late).groupBy(*keys, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n"))
     return s.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
