@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,28 +36,50 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def read_zipped_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """The first text member of each archive as (log_id, seq, text). One archive is read by one task, a line at a time."""
+#: Lines of an archive that are handed on together.
+_LINES = 20_000
+
+
+def _members(archive: IO[bytes], path: str) -> Iterator[pd.DataFrame]:
+    """The lines of an archive's first text member, as it is unpacked: nothing is held but some lines."""
+    with zipfile.ZipFile(archive) as z:
+        name = next((n for n in z.namelist() if n.lower().endswith(".txt")), None)
+        if name is None:
+            return
+        with z.open(name) as member:
+            at = 0
+            while rows := [line.decode("utf-8", "replace").rstrip("\r\n") for line in itertools.islice(member, _LINES)]:
+                yield pd.DataFrame({"log_id": path, "seq": range(at, at + len(rows)), "text": rows})
+                at += len(rows)
+
+
+def read_zipped_logs(spark: SparkSession, paths: str | list[str], stream: bool = True) -> DataFrame:
+    """The first text member of each archive as (log_id, seq, text). One archive is read by one task, a line at a time.
+
+    Archives are opened where they lie and read as they are unpacked, so that neither they nor their members need fit into memory;
+    that takes a store that pyarrow knows (files, HDFS, S3, GCS). With stream=False Spark reads them, from any store that it
+    knows, whole and of 2 GB at most.
+    """
+
+    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path in f.path:
+                store, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                with store.open_input_file(place) as archive:
+                    yield from _members(archive, path)
+
+    def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, content in zip(f.path, f.content, strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    name = next((n for n in z.namelist() if n.lower().endswith(".txt")), None)
-                    if name is None:
-                        continue
-                    with z.open(name) as member:
-                        rows: list[str] = []
-                        at = 0
-                        for line in member:
-                            rows.append(line.decode("utf-8", "replace").rstrip("\r\n"))
-                            if len(rows) == 50_000:
-                                yield pd.DataFrame({"log_id": path, "seq": range(at, at + len(rows)), "text": rows})
-                                at, rows = at + len(rows), []
-                        yield pd.DataFrame({"log_id": path, "seq": range(at, at + len(rows)), "text": rows})
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(run, "log_id string, seq long, text string")
+                yield from _members(io.BytesIO(content), path)
+
+    files = spark.read.format("binaryFile").load(paths)
+    if stream:
+        # only names are read here, which pack into few splits: each archive is to have a task to itself
+        return files.select("path").repartition(max(1, spark.sparkContext.defaultParallelism * 4), "path").mapInPandas(opened, "log_id string, seq long, text string")
+    return files.select("path", "content").mapInPandas(held, "log_id string, seq long, text string")
 
 
 def zone_for_name(name: Column) -> Column:

@@ -66,7 +66,16 @@ def test_readers_and_dims(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("readme.md", "no")
         z.writestr("LOG.TXT", "one\r\ntwo\n")
-    assert [r.text for r in logs.read_zipped_logs(spark, str(tmp_path / "z.zip")).orderBy("seq").collect()] == ["one", "two"]
+        z.writestr("more.txt", "three")
+    with zipfile.ZipFile(tmp_path / "y.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("long.txt", "\n".join(f"line {k}" for k in range(45_000)))
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("readme.md", "no")
+    for stream in (True, False):
+        zipped = logs.read_zipped_logs(spark, str(tmp_path / "*.zip"), stream)
+        assert [r.text for r in zipped.where("log_id like '%z.zip'").orderBy("seq").collect()] == ["one", "two"]
+        assert [r.text for r in zipped.where("log_id like '%y.zip'").orderBy("seq").collect()] == [f"line {k}" for k in range(45_000)]
+        assert zipped.count() == 45_002
 
     (tmp_path / "i.toml").write_text('[zone_aliases]\n"the bog" = "Bog Keep"\n[overworld]\nzones = ["town"]\n[[raid]]\nname = "Bog Keep"\nencounter_count = 1\nbosses = ["Mire Lord"]\ntrash = ["Bogling"]\n[[raid]]\nname = "Twin Hall"\ndungeon = true\nencounter_count = 1\nbosses = ["Left Twin", "Right Twin"]\ntrash = ["Bogling"]\nencounter_groups = [{name = "The Twins", bosses = ["Left Twin", "Right Twin"]}]\n')
     d = dims.load_instances(spark, str(tmp_path / "i.toml"))
