@@ -4,13 +4,16 @@ operators and held against what went in. DuckDB SQL says what each must return.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import decode as D
 from ..operators import encounters, lookups, normalise
 from ..operators import entries as N
-from ..sources import logs
+from ..sources import logs, scratch
 from .bindings import E, ORACLES, QUERIES, events, logged, query, table  # noqa: F401
 
 #: Names are letters only: digits of ids become letters. The same expressions in Spark and DuckDB.
@@ -256,8 +259,7 @@ SELECT CAST(o_custkey AS VARCHAR) AS log, CAST(k AS INT) AS enc_idx, name, 'bog
 CASE WHEN is_boss THEN CAST(row_number() OVER (PARTITION BY o_custkey, name, is_boss ORDER BY k) AS INT) END AS attempt FROM b""")
 def fights_from_lines(spark, sf_dir):
     """From lines to finished encounters: names, kills in combat and late ones, wipes that go on after combat, groups, resets and attempts."""
-    from ..sources.scratch import cut
-
+    cut = scratch.cut
     d = cut(D.decode(logs.spread(_nights(spark, sf_dir))))
     players = cut(N.roster(d))
     npcs = spark.createDataFrame([("mire lord", "bog keep", True, None), ("left twin", "twin hall", True, "The Twins"), ("right twin", "twin hall", True, "The Twins")], "npc string, instance string, is_boss boolean, group_name string")
@@ -288,8 +290,8 @@ def _evenings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found_sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from ..operators import sessions
-    from ..sources.scratch import cut
 
+    cut = scratch.cut
     lines = cut(_evenings(spark, sf_dir))
     npcs = spark.createDataFrame([("mire lord", "bog keep", True, None)], "npc string, instance string, is_boss boolean, group_name string")
     zones = spark.createDataFrame([("bog keep", True, False, False, 2)], "zone string, is_instance boolean, is_dungeon boolean, is_overworld boolean, encounter_count int")
@@ -335,7 +337,7 @@ _REWRITTEN = (
     ("Bob's Mend heals Cid for {n}.", "Bob 's Mend heals Cid for {n}."), ("Ogre suffers {n} Fire damage from Bob's Burn.", "Ogre suffers {n} Fire damage from Bob 's Burn."), ("Onyxia's Elite Guard hits Bob for {n}.", "Onyxia's Elite Guard hits Bob for {n}."),
     ("LOOT: x&Bob receives loot: |cffa335ee|Hitem:7:0|h[Blade]|h|r.", "LOOT: x&Bob receives loot: |cffa335ee|Hitem:7:0|h[Blade]|h|rx1."), ("Searing Totem IV (Sham)'s Attack hits Ogre for {n}.", "Sham 's Attack hits Ogre for {n}."), ("Cid's Zap hits Cid for {n}.", "Cid (self damage) 's Zap hits Cid for {n}."),
     ("Bob's Lightning Strike was resisted by Ogre.", "Bob 's Lightning Strike (nature) was resisted by Ogre."), ("Cid suffers {n} Fire damage from Cid's Burn.", "Cid suffers {n} Fire damage from Cid (self damage) 's Burn."), ("Ogre is immune to Bob's Slam.", "Ogre is immune to Bob 's Slam."),
-    ("Rex's Might fades from Bob.", "Rex's Might fades from Bob."), ("Bob gains Warchief's Blessing (1).", "Bob gains Warchief's Blessing (1)."), ("Cid suffers {n} damage from Bob 's Power Overwhelming.", "Cid suffers {n} damage from Bob (self damage) 's Power Overwhelming."),
+    ("Sam (Sam) hits Ogre for {n}.", "Sam 's (pet) Auto Attack hits Ogre for {n}."), ("Rex's Might fades from Bob.", "Rex's Might fades from Bob."), ("Bob gains Warchief's Blessing (1).", "Bob gains Warchief's Blessing (1)."), ("Cid suffers {n} damage from Bob 's Power Overwhelming.", "Cid suffers {n} damage from Bob (self damage) 's Power Overwhelming."),
 )
 
 
@@ -344,7 +346,7 @@ def rewritten_lines(spark, sf_dir):
     """Lines of every rule of rewriting: first and second person, pets and their spells, possessives, renamings, harm to oneself."""
     lines = rendered(spark, sf_dir, [a for a, _ in _REWRITTEN], 5)
     gear = "&".join(["nil"] * 19)
-    heads = [f"COMBATANT_INFO: 27.01.26 20:00:00&ann&MAGE&Human&2&nil&nil&nil&1&{gear}&1}}2}}3&0x1&nil", f"COMBATANT_INFO: 27.01.26 20:00:00&Hun&HUNTER&Human&2&Rex&nil&nil&1&{gear}&nil&0x1&nil", "CAST: Rex casts Bite(17261)(Rank 8) on Ogre."]
+    heads = [f"COMBATANT_INFO: 27.01.26 20:00:00&ann&MAGE&Human&2&nil&nil&nil&1&{gear}&1}}2}}3&0x1&nil", f"COMBATANT_INFO: 27.01.26 20:00:00&Hun&HUNTER&Human&2&Rex&nil&nil&1&{gear}&nil&0x1&nil", f"COMBATANT_INFO: 27.01.26 20:00:00&Sam&HUNTER&Human&2&Sam&nil&nil&1&{gear}&nil&0x1&nil", "CAST: Rex casts Bite(17261)(Rank 8) on Ogre."]
     first = lines.select("log_id", "session_id").distinct().select("log_id", "session_id", F.posexplode(F.array(*[F.lit(CLOCK + h) for h in heads])).alias("seq", "text"))
     told = normalise.normalise(logs.spread(lines.unionByName(first.withColumn("seq", F.col("seq").cast("long") - len(heads)))))
     return told.where("seq >= 0").select("seq", F.expr(f"substring(text, {len(CLOCK) + 1})").alias("line"))
@@ -355,3 +357,62 @@ def words_of_names(spark, sf_dir):
     """Whole words in names, and names in title case."""
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", F.coalesce(lookups.contains_word(F.col("p_name"), F.lit("ring")), F.lit(False)).alias("has_ring"), lookups.title_case(F.col("p_name")).alias("title"))
+
+
+_PETS = ["COMBATANT_INFO: 1&{u}&MAGE&Human&2&nil&x", "COMBATANT_INFO: 1&{u}&MAGE&Human&2&{u}&x", "COMBATANT_INFO: 1&{u}&MAGE&Human&2&Rex&x", "COMBATANT_INFO: 1&{u}&MAGE&Human&2&Deathknight Understudy (3)&x", "COMBATANT_INFO: 1&{u}", "{u}  's Slam", "LOOT: x|h|r."]
+
+
+@query(f"""{E} SELECT seq, '{CLOCK}' || CASE seq % 7 WHEN 4 THEN 'COMBATANT_INFO: 1&' || {U} WHEN 5 THEN {U} || '''s Slam' WHEN 6 THEN 'LOOT: x|h|rx1.' ELSE 'COMBATANT_INFO: 1&' || {U} || '&MAGE&Human&2&' || {_case(["'nil'", U + " || 'Pet'", "'Rex'", "'nil'"], 7)} || '&x' END AS line FROM e""")
+def cleaned_lines(spark, sf_dir):
+    """The first pass over lines: pets of roster lines, possessives, loot without a quantity."""
+    return normalise.first_pass(rendered(spark, sf_dir, _PETS)).select("seq", F.col("text").alias("line"))
+
+
+_CLOCKED = "'1/27 ' || CAST(7 + us % 6 AS {s}) || ':' || CAST(seq % 4 AS {s}) || ':5.5'"
+
+
+@query(f"""{E}, l AS (SELECT seq, 'd' || (user_id % 5) AS log, {_CLOCKED.format(s="VARCHAR")} AS clock, CASE WHEN event_type = 'signup' THEN {U} END AS me FROM e),
+m AS (SELECT log, clock, arg_max(me, seq) AS me FROM l WHERE me IS NOT NULL GROUP BY 1, 2), c AS (SELECT DISTINCT log, clock FROM l), f AS (SELECT log, arg_min(me, seq) AS first FROM l WHERE me IS NOT NULL GROUP BY 1),
+a AS (SELECT c.log, c.clock, arg_max(m.me, m.clock) AS last FROM c LEFT JOIN m ON m.log = c.log AND m.clock <= c.clock GROUP BY 1, 2)
+SELECT seq, l.log, coalesce(last, first) AS me FROM l JOIN a ON l.log = a.log AND l.clock = a.clock LEFT JOIN f ON l.log = f.log""")
+def recorders_by_text_of_times(spark, sf_dir):
+    """Who records a line, with times compared as text."""
+    e = events(spark, sf_dir)
+    head = F.concat(F.lit("  COMBATANT_INFO: 1.1.24&"), F.expr(_U.format(s="string")), F.lit("&MAGE&1}2}3"))
+    text = F.concat(F.expr(_CLOCKED.format(s="string")), F.when(F.col("event_type") == "signup", head).otherwise(F.lit("  You rest.")))
+    lines = e.select(F.concat(F.lit("d"), (F.col("user_id") % 5).cast("string")).alias("log_id"), F.lit(0).alias("session_id"), "seq", text.alias("text"))
+    return normalise.recording_player(lines, strict=True).select("seq", F.col("log_id").alias("log"), "me")
+
+
+@query(f"""{_SPELLS}, t AS (SELECT o_custkey, sum(lines) + 3 AS n, sum(kills) AS k FROM e GROUP BY 1) SELECT CAST(o_custkey AS VARCHAR) AS log, CAST(n AS BIGINT) AS n FROM t WHERE k = 0""")
+def logs_without_raids(spark, sf_dir):
+    """Logs without a session that counts are one session, all lines of them: here logs without a kill."""
+    from ..operators import sessions
+
+    lines, s = _found_sessions(spark, sf_dir)
+    return sessions.whole_log(lines, s.withColumn("is_raid", F.col("kill_count") > 0)).groupBy(F.col("log_id").alias("log")).agg(F.count("*").alias("n"))
+
+
+@query(f"""{E} SELECT 'd' || (user_id % 5) AS log, row_number() OVER (PARTITION BY user_id % 5 ORDER BY seq) AS pos, '{CLOCK}' || CASE seq % 3 WHEN 0 THEN {U} || ' rests.' WHEN 1 THEN '' ELSE {V} || ' hits for ' || amt || '.' END AS line FROM e""")
+def logs_read_back(spark, sf_dir):
+    """Logs written as text and read by the reader: each file is a log, and lines keep their order."""
+    path = f"{scratch.root(spark)}/logs-{uuid.uuid4().hex}"
+    rows = rendered(spark, sf_dir, ["{u} rests.", "", "{v} hits for {n}."], 5)
+    rows.repartition("log_id").sortWithinPartitions("log_id", "seq").select("text", F.col("log_id").alias("log")).write.partitionBy("log").text(path)
+    back = logs.read_logs(spark, f"{path}/*/*.txt")
+    order = W.partitionBy("log_id").orderBy("seq")
+    return back.select(F.regexp_extract("log_id", "log=(d[0-9])", 1).alias("log"), F.row_number().over(order).cast("long").alias("pos"), F.col("text").alias("line"))
+
+
+@query(f"""{E} SELECT 'Ann-BogKeep-2026-01-27-export-' || md5('d' || (user_id % 5))[:16] AS name, CAST(seq // 1024 AS BIGINT) AS part, count(*) AS n, md5(string_agg('{CLOCK}' || {U} || ' rests.', chr(10) ORDER BY seq)) AS digest FROM e WHERE user_id % 5 < 4 GROUP BY 1, 2""")
+def exports_read_back(spark, sf_dir):
+    """Sessions of four logs that come to one name, exported in parts and read back in order; a fifth has no raid."""
+    path = f"{scratch.root(spark)}/exports-{uuid.uuid4().hex}"
+    lines = rendered(spark, sf_dir, ["{u} rests."], 5)
+    s = lines.select("log_id").distinct().select(
+        "log_id", F.lit(0).alias("session_no"), F.lit("Bog Keep (1/2)").alias("name"), (F.col("log_id") != "d4").alias("is_raid"), F.lit(5015520.0).alias("start_time"), F.lit(2026).alias("start_year"), F.array(F.lit("Ann")).alias("you_players")
+    )
+    logs.export_sessions(lines, s, path, part_bits=10)
+    back = spark.read.text(path).select(F.col("export_name").alias("name"), F.col("part").cast("long").alias("part"), F.monotonically_increasing_id().alias("i"), "value")
+    # a part has 1024 lines at most
+    return back.groupBy("name", "part").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x.value), "\n")).alias("digest"))

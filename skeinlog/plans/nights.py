@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import aggregates, selection, timeline
+from ..operators import aggregates, encounters, selection, timeline
 from ..operators import entries as N
 from . import reports
 from .bindings import DAY, ORACLES, QUERIES, events, query  # noqa: F401
@@ -477,3 +477,11 @@ def numbers_told(spark, sf_dir):
 
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.round("o_totalprice").cast("long").alias("n"), (F.col("o_orderkey") % 9000).cast("double").alias("t"))
     return o.select("o_orderkey", text.thousands(F.col("n")).alias("thousands"), text.minutes(F.col("t")).alias("minutes"), text.spoken(F.col("t")).alias("spoken"))
+
+
+@query(f"""{NIGHT}, a AS (SELECT log_id, source AS name FROM n WHERE kind = 'Damage' AND amount > 0 UNION SELECT log_id, target FROM n WHERE kind = 'Damage' AND amount > 0) SELECT p.log_id, p.name FROM p JOIN a ON p.log_id = a.log_id AND p.name = a.name""")
+def players_with_damage(spark, sf_dir):
+    """The roster without those that neither did nor took damage."""
+    x = night(spark, sf_dir)
+    totals = selection.filtered_stats(x.entries, x.fights, x.players)["totals"].where("damage > 0 or damage_taken > 0")
+    return encounters.active_roster(x.players, totals.select(*N.KEY, F.col("player").alias("name"))).select("log_id", "name")
