@@ -254,7 +254,10 @@ def aura_spans(spark, sf_dir):
     return timeline.aura_intervals(x.entries, x.fights, _persistent(spark)).select("log_id", "player", "aura", "enc_idx", _ms("start").alias("a_ms"), _ms("end").alias("z_ms"))
 
 
-@query(f"{_OPEN} SELECT DISTINCT log_id, aura FROM (SELECT log_id, aura FROM iv WHERE aura <> 'Flask' AND (NOT opened OR z > a) UNION ALL SELECT log_id, spell FROM o WHERE kind IN ('AuraGain', 'AuraFade') UNION ALL SELECT log_id, aura FROM iv WHERE NOT opened)")
+_MORTAL = _OPEN.replace("CASE WHEN aura = 'Flask' THEN base + len ELSE least(coalesce(died, base + len), base + len) END", "least(coalesce(died, base + len), base + len)")
+
+
+@query(f"{_MORTAL} SELECT log_id, aura FROM ivs UNION SELECT log_id, spell FROM o WHERE kind IN ('AuraGain', 'AuraFade')")
 def auras_met(spark, sf_dir):
     x = night(spark, sf_dir)
     return timeline.available_auras(x.entries, x.fights).drop("session_id")
