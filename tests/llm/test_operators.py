@@ -233,7 +233,8 @@ def test_quality_rules(spark):
     r = random.Random(5)
     clean = [" ".join(f"word{r.randrange(900)}" for _ in range(60)) + "." for _ in range(150)]
     junk = [" ".join(f"word{r.randrange(900)}***" for _ in range(60)) for _ in range(60)]
-    texts = clean + junk + ODD + ["same words again and here " * 20, "l1 x\nl2 y\nl1 x\n" * 2]
+    passage, long = "a passage of nine words that comes two times ", [" ".join(f"v{r.randrange(50_000)}" for _ in range(9000)) for _ in range(2)]
+    texts = clean + junk + ODD + ["same words again and here " * 20, "l1 x\nl2 y\nl1 x\n" * 2, f"{long[0]} {passage}{long[1]}\n{passage}", f"{long[0]}\n" * 2, long[1]]
     d = docs(spark, *texts)
     labels = spark.createDataFrame([(i, int(i < 150)) for i in range(210)] + [(None, 1), (3, None)], "doc_id long, quality int")
     rules = quality_rules.learn_rules(d, labels)
@@ -242,11 +243,11 @@ def test_quality_rules(spark):
         t, w, s = texts[x.doc_id] or "", words(texts[x.doc_id]), x.stats
         lines = [y for y in t.split("\n") if words(y)]
         windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
-        cover = {k + j for k, y in enumerate(windows) if windows.count(y) > 1 for j in range(8)} if len(w) < 500 else None
+        often = Counter(windows)
+        cover = {k + j for k, y in enumerate(windows) if often[y] > 1 for j in range(8)}
         assert (s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)))
-        if cover is not None:
-            assert s.n_repeat_words == len(cover)
-            assert x.base_failed == (len(w) < 20 or 100 * len(cover) > 30 * len(w))
+        assert s.n_repeat_words == len(cover)
+        assert x.base_failed == (len(w) < 20 or 100 * len(cover) > 30 * len(w))
         if x.doc_id < 210:
             assert x.kept == (x.doc_id < 150)
 
