@@ -20,18 +20,17 @@ def markers(lines: DataFrame, npcs: DataFrame, aliases: DataFrame) -> DataFrame:
     Types: zone (canonical name), player, full_player, combat_start, combat_end, boss_kill (with instance), npc_zone.
     """
     t = F.trim("text")
-    d = lines.where(D.has(F.col("text"), "ZONE_INFO:", "COMBATANT_INFO:", "PLAYER_REGEN_", "UNIT_DIED:")).select(
-        "log_id", "seq", D.parse_ts(t).alias("ts"), D.zone(t).alias("z"), D.roster(t).alias("r"), D.recorder(t).alias("me"), D.combat_state(t).alias("c"), D.unit_died(t).alias("u")
-    ).where("ts is not null")
-    kinds = F.array_compact(F.array(
-        F.when(F.col("z").isNotNull(), F.struct(F.lit("zone").alias("type"), F.col("z").alias("name"))),
-        F.when(F.col("r").isNotNull(), F.struct(F.lit("player").alias("type"), F.col("r.name").alias("name"))),
-        F.when(F.col("r").isNotNull() & F.col("me").isNotNull(), F.struct(F.lit("full_player").alias("type"), F.col("me").alias("name"))),
-        F.when(F.col("c") == "start", F.struct(F.lit("combat_start").alias("type"), F.lit("").alias("name"))),
-        F.when(F.col("c") == "end", F.struct(F.lit("combat_end").alias("type"), F.lit("").alias("name"))),
-        F.when(F.col("u").isNotNull(), F.struct(F.lit("died").alias("type"), F.col("u.name").alias("name"))),
-    ))
-    m = d.select("log_id", "seq", "ts", F.explode(kinds).alias("k")).select("log_id", "seq", "ts", "k.*")
+    d = lines.where(D.has(F.col("text"), "ZONE_INFO:", "COMBATANT_INFO:", "PLAYER_REGEN_", "UNIT_DIED:")).select("log_id", "seq", t.alias("text"))
+    t = F.col("text")
+    # each part is cut out of a line once
+    d = D.held(d, _clock=D.clock_parts(t), p=D.roster_parts(t), u=D.died_parts(t)).where("_clock is not null")
+    d = D.held(d, ts=D.seconds(F.col("_clock")), z=D.zone(t), r=D.roster_name(F.col("p")), me=D.recorder(t), c=D.combat_state(t)).where("ts is not null")
+    kind = lambda test, name, of: F.when(test, F.struct(F.lit(name).alias("type"), of.alias("name")))
+    kinds = F.array(
+        kind(F.col("z").isNotNull(), "zone", F.col("z")), kind(F.col("r").isNotNull(), "player", F.col("r")), kind(F.col("r").isNotNull() & F.col("me").isNotNull(), "full_player", F.col("me")),
+        kind(F.col("c") == "start", "combat_start", F.lit("")), kind(F.col("c") == "end", "combat_end", F.lit("")), kind(F.col("u").isNotNull(), "died", F.col("u")[0]),
+    )
+    m = d.select("log_id", "seq", "ts", F.explode(kinds).alias("k")).where("k is not null").select("log_id", "seq", "ts", "k.*")
     m = lookups.npc_facts(m.withColumn("_dead", F.when(F.col("type") == "died", F.col("name"))), "_dead", npcs)
     m = m.withColumn("type", F.when(F.col("type") != "died", F.col("type")).when(F.col("is_boss"), "boss_kill").when(F.col("instance").isNotNull(), "npc_zone")).where("type is not null")
     m = lookups.normalize_zone(m, "name", aliases)
@@ -118,7 +117,7 @@ def line_ranges(sessions: DataFrame) -> DataFrame:
 def assign_lines(lines: DataFrame, sessions: DataFrame) -> DataFrame:
     """Lines of each session, with session_id: inside its line bounds and times; lines without a time stay."""
     s = line_ranges(sessions).select(F.col("log_id").alias("_log"), F.col("session_no").alias("session_id"), "first_line", "last_line", "t_lo", "t_hi")
-    timed = lines.where(F.trim("text") != "").withColumn("_ts", D.parse_ts(F.trim("text")))
+    timed = D.held(lines.where(F.trim("text") != ""), _clock=D.clock_parts(F.trim("text"))).withColumn("_ts", D.seconds(F.col("_clock"))).drop("_clock")
     inside = (F.col("seq") >= F.col("first_line")) & (F.col("last_line").isNull() | (F.col("seq") <= F.col("last_line")))
     when = F.col("_ts").isNull() | (((F.col("t_lo").isNull()) | (F.col("_ts") >= F.col("t_lo"))) & ((F.col("t_hi").isNull()) | (F.col("_ts") <= F.col("t_hi"))))
     # tested inside the join, so no line is listed once for each session of its log
