@@ -296,7 +296,7 @@ def _found_sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     npcs = spark.createDataFrame([("mire lord", "bog keep", True, None)], "npc string, instance string, is_boss boolean, group_name string")
     zones = spark.createDataFrame([("bog keep", True, False, False, 2)], "zone string, is_instance boolean, is_dungeon boolean, is_overworld boolean, encounter_count int")
     aliases = spark.createDataFrame([("the bog", "Bog Keep")], "alias string, canonical string")
-    marks = sessions.markers(lines, npcs, aliases)
+    marks = cut(sessions.markers(lines, npcs, aliases))  # read twice below
     return lines, cut(sessions.sessions(sessions.number_sessions(marks, zones), zones, sessions.log_years(lines)))
 
 
