@@ -68,7 +68,7 @@ def filtered_stats(entries: DataFrame, encounters: DataFrame, players: DataFrame
     """
     rows = in_selection(entries, encounters, which)
     if which != "all":
-        rows = met(rows.drop("target_known"), players, entries, {"target": "target_known"}, None)
+        rows = met(rows.drop("target_known"), players, {"target": "target_known"}, None)
     done, taken, healed = aggregates.damage_done(rows), aggregates.damage_taken(rows), aggregates.healing_done(rows)
     return {"done": done, "taken": taken, "healed": healed, "totals": aggregates.player_totals(done, taken, healed)}
 

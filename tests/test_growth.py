@@ -26,3 +26,30 @@ def test_marks_cut_lines_once(spark):
     # times, and the field of names, each in one place
     assert plan(m).count(r"regexp_extract(text#") <= 8 and "transform(" not in plan(m)
     assert [(r.type, r["name"]) for r in m.orderBy("seq", "type").collect()] == [("full_player", "Ann"), ("player", "Ann"), ("zone", "bog keep"), ("combat_start", ""), ("boss_kill", "Mire Lord")]
+
+
+def test_lines_meet_few_marks(spark):
+    """A line is held against all marks of its block: with a mark at every other line, the pairs stay near the lines."""
+    df = spark.range(100_000).select(F.lit("a").alias("k"), F.col("id").alias("seq"))
+    marks = df.where("seq % 2 = 0").withColumn("last", F.col("seq"))
+    spans = kernels.stretches(marks, df, ["k"], ["last"])
+    assert spans.groupBy("k", "_block").count().agg(F.max("count")).first()[0] <= 513
+    assert kernels.along(df, spans, ["k"]).where("last is null or seq - last not in (0, 1)").count() == 0
+
+
+def test_blocks_hold_names_of_their_rows(spark):
+    """A large roster isn't listed for each block, only the names that the block's rows say."""
+    players = spark.range(5000).select(F.lit("a").alias("log_id"), F.lit(0).alias("session_id"), F.concat(F.lit("P"), "id").alias("name"), F.col("id").alias("first_seen_seq"))
+    rows = spark.range(20_000).select(F.lit("a").alias("log_id"), F.lit(0).alias("session_id"), F.col("id").alias("seq"), F.concat(F.lit("P"), F.expr("(id div 2000) * 700")).alias("name"))
+    told = entries.block_names(rows, players, ["name"])
+    assert told.agg(F.max(F.size("_names"))).first()[0] <= 2
+    flags = entries.met(rows, players, {"name": "now"}).join(entries.met(rows, players, {"name": "ever"}, None).select("seq", "ever"), "seq")
+    assert flags.where("now <> (seq div 2000 * 700 < least(seq, 5000)) or ever <> (seq div 2000 * 700 < 5000)").count() == 0
+
+
+def test_lines_are_decoded_once(spark):
+    """Queries that read decoded lines several times store them before."""
+    from skeinlog.plans import lines as queries
+
+    for name in ("heals_by_rank", "gated_by_roster", "avoided_by_roster"):
+        assert "regexp_extract" not in plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
