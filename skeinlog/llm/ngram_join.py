@@ -5,15 +5,18 @@ The corpus is an incidence matrix: a row for each document, a column for each n-
 far below the bound, so it is never formed. What is formed follows from the sizes alone:
 
 1. Rows fall into size bands; documents that can link are in one band or in two adjacent ones.
-2. In a band, the sizes bound the number ``d`` of columns in which a linking pair can differ. The columns are cut into
-   ``d + 1 + e`` blocks by hash. At least ``e + 1`` blocks then hold no difference at all, so a linking pair agrees on a
-   whole non-empty block, unless both rows have more than ``e`` empty blocks. Columns that very many rows hold are left out
-   of the blocks, so that shared passages make nobody meet; rows that then have too many empty blocks are filed again with
-   all columns, and if need be under their empty blocks. Only rows that agree on a block can meet: this discards nearly all
-   pairs before any overlap is counted.
+2. In a band, the sizes bound the number ``d`` of columns in which a linking pair can differ. The columns are cut into more
+   than ``d`` blocks by hash. A row's own size bounds its differences too, by a smaller ``d'``, and it is filed under its
+   ``d' + 1`` fullest blocks: of a linking pair's equal blocks the fullest is among these in both rows, unless both have fewer
+   blocks that aren't empty. Full blocks are hardly ever equal by chance, so few rows meet that don't link. Columns that very
+   many rows hold are left out of the blocks, so that shared passages make nobody meet; rows that then have too few blocks
+   are filed again with all columns, and if need be under their empty blocks. Only rows that agree on a block can meet: this
+   discards nearly all pairs before any overlap is counted.
 3. Rows that meet, directly or through others, form disjoint groups. Each group's part of the product is computed in tiles
    of a bounded number of rows: overlap counts are accumulated over column chunks, and a row leaves a tile as soon as none
-   of its pairs can still reach the bound given by the two sizes. What is left is compared exactly.
+   of its pairs can still reach the bound given by the two sizes. What is left is compared exactly. Rows of a large group
+   take part in many tiles; these are worked off in rounds, so that what is dealt out at a time is no more than a multiple of
+   the rows, whatever the groups are.
 
 Rows with equal sets are one row of the matrix (with a count of copies), so groups of copies never become pairs; a tile
 returns a spanning forest of its links and the number of links of each row, never the pairs themselves.
@@ -22,6 +25,7 @@ returns a spanning forest of its links and the number of links of each row, neve
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -165,12 +169,18 @@ class Bands:
         differ = most * (den - num) // (den + num)
         blocks = differ + 1
         void = blocks * np.exp(-self.low[:-2] / blocks)
-        self.spare = np.ceil(void + 3 * np.sqrt(void)).astype(np.int64)
-        self.blocks = np.where(differ == 0, 0, blocks + self.spare)  # 0: only equal sets can link
+        spare = np.ceil(void + 3 * np.sqrt(void)).astype(np.int64)  # so that hardly a row has too few
+        self.blocks = np.where(differ == 0, 0, blocks + spare)  # 0: only equal sets can link
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, n, side="right") - 1
 
+    def differ(self, n: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """The most columns in which a row of n columns and one that it links with can differ, if the smaller of them is in the band."""
+        own = self.of(n)
+        other = np.where(band == own, np.minimum(self.den * n // self.num, self.low[own + 2] - 1), self.low[own] - 1)
+        return (n + other) * (self.den - self.num) // (self.den + self.num)
+
 
 def _held(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Which grams are among the sorted hot ones; a small table of leading bits spares most the search."""
@@ -185,11 +195,12 @@ def _held(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def block_keys(grams: np.ndarray, sizes: np.ndarray, bands: Bands, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) for each non-empty column block of each row, in the row's own band and in the one below.
+    """(key, row) for the fullest column blocks of each row, one more than it can differ in, in the row's own band and in the one below.
 
-    Hot grams are left out of the blocks: leaving columns out can't add differences, so the bound still holds, and passages
-    that many documents share make nobody meet. A row that has more empty blocks than may be spared is filed again with all
-    its grams, and if it still has, under its empty blocks.
+    Equal blocks of two rows have equal keys and numbers of grams, and blocks come by these; before the first that a linking pair
+    shares, a row has only blocks that differ, so it is filed under that one. Hot grams are left out of the blocks: leaving
+    columns out can't add differences, so the bound still holds, and passages that many documents share make nobody meet. A row
+    that has too few blocks is filed again with all its grams, and if it still has, under its empty blocks.
     """
     keys, rows = [], []
     filled = np.flatnonzero(sizes)
@@ -201,7 +212,7 @@ def block_keys(grams: np.ndarray, sizes: np.ndarray, bands: Bands, hot: np.ndarr
         for below in (0, 1):
             band = own - below
             k = np.where(band >= 0, bands.blocks[np.maximum(band, 0)], 0)
-            spare = bands.spare[np.maximum(band, 0)]
+            most = np.where(k > 0, bands.differ(sizes[filled], band), 0)
             todo = k > 0
             for salt, part in ((1, cold), (2, None)):
                 take = todo[who] if part is None else todo[who] & part
@@ -211,9 +222,13 @@ def block_keys(grams: np.ndarray, sizes: np.ndarray, bands: Bands, hot: np.ndarr
                 at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
                 if len(at):
                     tag = band[w[at]].astype(np.uint64) << _U(32) | block[at]
-                    keys.append(mix(np.add.reduceat(marked[take], at) + mix(mix(tag) + _U(salt))))
-                    rows.append(filled[w[at]])
-                todo &= k - np.bincount(w[at], minlength=len(filled)) > spare
+                    key, row = mix(np.add.reduceat(marked[take], at) + mix(mix(tag) + _U(salt))), w[at]
+                    by = np.lexsort((key, -np.diff(np.append(at, len(cell))), row))
+                    key, row = key[by], row[by]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    keys.append(key[place <= most[row]])
+                    rows.append(filled[row[place <= most[row]]])
+                todo &= np.bincount(w[at], minlength=len(filled)) <= most
             for i in np.flatnonzero(todo):
                 empty = np.setdiff1d(np.arange(k[i]), block[at][w[at] == i].astype(np.int64)).astype(np.uint64)
                 keys.append(mix(mix(np.uint64(band[i]) << _U(32) | empty) ^ _U(0x0F0F0F0F)))
@@ -296,9 +311,10 @@ def _digest(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 _ROW = np.dtype([("doc", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8")])
-#: A filed key: 40 bits of it (a bucket holds millions of keys, not billions) and the node. Equal bits of different keys only
-#: make rows meet that needn't.
-_KEY = np.dtype([("low", "<u4"), ("high", "u1"), ("node", "<i8")])
+#: A filed key: 40 bits of it (a bucket holds millions of keys, not billions) and of the node. Equal bits of different keys or
+#: nodes only make rows meet that needn't.
+_KEY = np.dtype([("low", "<u4"), ("high", "u1"), ("node", "<u4"), ("node_high", "u1")])
+_NODE = (1 << 40) - 1
 
 
 def _file_keys(width: int, num: int, den: int, buckets: int, hot):
@@ -317,7 +333,8 @@ def _file_keys(width: int, num: int, den: int, buckets: int, hot):
                 yield b, 2, part
         first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         out = np.zeros(int(first.sum()), _KEY)
-        out["low"], out["high"], out["node"] = (key[first] >> _U(24)) & _U(0xFFFFFFFF), key[first] >> _U(56), node[first]
+        out["low"], out["high"] = (key[first] >> _U(24)) & _U(0xFFFFFFFF), key[first] >> _U(56)
+        out["node"], out["node_high"] = node[first] & 0xFFFFFFFF, node[first] >> 32
         for b, part in _dealt(out, key[first] & _U(0xFFFFFF), buckets):
             yield b, 1, part
 
@@ -338,7 +355,7 @@ def _file_keys(width: int, num: int, den: int, buckets: int, hot):
                 rows.append(row)
                 key, at = block_keys(grams, sizes, Bands(num, den, int(sizes.max(initial=1))), hot.value)
                 keys.append(key)
-                nodes.append(s1[at])
+                nodes.append(s1[at] & _NODE)
                 size += len(key)
                 if size > _HELD:
                     yield batch_of(list(filed(keys, nodes)))
@@ -373,7 +390,8 @@ def _meet(num: int, den: int):
         bands = Bands(num, den, int(row["n"].max(initial=1)))
         docs = pd.DataFrame({"kind": 0, "a": row["doc"], "b": row["n"], "c": row["s1"], "d": row["s2"], "e": bands.of(row["n"])})
         key = filed["high"].astype(np.uint64) << _U(32) | filed["low"]
-        pairs = [*_chain(key, filed["node"]).items(), *np.frombuffer(blobs[2], "<i8").reshape(-1, 2).tolist()]
+        node = filed["node_high"].astype(np.int64) << 32 | filed["node"]
+        pairs = [*_chain(key, node).items(), *np.frombuffer(blobs[2], "<i8").reshape(-1, 2).tolist()]
         met = pd.DataFrame(pairs, columns=["a", "b"], dtype="int64").assign(kind=1, c=0, d=0, e=0)
         return pd.concat([docs, met[["kind", "a", "b", "c", "d", "e"]]]).astype({"kind": "int32", "e": "int32"})
 
@@ -493,7 +511,7 @@ def _with_grams(width: int):
 BUCKET_BYTES = 16 << 20
 
 
-def ngram_jaccard(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 128) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 1024) -> DataFrame:
     """Links documents whose sets of distinct word n-grams have a Jaccard similarity of at least num/den, exactly.
 
     Returns a row for each row of docs: (doc_id, n_shingles, component_id, n_links). component_id is the least id that
@@ -518,17 +536,15 @@ def ngram_jaccard(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100
     reps = materialize(rows.groupBy("s1", "s2", "n", "cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     groups = components(met.where("kind = 1").select("a", "b"))
     candidates = materialize(
-        reps.join(groups, reps.s1 == groups.node).selectExpr("rep", "s1", "n", "cls", "copies", "root as grp")
+        reps.join(groups, reps.s1.bitwiseAND(F.lit(_NODE)) == groups.node).selectExpr("rep", "s1", "n", "cls", "copies", "root as grp")
     )
-    tiles = _tiles(candidates, tile_rows)
-    links = materialize(
+    tiles = materialize(_tiles(candidates, tile_rows))
+    grams = materialize(
         maybe_in(named, "doc_id", id_filter(candidates, "rep")).join(tiles.hint("merge"), F.col("doc_id") == tiles.rep)
         .select("rep", "s1", "copies", "tile", "text")
         .mapInArrow(lean(_with_grams(ngram)), "rep long, s1 long, copies long, tile array<struct<grp:long,c1:int,c2:int,i:int,j:int,side:int>>, grams binary")
-        .select("rep", "s1", "copies", "grams", F.explode("tile").alias("t")).select("rep", "s1", "copies", "grams", "t.*")
-        .repartition(*_TILE).sortWithinPartitions(*_TILE)
-        .mapInPandas(lean(_multiply(num, den)), "rep long, s1 long, root long, links long")
     )
+    links = _in_rounds(grams, _rounds(tiles), num, den)
     joined = components(links.selectExpr("rep as a", "root as b").unionByName(_same_ids(rows, reps)))
     counted = links.groupBy("rep", "s1").agg(F.sum("links").alias("links"))
     named_by = materialize(
@@ -556,6 +572,28 @@ def _same_ids(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return mine.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
 
+#: N-grams dealt out at a time, as a multiple of those of all candidates, about.
+ROUND = 2
+
+
+def _rounds(tiles: DataFrame) -> int:
+    own, dealt = tiles.agg(F.sum("n"), F.sum(F.col("n") * F.size("tile"))).first()
+    return -(-(dealt or 0) // (ROUND * (own or 1))) or 1
+
+
+def _in_rounds(grams: DataFrame, rounds: int, num: int, den: int) -> DataFrame:
+    """Links of all tiles, (rep, s1, root, links). A tile belongs to one round; each is written before the next one's rows are dealt out."""
+    out = []
+    for r in range(rounds):
+        mine = f"filter(tile, t -> pmod(xxhash64({', '.join(f't.{c}' for c in _TILE)}), {rounds}) = {r})"
+        out.append(materialize(
+            grams.select("rep", "s1", "copies", "grams", F.explode(F.expr(mine) if rounds > 1 else F.col("tile")).alias("t"))
+            .select("rep", "s1", "copies", "grams", "t.*").repartition(*_TILE).sortWithinPartitions(*_TILE)
+            .mapInPandas(lean(_multiply(num, den)), "rep long, s1 long, root long, links long")
+        ))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _tiles(candidates: DataFrame, tile_rows: int, tile_grams: int = 1 << 19) -> DataFrame:
     """Candidates with the tiles of their group's product that they take part in.
 
@@ -578,5 +616,5 @@ def _tiles(candidates: DataFrame, tile_rows: int, tile_grams: int = 1 << 19) ->
         candidates.join(shape, candidates.grp == shape.g)
         .selectExpr("*", "parts[cls] as k", "parts[cls + 1] as up", "parts[cls - 1] as down")
         .selectExpr("*", "cast(pmod(xxhash64(rep, 7L), k) as int) as h")
-        .selectExpr("rep", "s1", "copies", f"if(total <= {tile_rows} and wide <= {tile_grams}, array({spot.format('-1', '-1', '0', '0', '0')}), {many}) as tile")
+        .selectExpr("rep", "s1", "copies", "n", f"if(total <= {tile_rows} and wide <= {tile_grams}, array({spot.format('-1', '-1', '0', '0', '0')}), {many}) as tile")
     )

@@ -1,6 +1,9 @@
+import glob
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -10,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skeinlog.llm import chat_format, embedding_dedup, language_id, line_windows, mixing, ngram_join, packing, pii_crf, quality_rules, secrets
+from skeinlog.llm import chat_format, embedding_dedup, language_id, line_windows, mixing, ngram_join, packing, pii_crf, quality_rules, secrets, shared
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, covered string"
 ODD = [None, "", " \t\n", "one", "two words", "!!! ... ,,,", "word " * 3000, "a\n\nb\n \nc", "é́  x 漢字 <|endoftext|>"]
@@ -84,6 +87,45 @@ def test_block_keys_lose_no_pair():
             assert len(a) == len(b) and (a == b).all() or set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
 
 
+def test_rows_that_share_a_passage_hardly_meet():
+    r = np.random.default_rng(2)
+    bands = ngram_join.Bands(80, 100, 4000)
+    met = 0
+    for _ in range(100):
+        x = r.integers(0, (1 << 64) - 1, 5000, dtype=np.uint64)
+        a, b = np.sort(x[:2500]), np.sort(x[2300:4800])
+        keys, rows = ngram_join.block_keys(np.concatenate([a, b]), np.array([2500, 2500]), bands, np.zeros(0, np.uint64))
+        met += bool(set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist()))
+        assert len(keys) < 0.49 * 5000
+    assert met < 20
+
+
+def test_tiles_of_a_large_group_go_in_rounds(spark, monkeypatch):
+    r = random.Random(8)
+    first = [f"w{r.randrange(900)}" for _ in range(60)]
+    texts = [" ".join(first[:k] + [f"x{k}"] + first[k + 1 :]) for k in range(60)]  # all near each other
+    dealt = []
+    deal, write = ngram_join._rounds, ngram_join._in_rounds
+    monkeypatch.setattr(ngram_join, "_rounds", lambda tiles: dealt.append((tiles.agg(F.sum(F.size("tile"))).first()[0], deal(tiles))) or dealt[-1][1])
+    monkeypatch.setattr(ngram_join, "_in_rounds", lambda grams, rounds, *a: dealt.append(rounds) or write(grams, rounds, *a))
+    got = ngram_join.ngram_jaccard(docs(spark, *texts), 4, 80, 100, tile_rows=3).orderBy("doc_id").collect()
+    assert [tuple(x) for x in got] == brute(texts, 4, 80, 100)
+    (copies, rounds), used = dealt
+    assert used == rounds > 1 and copies / rounds <= ngram_join.ROUND * 60
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    kept = lambda: sum(os.path.getsize(os.path.join(at, f)) for top in glob.glob(f"{spark.sparkContext._jvm.java.lang.System.getProperty('java.io.tmpdir')}/blockmgr-*") for at, _, fs in os.walk(top) for f in fs if f.startswith("shuffle_"))
+    before = kept()
+    df = spark.range(200_000).selectExpr("id", "hash(id) as h").repartition(4, "h")
+    out = shared.materialize(df)
+    for _ in range(50):
+        if kept() - before < 100_000:
+            break
+        time.sleep(0.1)
+    assert out.count() == 200_000 and kept() - before < 100_000
+
+
 def test_copies_of_one_set_fill_no_bucket():
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": [None, "same words in all of these", f"{'x ' * 9}"] * 200})
     rows = {}
