@@ -1,12 +1,16 @@
 """Steps whose work must grow no faster than their input."""
 
+import glob
+import os
 import re
+import time
 
 from minilog import at, lines, npcs, roster
 from pyspark.sql import functions as F
 
 from skeinlog.functions import decode
 from skeinlog.operators import entries, kernels, sessions
+from skeinlog.sources import scratch
 
 
 def plan(df):
@@ -53,3 +57,22 @@ def test_lines_are_decoded_once(spark):
 
     for name in ("heals_by_rank", "gated_by_roster", "avoided_by_roster"):
         assert "regexp_extract" not in plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_cut_tables_leave_no_shuffle_files(spark):
+    top = spark.sparkContext._jvm.java.lang.System.getProperty("java.io.tmpdir")
+    kept = lambda: sum(os.path.getsize(os.path.join(at, f)) for b in glob.glob(f"{top}/blockmgr-*") for at, _, fs in os.walk(b) for f in fs if f.startswith("shuffle_"))
+    before = kept()
+    out = scratch.cut(spark.range(200_000).selectExpr("id", "hash(id) as h").repartition(4, "h"))
+    for _ in range(50):
+        if kept() - before < 100_000:
+            break
+        time.sleep(0.1)
+    assert out.count() == 200_000 and kept() - before < 100_000
+
+
+def test_gates_deal_lines_once(spark):
+    """Entries meet combat marks and names in a window in their block, not by a join with all marks."""
+    d = scratch.cut(decode.decode(lines(spark, at(0, roster("Ann")), at(1, "PLAYER_REGEN_DISABLED"), at(2, "Ann hits Bog for 1."), at(9, "PLAYER_REGEN_ENABLED"))))
+    p = plan(entries.gated_entries(d, entries.roster(d)))
+    assert "_from" not in p and "_to" not in p

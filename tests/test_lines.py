@@ -148,6 +148,23 @@ def test_stretches_of_lines(spark):
     assert got == want
 
 
+def test_last_said_of_lines(spark):
+    r = random.Random(7)
+    at_ = sorted({r.choice([0, 1 << 16, 5 << 30, 1 << 50]) + r.randrange(1 << 17) for _ in range(400)})
+    rows = [(k, x, x % 3 == 0) for x in at_ for k in (1, None)]
+    df = spark.createDataFrame(rows, "k int, seq long, mark boolean")
+    facts = df.select("k", F.shiftright("seq", kernels.BLOCK_BITS).alias("_block")).distinct().withColumn("own", F.col("_block") + 1)
+    want, now = {}, {}
+    for k, x, mark in sorted(rows, key=lambda y: y[1]):
+        now[k] = x if mark else now.get(k)
+        want[k, x] = (now[k], (x >> kernels.BLOCK_BITS) + 1)
+    marks = df.where("mark").select("k", "seq", F.col("seq").alias("last"))
+    told = kernels.last_said(df, marks, df, ["k"], ["last"], facts=facts)
+    assert told.columns == ["k", "seq", "mark", "last", "own"]
+    got = told.collect()
+    assert len(got) == len(rows) and {(x.k, x.seq): (x["last"], x.own) for x in got} == want
+
+
 def test_scratch_needs_a_shared_folder(spark):
     class Bare:
         conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
